@@ -16,7 +16,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = "_block"
@@ -40,12 +40,13 @@ class Series:
     def with_keys(self, *keys: str) -> Series:
         return replace(self, keys=tuple(keys))
 
-    def block(self) -> Column:
-        t = F.col(self.t).cast("double")
+    def block_sql(self) -> str:
         if self.width is None:
             # log1p is semi-monotonic, so cells never overlap.
-            return (F.signum(t) * F.floor(F.log1p(F.abs(t) * 1e9) * 6000.0)).cast("bigint")
-        return F.floor(t / F.lit(float(self.width))).cast("bigint")
+            return (
+                f"CAST(signum({self.t}) * floor(log1p(abs({self.t}) * 1e9D) * 6000D) AS BIGINT)"
+            )
+        return f"CAST(floor({self.t} / {float(self.width)!r}D) AS BIGINT)"
 
 
 def suggest_width(
@@ -67,16 +68,27 @@ def suggest_width(
 
 
 def with_block(df: DataFrame, s: Series) -> DataFrame:
-    return df.withColumn(BLOCK, s.block())
+    return df.selectExpr("*", f"{s.block_sql()} AS {BLOCK}")
 
 
-def _inside(s: Series, *order: Column):
-    return Window.partitionBy(*s.keys, BLOCK).orderBy(*(order or (F.col(s.t).asc(),)))
+def _inside(s: Series, order: str) -> str:
+    return f"PARTITION BY {', '.join([*s.keys, BLOCK])} ORDER BY {order}"
 
 
-def _across(s: Series, *, descending: bool = False):
-    order = F.col(BLOCK).desc() if descending else F.col(BLOCK).asc()
-    return Window.partitionBy(*s.keys).orderBy(order)
+def _across(s: Series, *, descending: bool = False) -> str:
+    keys = f"PARTITION BY {', '.join(s.keys)} " if s.keys else ""
+    return f"{keys}ORDER BY {BLOCK} {'DESC' if descending else 'ASC'}"
+
+
+UPTO = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+EARLIER = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+
+
+def _summary(blocked: DataFrame, s: Series, aggregates: list[str], carried: list[str]) -> DataFrame:
+    """One row per block, then what every block takes over from the others."""
+    keys = [*s.keys, BLOCK]
+    parts = blocked.groupBy(*keys).agg(*[F.expr(a) for a in aggregates])
+    return parts.selectExpr(*keys, *carried)
 
 
 def shift(
@@ -92,74 +104,65 @@ def shift(
     """
     back, ahead = dict(back or {}), dict(ahead or {})
     b = with_block(df, s)
-    w = _inside(s)
-    edges = b.groupBy(*s.keys, BLOCK).agg(
-        *[F.max_by(c, s.t).alias(f"_b_{o}") for o, c in back.items()],
-        *[F.min_by(c, s.t).alias(f"_a_{o}") for o, c in ahead.items()],
+    w, over = _inside(s, s.t), _across(s)
+    edges = _summary(
+        b,
+        s,
+        [f"max_by({c}, {s.t}) AS _b_{o}" for o, c in back.items()]
+        + [f"min_by({c}, {s.t}) AS _a_{o}" for o, c in ahead.items()],
+        [f"lag(_b_{o}) OVER ({over}) AS _b_{o}" for o in back]
+        + [f"lead(_a_{o}) OVER ({over}) AS _a_{o}" for o in ahead],
     )
-    across = _across(s)
-    edges = edges.select(
-        *s.keys,
-        BLOCK,
-        *[F.lag(f"_b_{o}").over(across).alias(f"_b_{o}") for o in back],
-        *[F.lead(f"_a_{o}").over(across).alias(f"_a_{o}") for o in ahead],
+    local = b.selectExpr(
+        "*",
+        *[f"lag({c}) OVER ({w}) AS _lb_{o}" for o, c in back.items()],
+        *[f"lead({c}) OVER ({w}) AS _la_{o}" for o, c in ahead.items()],
+        *([f"lag({s.t}) OVER ({w}) IS NULL AS _first"] if back else []),
+        *([f"lead({s.t}) OVER ({w}) IS NULL AS _last"] if ahead else []),
     )
-    local = b.withColumns(
-        {f"_lb_{o}": F.lag(c).over(w) for o, c in back.items()}
-        | {f"_la_{o}": F.lead(c).over(w) for o, c in ahead.items()}
-        | {"_first": F.lag(s.t).over(w).isNull(), "_last": F.lead(s.t).over(w).isNull()}
-    )
-    joined = local.join(edges, [*s.keys, BLOCK])
-    return joined.select(
-        *[F.col(c) for c in df.columns if c not in back and c not in ahead],
-        *[
-            F.when(F.col("_first"), F.col(f"_b_{o}")).otherwise(F.col(f"_lb_{o}")).alias(o)
-            for o in back
-        ],
-        *[
-            F.when(F.col("_last"), F.col(f"_a_{o}")).otherwise(F.col(f"_la_{o}")).alias(o)
-            for o in ahead
-        ],
+    kept = [c for c in df.columns if c not in back and c not in ahead]
+    return local.join(edges, [*s.keys, BLOCK]).selectExpr(
+        *kept,
+        *[f"IF(_first, _b_{o}, _lb_{o}) AS {o}" for o in back],
+        *[f"IF(_last, _a_{o}, _la_{o}) AS {o}" for o in ahead],
     )
 
 
 def running(
     df: DataFrame,
     s: Series,
-    sums: Mapping[str, Column] | None = None,
-    maxima: Mapping[str, Column] | None = None,
+    sums: Mapping[str, str] | None = None,
+    maxima: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """Inclusive running sums / maxima over the whole series."""
+    """Inclusive running sums / maxima of SQL expressions over the whole series."""
     sums, maxima = dict(sums or {}), dict(maxima or {})
-    b = with_block(df.withColumns({f"_x_{o}": e for o, e in {**sums, **maxima}.items()}), s)
-    upto = _inside(s).rowsBetween(Window.unboundedPreceding, 0)
-    earlier = _across(s).rowsBetween(Window.unboundedPreceding, -1)
-    parts = b.groupBy(*s.keys, BLOCK).agg(
-        *[F.sum(f"_x_{o}").alias(f"_p_{o}") for o in sums],
-        *[F.max(f"_x_{o}").alias(f"_p_{o}") for o in maxima],
-    )
-    parts = parts.select(
-        *s.keys,
-        BLOCK,
-        *[F.sum(f"_p_{o}").over(earlier).alias(f"_p_{o}") for o in sums],
-        *[F.max(f"_p_{o}").over(earlier).alias(f"_p_{o}") for o in maxima],
+    b = with_block(df, s)
+    w, over = f"{_inside(s, s.t)} {UPTO}", f"{_across(s)} {EARLIER}"
+    parts = _summary(
+        b,
+        s,
+        [f"sum({e}) AS _p_{o}" for o, e in sums.items()]
+        + [f"max({e}) AS _p_{o}" for o, e in maxima.items()],
+        [f"sum(_p_{o}) OVER ({over}) AS _p_{o}" for o in sums]
+        + [f"max(_p_{o}) OVER ({over}) AS _p_{o}" for o in maxima],
     )
-    local = b.withColumns(
-        {f"_s_{o}": F.sum(f"_x_{o}").over(upto) for o in sums}
-        | {f"_s_{o}": F.max(f"_x_{o}").over(upto) for o in maxima}
+    local = b.selectExpr(
+        "*",
+        *[f"sum({e}) OVER ({w}) AS _s_{o}" for o, e in sums.items()],
+        *[f"max({e}) OVER ({w}) AS _s_{o}" for o, e in maxima.items()],
     )
-    joined = local.join(parts, [*s.keys, BLOCK])
-    made = {**sums, **maxima}
-    return joined.select(
-        *[F.col(c) for c in df.columns if c not in made],
-        *[(F.col(f"_s_{o}") + F.coalesce(f"_p_{o}", F.lit(0))).alias(o) for o in sums],
-        *[F.greatest(f"_s_{o}", f"_p_{o}").alias(o) for o in maxima],
+    kept = [c for c in df.columns if c not in sums and c not in maxima]
+    return local.join(parts, [*s.keys, BLOCK]).selectExpr(
+        *kept,
+        *[f"_s_{o} + coalesce(_p_{o}, 0) AS {o}" for o in sums],
+        *[f"greatest(_s_{o}, _p_{o}) AS {o}" for o in maxima],
     )
 
 
 def index_rows(df: DataFrame, s: Series, out: str = "i") -> DataFrame:
     """Zero-based position of every row in its series."""
-    return running(df, s, {out: F.lit(1).cast("bigint")}).withColumn(out, F.col(out) - 1)
+    kept = [c for c in df.columns if c != out]
+    return running(df, s, {"_pos": "1L"}).selectExpr(*kept, f"_pos - 1 AS {out}")
 
 
 def asof(
@@ -169,85 +172,71 @@ def asof(
     *,
     back: Mapping[str, str] | None = None,
     ahead: Mapping[str, str] | None = None,
-    totals: Mapping[str, Column] | None = None,
+    totals: Mapping[str, str] | None = None,
     back_inclusive: bool = True,
     ahead_inclusive: bool = True,
 ) -> DataFrame:
     """Attach the neighbouring samples of every query point.
 
     ``back`` takes columns from the last sample at or before the query time,
-    ``ahead`` from the first one at or after it, ``totals`` sums an expression
-    over all samples up to the query time (with the bound of ``back``).  Work
-    is linear in queries plus samples, whatever the density of either side:
-    both are laid into one table, cut in blocks and scanned; no pair is formed.
+    ``ahead`` from the first one at or after it, ``totals`` sums a SQL
+    expression over all samples up to the query time (with the bound of
+    ``back``).  Work is linear in queries plus samples, whatever the density of
+    either side: both are laid into one table, cut in blocks and scanned; no
+    pair is formed.
     """
     back, ahead, totals = dict(back or {}), dict(ahead or {}), dict(totals or {})
-    cols = sorted({*back.values(), *ahead.values()})
-    right = samples.select(
+    keys = [*s.keys, BLOCK]
+    bc, ac = sorted(set(back.values())), sorted(set(ahead.values()))
+    right = samples.selectExpr(
         *s.keys,
-        F.col(s.t),
-        *[F.col(c).alias(f"_v_{c}") for c in cols],
-        *[e.alias(f"_x_{o}") for o, e in totals.items()],
-        F.lit(0).alias(_QUERY),
+        s.t,
+        *[f"{c} AS _v_{c}" for c in sorted({*bc, *ac})],
+        *[f"{e} AS _x_{o}" for o, e in totals.items()],
+        f"0 AS {_QUERY}",
     )
-    both = queries.withColumn(_QUERY, F.lit(1)).unionByName(right, allowMissingColumns=True)
+    both = queries.selectExpr("*", f"1 AS {_QUERY}").unionByName(right, allowMissingColumns=True)
     b = with_block(both, s)
-    is_sample = F.col(_QUERY) == 0
-    sample_t = F.when(is_sample, F.col(s.t))
-
-    parts = b.groupBy(*s.keys, BLOCK).agg(
-        *([F.max(sample_t).alias("_bt")] if back else []),
-        *([F.min(sample_t).alias("_at")] if ahead else []),
-        *[F.max_by(f"_v_{c}", sample_t).alias(f"_b_{c}") for c in sorted(set(back.values()))],
-        *[F.min_by(f"_v_{c}", sample_t).alias(f"_a_{c}") for c in sorted(set(ahead.values()))],
-        *[F.sum(f"_x_{o}").alias(f"_p_{o}") for o in totals],
-        *([] if back or ahead or totals else [F.count(F.lit(1)).alias("_n")]),
-    )
-
-    def pack(t: str, prefix: str, wanted) -> Column:
-        fields = [F.col(f"{prefix}{c}").alias(c) for c in wanted]
-        return F.when(F.col(t).isNotNull(), F.struct(F.col(t).alias("_t"), *fields))
 
-    carries = []
+    at = f"IF({_QUERY} = 0, {s.t}, NULL)"
+    aggregates, carried, local, results = [], [], [], []
+    made = {*back, *ahead, *totals}
     if back:
-        past = _across(s).rowsBetween(Window.unboundedPreceding, -1)
-        bc = sorted(set(back.values()))
-        carries.append(F.last(pack("_bt", "_b_", bc), ignorenulls=True).over(past).alias("_back"))
+        tie = "ASC" if back_inclusive else "DESC"
+        w = f"{_inside(s, f'{s.t} ASC, {_QUERY} {tie}')} {UPTO}"
+        aggregates += [f"max({at}) AS _bt"] + [f"max_by(_v_{c}, {at}) AS _b_{c}" for c in bc]
+        row = ", ".join(["_bt AS _t", *[f"_b_{c} AS {c}" for c in bc]])
+        carried.append(
+            f"last(IF(_bt IS NULL, NULL, struct({row})), true) "
+            f"OVER ({_across(s)} {EARLIER}) AS _back"
+        )
+        row = ", ".join([f"{s.t} AS _t", *[f"_v_{c} AS {c}" for c in bc]])
+        local.append(f"last(IF({_QUERY} = 0, struct({row}), NULL), true) OVER ({w}) AS _lback")
+        results += [f"coalesce(_lback, _back).{c} AS {o}" for o, c in back.items()]
     if ahead:
-        future = _across(s, descending=True).rowsBetween(Window.unboundedPreceding, -1)
-        ac = sorted(set(ahead.values()))
-        carries.append(F.last(pack("_at", "_a_", ac), ignorenulls=True).over(future).alias("_ahead"))
+        tie = "ASC" if ahead_inclusive else "DESC"
+        w = f"{_inside(s, f'{s.t} DESC, {_QUERY} {tie}')} {UPTO}"
+        aggregates += [f"min({at}) AS _at"] + [f"min_by(_v_{c}, {at}) AS _a_{c}" for c in ac]
+        row = ", ".join(["_at AS _t", *[f"_a_{c} AS {c}" for c in ac]])
+        carried.append(
+            f"last(IF(_at IS NULL, NULL, struct({row})), true) "
+            f"OVER ({_across(s, descending=True)} {EARLIER}) AS _ahead"
+        )
+        row = ", ".join([f"{s.t} AS _t", *[f"_v_{c} AS {c}" for c in ac]])
+        local.append(f"last(IF({_QUERY} = 0, struct({row}), NULL), true) OVER ({w}) AS _lahead")
+        results += [f"coalesce(_lahead, _ahead).{c} AS {o}" for o, c in ahead.items()]
     if totals:
-        past = _across(s).rowsBetween(Window.unboundedPreceding, -1)
-        carries += [F.sum(f"_p_{o}").over(past).alias(f"_p_{o}") for o in totals]
-    parts = parts.select(*s.keys, BLOCK, *carries)
-
-    tie = F.col(_QUERY).asc() if back_inclusive else F.col(_QUERY).desc()
-    w_back = _inside(s, F.col(s.t).asc(), tie).rowsBetween(Window.unboundedPreceding, 0)
-    tie = F.col(_QUERY).asc() if ahead_inclusive else F.col(_QUERY).desc()
-    w_ahead = _inside(s, F.col(s.t).desc(), tie).rowsBetween(Window.unboundedPreceding, 0)
-
-    def sample(wanted) -> Column:
-        fields = [F.col(f"_v_{c}").alias(c) for c in wanted]
-        return F.when(is_sample, F.struct(F.col(s.t).alias("_t"), *fields))
-
-    made = {}
-    if back:
-        made["_lback"] = F.last(sample(sorted(set(back.values()))), ignorenulls=True).over(w_back)
-    if ahead:
-        made["_lahead"] = F.last(sample(sorted(set(ahead.values()))), ignorenulls=True).over(w_ahead)
-    for o in totals:
-        made[f"_l_{o}"] = F.sum(f"_x_{o}").over(w_back)
-    local = b.withColumns(made).filter(F.col(_QUERY) == 1)
-    joined = local.join(parts, [*s.keys, BLOCK])
-    return joined.select(
-        *[F.col(c) for c in queries.columns if c not in {*back, *ahead, *totals}],
-        *[F.coalesce("_lback", "_back")[c].alias(o) for o, c in back.items()],
-        *[F.coalesce("_lahead", "_ahead")[c].alias(o) for o, c in ahead.items()],
-        *[
-            (F.coalesce(f"_l_{o}", F.lit(0)) + F.coalesce(f"_p_{o}", F.lit(0))).alias(o)
-            for o in totals
-        ],
+        tie = "ASC" if back_inclusive else "DESC"
+        w = f"{_inside(s, f'{s.t} ASC, {_QUERY} {tie}')} {UPTO}"
+        aggregates += [f"sum(_x_{o}) AS _p_{o}" for o in totals]
+        carried += [f"sum(_p_{o}) OVER ({_across(s)} {EARLIER}) AS _p_{o}" for o in totals]
+        local += [f"sum(_x_{o}) OVER ({w}) AS _l_{o}" for o in totals]
+        results += [f"coalesce(_l_{o}, 0) + coalesce(_p_{o}, 0) AS {o}" for o in totals]
+    parts = _summary(b, s, aggregates, carried)
+    kept = [c for c in queries.columns if c not in made]
+    scanned = b.selectExpr(*kept, *([BLOCK] if BLOCK not in kept else []), _QUERY, *local)
+    return (
+        scanned.filter(f"{_QUERY} = 1").join(parts, keys).selectExpr(*kept, *results)
     )
 
 

@@ -87,7 +87,7 @@ def merge_pulses(
     series = Series(s.keys, onset, s.width)
     x = shift(df.select(*s.keys, onset, offset), series, back={"_prev": offset})
     x = x.withColumn("_new", F.when(F.col(onset) - F.col("_prev") <= max_gap, 0).otherwise(1))
-    x = running(x, series, {"_id": F.col("_new").cast("bigint")})
+    x = running(x, series, {"_id": "CAST(_new AS BIGINT)"})
     return (
         x.groupBy(*s.keys, "_id")
         .agg(
@@ -117,7 +117,7 @@ def bouts(
         raise ValueError("min_count must be at least one")
     x = shift(df.select(*s.keys, s.t), s, back={"_prev": s.t})
     x = x.withColumn("_new", F.when(F.col(s.t) - F.col("_prev") <= max_gap, 0).otherwise(1))
-    x = running(x, s, {"_id": F.col("_new").cast("bigint"), "_n": F.lit(1).cast("bigint")})
+    x = running(x, s, {"_id": "CAST(_new AS BIGINT)", "_n": "1L"})
     return (
         x.groupBy(*s.keys, "_id")
         .agg(
@@ -253,7 +253,7 @@ def local_maxima(
     """Peaks of at least ``height``; a plateau reports its middle sample."""
     x = shift(df.select(*s.keys, s.t, index, value), s, back={"_p": value})
     x = x.withColumn("_new", F.when(F.col("_p") == F.col(value), 0).otherwise(1))
-    x = running(x, s, {"_run": F.col("_new").cast("bigint")})
+    x = running(x, s, {"_run": "CAST(_new AS BIGINT)"})
     runs = x.groupBy(*s.keys, "_run").agg(
         F.min(s.t).alias(s.t),
         F.min(index).alias("_i0"),
@@ -301,7 +301,7 @@ def bouts_with_delivery(
 
 def delivery_progress(df: DataFrame, s: Series) -> DataFrame:
     """Ordinal k (1-based), progress (k-1)/(n-1) and first flag of deliveries."""
-    x = running(df, s, {"k": F.lit(1).cast("bigint")})
+    x = running(df, s, {"k": "1L"})
     totals = df.groupBy(*s.keys).agg(F.count(F.lit(1)).alias("n_total"))
     x = x.join(totals, list(s.keys))
     k, n = F.col("k"), F.col("n_total")

@@ -61,7 +61,7 @@ def count_in_window(
 ) -> DataFrame:
     """Number of events in the closed window as a difference of running counts."""
     lo, hi = check_window(window)
-    one = {"_c": F.lit(1).cast("bigint")}
+    one = {"_c": "1L"}
     upper = _back_to_own_time(
         asof(_at(refs, s, F.col(s.t) + hi), events, s, totals=one).withColumnRenamed("_c", "_hi"), s
     )

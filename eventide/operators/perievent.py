@@ -39,16 +39,13 @@ def interpolate(
         back={"_t0": s.t, "_v0": value},
         ahead={"_t1": s.t, "_v1": value},
     )
-    t, t0, t1 = F.col(s.t), F.col("_t0"), F.col("_t1")
-    v0, v1 = F.col("_v0"), F.col("_v1")
     # A query on a sample finds that sample on both sides.
-    between = F.when(t0 == t1, v0).otherwise(v0 + (t - t0) * ((v1 - v0) / (t1 - t0)))
-    result = F.when(t0.isNotNull() & t1.isNotNull(), between)
+    between = f"IF(_t0 = _t1, _v0, _v0 + ({s.t} - _t0) * ((_v1 - _v0) / (_t1 - _t0)))"
+    result = f"IF(_t0 IS NOT NULL AND _t1 IS NOT NULL, {between}, NULL)"
     if clamp:
-        result = F.when(t0.isNull(), v1).when(t1.isNull(), v0).otherwise(between)
-    return x.withColumn(out, result).withColumn(
-        "_inside", t0.isNotNull() & t1.isNotNull()
-    ).drop("_t0", "_v0", "_t1", "_v1")
+        result = f"CASE WHEN _t0 IS NULL THEN _v1 WHEN _t1 IS NULL THEN _v0 ELSE {between} END"
+    kept = [c for c in queries.columns if c != out]
+    return x.selectExpr(*kept, f"{result} AS {out}")
 
 
 def complete_windows(
@@ -92,7 +89,7 @@ def extract(
         F.col("_lag.rel_t").alias("rel_t"),
         (F.col("event_t") + F.col("_lag.rel_t")).alias(s.t),
     )
-    return interpolate(grid, samples, s, value=value).drop(s.t, "_inside")
+    return interpolate(grid, samples, s, value=value).drop(s.t)
 
 
 def normalise(
@@ -146,7 +143,7 @@ def event_rate(
         s.t, F.col("event_t") + (F.lit(start) + F.col("_e") * dt)
     )
     train = events.select(*s.keys, s.t)
-    one = {"_c": F.lit(1).cast("bigint")}
+    one = {"_c": "1L"}
     inner = asof(edges.filter(F.col("_e") < n), train, s, totals=one, back_inclusive=False)
     final = asof(edges.filter(F.col("_e") == n), train, s, totals=one)
     cumulative = inner.unionByName(final)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from eventide.core.series import Series, index_rows, shift
+from eventide.core.series import index_rows
 from eventide.operators import events as ev
 from eventide.operators import matching as mt
 from eventide.operators import perievent as pe
@@ -36,7 +36,7 @@ smp AS (SELECT mouse, t, v, lead(t) OVER w AS t1, lead(v) OVER w AS v1 FROM ev
 bnd AS (SELECT mouse, min(t) AS lo, max(t) AS hi FROM ev GROUP BY mouse),
 al AS (SELECT e.mouse, e.event_id AS event_i, e.t AS event_t FROM ev e JOIN bnd USING (mouse)
        WHERE e.kind = 'purchase' AND e.t - 172800.0 >= lo AND e.t + 172800.0 <= hi),
-grid AS (SELECT al.*, g.lag_i, -172800.0 + g.lag_i * 21600.0 AS rel_t
+grid AS (SELECT al.*, g.lag_i, -172800.0::DOUBLE + g.lag_i * 21600.0::DOUBLE AS rel_t
          FROM al, (SELECT unnest(range(0, 17))::INTEGER AS lag_i) g),
 trials AS (
   SELECT q.mouse, q.event_i, q.event_t, q.lag_i, q.rel_t,
@@ -362,9 +362,11 @@ def bout_features_grid(spark, path):
           END AS new FROM lk),
     g AS (SELECT *, sum(new) OVER (PARTITION BY trial ORDER BY k) AS id FROM n),
     b AS (SELECT trial, min(k) AS a, max(k) AS z, count(*) AS n FROM g GROUP BY trial, id
-          HAVING count(*) >= 3)
-    SELECT trial, CAST(unnest(range(a, z + 1)) AS BIGINT) AS k, 1.0::DOUBLE AS occupancy,
-      round(n / ((z - a + 1) / 10.0::DOUBLE), 6) AS rate, CAST(n AS BIGINT) AS bout_size FROM b""",
+          HAVING count(*) >= 3),
+    o AS (SELECT *, CAST(unnest(range(a, z + 1)) AS BIGINT) AS k FROM b)
+    SELECT trial, k, CASE WHEN k = a THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS onset,
+      CASE WHEN k = a THEN n::DOUBLE ELSE 0.0::DOUBLE END AS bout_size, 1.0::DOUBLE AS occupancy,
+      round(n / ((z - a + 1) / 10.0::DOUBLE), 6) AS rate FROM o""",
 )
 def trial_bout_features(spark, path):
     licks = (
@@ -375,14 +377,9 @@ def trial_bout_features(spark, path):
     x = ev.trial_bout_features(
         licks, ("trial",), rate_hz=10.0, max_gap=0.15, min_count=3, width=100.0
     )
-    s = Series(("trial",), "k", 1000.0)
-    # The size sits on the onset row; carry it over the bout for the report.
-    x = x.withColumn("_on", F.when(F.col("onset") == 1, F.col("size")))
-    filled = shift(x, s, back={"_prev": "onset"})
-    del filled
     return x.select(
-        "trial", "k", "occupancy", F.round("rate", 6).alias("rate"),
-        F.coalesce(F.col("_on"), F.lit(0.0)).cast("bigint").alias("bout_size"),
+        "trial", "k", "onset", F.col("size").alias("bout_size"), "occupancy",
+        F.round("rate", 6).alias("rate"),
     )
 
 

@@ -6,8 +6,6 @@ every ``event_type`` is an event train.  Times are seconds since the epoch.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,24 +17,24 @@ DAY = 86400.0
 _widths: dict[str, float] = {}
 
 
+_tables: dict[tuple[int, str, str], DataFrame] = {}
+
+
 def read(spark: SparkSession, path: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/{table}.parquet")
+    """Lazy reader; the schema of a table is looked up once per session."""
+    key = (id(spark), path, table)
+    if key not in _tables:
+        _tables[key] = spark.read.parquet(f"{path}/{table}.parquet")
+    return _tables[key]
 
 
-def epoch_seconds(c: str) -> Column:
-    micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(c))
-    return micros / F.lit(1e6)
+EPOCH_SECONDS = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts) / 1e6D"
 
 
 def raw_events(spark: SparkSession, path: str) -> DataFrame:
     """Columns ``event_id, mouse, t, kind, v``."""
-    e = read(spark, path, "events")
-    return e.select(
-        "event_id",
-        F.col("user_id").alias("mouse"),
-        epoch_seconds("ts").alias("t"),
-        F.col("event_type").alias("kind"),
-        F.col("value").alias("v"),
+    return read(spark, path, "events").selectExpr(
+        "event_id", "user_id AS mouse", f"{EPOCH_SECONDS} AS t", "event_type AS kind", "value AS v"
     )
 
 
@@ -59,13 +57,8 @@ def series(spark: SparkSession, path: str, per_sample: int = 1) -> Series:
     return Series(("mouse",), "t", _widths[path] / per_sample)
 
 
-@lru_cache(maxsize=1)
-def _group_expr() -> str:
-    return "CASE WHEN mouse % 2 = 0 THEN 'control' ELSE 'treated' END"
-
-
 def group() -> Column:
-    return F.expr(_group_expr())
+    return F.expr("CASE WHEN mouse % 2 = 0 THEN 'control' ELSE 'treated' END")
 
 
 def condition(t: str = "t") -> Column:
