@@ -159,6 +159,67 @@ def running(
     )
 
 
+def runs(
+    df: DataFrame,
+    s: Series,
+    starts: str,
+    *,
+    before: Mapping[str, str],
+    using: Sequence[str] = (),
+    run: str = "_run",
+    position: str = "_pos",
+) -> DataFrame:
+    """Number the runs of a series: a run starts where ``starts`` holds.
+
+    ``starts`` is a SQL condition on the row and on the previous row, whose
+    columns appear under the names of ``before`` (``{name: column}``); the
+    first row always starts a run.  ``using`` lists further columns of the row
+    in the condition.  Adds the 1-based run number and row position.
+
+    Flags, lags and counts share one summary, so the rows are scanned once.
+    """
+    before = dict(before)
+    w, over = _inside(s, s.t), _across(s)
+    lagged = with_block(df, s).selectExpr(
+        "*",
+        *[f"lag({c}) OVER ({w}) AS {o}" for o, c in before.items()],
+        f"row_number() OVER ({w}) AS _rn",
+    )
+    local = lagged.selectExpr(
+        *df.columns,
+        BLOCK,
+        "_rn",
+        f"sum(IF(_rn > 1 AND coalesce({starts}, true), 1L, 0L)) OVER ({w} {UPTO}) AS _inner",
+    )
+    keys = [*s.keys, BLOCK]
+    current = sorted({*using, s.t})
+    parts = local.groupBy(*keys).agg(
+        F.max("_inner").alias("_inner"),
+        F.count("*").alias("_n"),
+        *[F.expr(f"min_by({c}, {s.t}) AS _cur_{c}") for c in current if c != s.t],
+        F.expr(f"min({s.t}) AS _cur_{s.t}"),
+        *[F.expr(f"max_by({c}, {s.t}) AS _last_{o}") for o, c in before.items()],
+    )
+    parts = parts.selectExpr(
+        *keys,
+        "_inner",
+        "_n",
+        *[f"_cur_{c} AS {c}" for c in current],
+        *[f"lag(_last_{o}) OVER ({over}) AS {o}" for o in before],
+    ).selectExpr(*keys, "_n", "_inner", f"IF(coalesce({starts}, true), 1L, 0L) AS _opens")
+    parts = parts.selectExpr(
+        *keys,
+        "_opens",
+        f"coalesce(sum(_inner + _opens) OVER ({over} {EARLIER}), 0L) AS _runs_before",
+        f"coalesce(sum(_n) OVER ({over} {EARLIER}), 0L) AS _rows_before",
+    )
+    return local.join(parts, keys).selectExpr(
+        *df.columns,
+        f"_runs_before + _opens + _inner AS {run}",
+        f"_rows_before + _rn AS {position}",
+    )
+
+
 def index_rows(df: DataFrame, s: Series, out: str = "i") -> DataFrame:
     """Zero-based position of every row in its series."""
     kept = [c for c in df.columns if c != out]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventide.core.series import Series, asof, running, shift
+from eventide.core.series import Series, asof, running, runs, shift
 
 
 def midrange_threshold(df: DataFrame, s: Series, value: str = "v") -> DataFrame:
@@ -85,17 +85,20 @@ def merge_pulses(
 ) -> DataFrame:
     """Join pulses whose gap (onset minus previous offset) is at most ``max_gap``."""
     series = Series(s.keys, onset, s.width)
-    x = shift(df.select(*s.keys, onset, offset), series, back={"_prev": offset})
-    x = x.withColumn("_new", F.when(F.col(onset) - F.col("_prev") <= max_gap, 0).otherwise(1))
-    x = running(x, series, {"_id": "CAST(_new AS BIGINT)"})
+    x = runs(
+        df.select(*s.keys, onset, offset),
+        series,
+        f"{onset} - _before > {float(max_gap)!r}D",
+        before={"_before": offset},
+    )
     return (
-        x.groupBy(*s.keys, "_id")
+        x.groupBy(*s.keys, "_run")
         .agg(
             F.min(onset).alias(onset),
             F.max(offset).alias(offset),
             F.count(F.lit(1)).alias("n_pulses"),
         )
-        .drop("_id")
+        .drop("_run")
     )
 
 
@@ -115,20 +118,23 @@ def bouts(
         raise ValueError("max_gap must be positive")
     if min_count < 1:
         raise ValueError("min_count must be at least one")
-    x = shift(df.select(*s.keys, s.t), s, back={"_prev": s.t})
-    x = x.withColumn("_new", F.when(F.col(s.t) - F.col("_prev") <= max_gap, 0).otherwise(1))
-    x = running(x, s, {"_id": "CAST(_new AS BIGINT)", "_n": "1L"})
+    x = runs(
+        df.select(*s.keys, s.t),
+        s,
+        f"{s.t} - _before > {float(max_gap)!r}D",
+        before={"_before": s.t},
+    )
     return (
-        x.groupBy(*s.keys, "_id")
+        x.groupBy(*s.keys, "_run")
         .agg(
             F.min(s.t).alias("onset_t"),
             F.max(s.t).alias("offset_t"),
             F.count(F.lit(1)).alias("n"),
-            F.min(F.col("_n") - 1).alias("start_i"),
-            F.max("_n").alias("stop_i"),
+            F.min(F.col("_pos") - 1).alias("start_i"),
+            F.max("_pos").alias("stop_i"),
         )
         .filter(F.col("n") >= min_count)
-        .drop("_id")
+        .drop("_run")
     )
 
 
@@ -251,16 +257,20 @@ def local_maxima(
     df: DataFrame, s: Series, *, value: str = "v", index: str = "i", height: float = 2.0
 ) -> DataFrame:
     """Peaks of at least ``height``; a plateau reports its middle sample."""
-    x = shift(df.select(*s.keys, s.t, index, value), s, back={"_p": value})
-    x = x.withColumn("_new", F.when(F.col("_p") == F.col(value), 0).otherwise(1))
-    x = running(x, s, {"_run": "CAST(_new AS BIGINT)"})
-    runs = x.groupBy(*s.keys, "_run").agg(
+    x = runs(
+        df.select(*s.keys, s.t, index, value),
+        s,
+        f"{value} <> _before",
+        before={"_before": value},
+        using=[value],
+    )
+    plateaus = x.groupBy(*s.keys, "_run").agg(
         F.min(s.t).alias(s.t),
         F.min(index).alias("_i0"),
         F.max(index).alias("_i1"),
         F.max(value).alias(value),
     )
-    y = shift(runs, s, back={"_before": value}, ahead={"_after": value})
+    y = shift(plateaus, s, back={"_before": value}, ahead={"_after": value})
     v = F.col(value)
     return y.filter((v >= height) & (v > F.col("_before")) & (v > F.col("_after"))).select(
         *s.keys, F.floor((F.col("_i0") + F.col("_i1")) / 2).cast("bigint").alias(index), value
