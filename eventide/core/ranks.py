@@ -70,6 +70,39 @@ def distribution(
     )
 
 
+def at_positions(
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    positions: Mapping[str, str],
+    *,
+    width: float | None = None,
+) -> DataFrame:
+    """Values at fractional zero-based positions of the sorted group.
+
+    A position is a SQL expression of the group size ``n``; between two ranks
+    the value is interpolated linearly.
+    """
+    d = distribution(df, keys, value, width=width)
+
+    def at(k: str) -> str:
+        return f"max(IF(below <= {k} AND {k} < below + cnt, {value}, NULL))"
+
+    g = d.groupBy(*keys).agg(
+        F.max("n").alias("n"),
+        *[F.expr(f"{at(f'floor({p})')} AS _lo_{o}") for o, p in positions.items()],
+        *[F.expr(f"{at(f'ceil({p})')} AS _hi_{o}") for o, p in positions.items()],
+    )
+    return g.selectExpr(
+        *keys,
+        "n",
+        *[
+            f"_lo_{o} + (_hi_{o} - _lo_{o}) * (({p}) - floor({p})) AS {o}"
+            for o, p in positions.items()
+        ],
+    )
+
+
 def percentiles(
     df: DataFrame,
     keys: Sequence[str],
@@ -79,26 +112,8 @@ def percentiles(
     width: float | None = None,
 ) -> DataFrame:
     """Exact percentiles with linear interpolation, one row per group."""
-    d = distribution(df, keys, value, width=width)
-    v = F.col(value)
-
-    def at(k: Column) -> Column:
-        covers = (F.col("below") <= k) & (k < F.col("below") + F.col("cnt"))
-        return F.max(F.when(covers, v))
-
-    aggs = [F.max("n").alias("n")]
-    for out, p in probabilities.items():
-        position = F.lit(float(p)) * (F.col("n") - 1)
-        aggs.append(at(F.floor(position)).alias(f"_lo_{out}"))
-        aggs.append(at(F.ceil(position)).alias(f"_hi_{out}"))
-    g = d.groupBy(*keys).agg(*aggs)
-    out_cols = []
-    for out, p in probabilities.items():
-        position = F.lit(float(p)) * (F.col("n") - 1)
-        frac = position - F.floor(position)
-        lo, hi = F.col(f"_lo_{out}"), F.col(f"_hi_{out}")
-        out_cols.append((lo + (hi - lo) * frac).alias(out))
-    return g.select(*keys, "n", *out_cols)
+    positions = {o: f"{float(p)!r}D * (n - 1)" for o, p in probabilities.items()}
+    return at_positions(df, keys, value, positions, width=width)
 
 
 def average_rank() -> Column:

@@ -1,6 +1,6 @@
 """Registered queries over the benchmark tables."""
 
-from eventide.workload import analysis_queries, event_queries  # noqa: F401
+from eventide.workload import align_queries, analysis_queries, event_queries  # noqa: F401
 from eventide.workload.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
