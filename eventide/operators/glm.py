@@ -25,11 +25,11 @@ _SCALARS = ("yty", "sy", "n")
 def gram(df: DataFrame, keys: list[str], features: Sequence[str], response: str) -> DataFrame:
     """Sufficient statistics per group: arrays ``xtx, xty, sx``; ``yty, sy, n``.
 
-    Up to a dozen columns become plain SQL sums; wider designs form partial
+    Up to twenty columns become plain SQL sums; wider designs form partial
     products per Arrow batch.
     """
     p = len(features)
-    if p <= 12:
+    if p <= 20:
         upper = {
             (i, j): F.sum(F.col(features[i]) * F.col(features[j])).alias(f"_g{i}_{j}")
             for i in range(p)
