@@ -310,21 +310,21 @@ def bouts_with_delivery(
 
 
 def delivery_progress(df: DataFrame, s: Series) -> DataFrame:
-    """Ordinal k (1-based), progress (k-1)/(n-1) and first flag of deliveries."""
-    x = running(df, s, {"k": "1L"})
+    """``ordinal`` k (1-based), ``n_total`` and ``progress`` (k-1)/(n-1)."""
+    x = running(df, s, {"ordinal": "1L"})
     totals = df.groupBy(*s.keys).agg(F.count(F.lit(1)).alias("n_total"))
     x = x.join(totals, list(s.keys))
-    k, n = F.col("k"), F.col("n_total")
+    k, n = F.col("ordinal"), F.col("n_total")
     return x.withColumn("progress", F.when(n > 1, (k - 1) / (n - 1)).otherwise(F.lit(0.0)))
 
 
 def delivery_stage(progressed: DataFrame) -> DataFrame:
     """First delivery, then equal thirds of the rest by ``floor(3 k / n)``."""
-    j, m = F.col("k") - 2, F.col("n_total") - 1
+    j, m = F.col("ordinal") - 2, F.col("n_total") - 1
     third = F.least(F.floor(3 * j / m), F.lit(2)).cast("bigint")
     return progressed.withColumn(
         "stage",
-        F.when(F.col("k") == 1, "first")
+        F.when(F.col("ordinal") == 1, "first")
         .when(third == 0, "early")
         .when(third == 1, "middle")
         .otherwise("late"),

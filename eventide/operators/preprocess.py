@@ -65,14 +65,14 @@ def pulse_clock(
     max_mismatch: float = 0.01,
     invert: bool = True,
 ) -> DataFrame:
-    """Give sample k the time of pulse k.
+    """Give sample i the time of pulse i.
 
     When counts differ by at most ``max_mismatch`` the samples are resampled
     linearly over the normalised index; other series raise.  ``samples``:
     keys, i, v; ``pulses``: keys, s.t.
     """
     keys = list(s.keys)
-    ordinal = index_rows(pulses.select(*keys, s.t), s, "k")
+    ordinal = index_rows(pulses.select(*keys, s.t), s, "pulse_i")
     n_samples = samples.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     n_pulses = pulses.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m"))
     counts = n_samples.join(n_pulses, keys)
@@ -82,7 +82,7 @@ def pulse_clock(
         raise ContractError(f"locomotion / pulse mismatch exceeds the limit: {bad[0].asDict()}")
     by_index = Series(s.keys, "i", None)
     x = shift(samples.select(*keys, "i", "v"), by_index, ahead={"_nv": "v"})
-    place = F.when(F.col("_m") > 1, F.col("k") * ((F.col("_n") - 1) / (F.col("_m") - 1))).otherwise(0.0)
+    place = F.when(F.col("_m") > 1, F.col("pulse_i") * ((F.col("_n") - 1) / (F.col("_m") - 1))).otherwise(0.0)
     q = ordinal.join(counts, keys).withColumn("_x", place)
     q = q.withColumn("i", F.least(F.floor("_x"), F.col("_n") - 1).cast("bigint"))
     frac = F.col("_x") - F.col("i")
@@ -90,7 +90,7 @@ def pulse_clock(
         F.col("v") + frac * (F.col("_nv") - F.col("v"))
     )
     return q.join(x, [*keys, "i"]).select(
-        *keys, "k", s.t, (-v if invert else v).alias("v")
+        *keys, "pulse_i", s.t, (-v if invert else v).alias("v")
     )
 
 

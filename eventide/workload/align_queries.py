@@ -142,7 +142,7 @@ def pulse_clock(spark, path):
     s = tb.series(spark, path)
     loco = index_rows(tb.raw_events(spark, path).filter("kind = 'view'").select("mouse", "t", "v"), s)
     x = pp.pulse_clock(loco, tb.train(spark, path, "click"), s, max_mismatch=1.0)
-    return x.withColumn("v", r6("v"))
+    return x.select("mouse", F.col("pulse_i").alias("k"), "t", r6("v"))
 
 
 @query(

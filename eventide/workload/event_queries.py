@@ -577,7 +577,7 @@ PROGRESS = f"""{EV}, p AS (SELECT mouse, event_id, row_number() OVER (PARTITION
 )
 def delivery_progress(spark, path):
     x = ev.delivery_progress(tb.train(spark, path, "purchase"), tb.series(spark, path))
-    return x.select("mouse", "event_id", "k", "n_total", r6("progress"))
+    return x.select("mouse", "event_id", F.col("ordinal").alias("k"), "n_total", r6("progress"))
 
 
 @query(

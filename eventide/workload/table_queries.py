@@ -171,10 +171,10 @@ def staleness_case(spark, path):
 
 @query(
     "pending_sessions",
-    f"WITH {MANIFEST} SELECT c_custkey FROM s WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    f"WITH {MANIFEST} SELECT c_custkey FROM s WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 450000)",
 )
 def pending_sessions(spark, path):
-    done = tb.read(spark, path, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    done = tb.read(spark, path, "orders").filter("o_totalprice > 450000").select(F.col("o_custkey").alias("c_custkey"))
     return pending(sessions(spark, path), done, ["c_custkey"]).select("c_custkey")
 
 
