@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventide.core.checks import ContractError
+from eventide.core.lineage import cut
 from eventide.core.ranks import percentiles
 from eventide.core.series import Series, asof, index_rows, running, shift
 
@@ -16,6 +17,7 @@ def clock_fit(matches: DataFrame, keys: list[str], *, source: str = "ts", target
     Sums are taken around the first pulse, so large epoch times lose nothing.
     Output: keys, ``n, intercept, scale, rms, max_abs, drift_ppm``.
     """
+    matches = cut(matches)
     first = matches.groupBy(*keys).agg(
         F.min(source).alias("_s0"), F.min(target).alias("_t0")
     )
@@ -75,8 +77,7 @@ def pulse_ordinals(
     where an interval fits no whole number of periods.
     """
     eps = 1e-6
-    x = index_rows(pulses.select(*s.keys, s.t), s)
-    x = shift(x, s, back={"_p": s.t}).join(periods, list(s.keys))
+    x = shift(pulses.select(*s.keys, s.t), s, back={"_p": s.t}).join(periods, list(s.keys))
     ratio = (F.col(s.t) - F.col("_p")) / F.col("period")
     whole = F.floor(ratio + 0.5)
     single = ratio <= 1.0 + jitter + eps
@@ -88,8 +89,10 @@ def pulse_ordinals(
     )
     explained = F.col("_p").isNull() | single | (F.abs(ratio - whole) <= jitter + eps)
     x = x.withColumns({"_step": step.cast("bigint"), "explained": explained})
-    x = running(x.select(*s.keys, s.t, "i", "explained", "_step"), s, {"ordinal": "_step"})
-    return x.drop("_step")
+    x = running(
+        x.select(*s.keys, s.t, "explained", "_step"), s, {"ordinal": "_step", "_pos": "1L"}
+    )
+    return x.withColumn("i", F.col("_pos") - 1).drop("_step", "_pos")
 
 
 def ordinal_matches(
@@ -107,10 +110,10 @@ def ordinal_matches(
     neighbour scan.  Output: keys, ``ordinal, source_i, target_i, ts, tt``.
     """
     keys = list(s.keys)
-    a = pulse_ordinals(source, s, source_period, jitter=jitter)
-    b = pulse_ordinals(target, s, target_period, jitter=jitter)
-    a0 = source.groupBy(*keys).agg(F.min(s.t).alias("_a0"))
-    b0 = target.groupBy(*keys).agg(F.min(s.t).alias("_b0"))
+    a = cut(pulse_ordinals(source, s, source_period, jitter=jitter))
+    b = cut(pulse_ordinals(target, s, target_period, jitter=jitter))
+    a0 = a.groupBy(*keys).agg(F.min(s.t).alias("_a0"))
+    b0 = b.groupBy(*keys).agg(F.min(s.t).alias("_b0"))
     scale = (
         source_period.withColumnRenamed("period", "_ps")
         .join(target_period.withColumnRenamed("period", "_pt"), keys)

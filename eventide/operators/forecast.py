@@ -98,15 +98,27 @@ class Moments:
         self.c, self.s = np.asarray(row["xty"])[ix], np.asarray(row["sx"])[ix]
         self.yy, self.sy, self.n = float(row["yty"]), float(row["sy"]), float(row["n"])
 
-    def ridge(self, alpha: float) -> tuple[np.ndarray, float]:
-        """Standardised ridge with a free intercept, back on raw scale."""
+    def path(self, alphas: Sequence[float]) -> list[tuple[np.ndarray, float]]:
+        """Standardised ridge with a free intercept, back on raw scale.
+
+        One eigendecomposition serves every penalty.
+        """
         m, my = self.s / self.n, self.sy / self.n
         C = self.G - self.n * np.outer(m, m)
         sd = np.sqrt(np.maximum(np.diag(C), 0.0) / self.n)
         sd[~(sd > 1e-12)] = 1.0
-        A = C / np.outer(sd, sd) + alpha * np.eye(sd.size)
-        b = np.linalg.lstsq(A, (self.c - self.n * m * my) / sd, rcond=None)[0] / sd
-        return b, my - float(b @ m)
+        w, V = np.linalg.eigh(C / np.outer(sd, sd))
+        rhs = V.T @ ((self.c - self.n * m * my) / sd)
+        out = []
+        for a in alphas:
+            d = np.maximum(w, 0.0) + a
+            inverse = np.where(d > 1e-10 * max(d.max(initial=0.0), 1e-300), 1.0 / np.maximum(d, 1e-300), 0.0)
+            b = V @ (rhs * inverse) / sd
+            out.append((b, my - float(b @ m)))
+        return out
+
+    def ridge(self, alpha: float) -> tuple[np.ndarray, float]:
+        return self.path([alpha])[0]
 
     def r2(self, b: np.ndarray, b0: float) -> tuple[float, float]:
         sse = (
@@ -119,13 +131,17 @@ class Moments:
 
 def _choose(pairs, alphas, cols) -> float:
     """Penalty with the best mean inner score; ties take the larger one."""
-    best, chosen = -np.inf, max(alphas)
-    for a in sorted(alphas, reverse=True):
-        got = [Moments(te, cols).r2(*Moments(tr, cols).ridge(a))[0] for tr, te in pairs]
-        score = float(np.nanmean(got)) if np.any(np.isfinite(got)) else -np.inf
-        if score > best:
-            best, chosen = score, a
-    return chosen
+    grid = sorted(alphas, reverse=True)
+    scores = np.full((len(pairs), len(grid)), np.nan)
+    for i, (tr, te) in enumerate(pairs):
+        test = Moments(te, cols)
+        for j, fit in enumerate(Moments(tr, cols).path(grid)):
+            scores[i, j] = test.r2(*fit)[0]
+    seen = np.isfinite(scores).any(axis=0)
+    if not seen.any():
+        return grid[0]
+    means = np.where(seen, np.nanmean(np.where(seen, scores, 0.0), axis=0), -np.inf)
+    return grid[int(np.argmax(means))]
 
 
 def forward_ridge(
@@ -233,8 +249,9 @@ def session_ridge(
                     tot = {k: r[f"_t_{k}"] for k in names}
                     train = minus(minus(tot, {k: r[f"_h_{k}"] for k in names}), r)
                     for m, cols in where.items():
-                        for k, a in enumerate(grid):
-                            score = Moments(r, cols).r2(*Moments(train, cols).ridge(a))[0]
+                        test = Moments(r, cols)
+                        for k, fit in enumerate(Moments(train, cols).path(grid)):
+                            score = test.r2(*fit)[0]
                             rows.append((m, k, score if np.isfinite(score) else None))
                 yield pd.DataFrame(rows, columns=["model", "k", "score"])
 

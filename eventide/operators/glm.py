@@ -30,25 +30,22 @@ def gram(df: DataFrame, keys: list[str], features: Sequence[str], response: str)
     """
     p = len(features)
     if p <= 20:
-        upper = {
-            (i, j): F.sum(F.col(features[i]) * F.col(features[j])).alias(f"_g{i}_{j}")
-            for i in range(p)
-            for j in range(i, p)
-        }
-        g = df.groupBy(*keys).agg(
-            *upper.values(),
-            *[F.sum(F.col(f) * F.col(response)).alias(f"_c{i}") for i, f in enumerate(features)],
-            *[F.sum(f).alias(f"_s{i}") for i, f in enumerate(features)],
-            F.sum(F.col(response) * F.col(response)).alias("yty"),
-            F.sum(response).alias("sy"),
-            F.count(F.lit(1)).cast("double").alias("n"),
-        )
-        cells = [F.col(f"_g{min(i, j)}_{max(i, j)}") for i in range(p) for j in range(p)]
-        return g.select(
+        sums = [
+            f"sum({features[i]} * {features[j]}) AS _g{i}_{j}" for i in range(p) for j in range(i, p)
+        ]
+        sums += [f"sum({f} * {response}) AS _c{i}" for i, f in enumerate(features)]
+        sums += [f"sum({f}) AS _s{i}" for i, f in enumerate(features)]
+        sums += [
+            f"sum({response} * {response}) AS yty", f"sum({response}) AS sy",
+            "CAST(count(*) AS DOUBLE) AS n",
+        ]
+        g = df.groupBy(*keys).agg(*[F.expr(e) for e in sums])
+        xtx = ", ".join(f"_g{min(i, j)}_{max(i, j)}" for i in range(p) for j in range(p))
+        return g.selectExpr(
             *keys,
-            F.array(*cells).alias("xtx"),
-            F.array(*[F.col(f"_c{i}") for i in range(p)]).alias("xty"),
-            F.array(*[F.col(f"_s{i}") for i in range(p)]).alias("sx"),
+            f"array({xtx}) AS xtx",
+            f"array({', '.join(f'_c{i}' for i in range(p))}) AS xty",
+            f"array({', '.join(f'_s{i}' for i in range(p))}) AS sx",
             *_SCALARS,
         )
     rows = df.select(*keys, *features, response)

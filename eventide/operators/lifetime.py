@@ -20,6 +20,16 @@ from eventide.functions.hashed import label
 from eventide.functions.solvers import nnls_small
 
 
+def let(body, **values: Column) -> Column:
+    """Evaluate scalars once per row and hand them to ``body`` as a struct.
+
+    An expression that is named inside an array lambda would otherwise be
+    evaluated again for every element.
+    """
+    row = F.struct(*[v.alias(k) for k, v in values.items()])
+    return F.transform(F.array(row), body)[0]
+
+
 def total(c: Column | str) -> Column:
     c = F.col(c) if isinstance(c, str) else c
     return F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
@@ -49,22 +59,26 @@ def correct(
         raise ValueError("afterpulse_ratio must be nonnegative")
     fs, dt = float(sampling_frequency), float(dead_time)
     bg = background if background is not None else F.transform(counts, lambda c: F.lit(0.0))
-    x = df.withColumn("_bg", bg).withColumn("_rate", total(counts) * fs)
-    x = x.withColumn("_bg_eff", 1.0 - total("_bg") * fs * dt)
-    x = x.withColumn("efficiency", 1.0 - F.col("_rate") * dt)
-    x = x.withColumn("_true", total("_bg") / F.col("_bg_eff"))
-    bg_rate = F.col("_true") * F.col("efficiency") * fs
-    x = x.withColumn(
-        "_after", (F.col("_rate") - bg_rate) * afterpulse_ratio / (fs * F.size(counts))
-    )
-    fixed = F.zip_with(
-        counts, "_bg",
-        lambda c, b: c - b / F.col("_bg_eff") * F.col("efficiency") - F.col("_after"),
-    )
-    usable = (F.col("efficiency") > 0) & (F.col("_bg_eff") > 0)
-    return x.withColumn(out, F.when(usable, fixed)).drop(
-        "_bg", "_rate", "_bg_eff", "_true", "_after"
-    )
+    x = df.withColumn("_bg", bg)
+
+    def fixed(r: Column) -> Column:
+        rate, bg_eff = r["n"] * fs, 1.0 - r["b"] * fs * dt
+        eff = 1.0 - rate * dt
+        after = (rate - r["b"] / bg_eff * eff * fs) * afterpulse_ratio / (fs * r["size"])
+        return let(
+            lambda q: F.when(
+                (q["eff"] > 0) & (q["bg_eff"] > 0),
+                F.zip_with(
+                    counts, "_bg", lambda c, b: c - b / q["bg_eff"] * q["eff"] - q["after"]
+                ),
+            ),
+            eff=eff, bg_eff=bg_eff, after=after,
+        )
+
+    sums = {"n": total(counts), "b": total("_bg"), "size": F.size(counts).cast("double")}
+    return x.withColumns(
+        {out: let(fixed, **sums), "efficiency": 1.0 - total(counts) * fs * dt}
+    ).drop("_bg")
 
 
 def mpet(
@@ -84,10 +98,14 @@ def mpet(
 
 def median_of(values: Column) -> Column:
     """Median of the non-missing entries of an array."""
-    v = F.array_sort(F.filter(values, lambda x: x.isNotNull() & ~F.isnan(x)))
-    n = F.size(v)
-    lo, hi = F.floor((n - 1) / 2).cast("int"), F.floor(n / 2).cast("int")
-    return F.when(n > 0, (F.get(v, lo) + F.get(v, hi)) / 2.0)
+    known = F.sort_array(F.filter(values, lambda x: x.isNotNull() & ~F.isnan(x)))
+
+    def middle(r: Column) -> Column:
+        n = F.size(r["v"])
+        lo, hi = F.floor((n - 1) / 2).cast("int"), F.floor(n / 2).cast("int")
+        return F.when(n > 0, (F.get(r["v"], lo) + F.get(r["v"], hi)) / 2.0)
+
+    return let(middle, v=known)
 
 
 def subtract_terminal_baseline(curve: Column | str, *, fraction: float = 0.1) -> Column:
@@ -95,7 +113,7 @@ def subtract_terminal_baseline(curve: Column | str, *, fraction: float = 0.1) ->
     c = F.col(curve) if isinstance(curve, str) else curve
     k = F.greatest(F.lit(1), F.ceil(F.size(c) * fraction).cast("int"))
     level = median_of(F.slice(c, F.size(c) - k + 1, k))
-    return F.transform(c, lambda x: x - level)
+    return let(lambda r: F.transform(c, lambda x: x - r["level"]), level=level)
 
 
 def centroid(curve: Column, times: Column, window: tuple[float, float] | None = None) -> Column:

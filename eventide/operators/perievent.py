@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventide.core.numeric import check_window, lag_count, sem
-from eventide.core.series import Series, asof
+from eventide.core.series import Series, asof, shift
 
 
 def lag_grid(window: tuple[float, float], dt: float) -> Column:
@@ -32,6 +32,20 @@ def interpolate(
     Outside the samples the result is NULL, or the end value with ``clamp``.
     A missing value (NULL sample) next to a query makes the result NULL.
     """
+    kept = [c for c in queries.columns if c != out]
+    if not clamp:
+        # Samples know their successor, so one backward scan finds the segment.
+        segments = shift(
+            samples.select(*s.keys, s.t, value), s, ahead={"_t1": s.t, "_v1": value}
+        )
+        x = asof(
+            queries, segments, s,
+            back={"_t0": s.t, "_v0": value, "_t1": "_t1", "_v1": "_v1"},
+        )
+        return x.selectExpr(
+            *kept,
+            f"IF({s.t} = _t0, _v0, _v0 + ({s.t} - _t0) * ((_v1 - _v0) / (_t1 - _t0))) AS {out}",
+        )
     x = asof(
         queries,
         samples.select(*s.keys, s.t, value),
@@ -41,11 +55,9 @@ def interpolate(
     )
     # A query on a sample finds that sample on both sides.
     between = f"IF(_t0 = _t1, _v0, _v0 + ({s.t} - _t0) * ((_v1 - _v0) / (_t1 - _t0)))"
-    result = f"IF(_t0 IS NOT NULL AND _t1 IS NOT NULL, {between}, NULL)"
-    if clamp:
-        result = f"CASE WHEN _t0 IS NULL THEN _v1 WHEN _t1 IS NULL THEN _v0 ELSE {between} END"
-    kept = [c for c in queries.columns if c != out]
-    return x.selectExpr(*kept, f"{result} AS {out}")
+    return x.selectExpr(
+        *kept, f"CASE WHEN _t0 IS NULL THEN _v1 WHEN _t1 IS NULL THEN _v0 ELSE {between} END AS {out}"
+    )
 
 
 def complete_windows(

@@ -20,16 +20,17 @@ def demultiplex(samples: DataFrame, pulses: DataFrame, s: Series, *, edge: int =
     v; ``pulses``: keys, rise_i, fall_i.
     """
     by_index = Series(s.keys, "i", None)
-    ranges = pulses.select(
+    ranges = cut(pulses).select(
         *s.keys,
         (F.col("rise_i") + edge).alias("i"),
         (F.col("fall_i") - edge).alias("_stop"),
         F.col("rise_i").alias("_pulse"),
     )
-    x = asof(
+    found = asof(
         samples.select(*s.keys, "i", s.t, "v"), ranges, by_index,
         back={"_stop": "_stop", "rise_i": "_pulse"},
-    ).filter(F.col("i") < F.col("_stop"))
+    )
+    x = cut(found.filter(F.col("i") < F.col("_stop")))
     keys = [*s.keys, "rise_i"]
     medians = percentiles(x, keys, "v", {"v": 0.5}).drop("n")
     times = x.groupBy(*keys).agg(F.avg(s.t).alias(s.t))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from eventide.core.lineage import cut
 from eventide.core.series import index_rows
 from eventide.operators import events as ev
 from eventide.operators import matching as mt
@@ -257,7 +258,7 @@ def ttl_pulses(spark, path):
 def found_pulses(spark, path, include_boundary=False):
     s = tb.series(spark, path)
     x = index_rows(tb.samples(spark, path), s)
-    return ev.pulses(x, s, threshold=50.0, include_boundary=include_boundary), s
+    return cut(ev.pulses(x, s, threshold=50.0, include_boundary=include_boundary)), s
 
 
 INTERNAL_PULSES = f"""{EV},

@@ -65,6 +65,6 @@ def test_pulses(spark, tmp_path):
     except ImportError:
         pytest.skip("stateful processors need protobuf")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    rows = [("c", at(i), v) for i, v in enumerate([5.0, 0, 0, 5, 5, 0, 5])]
+    rows = [("c", at(i), v) for i, v in enumerate([5.0, 0.0, 0.0, 5.0, 5.0, 0.0, 5.0])]
     got = run(spark, tmp_path, rows, "channel string, ts timestamp, v double", lambda s: se.pulses(s), "pulses")
     assert [((r.onset - T0).total_seconds(), (r.offset - T0).total_seconds()) for r in got] == [(3.0, 5.0)]
