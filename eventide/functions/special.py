@@ -148,20 +148,25 @@ def mann_whitney_p(u: pd.Series, n1: pd.Series, n2: pd.Series, ties: pd.Series)
     return _rows(lambda a, b, c, tie: rank_sum_p(a, int(b), int(c), tie), u, n1, n2, ties)
 
 
-def log_ndtr(x: np.ndarray) -> np.ndarray:
-    """Logarithm of the standard normal distribution function.
+def _scaled_erfc(z: float) -> float:
+    """exp(z^2) erfc(z) for z >= 0."""
+    if z < 25.0:
+        return math.exp(z * z) * math.erfc(z)
+    r = 1.0 / (2.0 * z * z)
+    return (1.0 - r * (1.0 - 3.0 * r * (1.0 - 5.0 * r))) / (z * math.sqrt(math.pi))
+
+
+# exp(z^2) erfc(z) / t with t = 2 / (2 + z) is smooth on (0, 1].
+_ERFC = np.polynomial.chebyshev.chebinterpolate(
+    lambda s: np.array([_scaled_erfc(4.0 / (v + 1.0) - 2.0) / ((v + 1.0) / 2.0) for v in s]), 40
+)
 
-    Central values use erfc; far in the left tail the asymptotic series.
-    """
+
+def log_ndtr(x: np.ndarray) -> np.ndarray:
+    """Logarithm of the standard normal distribution function."""
     x = np.asarray(x, dtype=float)
-    out = np.empty_like(x)
-    left = x < -20.0
-    z = x[~left]
-    erfc = np.array([math.erfc(-v / math.sqrt(2.0)) for v in z.ravel()]).reshape(z.shape)
-    out[~left] = np.log(0.5) + np.log(erfc)
-    t = x[left]
-    if t.size:
-        r = 1.0 / (t * t)
-        series = 1.0 - r * (1.0 - 3.0 * r * (1.0 - 5.0 * r * (1.0 - 7.0 * r * (1.0 - 9.0 * r))))
-        out[left] = -0.5 * t * t - np.log(-t) - 0.5 * math.log(2.0 * math.pi) + np.log(series)
-    return out
+    z = np.abs(x) / math.sqrt(2.0)
+    t = 2.0 / (2.0 + z)
+    scaled = np.polynomial.chebyshev.chebval(2.0 * t - 1.0, _ERFC) * t
+    left = math.log(0.5) + np.log(scaled) - z * z
+    return np.where(x < 0, left, np.log1p(-np.exp(np.minimum(left, 0.0))))

@@ -369,7 +369,7 @@ def fit_global(
         g = (5**0.5 - 1) / 2
         a, b = hi - g * (hi - lo), lo + g * (hi - lo)
         fa, fb = cost(a)[0], cost(b)[0]
-        for _ in range(36):
+        for _ in range(18):
             if fa < fb:
                 hi, b, fb = b, a, fa
                 a = hi - g * (hi - lo)
@@ -412,7 +412,9 @@ def fit_global(
                 q = centre.copy()
                 q[j] += sign * step[j]
                 points.append(q)
-        scored = rows.select("_c", F.explode(candidates(points)).alias("p")).select(
+        work = rows.select(recording, "_c", F.explode(candidates(points)).alias("p"))
+        # A few recordings may lie in one file: spread recordings times candidates.
+        scored = work.repartition(F.col(recording), F.col("p.k")).select(
             "p.k", score("_c", "p.a", "p.b", "p.s").alias("r")
         )
         # Seven numbers per round reach the driver.

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventide.core.checks import ContractError
+from eventide.core.lineage import cut
 from eventide.core.ranks import percentiles
 from eventide.operators import lifetime as lt
 
@@ -41,14 +42,17 @@ def calibrate(
     period: float = 12.5,
     lifetimes: tuple[float, float] = (0.6, 2.5),
     sigma: float = 0.13,
+    rounds: int = 24,
 ) -> tuple[dict, DataFrame]:
     """Shared lifetimes and width over sessions, a t0 and a flag per session."""
     kept, inside = window_curve("counts", times, spc_range)
     windowed = curves.withColumn("counts", kept)
     aggregates = session_aggregates(windowed, session)
     results, p = lt.fit_global(
-        aggregates, times=inside, recording=session, period=period, lifetimes=lifetimes, sigma=sigma
+        aggregates, times=inside, recording=session, period=period, lifetimes=lifetimes, sigma=sigma,
+        rounds=rounds,
     )
+    results = cut(results)
     width = inside[1] - inside[0] if len(inside) > 1 else 0.0
     limit = max(2 * width, 0.25)
     centre = percentiles(results.withColumn("_all", F.lit(1)), ["_all"], "t0", {"median_t0": 0.5})

@@ -5,6 +5,7 @@ from eventide.workload import (  # noqa: F401
     analysis_queries,
     event_queries,
     model_queries,
+    plan_queries,
     table_queries,
 )
 from eventide.workload.registry import QUERIES, SQL

@@ -43,10 +43,12 @@ def test_rank_sum_exact_equals_enumeration():
 def test_log_ndtr():
     from math import erfc, log, sqrt
 
-    x = np.array([-3.0, 0.0, 2.0])
-    np.testing.assert_allclose(sp.log_ndtr(x), [log(0.5 * erfc(-v / sqrt(2))) for v in x])
-    near = sp.log_ndtr(np.array([-19.999999, -20.000001]))
-    assert abs(near[0] - near[1]) < 1e-4
+    x = np.r_[np.linspace(-36, 8, 300), 0.0]
+    want = [log(0.5 * erfc(-v / sqrt(2))) for v in x]
+    np.testing.assert_allclose(sp.log_ndtr(x), want, rtol=2e-13, atol=1e-15)
+    # Far left tail: -x^2/2 - log(-x) - log(2 pi)/2 to first order.
+    far = -60.0
+    assert sp.log_ndtr(np.array([far]))[0] == pytest.approx(-1800 - log(60) - 0.5 * log(2 * np.pi) - 1 / 3600, rel=1e-9)
 
 
 def test_paired_auto(spark):
