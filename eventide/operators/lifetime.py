@@ -402,6 +402,7 @@ def fit_global(
             ]
         )
 
+    cores = rows.sparkSession.sparkContext.defaultParallelism
     centre = np.log([*sorted(lifetimes), sigma])
     step = np.array([0.25, 0.25, 0.25])
     best = None
@@ -413,8 +414,9 @@ def fit_global(
                 q[j] += sign * step[j]
                 points.append(q)
         work = rows.select(recording, "_c", F.explode(candidates(points)).alias("p"))
-        # A few recordings may lie in one file: spread recordings times candidates.
-        scored = work.repartition(F.col(recording), F.col("p.k")).select(
+        # The rows are tiny and the fits are not: spread recordings times
+        # candidates over all cores (an explicit number is never coalesced).
+        scored = work.repartition(cores, F.col(recording), F.col("p.k")).select(
             "p.k", score("_c", "p.a", "p.b", "p.s").alias("r")
         )
         # Seven numbers per round reach the driver.
