@@ -1 +1 @@
-
+"""Column helpers and small numeric kernels used inside tasks."""

@@ -33,7 +33,7 @@ def level_stats(mice: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def _pair(levels: DataFrame, stratum: list[str], level: str) -> DataFrame:
+def level_pairs(levels: DataFrame, stratum: list[str], level: str) -> DataFrame:
     """Two levels side by side, ``a`` before ``b``; one row per comparison."""
     a = levels.select(
         *stratum, F.col(level).alias("level_a"), *[F.col(c).alias(f"{c}_a") for c in ("n", "m", "s2")]
@@ -165,7 +165,7 @@ def _compare(
     mice: DataFrame, comparison: str, stratum: str, level: str, test: str, paired_allowed: bool
 ) -> DataFrame:
     by = [stratum, "metric"]
-    pairs = _pair(level_stats(mice, [*by, level]), by, level)
+    pairs = level_pairs(level_stats(mice, [*by, level]), by, level)
     shared = paired_stats(mice, by, level)
     both = [*by, "level_a", "level_b"]
     outputs = []

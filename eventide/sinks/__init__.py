@@ -1 +1 @@
-
+"""Writers of tables, bundles and provenance."""

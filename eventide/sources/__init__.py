@@ -1 +1 @@
-
+"""Readers of manifests, recorder files and canonical tables."""

@@ -8,7 +8,6 @@ from eventide.core.lineage import cut
 from eventide.core.ranks import percentiles
 from eventide.core.series import index_rows
 from eventide.functions.hashed import session_seed
-from eventide.operators import events as ev
 from eventide.operators import metrics as me
 from eventide.operators import nulls as nl
 from eventide.operators import ordering as od
@@ -564,7 +563,7 @@ def seed_query(spark, path):
 )
 def welch_stat(spark, path):
     levels = st.level_stats(mice(spark, path), ["cond", "metric", "grp"])
-    x = st.welch(st._pair(levels, ["cond", "metric"], "grp"))
+    x = st.welch(st.level_pairs(levels, ["cond", "metric"], "grp"))
     return x.select(
         "cond", "metric", "n_a", "n_b", r6("difference"), r6("statistic"),
         F.round("df", 4).alias("df"), r6("effect_size"),

@@ -9,7 +9,6 @@ from eventide.core.series import index_rows
 from eventide.operators import events as ev
 from eventide.operators import matching as mt
 from eventide.operators import perievent as pe
-from eventide.operators import rollup as ru
 from eventide.plans.psth import first_event_only, peri_event_means, trial_table
 from eventide.workload import tables as tb
 from eventide.workload.registry import EV, query

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from eventide.core.series import Series, asof
+from eventide.core.series import asof
 from eventide.operators import events as ev
 from eventide.operators import glm
 from eventide.operators import lifetime as lt

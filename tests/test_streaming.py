@@ -3,7 +3,6 @@
 import datetime as dt
 
 import pytest
-from pyspark.sql import functions as F
 
 from eventide.core.series import Series
 from eventide.operators import events as ev
