@@ -621,14 +621,14 @@ def mwu_rank_sum(spark, path):
     """WITH p AS (SELECT o_orderkey, o_totalprice / 500000.0 / 20000 AS p FROM orders),
     a AS (SELECT o_orderkey, p, least(1.0::DOUBLE, (count(*) OVER () - rank() OVER (ORDER BY p) + 1) * p)
       AS x FROM p)
-    SELECT o_orderkey, round(max(x) OVER (ORDER BY p RANGE UNBOUNDED PRECEDING), 9) AS p_adjusted_holm
+    SELECT o_orderkey, round(max(x) OVER (ORDER BY p RANGE UNBOUNDED PRECEDING), 13) AS p_adjusted_holm
     FROM a""",
 )
 def holm(spark, path):
     o = tb.read(spark, path, "orders").select(
         "o_orderkey", (F.col("o_totalprice") / 500000.0 / 20000).alias("p_value")
     )
-    return st.holm(o).select("o_orderkey", F.round("p_adjusted_holm", 9).alias("p_adjusted_holm"))
+    return st.holm(o).select("o_orderkey", F.round("p_adjusted_holm", 13).alias("p_adjusted_holm"))
 
 
 @query("pairwise_tests")
