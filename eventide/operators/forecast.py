@@ -211,20 +211,59 @@ def forward_ridge(
     )
 
 
+_STATS = ("xtx", "xty", "sx", "yty", "sy", "n")
+
+
+def _nest_sessions(
+    stats: DataFrame, session: str, columns: dict[str, list[str]], alphas: Sequence[float]
+) -> DataFrame:
+    features = columns["combined"]
+    where = {m: [features.index(c) for c in cs] for m, cs in columns.items()}
+    grid = sorted({float(a) for a in alphas}, reverse=True)
+    kind = stats.schema[session].dataType.simpleString()
+
+    def nest(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = [{k: np.asarray(r[k]) for k in _STATS} for _, r in pdf.iterrows()]
+        total = {k: sum(r[k] for r in rows) for k in _STATS}
+
+        def without(a, b):
+            return {k: a[k] - b[k] for k in _STATS}
+
+        out = []
+        for i, held in enumerate(rows):
+            rest = without(total, held)
+            base = Moments(held, []).r2(np.zeros(0), rest["sy"] / rest["n"])
+            out.append([pdf[session].iloc[i], "constant", None, *base])
+            pairs = [(without(rest, r), r) for j, r in enumerate(rows) if j != i]
+            for model, cols in where.items():
+                a = _choose(pairs, grid, cols)
+                fit = Moments(rest, cols).ridge(a)
+                out.append([pdf[session].iloc[i], model, a, *Moments(held, cols).r2(*fit)])
+        return pd.DataFrame(out, columns=[session, "model", "alpha", "r2", "mse"])
+
+    return stats.groupBy(F.lit(1).alias("_all")).applyInPandas(
+        nest, f"`{session}` {kind}, model string, alpha double, r2 double, mse double"
+    )
+
+
 def session_ridge(
     table: DataFrame,
     session: str,
     columns: dict[str, list[str]],
     *,
     alphas: Sequence[float] = (1e-3, 1e-2, 1e-1, 1.0, 10.0),
+    together: int = 64,
 ) -> DataFrame:
     """Leave-one-session-out ridge; inner sessions weigh the same.
 
-    For every outer session the inner scores of all other sessions are one
-    distributed job on statistics.  Output: session, model, alpha, r2, mse.
+    Up to ``together`` sessions are p * p statistics that one task can nest.
+    Beyond that every outer session starts one distributed job that scores all
+    other sessions.  Output: session, model, alpha, r2, mse.
     """
     features = columns["combined"]
     stats = cut(gram(table, [session], features, "y"))
+    if stats.count() <= together:
+        return _nest_sessions(stats, session, columns, alphas)
     total = add_up(stats, []).select(*[F.col(c).alias(f"_t_{c}") for c in ("xtx", "xty", "sx", "yty", "sy", "n")])
     total = cut(total)
     where = {m: [features.index(c) for c in cs] for m, cs in columns.items()}

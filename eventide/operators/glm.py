@@ -107,6 +107,13 @@ def _solve(xtx: np.ndarray, xty: np.ndarray, alpha: float, pen: np.ndarray) -> n
         return np.linalg.lstsq(system, xty, rcond=None)[0]
 
 
+def _rms(xtx: np.ndarray, n: float) -> np.ndarray:
+    """Root mean square of every column, 1 for empty ones."""
+    scale = np.sqrt(np.maximum(np.diag(xtx), 0.0) / n)
+    scale[~(scale > 0)] = 1.0
+    return scale
+
+
 def _score(b, xtx, xty, yty, sy, n) -> float:
     """Held-out R2 without the rows."""
     sse = yty - 2 * b @ xty + b @ xtx @ b
@@ -180,8 +187,7 @@ def grouped_ridge_cv(
             g, G = np.reshape(g, (p, p)), np.reshape(G, (p, p))
             c, C = np.array(c), np.array(C)
             base, rows = (G - g, N - k) if on_train else (G, N)
-            scale = np.sqrt(np.maximum(np.diag(base), 0.0) / rows)
-            scale[~(scale > 0)] = 1.0
+            scale = _rms(base, rows)
             d = np.outer(scale, scale)
             w = np.ones(p) if pen is None else np.array(pen)
             row = []
@@ -219,8 +225,7 @@ def grouped_ridge_cv(
         for g, c, k, a in zip(xtx, xty, n, alpha):
             p = len(c)
             g = np.reshape(g, (p, p))
-            scale = np.sqrt(np.maximum(np.diag(g), 0.0) / k)
-            scale[~(scale > 0)] = 1.0
+            scale = _rms(g, k)
             w = np.ones(p) if pen is None else np.array(pen)
             out.append(_solve(g / np.outer(scale, scale), np.array(c) / scale, a, w) / scale)
         return pd.Series(out)
@@ -239,11 +244,13 @@ def nested_ridge_cv(
     *,
     penalize: Sequence[float] | None = None,
     max_blocks: int = 64,
+    scale_inner: bool = False,
 ) -> DataFrame:
     """Nested block cross-validation per model (``keys``).
 
     The outer loop holds out a block, the inner one chooses the penalty on the
-    remaining blocks.  Blocks are parameters of the analysis (a handful per
+    remaining blocks.  Columns are scaled over the outer training rows, or with
+    ``scale_inner`` anew over the training rows of every inner fold.  Blocks are parameters of the analysis (a handful per
     mouse), so the statistics of one model are a bounded group; more than
     ``max_blocks`` is refused, use ``grouped_ridge_cv`` for open-ended groups.
     Output: keys, block, alpha, r2 (per fold), pooled_r2.
@@ -272,15 +279,16 @@ def nested_ridge_cv(
         for o in range(len(pdf)):
             inner = [i for i in range(len(pdf)) if i != o]
             GT, CT, nT = G[inner].sum(0), C[inner].sum(0), n[inner].sum()
-            scale = np.sqrt(np.maximum(np.diag(GT), 0.0) / nT)
-            scale[~(scale > 0)] = 1.0
+            scale = _rms(GT, nT)
             d = np.outer(scale, scale)
+            folds = {h: _rms(GT - G[h], nT - n[h]) if scale_inner else scale for h in inner}
             best, best_alpha = -np.inf, grid[0]
             for a in grid:
                 got = []
-                for h in inner:
-                    b = _solve((GT - G[h]) / d, (CT - C[h]) / scale, a, w)
-                    got.append(_score(b, G[h] / d, C[h] / scale, yy[h], sy[h], n[h]))
+                for h, q in folds.items():
+                    e = np.outer(q, q)
+                    b = _solve((GT - G[h]) / e, (CT - C[h]) / q, a, w)
+                    got.append(_score(b, G[h] / e, C[h] / q, yy[h], sy[h], n[h]))
                 mean = np.nanmean(got) if np.any(np.isfinite(got)) else -np.inf
                 if mean > best:
                     best, best_alpha = mean, a
@@ -300,14 +308,26 @@ def nested_ridge_cv(
 
 
 def held_out_sessions(
-    stats: DataFrame, group: str, alphas: Sequence[float], *, penalize: Sequence[float] | None = None
+    stats: DataFrame,
+    group: str,
+    alphas: Sequence[float],
+    *,
+    penalize: Sequence[float] | None = None,
+    together: int = 64,
 ) -> DataFrame:
     """Leave-one-session-out scores with the penalty chosen inside.
 
-    Every outer session starts one distributed inner cross-validation over the
-    others, so no list of sessions is ever gathered in a task.
+    Up to ``together`` sessions are p * p statistics that one task can nest.
+    Beyond that every outer session starts one distributed inner
+    cross-validation, so no open-ended list of sessions enters a task.
+    Output: group, alpha, r2.
     """
     stats = cut(stats)
+    if stats.count() <= together:
+        nested = nested_ridge_cv(
+            stats, [], group, alphas, penalize=penalize, max_blocks=together, scale_inner=True
+        )
+        return nested.select(group, "alpha", "r2")
     out = None
     for row in stats.select(group).orderBy(group).toLocalIterator():
         rest = stats.filter(F.col(group) != row[group])
@@ -315,7 +335,9 @@ def held_out_sessions(
         held = stats.filter(F.col(group) == row[group]).join(
             F.broadcast(final.select("alpha", "b"))  # one row
         )
-        scored = held.select(group, "alpha", held_out_r2("b", "xtx", "xty", "yty", "sy", "n").alias("r2"), "b")
+        scored = held.select(
+            group, "alpha", held_out_r2("b", "xtx", "xty", "yty", "sy", "n").alias("r2")
+        )
         out = scored if out is None else out.unionByName(scored)
     return out
 

@@ -212,9 +212,32 @@ def test_nested_and_held_out(regression):
     st = glm.gram(df, ["g"], COLS, "y")
     x = glm.nested_ridge_cv(st, [], "g", [0.1, 10.0]).collect()
     assert len(x) == 6 and all(r.r2 > 0.8 for r in x) and len({r.pooled_r2 for r in x}) == 1
-    h = {r.g: r for r in glm.held_out_sessions(st, "g", [0.1, 10.0]).collect()}
+    few, many = (
+        {r.g: (r.alpha, r.r2) for r in glm.held_out_sessions(st, "g", [0.1, 10.0], together=n).collect()}
+        for n in (64, 2)
+    )
     for r in x:
-        assert h[r.g].alpha == r.alpha and h[r.g].r2 == pytest.approx(r.r2)
+        assert few[r.g][0] == many[r.g][0] and few[r.g][1] == pytest.approx(many[r.g][1])
+        assert few[r.g][1] == pytest.approx(r.r2, abs=1e-3)
+
+
+def test_session_ridge_paths_agree(regression):
+    X, y, g, df = regression
+    cols = {"history_only": ["a"], "cross_modal": ["b", "c"], "combined": ["a", "b", "c"]}
+    got = [
+        {(r.g, r.model): (r.alpha, r.r2) for r in fc.session_ridge(df, "g", cols, alphas=(0.1, 10.0), together=n).collect()}
+        for n in (64, 2)
+    ]
+    assert len(got[0]) == 24 and got[0].keys() == got[1].keys()
+    for k, (a, r2) in got[0].items():
+        assert got[1][k][0] == a and got[1][k][1] == pytest.approx(r2)
+    tr, te, pick = g != 3, g == 3, [1, 2, 3]
+    a = got[0][(3, "combined")][0]
+    m, sd = X[tr][:, pick].mean(0), X[tr][:, pick].std(0)
+    Z, my = (X[:, pick] - m) / sd, y[tr].mean()
+    b = np.linalg.solve(Z[tr].T @ Z[tr] + a * np.eye(3), Z[tr].T @ (y[tr] - my))
+    want = 1 - ((y[te] - my - Z[te] @ b) ** 2).sum() / ((y[te] - y[te].mean()) ** 2).sum()
+    assert got[0][(3, "combined")][1] == pytest.approx(want)
 
 
 def test_forward_ridge_recovers_history(spark):
