@@ -1,32 +1,27 @@
 """Materialise a table that several later steps read.
 
 The table is written to the shared folder named by ``spark.checkpoint.dir``, so
-it survives lost executors and keeps file statistics for join planning.  A
-folder of our own is used only where the session names none.
+it survives lost executors and keeps file statistics for join planning.  Where
+the session names none, a folder inside the warehouse is used, which every
+executor of a cluster reaches as well.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_own: dict[str, str] = {}
-
 
 def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = tempfile.mkdtemp(prefix="eventide-")
-    return _own[app]
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/eventide-intermediate"
 
 
 def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
