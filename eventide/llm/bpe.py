@@ -32,7 +32,6 @@ class Vocabulary:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes = {i: b for b, i in ranks.items()}
-        self.longest = max(map(len, ranks))
         self.reachable: dict[bytes, int] = {}
         parts: dict[int, tuple[int, int]] = {}
         for raw, token in ranks.items():
@@ -45,6 +44,13 @@ class Vocabulary:
         #: rank that makes them and rank that takes them up, from the token inwards.
         self.right = {t: self._spine(t, parts, 1) for t in self.reachable.values()}
         self.left = {t: self._spine(t, parts, 0) for t in self.reachable.values()}
+        #: Lengths of the tokens with the same last bytes (three at most), longest first.
+        self.lengths: dict[bytes, list[int]] = {}
+        for raw in self.reachable:
+            for n in range(1, min(3, len(raw)) + 1):
+                if n == 3 or n == len(raw):
+                    self.lengths.setdefault(raw[-n:], []).append(len(raw))
+        self.lengths = {k: sorted(set(v), reverse=True) for k, v in self.lengths.items()}
         self._pairs: dict[tuple[int, int], bool] = {}
 
     def _merge(self, piece: bytes) -> list[list[bytes]]:
@@ -117,16 +123,26 @@ class Prefixes:
     def append(self, more: bytes) -> Prefixes:
         self.text += more
         v, text, last = self.vocabulary, bytes(self.text), self.last
+        token_of, lengths = v.reachable.get, v.lengths.get
         for end in range(len(last), len(text) + 1):
-            for start in range(max(0, end - v.longest), end):
-                token = v.reachable.get(text[start:end])
-                if token is not None and (start == 0 or v.follows(last[start], token)):
-                    last.append(token)
-                    break
-            else:
+            token = self._longest(lengths(text[max(0, end - 3):end], ()) if end > 2 else (), end, text, token_of)
+            if token is None:
+                token = self._longest((2, 1), end, text, token_of)
+            if token is None:
                 raise ValueError(f"byte {text[end - 1]} has no token")
+            last.append(token)
         return self
 
+    def _longest(self, lengths, end: int, text: bytes, token_of) -> int | None:
+        last, follows = self.last, self.vocabulary.follows
+        for n in lengths:
+            start = end - n
+            if start >= 0:
+                token = token_of(text[start:end])
+                if token is not None and (start == 0 or follows(last[start], token)):
+                    return token
+        return None
+
     def replace(self, start: int, end: int, new: bytes) -> Prefixes:
         """Edit the text; prefixes before the edit keep their tokens."""
         tail = bytes(self.text[end:])
