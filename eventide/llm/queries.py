@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventide.llm import bpe, exact_dedup, packing
+from eventide.llm import bpe, exact_dedup, html_extract, packing, url_graph
 from eventide.llm.columns import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,11 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_html_extract")
+def op1_html_extract(spark, sf_dir):
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 @query("op2_exact_dedup", """
 WITH d AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS text_sha256,
@@ -47,3 +52,17 @@ def op7_byte_bpe(spark, sf_dir):
 @query("op8_packing")
 def op8_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+RULES = (
+    url_graph.Rule("allow", "org", "/"),
+    url_graph.Rule("block", "example.org", "/es/"),
+    url_graph.Rule("block", "example.org", "/en/1"),
+    url_graph.Rule("allow", "com", "/fr/"),
+    url_graph.Rule("block", "com", "/de/"),
+)
+
+
+@query("op9_url_graph")
+def op9_url_graph(spark, sf_dir):
+    return url_graph.judge(table(spark, sf_dir, "pages"), RULES)
