@@ -58,10 +58,9 @@ def exact_dedup(docs: DataFrame, salts: int = SALTS, digest=sha256_digest) -> Da
     reported each, and all of the kept id count as kept.  No rows give no rows.
     """
     docs = only(docs, doc_id="bigint", text="string")
-    winners = cut(text_classes(docs, salts, digest).select("digest", "keep_id", "group_size"))
-    by_digest = winners.groupBy("digest").agg(
+    by_digest = cut(text_classes(docs, salts, digest).groupBy("digest").agg(
         F.count(F.lit(1)).alias("texts"), F.first("keep_id").alias("keep_id"),
-        F.first("group_size").alias("group_size"))
+        F.first("group_size").alias("group_size")))
     ids = docs.withColumn("body", normalised(F.col("text"))).select(
         "doc_id", digest(F.col("body")).alias("digest"),
         sha256_digest(F.col("body")).alias("text_sha256"), "body")
