@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventide.llm import bpe, exact_dedup, html_extract, packing, url_graph
+from eventide.llm import bpe, exact_dedup, html_extract, ngram_join, packing, url_graph
 from eventide.llm.columns import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +42,32 @@ def op2_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+@query("op3_ngram_join", """
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) < 4 THEN array_to_string(w, ' ')
+    ELSE array_to_string(w[i:i+3], ' ') END AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM d WHERE len(w) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), l AS (
+  SELECT x, y FROM (
+    SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b USING (g)
+    WHERE a.doc_id <> b.doc_id GROUP BY 1, 2)
+  JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 85 * (p.n + q.n - c)
+), r AS (
+  SELECT doc_id AS x, doc_id AS c FROM documents
+  UNION SELECT l.y, r.c FROM r JOIN l ON l.x = r.x
+)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.c AS component_id, coalesce(k.k, 0)::BIGINT AS n_links
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT x, min(c) AS c FROM r GROUP BY x) m ON m.x = d.doc_id
+LEFT JOIN (SELECT x, count(*) AS k FROM l GROUP BY x) k ON k.x = d.doc_id""")
+def op3_ngram_join(spark, sf_dir):
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
+
+
 @query("op7_byte_bpe")
 def op7_byte_bpe(spark, sf_dir):
     return bpe.encode_decode(
