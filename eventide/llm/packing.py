@@ -20,6 +20,7 @@ each tier may hold less.
 
 from __future__ import annotations
 
+import os
 import zlib
 from array import array
 from collections import deque
@@ -38,6 +39,8 @@ STEP_TOKENS = 64 * WINDOW
 #: Lengths of windows, longest first.
 TIERS = tuple(WINDOW >> i for i in range(WINDOW.bit_length()))
 
+_MARKS = frozenset(bytes([c]) for c in b".,;:!?")
+
 PIECE = dict.fromkeys(
     ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "window",
      "step_group"), "bigint")
@@ -45,6 +48,8 @@ PIECE = dict.fromkeys(
 
 @lru_cache(maxsize=2)
 def _tokenizer(path: str):
+    # One thread a task: the scheduler deals out the cores.
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
@@ -64,16 +69,24 @@ class WordIds:
         self.known: dict[bytes, bytes] = {}
 
     def learn(self, texts: list[list[bytes]]) -> None:
+        """Words that end with a mark behind an ASCII letter or digit are two pieces to
+        the tokenizer, so only what stands before the mark has to be encoded."""
         if len(self.known) >= MEMORY:
             self.known.clear()
-        new = list(set().union(*texts).difference(self.known))
+        known = self.known
+        new = set().union(*texts).difference(known)
+        marked = {w for w in new if len(w) > 1 and w[-1:] in _MARKS and w[-2:-1].isalnum()}
+        new.difference_update(marked)
+        new.update({w[:-1] for w in marked}.difference(known), {w[-1:] for w in marked}.difference(known))
+        new = list(new)
         encoded = self.tokenizer.encode_batch_fast(
             [w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-        self.known.update((w, array("I", e.ids).tobytes()) for w, e in zip(new, encoded))
+        known.update((w, array("I", e.ids).tobytes()) for w, e in zip(new, encoded))
+        known.update((w, known[w[:-1]] + known[w[-1:]]) for w in marked)
 
     def encode(self, texts: list[str | None], end_id: int = END_ID) -> list[bytes]:
         """Ids of each text, with the end id behind them."""
-        split = [utf8(t).split() for t in texts]
+        split = [utf8(t).lower().split() for t in texts]  # the tokenizer lower-cases too
         self.learn(split)
         end = array("I", [end_id]).tobytes()
         return [b"".join(map(self.known.__getitem__, w)) + end for w in split]

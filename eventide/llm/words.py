@@ -10,7 +10,7 @@ import numpy as np
 import xxhash
 
 #: Words remembered by one Python worker; the memory is emptied beyond it, results don't change.
-MEMORY = 600_000
+MEMORY = 1_000_000
 
 
 def utf8(text: str | None) -> bytes:
