@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventide.llm import bpe, exact_dedup, html_extract, ngram_join, packing, url_graph
+from eventide.llm import bpe, exact_dedup, html_extract, ngram_join, packing, toxicity, url_graph
 from eventide.llm.columns import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,6 +68,12 @@ def op3_ngram_join(spark, sf_dir):
     return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
 
 
+@query("op6_toxicity")
+def op6_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 @query("op7_byte_bpe")
 def op7_byte_bpe(spark, sf_dir):
     return bpe.encode_decode(
