@@ -186,10 +186,17 @@ class Codec:
         self._spaced = _Spaced(self._whole)
 
     def _piece(self, piece: str) -> bytes:
+        word = piece[1:] if piece[0] == " " and len(piece) > 1 else None
+        known = self._spaced.get(word)
+        if known is not None:
+            return known
         raw = piece.encode("utf-8", "replace")
         whole = self.vocabulary.ranks.get(raw)
         ids = [whole] if whole is not None else Prefixes(self.vocabulary, raw).ids()
-        return array("I", ids).tobytes()
+        packed = array("I", ids).tobytes()
+        if word is not None and not word[0].isspace():
+            self._spaced[word] = packed  # words with marks behind them have it as a part
+        return packed
 
     def _whole(self, text: str) -> bytes:
         return b"".join(map(self._piece, self.pieces(text)))
