@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventide.llm import bpe, exact_dedup, html_extract, ngram_join, packing, substring_dedup, toxicity, url_graph
+from eventide.llm import bpe, exact_dedup, html_extract, ngram_join, packing, substring_dedup, suffix_tree, toxicity, url_graph
 from eventide.llm.columns import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,6 +68,11 @@ def op3_ngram_join(spark, sf_dir):
     return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
 
 
+@query("op4_suffix_tree")
+def op4_suffix_tree(spark, sf_dir):
+    return suffix_tree.score(table(spark, sf_dir, "documents"))
+
+
 @query("op5_substring_dedup")
 def op5_substring_dedup(spark, sf_dir):
     return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
