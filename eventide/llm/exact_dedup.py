@@ -79,6 +79,9 @@ def exact_dedup(docs: DataFrame, salts: int = SALTS, digest=sha256_digest) -> Da
 
 
 def keep_first_of_equal_texts(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id stays, with all their columns."""
-    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_stays")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_stays"]), "left_semi")
+    """One row of ``docs`` for every different text, with all its columns."""
+    kept = exact_dedup(docs).where("kept").select(
+        F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
+    rows = docs.withColumn("_own", sha256_digest(normalised(F.col("text").cast("string"))))
+    return (rows.join(kept, rows["doc_id"].eqNullSafe(kept["_id"]) & (rows["_own"] == kept["_sha"]), "left_semi")
+            .dropDuplicates(["doc_id", "_own"]).select(docs.columns))

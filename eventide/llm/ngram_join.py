@@ -251,3 +251,10 @@ def ngram_join(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100) -
     return signed.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"),
         F.coalesce("links", F.lit(0)).alias("n_links"))
+
+
+def one_of_each_class(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100) -> DataFrame:
+    """Rows of ``docs`` whose doc_id is the smallest of its component, with all their columns."""
+    gone = ngram_join(docs, words, num, den).where("component_id <> doc_id").select(
+        F.col("doc_id").alias("_id")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["_id"], "left_anti")

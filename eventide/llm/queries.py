@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventide.llm import bpe, exact_dedup, html_extract, ngram_join, packing, substring_dedup, suffix_tree, toxicity, url_graph
+from eventide.llm import bpe, exact_dedup, html_extract, ngram_join, packing, substring_dedup, suffix_tree, toxicity, url_graph, vector_graph
 from eventide.llm.columns import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -108,3 +108,23 @@ RULES = (
 @query("op9_url_graph")
 def op9_url_graph(spark, sf_dir):
     return url_graph.judge(table(spark, sf_dir, "pages"), RULES)
+
+
+@query("op10_vector_graph", """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+), ok AS (
+  SELECT vec_id, label, e FROM v
+  WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND list_sum(list_transform(e, lambda x: x * x)) > 0
+), l AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+), r AS (
+  SELECT vec_id AS x, vec_id AS c FROM embeddings UNION SELECT l.y, r.c FROM r JOIN l ON l.x = r.x
+)
+SELECT v.vec_id, coalesce(k.k, 0)::BIGINT AS n_links, m.c AS component_id, v.vec_id = m.c AS kept
+FROM v JOIN (SELECT x, min(c) AS c FROM r GROUP BY x) m ON m.x = v.vec_id
+LEFT JOIN (SELECT x, count(*) AS k FROM l GROUP BY x) k ON k.x = v.vec_id""")
+def op10_vector_graph(spark, sf_dir):
+    return vector_graph.near_duplicates(table(spark, sf_dir, "embeddings"))
