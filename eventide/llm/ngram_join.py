@@ -229,7 +229,8 @@ def ngram_join(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100) -
     placed = cut(tiles(members, num, den))
     wanted = placed.groupBy("rep", "digest").agg(
         F.first("copies").alias("copies"), F.collect_list(F.struct("tile", "side")).alias("tiles"))
-    texts = docs.join(wanted, docs["doc_id"] == wanted["rep"]).select("rep", "digest", "copies", "tiles", "text")
+    # A shuffle join at every size: the number of representatives grows with the input.
+    texts = docs.join(wanted.hint("merge"), docs["doc_id"] == wanted["rep"]).select("rep", "digest", "copies", "tiles", "text")
 
     def arrays(rows: Rows) -> Rows:
         for rep, digest, copies, where, text in rows:

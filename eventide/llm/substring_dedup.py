@@ -114,7 +114,7 @@ def repeated_spans(docs: DataFrame, paragraph: int = PARAGRAPH, shingle: int = S
         "doc_id", "k.key", F.col("k.pos").cast("int").alias("pos"))
     shared = cut(keyed.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
                  .where("low < high").select("key"))
-    hits = (keyed.join(shared, "key")
+    hits = (keyed.join(shared.hint("merge"), "key")
             .join(classes.where("doc_id <> first_id").select("doc_id", "first_id").distinct(), "doc_id", "left")
             .select(F.coalesce("first_id", "doc_id").alias("doc_id"), "key", "pos"))
     hits = cut(hits.distinct())
@@ -123,7 +123,8 @@ def repeated_spans(docs: DataFrame, paragraph: int = PARAGRAPH, shingle: int = S
     pairs = cut(hits.join(keeper, "key").where("doc_id <> keep_id").groupBy("doc_id", "keep_id").agg(
         F.sort_array(F.collect_set(F.struct("pos", "keep_pos"))).alias("hits")))
     involved = pairs.select("doc_id").unionByName(pairs.select(F.col("keep_id").alias("doc_id"))).distinct()
-    texts = cut(docs.join(involved, "doc_id").select("doc_id", "text").distinct())
+    # Shuffle joins at every size: these tables grow with the input.
+    texts = cut(docs.join(involved.hint("merge"), "doc_id").select("doc_id", "text").distinct())
     both = (pairs.join(texts, "doc_id")
             .join(texts.select(F.col("doc_id").alias("keep_id"), F.col("text").alias("keep_text")), "keep_id")
             .select("doc_id", "text", F.xxhash64("text").alias("text_hash"), "keep_id", "keep_text", "hits"))
