@@ -60,3 +60,15 @@ def map_rows(df: DataFrame, fn: Callable[[Rows], Rows], size: int = 4096, **kind
         yield batch(held)
 
     return df.mapInArrow(run, ", ".join(f"`{c}` {k}" for c, k in kinds.items()))
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like the given ones that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out

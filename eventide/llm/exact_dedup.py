@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventide.core.lineage import cut
-from eventide.llm.columns import only
+from eventide.llm.columns import fresh, only
 
 SALTS = 8
 
@@ -80,8 +80,9 @@ def exact_dedup(docs: DataFrame, salts: int = SALTS, digest=sha256_digest) -> Da
 
 def keep_first_of_equal_texts(docs: DataFrame) -> DataFrame:
     """One row of ``docs`` for every different text, with all its columns."""
+    id_, sha, own = fresh(docs, "id", "sha", "own")
     kept = exact_dedup(docs).where("kept").select(
-        F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    rows = docs.withColumn("_own", sha256_digest(normalised(F.col("text").cast("string"))))
-    return (rows.join(kept, rows["doc_id"].eqNullSafe(kept["_id"]) & (rows["_own"] == kept["_sha"]), "left_semi")
-            .dropDuplicates(["doc_id", "_own"]).select(docs.columns))
+        F.col("doc_id").alias(id_), F.col("text_sha256").alias(sha)).distinct()
+    rows = docs.withColumn(own, sha256_digest(normalised(F.col("text").cast("string"))))
+    return (rows.join(kept, rows["doc_id"].eqNullSafe(kept[id_]) & (rows[own] == kept[sha]), "left_semi")
+            .dropDuplicates(["doc_id", own]).select(docs.columns))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventide.core.lineage import cut
-from eventide.llm.columns import Rows, map_rows, only
+from eventide.llm.columns import Rows, fresh, map_rows, only
 from eventide.llm.components import components
 from eventide.llm.minhash import Bands
 from eventide.llm.words import shingle_set
@@ -256,6 +256,7 @@ def ngram_join(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100) -
 
 def one_of_each_class(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """Rows of ``docs`` whose doc_id is the smallest of its component, with all their columns."""
+    (id_,) = fresh(docs, "id")
     gone = ngram_join(docs, words, num, den).where("component_id <> doc_id").select(
-        F.col("doc_id").alias("_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_id"], "left_anti")
+        F.col("doc_id").alias(id_)).distinct()
+    return docs.join(gone, docs["doc_id"] == gone[id_], "left_anti")

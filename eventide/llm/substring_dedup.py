@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventide.core.lineage import cut
-from eventide.llm.columns import Rows, map_rows, only
+from eventide.llm.columns import Rows, fresh, map_rows, only
 from eventide.llm.components import components
 from eventide.llm.words import runs, word_hashes, words
 
@@ -194,12 +194,13 @@ def without_repeats(docs: DataFrame, paragraph: int = PARAGRAPH, shingle: int =
     Rows of which nothing is left go; rows that lose nothing stay as they are.
     """
     spans, classes = repeated_spans(only(docs, doc_id="bigint", text="string"), paragraph, shingle, key)
-    cuts = spans.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(
-        F.sort_array(F.collect_set(F.struct("start_char", "end_char"))).alias("_cuts"))
+    id_, hash_, cuts_ = fresh(docs, "id", "hash", "cuts")
+    cuts = spans.groupBy(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_)).agg(
+        F.sort_array(F.collect_set(F.struct("start_char", "end_char"))).alias(cuts_))
     copies = classes.where((F.col("doc_id") != F.col("first_id")) & (F.col("n_words") >= paragraph)) \
-        .select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(copies, docs["doc_id"] == copies["_id"], "left_anti")
-    joined = kept.join(cuts, (kept["doc_id"] == cuts["_id"]) & (F.xxhash64(kept["text"]) == cuts["_hash"]), "left")
+        .select(F.col("doc_id").alias(id_)).distinct()
+    kept = docs.join(copies, docs["doc_id"] == copies[id_], "left_anti")
+    joined = kept.join(cuts, (kept["doc_id"] == cuts[id_]) & (F.xxhash64(kept["text"]) == cuts[hash_]), "left")
 
     @F.pandas_udf("string")
     def remaining(text: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
@@ -212,9 +213,9 @@ def without_repeats(docs: DataFrame, paragraph: int = PARAGRAPH, shingle: int =
             out.append("".join([*parts, t[at:]]).rstrip(" \t\n\r\x0b\x0c"))
         return pd.Series(out, dtype=object)
 
-    has = F.col("_cuts").isNotNull()
+    has = F.col(cuts_).isNotNull()
     left = joined.where(has).withColumn("text", remaining(
-        F.col("text"), F.transform("_cuts", lambda c: c["start_char"]), F.transform("_cuts", lambda c: c["end_char"])))
+        F.col("text"), F.transform(cuts_, lambda c: c["start_char"]), F.transform(cuts_, lambda c: c["end_char"])))
     left = left.where("text <> ''")
     if "n_chars" in docs.columns:
         left = left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

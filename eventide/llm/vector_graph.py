@@ -331,13 +331,18 @@ def recall(vectors: DataFrame, result: DataFrame, threshold: float = THRESHOLD,
         some = queries[at:at + 1000]
 
         def count(batch: Rows) -> Rows:
+            total = np.zeros(len(some), np.int64)
             ids = np.array([q["vec_id"] for q in some])
             labels = np.array([q["label"] for q in some])
-            x = unit(np.array([q["v"] for q in some]))
-            total = np.zeros(len(some), np.int64)
+            by_size = {}
+            for i, q in enumerate(some):
+                by_size.setdefault(len(q["v"]), []).append(i)
+            x = {n: (np.array(at), unit(np.array([some[i]["v"] for i in at]))) for n, at in by_size.items()}
             for vec_id, label, v in batch:
-                cosine = x @ unit(np.array([v]))[0]
-                total += (cosine >= threshold) & (labels == label) & (ids != vec_id)
+                if len(v) in x:
+                    at, directions = x[len(v)]
+                    cosine = directions @ unit(np.array([v]))[0]
+                    total[at] += (cosine >= threshold) & (labels[at] == label) & (ids[at] != vec_id)
             yield from zip(ids.tolist(), total.tolist())
 
         for r in map_rows(rows.select("vec_id", "label", "v"), count, vec_id="bigint", n="bigint").groupBy(
