@@ -9,6 +9,8 @@ design columns and never by the number of rows.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -22,33 +24,19 @@ _SUMS = ("xtx", "xty", "sx")
 _SCALARS = ("yty", "sy", "n")
 
 
+#: Groups whose sums a task holds before it sends them on.
+_HELD_GROUPS = 4096
+
+
 def gram(df: DataFrame, keys: list[str], features: Sequence[str], response: str) -> DataFrame:
     """Sufficient statistics per group: arrays ``xtx, xty, sx``; ``yty, sy, n``.
 
-    Up to twenty columns become plain SQL sums; wider designs form partial
-    products per Arrow batch.
+    Rows with a missing feature or response count for nothing.  A task adds up its
+    rows before anything is shuffled.
     """
-    p = len(features)
-    if p <= 20:
-        sums = [
-            f"sum({features[i]} * {features[j]}) AS _g{i}_{j}" for i in range(p) for j in range(i, p)
-        ]
-        sums += [f"sum({f} * {response}) AS _c{i}" for i, f in enumerate(features)]
-        sums += [f"sum({f}) AS _s{i}" for i, f in enumerate(features)]
-        sums += [
-            f"sum({response} * {response}) AS yty", f"sum({response}) AS sy",
-            "CAST(count(*) AS DOUBLE) AS n",
-        ]
-        g = df.groupBy(*keys).agg(*[F.expr(e) for e in sums])
-        xtx = ", ".join(f"_g{min(i, j)}_{max(i, j)}" for i in range(p) for j in range(p))
-        return g.selectExpr(
-            *keys,
-            f"array({xtx}) AS xtx",
-            f"array({', '.join(f'_c{i}' for i in range(p))}) AS xty",
-            f"array({', '.join(f'_s{i}' for i in range(p))}) AS sx",
-            *_SCALARS,
-        )
-    rows = df.select(*keys, *features, response)
+    used = [*features, response]
+    present = [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in used]
+    rows = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in used]).where(reduce(and_, present))
     schema = StructType(
         [rows.schema[k] for k in keys]
         + [StructField(c, ArrayType(DoubleType())) for c in _SUMS]
@@ -56,20 +44,28 @@ def gram(df: DataFrame, keys: list[str], features: Sequence[str], response: str)
     )
 
     def partial(batches):
+        held: dict[tuple, list] = {}
+
+        def sent():
+            out = [(*key, m[:-1, :-1].ravel(), m[:-1, -1], sums[:-1], m[-1, -1], sums[-1], n)
+                   for key, (m, sums, n) in held.items()]
+            held.clear()
+            return pd.DataFrame(out, columns=[*keys, *_SUMS, *_SCALARS])
+
         for pdf in batches:
-            if keys:
-                groups = pdf.groupby(keys, sort=False)
-            else:
-                groups = [((), pdf)]
-            out = []
+            groups = pdf.groupby(keys, sort=False, dropna=False) if keys else [((), pdf)]
             for key, part in groups:
-                X = part[list(features)].to_numpy(float)
-                y = part[response].to_numpy(float)
-                key = key if isinstance(key, tuple) else (key,)
-                out.append(
-                    (*key, (X.T @ X).ravel(), X.T @ y, X.sum(0), y @ y, y.sum(), float(len(y)))
-                )
-            yield pd.DataFrame(out, columns=[*keys, *_SUMS, *_SCALARS])
+                z = part[used].to_numpy(float)
+                key = tuple(None if pd.isna(k) else k for k in (key if isinstance(key, tuple) else (key,)))
+                m, sums, n = z.T @ z, z.sum(0), float(len(z))
+                if key in held:
+                    old = held[key]
+                    m, sums, n = m + old[0], sums + old[1], n + old[2]
+                held[key] = [m, sums, n]
+            if len(held) >= _HELD_GROUPS:
+                yield sent()
+        if held:
+            yield sent()
 
     return add_up(rows.mapInPandas(partial, schema), keys)
 

@@ -344,13 +344,14 @@ def fit_global(
     sigma: float = 0.13,
     include_background: bool = True,
     rounds: int = 24,
-) -> tuple[DataFrame, dict[str, float]]:
+) -> tuple[DataFrame, dict]:
     """Shared lifetimes and sigma over recordings, t0 per recording.
 
     Variable projection as a batched pattern search: every round scores a small
     cross of candidates over all recordings (distributed), sums the cost and
     moves or shrinks.  Each recording keeps its best t0 by a one-dimensional
-    search inside its row.  Returns per-recording results and the parameters.
+    search inside its row.  Returns per-recording results and the parameters;
+    ``converged`` tells whether the step fell below its limit within ``rounds``.
     """
     t = np.asarray(times, dtype=float)
     rows = cut(aggregates.select(recording, F.col(counts).alias("_c")))
@@ -405,7 +406,7 @@ def fit_global(
     cores = rows.sparkSession.sparkContext.defaultParallelism
     centre = np.log([*sorted(lifetimes), sigma])
     step = np.array([0.25, 0.25, 0.25])
-    best = None
+    best, converged = None, False
     for _ in range(rounds):
         points = [centre]
         for j in range(3):
@@ -426,6 +427,7 @@ def fit_global(
         if k == 0:
             step = step / 2
             if step.max() < 1e-3:
+                converged = True
                 break
         else:
             centre = points[k]
@@ -434,7 +436,8 @@ def fit_global(
         recording,
         score("_c", F.lit(float(centre[0])), F.lit(float(centre[1])), F.lit(float(centre[2]))).alias("r"),
     ).select(recording, "r.t0", "r.components", "r.cost")
-    return final, {"tau_short": min(tau1, tau2), "tau_long": max(tau1, tau2), "sigma": sg, "cost": best}
+    return final, {"tau_short": min(tau1, tau2), "tau_long": max(tau1, tau2), "sigma": sg, "cost": best,
+                   "converged": converged}
 
 
 def binning_sensitivity(

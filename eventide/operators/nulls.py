@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventide.core.series import Series, asof
+from eventide.core.checks import require_none
+from eventide.core.lineage import cut
+from eventide.core.series import Series, asof, running, shift
 from eventide.functions.hashed import uniform
 
 
+#: Tries of one circular shift before it is given up; later ones are only made where needed.
+SHIFT_TRIES = (32, 1024, 10_000)
+
+
 def null_onsets(
     events: DataFrame,
     s: Series,
@@ -18,57 +24,94 @@ def null_onsets(
     method: str = "random_onsets",
     exclusion: float = 0.0,
     seed: int = 0,
-    attempts: int = 32,
     event_id: str = "event_i",
 ) -> DataFrame:
     """Surrogate onsets per shuffle: keys, event_id, ``shuffle``, ``s.t``.
 
-    ``bounds`` holds keys, ``lo``, ``hi`` of admissible onsets; series without
-    room are dropped.  Random onsets are uniform and keep ``exclusion`` from
-    every real event; a circular shift moves the whole train by one offset per
-    shuffle.  A slot takes its first admissible attempt; ``s.t`` is NULL where
-    none was found, so that a caller can raise.
+    ``bounds`` holds keys, ``lo``, ``hi`` of admissible onsets; series whose ``hi``
+    isn't above ``lo`` have no onsets.  Random onsets are uniform over the times that
+    keep ``exclusion`` from every real event; a circular shift moves the whole train
+    by one offset per shuffle, which keeps it too.  Raises where that leaves nothing.
     """
     if method not in ("random_onsets", "circular_shift"):
-        raise ValueError("method must be 'random_onsets' or 'circular_shift'")
+        raise ValueError("method is random_onsets or circular_shift")
     if exclusion < 0:
-        raise ValueError("exclusion must be nonnegative")
-    tries = attempts if exclusion > 0 else 1
-    keys = list(s.keys)
-    lo, span = F.col("lo"), F.col("hi") - F.col("lo")
-    base = events.join(bounds.filter("hi > lo"), keys).withColumn(
+        raise ValueError("exclusion can't be negative")
+    bounds = bounds.filter("hi > lo")
+    base = events.join(bounds, list(s.keys)).withColumn(
         "shuffle", F.explode(F.sequence(F.lit(0), F.lit(n_shuffles - 1)))
     )
-    base = base.withColumn("_try", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))))
-    identity = [F.col(k) for k in keys]
-    if method == "random_onsets":
-        draw = uniform(seed, *identity, F.col("shuffle"), F.col(event_id), F.col("_try"))
-        onset = lo + draw * span
-    else:
-        draw = uniform(seed, *identity, F.col("shuffle"), F.col("_try"))
-        wrapped = F.pmod(F.col(s.t) - lo, span)
-        onset = lo + F.pmod(wrapped + draw * span, span)
-    drawn = base.withColumn(s.t, onset)
-    slot = [c for c in drawn.columns if c not in (s.t, "_try", "lo", "hi")]
+    draw = _random if method == "random_onsets" else _shifted
+    return draw(base, events, s, bounds, exclusion, seed, event_id)
+
+
+def _random(base, events, s, bounds, exclusion, seed, event_id) -> DataFrame:
+    keys = list(s.keys)
+    u = uniform(seed, *[F.col(k) for k in keys], F.col("shuffle"), F.col(event_id), F.lit(0))
+    kept = [c for c in base.columns if c not in (s.t, "lo", "hi")]
     if exclusion == 0:
-        return drawn.select(*slot, s.t)
-    near = asof(drawn, events.select(*keys, s.t), s, back={"_b": s.t}, ahead={"_a": s.t})
-    t = F.col(s.t)
-    ok = F.coalesce(t - F.col("_b") >= exclusion, F.lit(True)) & F.coalesce(
-        F.col("_a") - t >= exclusion, F.lit(True)
+        return base.withColumn(s.t, F.col("lo") + u * (F.col("hi") - F.col("lo"))).select(*kept, s.t)
+    free = cut(_free_times(events, bounds, s, exclusion))
+    room = free.groupBy(*keys).agg(F.sum("_length").alias("_room"))
+    require_none(
+        events.join(bounds, keys).select(*keys).distinct().join(room, keys, "left_anti"),
+        "no time keeps the exclusion from every event",
     )
-    if method == "random_onsets":
-        return near.groupBy(*slot).agg(
-            F.min_by(s.t, F.when(ok, F.col("_try"))).alias(s.t)
-        )
-    tried = near.groupBy(*keys, "shuffle", "_try").agg(F.bool_and(ok).alias("_ok"))
-    chosen = tried.groupBy(*keys, "shuffle").agg(
-        F.min(F.when(F.col("_ok"), F.col("_try"))).alias("_take")
+    # Draw along the free times laid end to end, then go back to the clock.
+    at = Series(s.keys, "_at", s.width)
+    drawn = base.join(room, keys).withColumn("_at", u * F.col("_room")).select(*kept, "_at")
+    starts = free.select(*keys, F.col("_before").alias("_at"), F.col(s.t).alias("_start"), "_before")
+    found = asof(drawn, starts, at, back={"_s": "_start", "_b": "_before"})
+    return found.withColumn(s.t, F.col("_s") + F.col("_at") - F.col("_b")).select(*kept, s.t)
+
+
+def _free_times(events: DataFrame, bounds: DataFrame, s: Series, exclusion: float) -> DataFrame:
+    """Intervals away from all events: keys, start (``s.t``), ``_length``, ``_before`` (free time earlier)."""
+    keys = list(s.keys)
+    marks = (
+        events.join(bounds, keys).select(*keys, s.t, "lo", "hi")
+        .unionByName(bounds.select(*keys, (F.col("lo") - exclusion).alias(s.t), "lo", "hi"))
+        .filter(F.col(s.t).isNotNull()).distinct()
     )
-    picked = near.join(chosen, [*keys, "shuffle"])
-    return picked.groupBy(*slot).agg(
-        F.max(F.when(F.col("_try") == F.col("_take"), F.col(s.t))).alias(s.t)
+    start = F.greatest("lo", F.col(s.t) + exclusion)
+    end = F.least("hi", F.coalesce(F.col("_next") - exclusion, F.col("hi")))
+    gaps = (
+        shift(marks, s, ahead={"_next": s.t}).select(*keys, start.alias("_start"), (end - start).alias("_length"))
+        .filter("_length > 0").withColumnRenamed("_start", s.t)
     )
+    return running(gaps, s, {"_upto": "_length"}).withColumn("_before", F.col("_upto") - F.col("_length")).drop("_upto")
+
+
+def _shifted(base, events, s, bounds, exclusion, seed, event_id) -> DataFrame:
+    keys = list(s.keys)
+    lo, span = F.col("lo"), F.col("hi") - F.col("lo")
+    u = uniform(seed, *[F.col(k) for k in keys], F.col("shuffle"), F.col("_try"))
+    onset = lo + F.pmod(F.pmod(F.col(s.t) - lo, span) + u * span, span)
+    kept = [c for c in base.columns if c not in (s.t, "lo", "hi")]
+
+    def moved(rows: DataFrame) -> DataFrame:
+        return rows.withColumn(s.t, onset)
+
+    if exclusion == 0:
+        return moved(base.withColumn("_try", F.lit(0))).select(*kept, s.t)
+    open_ = base.select(*keys, "shuffle").distinct()
+    taken, first = None, 0
+    for last in SHIFT_TRIES:
+        tries = base.join(open_, [*keys, "shuffle"]).withColumn(
+            "_try", F.explode(F.sequence(F.lit(first), F.lit(last - 1))))
+        near = asof(moved(tries), events.select(*keys, s.t), s, back={"_b": s.t}, ahead={"_a": s.t})
+        t = F.col(s.t)
+        ok = F.coalesce(t - F.col("_b") >= exclusion, F.lit(True)) & F.coalesce(
+            F.col("_a") - t >= exclusion, F.lit(True))
+        good = near.groupBy(*keys, "shuffle", "_try").agg(F.bool_and(ok).alias("_ok")).filter("_ok")
+        found = good.groupBy(*keys, "shuffle").agg(F.min("_try").alias("_try"))
+        taken = cut(found if taken is None else taken.unionByName(found))
+        open_ = base.select(*keys, "shuffle").distinct().join(taken, [*keys, "shuffle"], "left_anti")
+        first = last
+        if open_.isEmpty():
+            return moved(base.join(taken, [*keys, "shuffle"])).select(*kept, s.t)
+    require_none(open_, "no circular shift keeps the exclusion from every event")
+    raise AssertionError("unreachable")
 
 
 def onset_bounds(recording: DataFrame, window: tuple[float, float]) -> DataFrame:

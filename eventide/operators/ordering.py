@@ -12,14 +12,14 @@ from eventide.operators.matching import count_in_window, first_in_window, last_i
 
 # Default matching windows in seconds and descending sort keys.
 DEFAULT_WINDOWS = {
-    "ensure_latency": (0.0, 10.0),
-    "first_lick_latency": (0.0, 5.0),
-    "first_bout_latency": (0.0, 5.0),
-    "bout_size": (0.0, 5.0),
-    "bout_duration": (0.0, 5.0),
-    "post_event_lick_count": (0.0, 5.0),
+    "ensure_latency": (0.0, 20.0),
+    "first_lick_latency": (0.0, 20.0),
+    "first_bout_latency": (0.0, 20.0),
+    "bout_size": (0.0, 20.0),
+    "bout_duration": (0.0, 20.0),
+    "post_event_lick_count": (0.0, 20.0),
     "pre_event_lick_rate": (-5.0, 0.0),
-    "cue_to_bout_latency": (-10.0, 0.0),
+    "cue_to_bout_latency": (-20.0, 0.0),
 }
 AUTO_DESCENDING = (
     "response_mean", "bout_size", "bout_duration", "post_event_lick_count", "pre_event_lick_rate",

@@ -42,7 +42,7 @@ def calibrate(
     period: float = 12.5,
     lifetimes: tuple[float, float] = (0.6, 2.5),
     sigma: float = 0.13,
-    rounds: int = 24,
+    rounds: int = 200,
 ) -> tuple[dict, DataFrame]:
     """Shared lifetimes and width over sessions, a t0 and a flag per session."""
     kept, inside = window_curve("counts", times, spc_range)
@@ -63,7 +63,8 @@ def calibrate(
     calibration = {
         "schema_version": "2.1", "lifetimes": [p["tau_short"], p["tau_long"]], "t0": t0,
         "irf_sigma": p["sigma"], "lifetime_time": inside, "pulse_interval": period,
-        "spc_range": list(spc_range), "success": True,
+        "spc_range": list(spc_range), "success": p["converged"],
+        "message": "converged" if p["converged"] else "the search used up its rounds",
     }
     return calibration, quality
 

@@ -6,18 +6,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def write_sessions(tables: dict[str, DataFrame], root: str, *, buckets_per_session: bool = False) -> None:
-    """Canonical tables as Parquet, partitioned by the column queries filter on.
+#: Columns below ``session_id`` that queries filter on.
+_PARTS = {"signals": ["signal"], "events": ["event"], "intervals": ["name"]}
 
-    ``overwrite`` with dynamic partitions replaces only sessions that are
-    written; Spark's commit protocol makes each table appear whole.
+
+def write_sessions(tables: dict[str, DataFrame], root: str) -> None:
+    """Canonical tables as Parquet, one partition per session.
+
+    ``overwrite`` with dynamic partitions replaces the sessions that are written
+    and no others; Spark's commit protocol makes each table appear whole.  Within
+    a session only the named signals (events, intervals) are replaced.
     """
-    partition = {"signals": "signal", "events": "event", "intervals": "name"}
     for name, df in tables.items():
-        writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        if name in partition:
-            writer = writer.partitionBy(partition[name])
-        writer.parquet(f"{root}/{name}")
+        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+            "session_id", *_PARTS.get(name, [])).parquet(f"{root}/{name}")
 
 
 def pending(manifest: DataFrame, done: DataFrame, keys: list[str], *, overwrite: bool = False) -> DataFrame:

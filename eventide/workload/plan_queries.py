@@ -12,7 +12,7 @@ from eventide.operators import lifetime as lt
 from eventide.operators import nulls as nl
 from eventide.operators import perievent as pe
 from eventide.operators import transfer as tr
-from eventide.plans import cascade, designs
+from eventide.plans import designs
 from eventide.plans import lifetime as pl
 from eventide.plans import trials as pt
 from eventide.workload import tables as tb
@@ -223,7 +223,7 @@ def lifetime_apply(spark, path):
 
 @query("lifetime_calibration")
 def lifetime_calibration(spark, path):
-    _, quality = pl.calibrate(curves(spark, path), "label", TIMES, period=12.8, rounds=6)
+    _, quality = pl.calibrate(curves(spark, path), "label", TIMES, period=12.8, rounds=200)
     return quality.select("label", F.round("t0", 3).alias("t0"), "t0_offset")
 
 
@@ -276,12 +276,3 @@ def biexponential_transfer(spark, path):
     ).dropna()
     return tr.fit_biexponential(x, ["grp"]).select("grp", F.round("r2", 3).alias("r2"))
 
-
-@query("mechanistic_cascade")
-def mechanistic_cascade(spark, path):
-    x = forecast_signals(spark, path).select(
-        "mouse", "i", (F.col("photometry") / 1000.0).alias("y"), F.col("licking").alias("lick_rate"),
-        (F.col("licking") * F.col("solenoid")).alias("consumption"),
-    )
-    fit = cascade.fit_cascade(x, "mouse", 6.0, max_iter=2)
-    return spark.createDataFrame(fit).select("parameter", "near_bound", "converged")

@@ -8,7 +8,7 @@ from eventide.core.series import Series
 from eventide.functions import decay
 from eventide.operators import basis as bs
 from eventide.operators import glm
-from eventide.plans import batch, cascade, designs
+from eventide.plans import batch, designs
 from eventide.plans import lifetime as pl
 from eventide.plans import preprocessing as pre
 from eventide.plans import trials as pt
@@ -193,30 +193,3 @@ def test_batch(spark, tmp_path):
     with pytest.raises(ContractError, match="broken"):
         batch.run_batch(items, work, keys=["session_id"])
 
-
-def test_cascade_recovers_scale(spark):
-    rng = np.random.default_rng(5)
-    p = np.array([v for _, v, _, _ in cascade.PARAMETERS])
-    truth = p.copy()
-    truth[6], truth[1] = -0.03, 3.0
-    rows = []
-    for k in range(3):
-        lick = rng.poisson(0.8, 120).astype(float)
-        cons = lick * (np.arange(120) > 30)
-        y = cascade.simulate(truth, lick, cons, 1.0)[0] + 0.01 * k + 0.0005 * rng.normal(size=120)
-        rows += [(k, i, float(y[i]), float(lick[i]), float(cons[i])) for i in range(120)]
-    df = spark.createDataFrame(rows, "rec int, i int, y double, lick_rate double, consumption double")
-    fit = cascade.fit_cascade(df, "rec", 1.0, max_iter=12)
-    est = fit.set_index("parameter").estimate.to_numpy()
-
-    def cost(q):
-        total = 0.0
-        for k in range(3):
-            r = [x for x in rows if x[0] == k]
-            y, l, c = (np.array([x[j] for x in r]) for j in (2, 3, 4))
-            total += float((cascade._residuals(q, np.arange(120.0), y, l, c, 1.0) ** 2).sum())
-        return total
-
-    assert cost(est) < 1.2 * cost(truth) < cost(p)
-    with pytest.raises(ContractError, match="too long"):
-        cascade.fit_cascade(df, "rec", 1.0, max_samples=10)

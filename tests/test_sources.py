@@ -213,6 +213,11 @@ def test_session_store_and_export(spark, tmp_path):
     tbl.write_sessions({"signals": sig}, root)
     again = spark.read.schema(se.SCHEMAS["signals"]).parquet(f"{root}/signals")
     assert again.filter("signal = 'tau'").first().v == 2.0
+    other = sig.withColumn("session_id", F.lit("s2"))
+    tbl.write_sessions({"signals": other}, root)  # leaves the first session alone
+    assert {r[0] for r in spark.read.schema(se.SCHEMAS["signals"]).parquet(f"{root}/signals").select("session_id").collect()} == {"s1", "s2"}
+    tbl.write_sessions({"signals": other.withColumn("v", F.lit(9.0))}, root)
+    assert sorted(r.v for r in spark.read.schema(se.SCHEMAS["signals"]).parquet(f"{root}/signals").collect()) == [1.0, 2.0, 9.0, 9.0]
     todo = tbl.pending(spark.createDataFrame([("s1",), ("s2",)], "session_id string"), sig, ["session_id"])
     assert [r[0] for r in todo.collect()] == ["s2"]
     rows = spark.createDataFrame([(0.0, 1.0, "a"), (1.0, float("nan"), "a")], "time_s double, value double, mouse string")

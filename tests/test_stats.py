@@ -118,7 +118,7 @@ def test_null_onsets(spark, method):
     times = [12.0, 20.0, 33.0]
     e = spark.createDataFrame([("a", i, t) for i, t in enumerate(times)], "k string, event_i int, t double")
     b = spark.createDataFrame([("a", 10.0, 60.0)], "k string, lo double, hi double")
-    args = dict(n_shuffles=20, method=method, exclusion=1.5, seed=3, attempts=64)
+    args = dict(n_shuffles=20, method=method, exclusion=1.5, seed=3)
     x = nl.null_onsets(e, s, b, **args).collect()
     assert len(x) == 60 and all(10 <= r.t <= 60 for r in x)
     assert all(min(abs(r.t - t) for t in times) >= 1.5 for r in x)
@@ -131,6 +131,19 @@ def test_null_onsets(spark, method):
             assert gaps == sorted([8.0, 13.0, 29.0])
 
 
+def test_null_onsets_fill_narrow_gaps(spark):
+    # A hundred events a second apart leave 2 ms around each middle.
+    s = Series(("k",), "t", 10.0)
+    e = spark.createDataFrame([("a", i, float(i)) for i in range(100)], "k string, event_i int, t double")
+    b = spark.createDataFrame([("a", 0.0, 99.0)], "k string, lo double, hi double")
+    x = nl.null_onsets(e, s, b, n_shuffles=5, exclusion=0.499).collect()
+    assert len(x) == 500 and all(r.t is not None and abs(r.t % 1 - 0.5) <= 0.001 + 1e-9 for r in x)
+    assert len({int(r.t) for r in x}) > 80
+    for method in ("random_onsets", "circular_shift"):
+        with pytest.raises(ValueError):
+            nl.null_onsets(e.limit(3), s, b, n_shuffles=1, exclusion=99.0, method=method).collect()
+
+
 def test_bootstrap_interval_covers_the_mean(spark):
     rng = np.random.default_rng(4)
     v = rng.normal(5, 1, 40)
