@@ -17,7 +17,8 @@ from eventide.core.lineage import cut
 
 def _large_stars(edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+    # Written, so that the join below has a shuffle of its own, whose hot node can be split.
+    least = cut(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")))
     return (both.where("b > a").join(least, "a")
             .select(F.col("m").alias("a"), "b").where("a <> b").distinct())
 
