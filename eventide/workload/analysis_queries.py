@@ -273,6 +273,15 @@ def metric_counts(spark, path):
     return x.withColumns({"distance": F.round("distance", 2), "moving_fraction": r6("moving_fraction")})
 
 
+@query(
+    "metric_lick_count",
+    f"""WITH {WITHIN} SELECT mouse, event_i, round(sum(greatest(v, 0)) * 21600.0, 2) AS lick_count
+      FROM win GROUP BY mouse, event_i""",
+)
+def metric_lick_count(spark, path):
+    return response(spark, path, ("lick_count",)).withColumn("lick_count", F.round("lick_count", 2))
+
+
 @query(
     "metric_long_units",
     f"""WITH {WITHIN}, m AS (SELECT mouse, event_i, avg(v) AS mean, min(rel_t) FILTER (sm = mx)
@@ -361,6 +370,45 @@ def heatmap_order_counts(spark, path):
     )
 
 
+@query(
+    "heatmap_order_events",
+    _order_sql("vals AS (SELECT *, trial::DOUBLE AS sort_value FROM al)", "ASC"),
+)
+def heatmap_order_events(spark, path):
+    return _ordered(spark, path, "event_order", None, None)
+
+
+@query(
+    "heatmap_order_rate",
+    _order_sql(
+        """vals AS (SELECT al.*, (SELECT count(*)::DOUBLE FROM ev c WHERE c.mouse = al.mouse
+           AND c.kind = 'click' AND c.t >= al.t - 172800.0 AND c.t <= al.t) / 172800.0 AS sort_value FROM al)""",
+        "DESC",
+    ),
+)
+def heatmap_order_rate(spark, path):
+    return _ordered(
+        spark, path, "pre_event_lick_rate", tb.train(spark, path, "click"), (-2 * tb.DAY, 0.0)
+    )
+
+
+@query(
+    "heatmap_order_pooled",
+    f"""WITH {ALIGN}, vals AS (SELECT al.*, (SELECT min(c.t) - al.t FROM ev c WHERE c.mouse = al.mouse
+        AND c.kind = 'click' AND c.t >= al.t AND c.t - al.t <= 86400.0) AS sort_value FROM al)
+    SELECT mouse, event_i, trial, round(sort_value, 6) + 0.0 AS sort_value,
+      CAST(row_number() OVER (ORDER BY sort_value ASC NULLS LAST, event_i) - 1 AS BIGINT) AS position
+    FROM vals""",
+)
+def heatmap_order_pooled(spark, path):
+    s = tb.series(spark, path)
+    v = od.sort_values(
+        alignments(spark, path), s, "first_lick_latency", events=tb.train(spark, path, "click"), window=(0.0, tb.DAY)
+    )
+    x = od.order_trials(v.withColumn("_all", F.lit(1)), ["_all"], "first_lick_latency", trial="event_i")
+    return x.select("mouse", "event_i", "trial", r6("sort_value"), "position")
+
+
 @query(
     "heatmap_order_bouts",
     f"""WITH {BOUTS}, al AS (SELECT mouse, event_id AS event_i, t,
