@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventide.core.lineage import cut
@@ -241,12 +241,15 @@ def _compare(
     return out
 
 
-def pairwise_tests(mice: DataFrame, test: str = "auto") -> DataFrame:
+def pairwise_tests(
+    mice: DataFrame, test: str = "auto", *, n_bootstrap: int = 5000, bootstrap_seed: int = 0
+) -> DataFrame:
     """All condition pairs within groups and group pairs within conditions.
 
     ``mice``: grp, cond, metric, mouse, value.  ``auto`` pairs mice when at
     least two are shared, skips when exactly one is, and falls back to Welch.
-    One Holm family over all rows.
+    Percentile intervals of difference and effect size come from resampled mice
+    (pairs stay together).  One Holm family over all rows.
     """
     if test not in ("auto", "paired_t", "wilcoxon", "welch", "mannwhitney"):
         raise ValueError(f"unknown test: {test}")
@@ -256,7 +259,107 @@ def pairwise_tests(mice: DataFrame, test: str = "auto") -> DataFrame:
         out = out.unionByName(
             _compare(rows, "group_within_condition", "cond", "grp", test, False)
         )
-    return holm(cut(out.select(*_RESULT)))
+    tests = cut(out.select(*_RESULT))
+    intervals = bootstrap_pairwise(tests, rows, n_resamples=n_bootstrap, seed=bootstrap_seed)
+    return holm_family(tests.join(intervals, _IDENTITY, "left"), "all_pairwise_comparisons_in_run")
+
+
+def holm_family(tests: DataFrame, family: str, p: str = "p_value") -> DataFrame:
+    """Holm over all rows, with the family's name and its number of valid tests."""
+    adjusted = cut(holm(cut(tests), p))
+    size = adjusted.agg(F.count_if(F.col(p).isNotNull() & ~F.isnan(F.col(p))).alias("holm_family_size"))
+    return adjusted.withColumn("holm_family", F.lit(family)).join(F.broadcast(size))  # one row
+
+
+_IDENTITY = ["comparison", "stratum", "metric", "level_a", "level_b", "test"]
+
+
+def bootstrap_pairwise(
+    tests: DataFrame, mice: DataFrame, *, n_resamples: int = 5000, seed: int = 0
+) -> DataFrame:
+    """Intervals of difference and effect size per comparison in ``tests``.
+
+    Slot j of resample b takes the member with a hashed index, so resamples are an
+    equi join; both sides of an independent comparison are drawn on their own.
+    """
+    parts = []
+    for comparison, stratum, level in (
+        ("condition_within_group", "grp", "cond"), ("group_within_condition", "cond", "grp"),
+    ):
+        own = tests.filter(F.col("comparison") == comparison).select(*_IDENTITY)
+        m = mice.filter(F.col("value").isNotNull())
+        sides = [
+            own.join(m.select(F.col(stratum).alias("stratum"), F.col(level).alias(f"level_{x}"), "metric",
+                              "mouse", "value"), ["stratum", f"level_{x}", "metric"])
+            .select(*_IDENTITY, F.lit(x).alias("side"), "mouse", "value")
+            for x in "ab"
+        ]
+        parts += sides
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    rows = cut(rows)
+    paired = F.col("test").isin("paired_t", "wilcoxon")
+    in_a, in_b = F.col("side") == "a", F.col("side") == "b"
+    differences = rows.filter(paired).groupBy(*_IDENTITY, "mouse").agg(
+        F.max(F.when(in_a, F.col("value"))).alias("_x"), F.max(F.when(in_b, F.col("value"))).alias("_y")
+    ).filter("_x is not null and _y is not null").select(
+        *_IDENTITY, F.lit("d").alias("side"), "mouse", (F.col("_x") - F.col("_y")).alias("value"))
+    members = rows.filter(~paired).unionByName(differences)
+    place = Window.partitionBy(*_IDENTITY, "side").orderBy("mouse")
+    members = cut(members.withColumns({
+        "_slot": F.row_number().over(place) - 1, "_n": F.count(F.lit(1)).over(Window.partitionBy(*_IDENTITY, "side")),
+    }))
+    slots = members.drop("value", "mouse").withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(n_resamples - 1))))
+    labels = [F.col(c) for c in ("comparison", "stratum", "level_a", "level_b", "metric", "side", "_b", "_slot")]
+    slots = slots.withColumn("_at", index_below(F.col("_n"), seed, *labels)).drop("_slot")
+    chosen = members.select(*_IDENTITY, "side", F.col("_slot").cast("bigint").alias("_at"), "value")
+    drawn = slots.join(chosen, [*_IDENTITY, "side", "_at"])
+    draw = [*_IDENTITY, "_b"]
+    # Average ranks: of all values for Mann-Whitney, of non-zero sizes for Wilcoxon.
+    size = F.when(F.col("test") == "mannwhitney", F.col("value")).when(F.col("value") != 0, F.abs("value"))
+    ranked = drawn.withColumn("_size", size)
+    ties = Window.partitionBy(*draw, "_size")
+    rank = F.rank().over(Window.partitionBy(*draw).orderBy(F.col("_size").asc_nulls_last()))
+    by_rank = F.col("test").isin("wilcoxon", "mannwhitney") & F.col("_size").isNotNull()
+    ranked = ranked.withColumn("_rank", F.when(by_rank, rank + (F.count(F.lit(1)).over(ties) - 1) / 2))
+
+    def over(side, f):
+        return f(F.when(F.col("side") == side, F.col("value")))
+
+    g = ranked.groupBy(*draw).agg(
+        over("d", F.avg).alias("d"), over("d", F.stddev_samp).alias("sd"),
+        over("a", F.avg).alias("ma"), over("b", F.avg).alias("mb"),
+        over("a", F.count).alias("na"), over("b", F.count).alias("nb"),
+        over("a", F.var_samp).alias("va"), over("b", F.var_samp).alias("vb"),
+        F.sum(F.when(F.col("side") == "a", F.col("_rank"))).alias("ra"),
+        F.sum(F.when(F.col("value") > 0, F.col("_rank"))).alias("plus"), F.sum("_rank").alias("all"),
+    )
+    pooled = F.sqrt(((F.col("na") - 1) * F.col("va") + (F.col("nb") - 1) * F.col("vb")) / (F.col("na") + F.col("nb") - 2))
+    gap = F.col("ma") - F.col("mb")
+    small = 1 - 3 / (4 * (F.col("na") + F.col("nb")) - 9)
+    u = F.col("ra") - F.col("na") * (F.col("na") + 1) / 2
+    effect = (
+        F.when(F.col("test") == "paired_t", F.when(F.col("sd") > 0, F.col("d") / F.col("sd")))
+        .when(F.col("test") == "wilcoxon", F.coalesce((2 * F.coalesce("plus", F.lit(0.0)) - F.col("all")) / F.col("all"), F.lit(0.0)))
+        .when(F.col("test") == "mannwhitney", 2 * u / (F.col("na") * F.col("nb")) - 1)
+        .otherwise(F.when(pooled > 0, gap / pooled * small))
+    )
+    values = g.select(*_IDENTITY, F.coalesce("d", gap).alias("_difference"), effect.alias("_effect"))
+    ends = F.array(F.lit(0.025), F.lit(0.975))
+    # One value per resample, a parameter: the built-in percentile is bounded.
+    q = values.groupBy(*_IDENTITY).agg(
+        F.percentile("_difference", ends).alias("_d"), F.percentile("_effect", ends).alias("_e"),
+        F.count("_difference").alias("bootstrap_valid_difference_resamples"),
+        F.count("_effect").alias("bootstrap_valid_effect_resamples"),
+    )
+    return q.select(
+        *_IDENTITY,
+        F.col("_d")[0].alias("difference_ci_lower_bootstrap"), F.col("_d")[1].alias("difference_ci_upper_bootstrap"),
+        F.col("_e")[0].alias("effect_size_ci_lower_bootstrap"), F.col("_e")[1].alias("effect_size_ci_upper_bootstrap"),
+        F.lit(n_resamples).alias("bootstrap_resamples"), "bootstrap_valid_difference_resamples",
+        "bootstrap_valid_effect_resamples", F.lit(seed).alias("bootstrap_seed"),
+    )
 
 
 def bootstrap_mean_interval(

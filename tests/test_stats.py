@@ -101,6 +101,35 @@ def test_holm_keeps_missing(spark):
     assert [got[i] for i in (2, 4, 5, 1)] == pytest.approx([0.04, 0.09, 0.09, 0.09])
 
 
+def test_bootstrap_of_pairwise_tests(spark):
+    rng = np.random.default_rng(7)
+    a, b = rng.normal(0, 1, 12), rng.normal(1, 1, 12)
+    paired = [(f"M{i:02}", "g", c, "m", float(x)) for c, v in (("A", a), ("B", b)) for i, x in enumerate(v)]
+    alone = [(f"{c}{i:02}", "g", c, "m", float(x)) for c, v in (("A", a), ("B", b)) for i, x in enumerate(v)]
+    for rows, test in ((paired, "paired_t"), (paired, "wilcoxon"), (alone, "welch"), (alone, "mannwhitney")):
+        (r,) = st.pairwise_tests(mice(spark, rows), test, n_bootstrap=1500).collect()
+        assert r.bootstrap_valid_difference_resamples == r.bootstrap_valid_effect_resamples == r.bootstrap_resamples == 1500
+        assert r.holm_family_size == 1
+        pick = lambda n: rng.integers(0, n, (4000, n))
+        if test in ("paired_t", "wilcoxon"):
+            d = (a - b)[pick(12)]
+            effect = d.mean(1) / d.std(1, ddof=1)
+            diff = d.mean(1)
+        else:
+            x, y = a[pick(12)], b[pick(12)]
+            diff = x.mean(1) - y.mean(1)
+            effect = diff / np.sqrt((x.var(1, ddof=1) + y.var(1, ddof=1)) / 2) * (1 - 3 / (4 * 24 - 9))
+        if test == "mannwhitney":
+            effect = ((x[:, :, None] > y[:, None, :]).mean((1, 2)) + 0.5 * (x[:, :, None] == y[:, None, :]).mean((1, 2))) * 2 - 1
+        low, high = np.percentile(diff, (2.5, 97.5))
+        assert (r.difference_ci_lower_bootstrap, r.difference_ci_upper_bootstrap) == pytest.approx((low, high), abs=0.15)
+        if test != "wilcoxon":
+            low, high = np.percentile(effect, (2.5, 97.5))
+            assert (r.effect_size_ci_lower_bootstrap, r.effect_size_ci_upper_bootstrap) == pytest.approx((low, high), abs=0.25)
+        else:
+            assert -1 <= r.effect_size_ci_lower_bootstrap <= r.effect_size <= r.effect_size_ci_upper_bootstrap <= 1
+
+
 def test_empirical_p(spark):
     obs = spark.createDataFrame([("g", 1000.0)], "grp string, observed_mean double")
     null = spark.createDataFrame([("g", float(v)) for v in range(500)], "grp string, value double")
