@@ -25,7 +25,7 @@ def folder(spark, tmp_path_factory):
         if i % 3 == 0:
             texts[i] += " vile horrid vile"
         labels.append((i, 1, int(i % 3 == 0)))
-    texts[340] = texts[310] + "  "
+    texts[340] = texts[310].replace(" ", "\n \t", 2)
     near = texts[311].split(" ")
     near[40] = "other"
     texts[341] = " ".join(near)
