@@ -9,6 +9,7 @@ from eventide.core.checks import require_none
 from eventide.core.lineage import cut
 from eventide.core.series import Series, asof, running, shift
 from eventide.functions.hashed import uniform
+from eventide.operators.stats import holm_family
 
 
 #: Tries of one circular shift before it is given up; later ones are only made where needed.
@@ -192,3 +193,8 @@ def null_diagnostics(
     return out.join(medians, "is_null", "left").withColumn(
         "warning", (F.col("near_zero_fraction") > 0.01) | (F.col("extreme_fraction") > 0.01)
     )
+
+
+def shuffle_family(observed: DataFrame, null_values: DataFrame, keys: list[str]) -> DataFrame:
+    """Shuffle tests with Holm-adjusted p-values over all of them, the family's name and size."""
+    return holm_family(shuffle_tests(observed, null_values, keys), "all_shuffle_tests_in_run")

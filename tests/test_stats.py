@@ -139,6 +139,11 @@ def test_empirical_p(spark):
     null = spark.createDataFrame([("g", v) for v in (0.0, 1.0, 2.0, None)], "grp string, value double")
     r = nl.shuffle_tests(obs, null, ["grp"]).first()
     assert (r.n_shuffles, r.p_value) == (3, 0.25)
+    obs = spark.createDataFrame([("g", 10.0), ("h", 10.0)], "grp string, observed_mean double")
+    null = spark.createDataFrame([(k, v) for k, n in (("g", 3), ("h", 9)) for v in range(n)], "grp string, value long")
+    got = {r.grp: r for r in nl.shuffle_family(obs, null, ["grp"]).collect()}
+    assert [got[k].p_adjusted_holm for k in "gh"] == pytest.approx([0.25, 0.2])
+    assert {r.holm_family_size for r in got.values()} == {2}
 
 
 @pytest.mark.parametrize("method", ["random_onsets", "circular_shift"])
