@@ -141,6 +141,40 @@ def ridge_xtx(spark, path):
     return x.select("flag", F.col("p").cast("bigint").alias("p"), F.round("v", 3).alias("v"))
 
 
+_WIDE = [f"x{i}" for i in range(24)]
+
+
+def _gappy(df):
+    """24 columns; every eleventh row lacks one of them, every thirteenth the response."""
+    k = F.col("l_orderkey") + F.col("l_linenumber")
+    wide = [
+        F.when((k % 11 == 0) & F.lit(i == 5), None).otherwise((F.pmod(k * (i + 1), F.lit(17)) / 16.0)).alias(c)
+        for i, c in enumerate(_WIDE)
+    ]
+    return df.select(
+        F.col("l_returnflag").alias("flag"), *wide,
+        F.when(k % 13 != 0, F.col("l_quantity").cast("double")).alias("y"),
+    )
+
+
+@query(
+    "gram_missing",
+    f"""WITH r AS (SELECT l_returnflag AS flag, l_orderkey + l_linenumber AS k, l_quantity::DOUBLE AS y FROM lineitem),
+    x AS (SELECT flag, y, [{", ".join(f"((k * {i + 1}) % 17) / 16.0::DOUBLE" for i in range(24))}] AS x
+          FROM r WHERE k % 11 <> 0 AND k % 13 <> 0)
+    SELECT flag, count(*)::DOUBLE AS n, round(sum(y), 3) AS sy, round(sum(y * y), 3) AS yty,
+      round(sum(x[6] * x[24]), 3) AS x5x23, round(sum(x[6] * y), 3) AS x5y, round(sum(x[2]), 3) AS s1
+    FROM x GROUP BY flag""",
+)
+def gram_missing(spark, path):
+    g = glm.gram(_gappy(tb.read(spark, path, "lineitem")), ["flag"], _WIDE, "y")
+    return g.select(
+        "flag", "n", F.round("sy", 3).alias("sy"), F.round("yty", 3).alias("yty"),
+        F.round(F.col("xtx")[5 * 24 + 23], 3).alias("x5x23"), F.round(F.col("xty")[5], 3).alias("x5y"),
+        F.round(F.col("sx")[1], 3).alias("s1"),
+    )
+
+
 @query(
     "ridge_path",
     """SELECT l_returnflag AS flag, alpha, round(sum(l_quantity * l_extendedprice / 1000.0)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from eventide.core.lineage import shared_folder
 from eventide.sinks import provenance as pv
-from eventide.sinks.tables import pending
+from eventide.sinks.tables import pending, write_sessions
 from eventide.sources import identity as idn
 from eventide.sources import manifest as mf
 from eventide.sources import sessions as se
@@ -33,6 +36,26 @@ MANIFEST = """s AS (SELECT c_custkey, 'M' || (c_custkey % 40) AS mouse, printf('
       CASE WHEN c_nationkey % 3 = 0 THEN 1 ELSE c_nationkey % 3 END AS channel FROM customer)"""
 
 
+@query(
+    "session_store",
+    """WITH ev AS (SELECT 's' || (user_id % 5) AS session_id, event_type AS signal, value AS v FROM events)
+    SELECT session_id, signal, count(*) AS n, round(sum(v), 4) AS total FROM ev GROUP BY ALL""",
+)
+def session_store(spark, path):
+    """Sessions written one after the other, one of them twice, and read together."""
+    ev = tb.raw_events(spark, path).select(
+        F.concat(F.lit("s"), F.pmod("mouse", F.lit(5)).cast("string")).alias("session_id"),
+        F.col("kind").alias("signal"), F.col("event_id").cast("bigint").alias("i"), "t", "v")
+    root = f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
+    first = F.col("session_id").isin("s0", "s1")
+    write_sessions({"signals": ev.filter(first).withColumn("v", F.lit(0.0))}, root)
+    write_sessions({"signals": ev.filter(~first)}, root)
+    write_sessions({"signals": ev.filter(first)}, root)
+    stored = spark.read.schema(se.SCHEMAS["signals"]).parquet(f"{root}/signals")
+    return stored.groupBy("session_id", "signal").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("v"), 4).alias("total"))
+
+
 @query(
     "duplicate_guard",
     f"WITH {MANIFEST} SELECT mouse, date, run, count(*) AS n FROM s GROUP BY ALL HAVING count(*) > 1",

@@ -14,15 +14,15 @@ from eventide.core.series import Series, suggest_width
 HOUR = 3600.0
 DAY = 86400.0
 
-_widths: dict[str, float] = {}
+_widths: dict[tuple[str, str], float] = {}
 
 
-_tables: dict[tuple[int, str, str], DataFrame] = {}
+_tables: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def read(spark: SparkSession, path: str, table: str) -> DataFrame:
     """Lazy reader; the schema of a table is looked up once per session."""
-    key = (id(spark), path, table)
+    key = (spark.sparkContext.applicationId, path, table)
     if key not in _tables:
         _tables[key] = spark.read.parquet(f"{path}/{table}.parquet")
     return _tables[key]
@@ -50,11 +50,12 @@ def series(spark: SparkSession, path: str, per_sample: int = 1) -> Series:
     """Layout of the event series; the block width follows the densest hour.
 
     ``per_sample`` is the number of query points laid next to one sample.  The
-    width changes cost only, so one measurement per data set is kept.
+    width changes cost only, so one measurement per application and data set is kept.
     """
-    if path not in _widths:
-        _widths[path] = suggest_width(samples(spark, path), ["mouse"], "t", coarse=HOUR)
-    return Series(("mouse",), "t", _widths[path] / per_sample)
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _widths:
+        _widths[key] = suggest_width(samples(spark, path), ["mouse"], "t", coarse=HOUR)
+    return Series(("mouse",), "t", _widths[key] / per_sample)
 
 
 def group() -> Column:
