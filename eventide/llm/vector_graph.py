@@ -31,9 +31,11 @@ from eventide.llm.columns import Rows, map_rows, only
 from eventide.llm.components import components
 
 THRESHOLD = 0.93
-SHARD, OVERLAP, SPLIT = 1500, 4, 64
+SHARD, OVERLAP, SPLIT = 1500, 3, 64
+#: Parts of a split are this much smaller than a shard on average, so few are split again.
+ROOM = 1.8
 SAMPLE_PER_CENTROID = 24
-DEGREE, CANDIDATES, ALPHA, BEAM = 24, 64, 1.2, 48
+DEGREE, CANDIDATES, ALPHA, BEAM, MARGIN = 12, 32, 1.2, 16, 0.05
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -84,7 +86,7 @@ def shards(reps: DataFrame, size: int = SHARD, overlap: int = OVERLAP, split: in
         done = small if done is None else done.unionByName(small)
         if large.isEmpty():
             return done
-        wanted = large.select("shard", F.least(F.lit(split), F.ceil(F.col("n") * overlap / size)).cast("int").alias("k"), "n")
+        wanted = large.select("shard", F.least(F.lit(split), F.ceil(F.col("n") * overlap * ROOM / size)).cast("int").alias("k"), "n")
         # A bounded sample of every large shard: the rows with the smallest hashes.
         chance = F.col("k") * SAMPLE_PER_CENTROID * 2 / F.col("n")
         drawn = (current.join(wanted, "shard")
@@ -177,50 +179,46 @@ def search(x: np.ndarray, lists: list[np.ndarray], queries: np.ndarray, threshol
     above the threshold is known, every such node is opened too, until none is left.
     """
     n = len(x)
-    width = max((len(a) for a in lists), default=0)
-    table = np.full((n, max(1, width)), -1, np.int64)
-    for i, a in enumerate(lists):
-        table[i, :len(a)] = a
+    degree = np.array([len(a) for a in lists], np.int64)
+    first = np.concatenate([[0], np.cumsum(degree)])
+    ends = np.concatenate(lists) if len(lists) and first[-1] else np.empty(0, np.int64)
     medoid = int((x @ x.sum(axis=0)).argmax())
-    # Unreached nodes (graphs of several parts) are entered through their part's first node.
-    part = np.arange(n)
+    # Nodes that the medoid doesn't reach (graphs of several parts) are entered through
+    # their part's first node.
+    part, starts = np.arange(n), np.repeat(np.arange(n), degree)
     while True:
         before = part.copy()
-        for column in table.T:
-            ok = column >= 0
-            np.minimum.at(part, np.flatnonzero(ok), before[column[ok]])
-            np.minimum.at(part, column[ok], before[ok])
+        np.minimum.at(part, starts, before[ends])
+        np.minimum.at(part, ends, before[starts])
         if (part == before).all():
             break
     entries = np.unique(np.r_[medoid, part[part == np.arange(n)]])
+    k = min(beam, n)
     found = []
     for at in range(0, len(queries), 128):
         q = queries[at:at + 128]
-        m = len(q)
-        sims = np.full((m, n), -np.inf)  # of nodes seen
-        opened = np.zeros((m, n), bool)
+        sims = np.full((len(q), n), -np.inf)  # of nodes seen
+        opened = np.zeros((len(q), n), bool)
         sims[:, entries] = x[q] @ x[entries].T
-        while True:
-            seen = sims > -np.inf
-            k = min(beam, n)
-            floor = np.partition(sims, n - k, axis=1)[:, n - k]
-            # A safety margin keeps rounding from closing the way to a link.
-            todo = seen & ~opened & ((sims >= floor[:, None]) | (sims >= threshold - 0.1))
+        active = np.arange(len(q))
+        while len(active):
+            own = sims[active]
+            floor = np.partition(own, n - k, axis=1)[:, n - k, None]
+            # A margin below the threshold keeps the way to a link open.
+            todo = (own > -np.inf) & ~opened[active] & ((own >= floor) | (own >= threshold - MARGIN))
             row, node = np.nonzero(todo)
-            if not len(row):
-                break
+            active, row = active[np.unique(row)], active[row]
             opened[row, node] = True
-            next_ = table[node]
-            row = np.repeat(row, next_.shape[1])
-            next_ = next_.ravel()
-            ok = next_ >= 0
-            row, next_ = row[ok], next_[ok]
-            new = sims[row, next_] == -np.inf
+            size = degree[node]
+            place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            next_ = ends[np.repeat(first[node], size) + place]
+            row = np.repeat(row, size)
+            new = np.flatnonzero(sims[row, next_] == -np.inf)
             pair = np.unique(row[new] * n + next_[new])
             row, next_ = pair // n, pair % n
             sims[row, next_] = np.einsum("ij,ij->i", x[q[row]], x[next_])
         hit = sims >= threshold - 1e-9
-        hit[np.arange(m), q] = False
+        hit[np.arange(len(q)), q] = False
         found += [np.flatnonzero(h) for h in hit]
     return found
 
