@@ -2,13 +2,16 @@
 
 1. Equal vectors of one label become one representative; unusable ones (null, zero,
    with null or non-finite components) link with nothing.
-2. Representatives go to their ``OVERLAP`` nearest centroids.  Centroids are drawn per
-   shard from a bounded hash-ordered sample; a shard above ``SHARD`` vectors is split
-   again in the same way, so shards stay bounded however large a label is.
-3. Each shard builds neighbour lists with robust pruning: a neighbour is dropped where
+2. A label above ``SHARD`` vectors is split by centroids, drawn per shard from a bounded
+   hash-ordered sample, and split again while a part is above it.  A vector goes to every
+   part that a vector within the threshold's angle may share with it, so no linked pair
+   is parted.  Where that doesn't at least halve the pairs (dense groups, one direction,
+   no clusters), the shard stays whole and all its pairs are compared exactly, in tiles of
+   two blocks of at most about ``BLOCK`` vectors, in place of steps 3 to 5.
+3. Each smaller shard builds neighbour lists with robust pruning: a neighbour is dropped where
    one already kept lies closer to it by the factor ``ALPHA``.
 4. The lists of a vector from all its shards are united.
-5. Each shard searches for every member from the shard's medoid: greedily until the
+5. Each of these shards searches for every member from the shard's medoid: greedily until the
    beam holds nothing new, then through all vectors above the threshold reached so far.
    Every pair that is reported has its cosine computed in double precision.  A pair
    counts in the first shard that both share, so links are counted once.
@@ -35,6 +38,8 @@ SHARD, OVERLAP, SPLIT = 1500, 3, 64
 #: Parts of a split are this much smaller than a shard on average, so few are split again.
 ROOM = 1.8
 SAMPLE_PER_CENTROID = 24
+#: Vectors of a block, and numbers of one where vectors are long.
+BLOCK, BLOCK_NUMBERS = 4096, 1 << 21
 DEGREE, CANDIDATES, ALPHA, BEAM, MARGIN = 12, 32, 1.2, 16, 0.05
 
 
@@ -68,25 +73,46 @@ def _centroids(sample: list[list[float]], count: int) -> list[float]:
     return c.ravel().tolist()
 
 
-def shards(reps: DataFrame, size: int = SHARD, overlap: int = OVERLAP, split: int = SPLIT) -> DataFrame:
-    """rep, v and shard: every representative in several shards of its label.
+def halo(x: np.ndarray, centres: np.ndarray, threshold: float) -> list[np.ndarray]:
+    """Cells of every unit vector, so that two vectors of cosine >= threshold share one.
+
+    The middle of such a pair lies in some cell, and each of the two is at most half the
+    pair's angle away from it: a vector goes to the cell of its nearest centre and to
+    all whose border with that cell lies within half the angle of the threshold.
+    """
+    near = x @ centres.T
+    home = near.argmax(axis=1)
+    apart = np.sqrt(np.maximum(0, 2 - 2 * centres @ centres.T))
+    behind = near[np.arange(len(x)), home][:, None] - near
+    inside = behind <= math.sqrt(max(0.0, (1 - threshold) / 2)) * apart[home] + 1e-7
+    return [np.flatnonzero(row) for row in inside]
+
+
+def shards(reps: DataFrame, size: int = SHARD, overlap: int = OVERLAP, split: int = SPLIT,
+           threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+    """rep, v, shard and blocks: every pair of ``threshold`` in at least one common shard.
 
     ``reps`` has rep, label and v.  Each round splits the shards above ``size`` into at
-    most ``split`` parts; a round looks at the counts of shards only.  The first round
-    puts a vector into its ``overlap`` nearest parts, later ones into two; a shard that
-    one round can't split (its sample has one direction) is split by hash.
+    most ``split`` cells; a round looks at the counts of shards and cells only.  A split
+    stands if it makes at most ``overlap`` rows of one and halves the pairs to compare, so
+    rounds end.  Other shards (dense groups, one direction, no direction at all) stay
+    whole: blocks is how many bounded blocks they are compared in, 0 for shards up to
+    ``size``.
     """
-    current = cut(reps.select("rep", "v", F.xxhash64("label", F.size("v")).alias("shard"), F.lit(0).alias("round")))
+    current = reps.select("rep", "v", F.xxhash64("label", F.size("v")).alias("shard"))
     done = None
     step = 0
     while True:
-        counts = cut(current.groupBy("shard").agg(F.count(F.lit(1)).alias("n")))
+        counts = cut(current.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("dim")))
         large = counts.where(F.col("n") > size)
-        small = current.join(counts.where(F.col("n") <= size), "shard").select("rep", "v", "shard")
+        small = current.join(counts.where(F.col("n") <= size), "shard").select(
+            "rep", "v", "shard", F.lit(0).cast("bigint").alias("blocks"))
         done = small if done is None else done.unionByName(small)
         if large.isEmpty():
             return done
-        wanted = large.select("shard", F.least(F.lit(split), F.ceil(F.col("n") * overlap * ROOM / size)).cast("int").alias("k"), "n")
+        wanted = large.select(
+            "shard", F.least(F.lit(split), F.ceil(F.col("n") * overlap * ROOM / size)).cast("int").alias("k"), "n",
+            F.ceil(F.col("n") / F.least(F.lit(block), F.greatest(F.lit(1), F.lit(BLOCK_NUMBERS) / F.col("dim")))).alias("blocks"))
         # A bounded sample of every large shard: the rows with the smallest hashes.
         chance = F.col("k") * SAMPLE_PER_CENTROID * 2 / F.col("n")
         drawn = (current.join(wanted, "shard")
@@ -99,28 +125,36 @@ def shards(reps: DataFrame, size: int = SHARD, overlap: int = OVERLAP, split: in
             return pa.table({"shard": [rows.column("shard")[0].as_py()], "centres": [flat]},
                             schema=pa.schema([("shard", pa.int64()), ("centres", pa.list_(pa.float64()))]))
 
-        fitted = cut(drawn.groupBy("shard").applyInArrow(centres, "shard bigint, centres array<double>"))
-        parts = overlap if step == 0 else 2
-
-        def assign(rows: Rows) -> Rows:
-            from itertools import islice
-
-            while some := list(islice(rows, 256)):
-                for rep, v, shard, flat in some:
-                    x = np.array(v)
-                    if flat is None:
-                        part = [rep % split]
-                    else:
-                        c = np.array(flat).reshape(-1, len(x))
-                        part = np.argsort(-(c @ x), kind="stable")[:parts].tolist() if len(c) > 1 else [rep % split]
-                    for p in part:
-                        yield rep, v, shard, p
-
-        moved = map_rows(current.join(large.select("shard"), "shard").join(fitted, "shard", "left").select(
-            "rep", "v", "shard", "centres"), assign, 2048, rep="bigint", v="array<double>", shard="bigint", part="int")
+        fitted = drawn.groupBy("shard").applyInArrow(centres, "shard bigint, centres array<double>")
+        # Vectors meet their shard's centres in bounded groups.
+        fitted = fitted.join(wanted, "shard").select(
+            "shard", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("group"), "centres")
+        met = current.join(wanted, "shard").select(
+            "rep", "v", "shard", F.pmod(F.xxhash64("rep", F.lit("group")), F.col("blocks")).alias("group"))
+
+        def assign(rows: pa.Table, fit: pa.Table) -> pa.Table:
+            rep, v = _members(rows)
+            parts = [[0]] * len(rep)
+            if len(rep) and fit.num_rows:
+                c = np.array(fit.column("centres")[0].as_py()).reshape(-1, v.shape[1])
+                parts = halo(unit(v), c, threshold)
+            return pa.table({"rep": rep, "v": rows.column("v"), "shard": rows.column("shard"), "parts": parts},
+                            schema=pa.schema([("rep", pa.int64()), ("v", pa.list_(pa.float64())),
+                                              ("shard", pa.int64()), ("parts", pa.list_(pa.int32()))]))
+
+        moved = cut(met.groupBy("shard", "group").cogroup(fitted.groupBy("shard", "group")).applyInArrow(
+            assign, "rep bigint, v array<double>, shard bigint, parts array<int>"))
         step += 1
-        current = cut(moved.select("rep", "v", F.xxhash64("shard", "part", F.lit(step)).alias("shard"))
-                      .dropDuplicates(["rep", "shard"]).withColumn("round", F.lit(step)))
+        cells = moved.select("shard", F.explode("parts").alias("part")).groupBy("shard", "part").agg(
+            F.count(F.lit(1)).cast("double").alias("m"))
+        gains = cells.groupBy("shard").agg(F.sum("m").alias("rows"), F.sum(F.col("m") * F.col("m")).alias("pairs"))
+        fate = cut(gains.join(wanted, "shard").select("shard", "blocks", (
+            (F.col("rows") <= overlap * F.col("n")) & (2 * F.col("pairs") <= F.col("n").cast("double") * F.col("n"))
+        ).alias("stands")))
+        judged = moved.join(fate, "shard")
+        done = done.unionByName(judged.where("not stands").select("rep", "v", "shard", "blocks"))
+        current = judged.where("stands").select("rep", "v", "shard", F.explode("parts").alias("part")).select(
+            "rep", "v", F.xxhash64("shard", "part", F.lit(step)).alias("shard"))
 
 
 def pruned(x: np.ndarray, degree: int = DEGREE, candidates: int = CANDIDATES, alpha: float = ALPHA) -> np.ndarray:
@@ -228,7 +262,8 @@ def _cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _members(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    return rows.column("rep").to_numpy(), np.array(rows.column("v").to_pylist(), np.float64)
+    flat = rows.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return rows.column("rep").to_numpy(), flat.reshape(rows.num_rows, -1) if rows.num_rows else np.empty((0, 0))
 
 
 def graph(placed: DataFrame) -> DataFrame:
@@ -246,9 +281,11 @@ def graph(placed: DataFrame) -> DataFrame:
 
 
 def found_links(placed: DataFrame, united: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """rep, links (rows linked through other vectors) and least (a smaller connected rep, or itself)."""
-    homes = placed.groupBy("rep").agg(F.sort_array(F.collect_set("shard")).alias("homes"))
-    ready = placed.join(united.join(homes, "rep"), "rep")
+    """rep, links (rows linked through other vectors) and least (a smaller connected rep, or itself).
+
+    ``placed`` has homes, all shards of a vector, besides the columns of ``shards``.
+    """
+    ready = placed.join(united, "rep")
 
     def look(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("rep")
@@ -290,8 +327,115 @@ def found_links(placed: DataFrame, united: DataFrame, threshold: float = THRESHO
     return ready.groupBy("shard").applyInArrow(look, "rep bigint, links bigint, least bigint")
 
 
+def _packed(rows: pa.Table) -> pa.Table:
+    """One row of a block; the vectors in single precision where that is exact."""
+    rep, v = _members(rows)
+    homes = rows.column("homes").combine_chunks()
+    single = v.astype(np.float32)
+    exact = bool((single == v).all())
+    return pa.table({
+        "shard": rows.column("shard")[:1], "blocks": rows.column("blocks")[:1], "block": rows.column("block")[:1],
+        "dim": [v.shape[1]], "single": [exact], "rep": [rep.tobytes()], "v": [(single if exact else v).tobytes()],
+        "copies": [rows.column("copies").to_numpy().tobytes()],
+        "homes": [homes.flatten().to_numpy(zero_copy_only=False).tobytes()],
+        "sizes": [homes.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64).tobytes()]}, schema=_PACKED)
+
+
+_PACKED = pa.schema([("shard", pa.int64()), ("blocks", pa.int64()), ("block", pa.int64()), ("dim", pa.int64()),
+                     ("single", pa.bool_()), ("rep", pa.binary()), ("v", pa.binary()), ("copies", pa.binary()),
+                     ("homes", pa.binary()), ("sizes", pa.binary())])
+
+
+def _lower_homes(shard: int, blocks: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """Per block, which of the shards below ``shard`` hold a vector, as 0 and 1."""
+    known = np.unique(np.concatenate([h for h, _ in blocks]))
+    known = known[known < shard]
+    out = []
+    for homes, sizes in blocks:
+        m = np.zeros((len(sizes), len(known)), np.float32)
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        m[row[homes < shard], np.searchsorted(known, homes[homes < shard])] = 1
+        out.append(m)
+    return out
+
+
+def _joined(hits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Component numbers of the rows and columns of a matrix of links, each node visited once."""
+    left, right = np.full(hits.shape[0], -1), np.full(hits.shape[1], -1)
+    for seed in np.flatnonzero(hits.any(axis=1)):
+        if left[seed] >= 0:
+            continue
+        rows = np.array([seed])
+        while len(rows):
+            left[rows] = seed
+            cols = np.flatnonzero(hits[rows].any(axis=0) & (right < 0))
+            right[cols] = seed
+            rows = np.flatnonzero(hits[:, cols].any(axis=1) & (left < 0)) if len(cols) else cols
+    return left, right
+
+
+def tile_links(placed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Links as ``found_links`` gives them, of shards that are compared in blocks.
+
+    Two blocks make a tile, a block with itself another; each tile compares all its pairs.
+    Blocks travel as one row each, and links are counted in the tile.
+    """
+    schema = ("shard bigint, blocks bigint, block bigint, dim bigint, single boolean, rep binary, v binary, "
+              "copies binary, homes binary, sizes binary")
+    packed = placed.withColumn("block", F.pmod(F.xxhash64("rep", F.lit("block")), F.col("blocks"))).groupBy(
+        "shard", "block").applyInArrow(_packed, schema)
+    other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
+    tiles = packed.select("*", other.alias("other")).select(
+        "*", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+
+    def look(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("block").to_pylist()
+        out = pa.schema([("rep", pa.int64()), ("links", pa.int64()), ("least", pa.int64())])
+        alone = rows[0]["low"] == rows[0]["high"]
+        if len(rows) == 1 and not alone:  # the other block is empty
+            return out.empty_table()
+        shard = rows[0]["shard"]
+        rep = [np.frombuffer(r["rep"], np.int64) for r in rows]
+        v = [np.frombuffer(r["v"], np.float32 if r["single"] else np.float64).astype(np.float64).reshape(-1, r["dim"])
+             for r in rows]
+        copies = [np.frombuffer(r["copies"], np.int64) for r in rows]
+        lower = _lower_homes(shard, [(np.frombuffer(r["homes"], np.int64), np.frombuffer(r["sizes"], np.int64))
+                                     for r in rows])
+        x = [unit(m).astype(np.float32) for m in v]
+        b = len(rows) - 1
+        hits = np.zeros((len(rep[0]), len(rep[b])), bool)
+        near = 2e-7 * (v[0].shape[1] + 8)  # rounding of single precision
+        for at in range(0, len(hits), 512):
+            sims = x[0][at:at + 512] @ x[b].T
+            hit = sims >= threshold + near
+            i, j = np.nonzero((sims >= threshold - near) & ~hit)
+            for some in range(0, len(i), 1 << 16):
+                p, q = i[some:some + (1 << 16)], j[some:some + (1 << 16)]
+                hit[p, q] = _cosine(v[0][at + p], v[b][q]) >= threshold
+            if lower[0].shape[1]:
+                hit &= lower[0][at:at + 512] @ lower[b].T == 0
+            hits[at:at + 512] = hit
+        if alone:
+            np.fill_diagonal(hits, False)
+        left, right = _joined(hits)
+        ids, parts = [rep[0]], [left]
+        links = [np.array([copies[b][h].sum() for h in hits], np.int64)]
+        if not alone:
+            ids.append(rep[b])
+            parts.append(right)
+            links.append(np.array([copies[0][h].sum() for h in hits.T], np.int64))
+        ids, parts, links = np.concatenate(ids), np.concatenate(parts), np.concatenate(links)
+        ids, parts, links = ids[links > 0], parts[links > 0], links[links > 0]
+        _, part = np.unique(parts, return_inverse=True)
+        smallest = np.full(len(ids), np.iinfo(np.int64).max)
+        np.minimum.at(smallest, part, ids)
+        return pa.table({"rep": ids, "links": links, "least": smallest[part]}, schema=out)
+
+    return tiles.groupBy("shard", "low", "high").applyInArrow(look, "rep bigint, links bigint, least bigint")
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, size: int = SHARD,
-                    overlap: int = OVERLAP) -> DataFrame:
+                    overlap: int = OVERLAP, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row of ``vectors``.
 
     ``vectors`` has vec_id, embedding and label; other columns are ignored.  Vectors
@@ -303,8 +447,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, size: int
     rows = cut(usable(vectors).withColumn("key", F.when(F.col("ok"), F.sha2(F.to_json(F.struct("label", "v")), 256))))
     reps = cut(rows.where("ok").groupBy("key", "label", "v").agg(
         F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
-    placed = cut(shards(reps, size, overlap).join(reps.select("rep", "copies"), "rep"))
-    linked = cut(found_links(placed, cut(graph(placed)), threshold))
+    split = cut(shards(reps, size, overlap, threshold=threshold, block=block))
+    homes = split.groupBy("rep").agg(F.sort_array(F.collect_set("shard")).alias("homes"))
+    placed = cut(split.join(reps.select("rep", "copies"), "rep").join(homes, "rep"))
+    searched = placed.where("blocks = 0")
+    linked = cut(found_links(searched, cut(graph(searched)), threshold).unionByName(
+        tile_links(placed.where("blocks > 0"), threshold)))
     links = linked.groupBy("rep").agg(F.sum("links").alias("links"))
     parts = components(linked.where("rep <> least").select("rep", "least")).withColumnRenamed("node", "rep")
     classes = cut(reps.select("key", "rep", "copies").join(links, "rep", "left").join(parts, "rep", "left").select(

@@ -459,3 +459,38 @@ def test_near_duplicate_vectors(spark):
     assert all(got[i].n_links == 0 and got[i].component_id == i and got[i].kept for i in range(701, 708))
     assert vector_graph.recall(df, result, every=10) >= 0.9
     assert vector_graph.near_duplicates(df.limit(0)).count() == 0
+
+
+def exact_links(data, threshold=0.93):
+    m = np.array([v for _, v, _ in data])
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    label = np.array([l for _, _, l in data])
+    near = (m @ m.T >= threshold) & (label[:, None] == label) & ~np.eye(len(m), dtype=bool)
+    return near.sum(axis=1).tolist(), least(len(data), list(zip(*np.nonzero(near))))
+
+
+def test_links_across_shards_of_a_dense_group(spark):
+    rng = np.random.default_rng(11)
+    center = rng.normal(size=16)
+    data = [(i, (center + rng.normal(size=16) * 0.2).tolist(), 1) for i in range(600)]
+    data += [(600 + i, rng.normal(size=16).tolist(), 1) for i in range(200)]
+    # Far groups: here a split stands.
+    centers = rng.normal(size=(40, 16))
+    data += [(800 + i, (centers[i % 40] + rng.normal(size=16) * 0.05).tolist(), 2) for i in range(800)]
+    want, label = exact_links(data)
+    df = spark.createDataFrame(data, "vec_id bigint, embedding array<float>, label int")
+    got = {r.vec_id: r for r in vector_graph.near_duplicates(df, size=100, block=128).collect()}
+    found = [got[i].n_links for i in range(len(data))]
+    assert found[:800] == want[:800] and sum(want[:800]) > 100_000  # a shard compared in blocks misses nothing
+    assert all(f <= w for f, w in zip(found, want)) and sum(found[800:]) >= 0.99 * sum(want[800:])
+    assert [got[i].component_id for i in range(800)] == label[:800]
+
+
+def test_vectors_that_link_share_a_cell():
+    rng = np.random.default_rng(12)
+    x = vector_graph.unit(rng.normal(size=(400, 6)))
+    y = vector_graph.unit(x + rng.normal(size=x.shape) * 0.1)
+    c = vector_graph.unit(rng.normal(size=(30, 6)))
+    near = (x * y).sum(axis=1) >= 0.93
+    shared = [len(np.intersect1d(a, b)) for a, b in zip(vector_graph.halo(x, c, 0.93), vector_graph.halo(y, c, 0.93))]
+    assert near.sum() > 200 and all(n > 0 for n, ok in zip(shared, near) if ok)
