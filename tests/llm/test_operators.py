@@ -494,3 +494,11 @@ def test_vectors_that_link_share_a_cell():
     near = (x * y).sum(axis=1) >= 0.93
     shared = [len(np.intersect1d(a, b)) for a, b in zip(vector_graph.halo(x, c, 0.93), vector_graph.halo(y, c, 0.93))]
     assert near.sum() > 200 and all(n > 0 for n, ok in zip(shared, near) if ok)
+
+
+def test_links_of_scaled_copies(spark):
+    v = np.random.default_rng(13).normal(size=8)
+    data = [(i, (v * (1 + i / 50)).tolist(), 1) for i in range(400)]
+    df = spark.createDataFrame(data, "vec_id bigint, embedding array<double>, label int")
+    got = vector_graph.near_duplicates(df, size=50, block=64).collect()
+    assert all(r.n_links == 399 and r.component_id == 0 for r in got)
