@@ -1,9 +1,13 @@
-"""Removal of passages that repeat across documents, wherever in a text they stand.
+"""Removal of paragraphs that repeat across documents, and of passages inside them.
 
-A paragraph here is every run of 50 consecutive words, so that a passage counts
-wherever it begins.  The signature of a paragraph is the smallest hash of its
-five-word shingles (a MinHash band of one row); overlapping paragraphs mostly share
-it, so few anchors stand for all paragraphs of a text.  Each anchor gives two keys:
+Paragraphs are lines, and blocks of lines between blank lines.  MinHash bands over
+their five-word shingles lead similar ones together, and pairs are decided by their
+exact Jaccard similarity (``ngram_join``).  Of paragraphs that such pairs join,
+directly or in a chain, the first document keeps its own; later documents lose theirs.
+
+Passages that stand inside paragraphs are found besides, wherever they begin: every run of 50 consecutive words counts.  The signature of a run is the smallest hash of its
+five-word shingles; overlapping runs mostly share it, so few anchors stand for all
+runs of a text.  Each anchor gives two keys:
 the 25 words from it on, and the 25 words that end with it.  Of any 50 words that two
 documents have in common, the anchor is the same in both and at least one of the keys
 lies inside, so no such passage is missed; and a key in common means 25 equal words.
@@ -30,10 +34,14 @@ from pyspark.sql import functions as F
 from eventide.core.lineage import cut
 from eventide.llm.columns import Rows, fresh, map_rows, only
 from eventide.llm.components import components
-from eventide.llm.words import runs, word_hashes, words
+from eventide.llm.ngram_join import ngram_join
+from eventide.llm.words import runs, utf8, word_hashes, words
 
 PARAGRAPH, SHINGLE, KEY = 50, 5, 25
+#: Jaccard similarity of paragraphs that count as repeated.
+NUM, DEN = 80, 100
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
+_SPACE = " \t\n\r\x0b\x0c"
 
 
 def anchors(shingles: np.ndarray, width: int) -> np.ndarray:
@@ -86,6 +94,61 @@ def common_runs(a: list, b: list, hits: list[tuple[int, int]], least: int) -> li
     return out
 
 
+def paragraphs(text: str | None, least: int = KEY) -> list[tuple[int, int, int, int]]:
+    """Words [start, end) and characters [start, end) of paragraphs of at least ``least`` words.
+
+    Lines, and blocks of several lines where blank lines part the text.  A paragraph ends
+    in front of the next word.
+    """
+    text = text or ""
+    lines, word, at = [], 0, 0
+    blocks: list[list[int]] = []
+    open_ = False
+    for line in text.split("\n"):
+        n = len(utf8(line).split())
+        if n:
+            if not open_:
+                blocks.append([len(lines), 0])
+            lines.append((word, word + n, at + len(line) - len(line.lstrip(_SPACE))))
+            blocks[-1][1] = len(lines)
+        open_ = n > 0
+        word += n
+        at += len(line) + 1
+    found = [(i, i + 1) for i in range(len(lines))]
+    if len(blocks) > 1:
+        found += [(i, j) for i, j in blocks if j - i > 1]
+    return [(lines[i][0], lines[j - 1][1], lines[i][2], lines[j][2] if j < len(lines) else len(text))
+            for i, j in found if lines[j - 1][1] - lines[i][0] >= least]
+
+
+def similar_paragraphs(docs: DataFrame, paragraph: int = PARAGRAPH, shingle: int = SHINGLE, key: int = KEY,
+                       num: int = NUM, den: int = DEN) -> DataFrame:
+    """Spans of paragraphs that are similar to those of an earlier document.
+
+    Columns as those of ``repeated_spans``; texts below ``paragraph`` words and
+    paragraphs below ``key`` words are not compared.
+    """
+
+    def run(rows: Rows) -> Rows:
+        for doc_id, text, text_hash in rows:
+            found = paragraphs(text, key)
+            if found and len(words(text)) >= paragraph:
+                for start, end, first, stop in found:
+                    yield doc_id, text_hash, start, end, first, stop, text[first:stop]
+
+    parts = map_rows(docs.select("doc_id", "text", F.xxhash64("text")), run, 1024, doc_id="bigint", text_hash="bigint",
+                     start_word="bigint", end_word="bigint", start_char="bigint", end_char="bigint", text="string")
+    parts = cut(parts.withColumn("part", F.monotonically_increasing_id()))
+    joined = ngram_join(parts.select(F.col("part").alias("doc_id"), "text"), shingle, num, den).where(
+        "n_links > 0").select(F.col("doc_id").alias("part"), F.col("component_id").alias("class"))
+    linked = cut(parts.drop("text").join(joined.hint("merge"), "part").drop("part"))
+    # Written, so that the join has a shuffle of its own, whose hot class can be split.
+    keeper = cut(linked.groupBy("class").agg(F.min("doc_id").alias("keep_id"), F.max("doc_id").alias("high"))
+                 .where("keep_id < high").select("class", "keep_id"))
+    return linked.join(keeper.hint("merge"), "class").where("keep_id < doc_id").select(
+        "doc_id", "text_hash", "start_word", "end_word", "start_char", "end_char", "keep_id")
+
+
 def repeated_spans(docs: DataFrame, paragraph: int = PARAGRAPH, shingle: int = SHINGLE,
                    key: int = KEY) -> tuple[DataFrame, DataFrame]:
     """Spans to remove, and per row of ``docs`` its digest class.
@@ -138,9 +201,12 @@ def repeated_spans(docs: DataFrame, paragraph: int = PARAGRAPH, shingle: int = S
                 stop = at[end][0] if end < len(at) else len(text)
                 yield doc_id, text_hash, start, end, at[start][0], stop, keep_id
 
-    spans = cut(map_rows(both, verify, 1024, doc_id="bigint", text_hash="bigint", start_word="bigint",
-                         end_word="bigint", start_char="bigint", end_char="bigint", keep_id="bigint"))
-    return spans, classes
+    exact = map_rows(both, verify, 1024, doc_id="bigint", text_hash="bigint", start_word="bigint",
+                         end_word="bigint", start_char="bigint", end_char="bigint", keep_id="bigint")
+    # Copies go whole, by their class.
+    copies = classes.where("doc_id <> first_id and n_words >= %d" % paragraph).select("doc_id").distinct()
+    similar = similar_paragraphs(docs, paragraph, shingle, key).join(copies, "doc_id", "left_anti")
+    return cut(exact.unionByName(similar).distinct()), classes
 
 
 def substring_dedup(docs: DataFrame, paragraph: int = PARAGRAPH, shingle: int = SHINGLE,

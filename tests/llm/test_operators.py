@@ -249,6 +249,31 @@ def test_repeated_passages(spark):
     assert passage in texts_left[3] and all(len(words(texts_left[i])) == len(words(texts[i])) - 51 for i in (9, 11, 20))
 
 
+def test_similar_paragraphs(spark):
+    rng = random.Random(9)
+
+    def edited(text, *places):
+        w = text.split(" ")
+        for i in places:
+            w[i] = "edited"
+        return " ".join(w)
+
+    short, long, far, block = (prose(rng, n, 10**6) for n in (60, 240, 60, 90))
+    lines = block.split(" ")
+    block = "\n".join(" ".join(lines[i:i + 15]) for i in range(0, 90, 15))
+    own = [prose(rng, 80, 10**6) for _ in range(6)]
+    texts = [f"{short}\n{own[0]}", f"{own[1]}\r\n{edited(short, 30)}", long, f"{edited(long, 48, 97, 146, 195)}\n{own[2]}",
+             f"{far}\n{own[3]}", edited(far, 10, 30, 50), f"{block}\n\n{own[4]}", f"{own[5]}\n \n{block.replace(lines[40], 'x')}\n",
+             f"{short}\n{short}"]
+    df = documents(spark, texts, clashing=True).repartition(3)
+    got = {r.doc_id: r for r in substring_dedup.substring_dedup(df).collect()}
+    assert [got[i].removed_words for i in range(9)] == [0, 60, 0, 240, 0, 0, 0, 90, 120]
+    assert got[1].keep_ids == [0] and got[3].keep_ids == [2] and got[7].keep_ids == [6] and got[8].keep_ids == [0]
+    assert not got[8].kept and got[3].component_id == 2
+    left = {r.doc_id: r.text for r in substring_dedup.without_repeats(df).collect()}
+    assert left == {0: texts[0], 1: own[1], 2: long, 3: own[2], 4: texts[4], 5: texts[5], 6: texts[6], 7: own[5]}
+
+
 def test_no_passages(nothing, docs):
     assert substring_dedup.substring_dedup(nothing).count() == 0
     assert substring_dedup.without_repeats(nothing).count() == 0
