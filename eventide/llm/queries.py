@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventide.llm import bpe, exact_dedup, html_extract, ngram_join, packing, substring_dedup, suffix_tree, toxicity, url_graph, vector_graph
+from eventide.llm import (bpe, exact_dedup, html_extract, merkle, ngram_join, packing, substring_dedup, suffix_tree, toxicity,
+                          url_graph, vector_graph)
 from eventide.llm.columns import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -128,3 +129,59 @@ FROM v JOIN (SELECT x, min(c) AS c FROM r GROUP BY x) m ON m.x = v.vec_id
 LEFT JOIN (SELECT x, count(*) AS k FROM l GROUP BY x) k ON k.x = v.vec_id""")
 def op10_vector_graph(spark, sf_dir):
     return vector_graph.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+#: crc32 of a text in DuckDB, which has no such function: eight shifts a byte.
+_CRC32 = """xor(4294967295, list_reduce([4294967295::BIGINT] || list_transform(range(octet_length(encode({0}))),
+    lambda i: ('0x' || substr(hex(encode({0})), 2 * i + 1, 2))::BIGINT),
+    lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, z: xor(a >> 1, 3988292384 * (a & 1)))))"""
+
+
+def _field(value: str) -> str:
+    return f"coalesce(octet_length(encode({value}::VARCHAR)) || ':' || {value}::VARCHAR, '-')"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+@query("op12_merkle_manifest", f"""
+WITH RECURSIVE h AS (
+  SELECT doc_id, source, {_leaf('text')} AS leaf,
+         CASE WHEN {_CRC32.format("coalesce(doc_id::VARCHAR, '')")} % 5 = 0
+           THEN {_leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}
+           ELSE {_leaf('text')} END AS seen
+  FROM documents
+), o AS (SELECT source, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS t FROM (SELECT DISTINCT source FROM h)
+), l AS (
+  SELECT doc_id, t, leaf, seen, row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS FIRST, leaf, seen) - 1 AS place,
+         count(*) OVER (PARTITION BY t) AS n
+  FROM h JOIN o ON h.source IS NOT DISTINCT FROM o.source
+), b AS (
+  SELECT t, 0 AS lvl, place AS i, leaf AS x, n FROM l
+  UNION ALL
+  SELECT t, lvl + 1, i // 16, sha256(string_agg(x, '' ORDER BY i)), (n + 15) // 16 FROM b WHERE n > 1
+  GROUP BY t, lvl, i // 16, n
+), r AS (SELECT t, x FROM b WHERE n = 1
+), u AS (
+  SELECT -1 AS t, 0 AS lvl, t AS i, x, (SELECT count(*) FROM o) AS n FROM r
+  UNION ALL
+  SELECT t, lvl + 1, i // 16, sha256(string_agg(x, '' ORDER BY i)), (n + 15) // 16 FROM u WHERE n > 1
+  GROUP BY t, lvl, i // 16, n
+), a AS (
+  SELECT t, lvl, i, CASE WHEN t >= 0 AND n <= 16 THEN -1 ELSE t END AS nt, CASE WHEN t >= 0 AND n <= 16 THEN 0 ELSE lvl + 1 END AS nl,
+         CASE WHEN t >= 0 AND n <= 16 THEN t ELSE i // 16 END AS ni,
+         coalesce(string_agg(x, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS lft,
+         coalesce(string_agg(x, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS rgt
+  FROM (SELECT * FROM b UNION ALL SELECT * FROM u) WHERE n > 1
+  WINDOW w AS (PARTITION BY t, lvl, i // 16 ORDER BY i)
+), f AS (
+  SELECT doc_id, t AS s, place, leaf, seen AS x, '' AS proof, CASE WHEN n > 1 THEN t ELSE -1 END AS t, 0 AS lvl,
+         CASE WHEN n > 1 THEN place ELSE t END AS i FROM l
+  UNION ALL
+  SELECT doc_id, s, place, leaf, sha256(lft || x || rgt), proof || lft || rgt, nt, nl, ni FROM f JOIN a USING (t, lvl, i)
+)
+SELECT f.doc_id, f.leaf, r.x AS subroot, p.x AS root, sha256(f.proof) AS proof_sha256, f.x AS folded_root, f.x = p.x AS verified
+FROM f JOIN r ON r.t = f.s JOIN u p ON p.n = 1 LEFT JOIN a ON a.t = f.t AND a.lvl = f.lvl AND a.i = f.i WHERE a.t IS NULL""")
+def op12_merkle_manifest(spark, sf_dir):
+    return merkle.manifest(table(spark, sf_dir, "documents"))
