@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventide.llm import (bpe, exact_dedup, html_extract, merkle, ngram_join, packing, substring_dedup, suffix_tree, toxicity,
-                          url_graph, vector_graph)
+from eventide.llm import (bpe, exact_dedup, html_extract, merkle, ngram_join, packing, spelling, substring_dedup, suffix_tree,
+                          toxicity, url_graph, vector_graph, vector_search)
 from eventide.llm.columns import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -131,12 +131,6 @@ def op10_vector_graph(spark, sf_dir):
     return vector_graph.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-#: crc32 of a text in DuckDB, which has no such function: eight shifts a byte.
-_CRC32 = """xor(4294967295, list_reduce([4294967295::BIGINT] || list_transform(range(octet_length(encode({0}))),
-    lambda i: ('0x' || substr(hex(encode({0})), 2 * i + 1, 2))::BIGINT),
-    lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, z: xor(a >> 1, 3988292384 * (a & 1)))))"""
-
-
 def _field(value: str) -> str:
     return f"coalesce(octet_length(encode({value}::VARCHAR)) || ':' || {value}::VARCHAR, '-')"
 
@@ -145,6 +139,44 @@ def _leaf(text: str) -> str:
     return "sha256(" + " || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
 
 
+#: crc32 of a text in DuckDB, which has no such function: eight shifts a byte.
+_CRC32 = """xor(4294967295, list_reduce([4294967295::BIGINT] || list_transform(range(octet_length(encode({0}))),
+    lambda i: ('0x' || substr(hex(encode({0})), 2 * i + 1, 2))::BIGINT),
+    lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, z: xor(a >> 1, 3988292384 * (a & 1)))))"""
+
+
+@query("op11_spelling_variants", f"""
+WITH RECURSIVE r AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[a-z\\x{{00C0}}-\\x{{00FF}}]+')) AS w FROM documents
+), g AS (
+  SELECT w, count(*) AS k, {_CRC32.format("coalesce(doc_id::VARCHAR, '') || ':' || w")} AS h FROM r
+  WHERE length(w) >= 7 GROUP BY doc_id, w
+), c AS (
+  SELECT CASE WHEN h % 31 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, k FROM g
+), v AS (
+  SELECT word, sum(k)::BIGINT AS n FROM c WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2
+), p AS (SELECT word, n, unnest(range(length(word))) AS i FROM v
+), d AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS x FROM p
+), e AS (
+  SELECT a.word AS word, b.word AS near, b.n AS near_n FROM d a JOIN d b ON a.x = b.x AND a.i = b.i AND a.word <> b.word
+  UNION SELECT d.word, v.word, v.n FROM d JOIN v ON d.x = v.word
+  UNION SELECT v.word, d.word, d.n FROM d JOIN v ON d.x = v.word
+), b AS (
+  SELECT word, count(*) AS n_near, max(near_n) AS form_n, arg_min(near, (-near_n, near)) AS form FROM e GROUP BY word
+), f AS (
+  SELECT v.word, v.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.form_n >= 10 * v.n THEN b.form END AS form,
+         CASE WHEN b.form_n >= 10 * v.n THEN b.form_n END AS form_n FROM v LEFT JOIN b USING (word)
+), t AS (
+  SELECT word, word AS root FROM f
+  UNION ALL SELECT t.word, f.form FROM t JOIN f ON f.word = t.root WHERE f.form IS NOT NULL
+)
+SELECT f.word, f.form, t.root, f.n, f.n_near, f.form_n
+FROM f JOIN t USING (word) JOIN f z ON z.word = t.root WHERE z.form IS NULL""")
+def op11_spelling_variants(spark, sf_dir):
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 @query("op12_merkle_manifest", f"""
 WITH RECURSIVE h AS (
   SELECT doc_id, source, {_leaf('text')} AS leaf,
@@ -185,3 +217,8 @@ SELECT f.doc_id, f.leaf, r.x AS subroot, p.x AS root, sha256(f.proof) AS proof_s
 FROM f JOIN r ON r.t = f.s JOIN u p ON p.n = 1 LEFT JOIN a ON a.t = f.t AND a.lvl = f.lvl AND a.i = f.i WHERE a.t IS NULL""")
 def op12_merkle_manifest(spark, sf_dir):
     return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+@query("op13_vector_search")
+def op13_vector_search(spark, sf_dir):
+    return vector_search.nearest(table(spark, sf_dir, "embeddings"))
