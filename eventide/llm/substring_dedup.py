@@ -1,45 +1,55 @@
 """Removal of paragraphs that repeat across documents, and of passages inside them.
 
-Paragraphs are lines, and blocks of lines between blank lines.  MinHash bands over
-their five-word shingles lead similar ones together, and pairs are decided by their
-exact Jaccard similarity (``ngram_join``).  Of paragraphs that such pairs join,
-directly or in a chain, the first document keeps its own; later documents lose theirs.
-
-Passages that stand inside paragraphs are found besides, wherever they begin: every run of 50 consecutive words counts.  The signature of a run is the smallest hash of its
-five-word shingles; overlapping runs mostly share it, so few anchors stand for all
-runs of a text.  Each anchor gives two keys:
-the 25 words from it on, and the 25 words that end with it.  Of any 50 words that two
-documents have in common, the anchor is the same in both and at least one of the keys
-lies inside, so no such passage is missed; and a key in common means 25 equal words.
-
-Documents that share a key are compared with the first document that has it, word
-by word (edit distance zero), and the match is extended to both sides as far as the
-words agree.  The first document keeps its words, the others lose them.  Documents
-that are joined by removals, directly or in a chain, form a component.
-
-Keys are counted with map-side combining and members are joined to one keeper, so a
-passage held by a third of all documents costs as much per document as any other.
+Paragraphs are lines, and blocks of lines between blank lines, of at least one five-word
+shingle.  MinHash bands, as few as keep the chance to miss a pair at the threshold below a
+hundredth (``tuned``), lead similar paragraphs together; who meets is decided by the exact
+Jaccard similarity of the shingle sets.  Of paragraphs that such pairs join, directly or in a
+chain, the first document keeps its own; later documents lose theirs.
+
+Passages that stand inside paragraphs are found besides, wherever they begin.  The signature of
+a run of 50 words is the smallest hash of its five-word shingles; overlapping runs mostly share
+it, so few anchors stand for all runs of a text.  Each anchor gives two keys: the 25 words from
+it on, and the 25 words that end with it.  Of any 50 words that two documents have in common,
+the anchor is the same in both and at least one of the keys lies inside.
+
+Documents that share a key are compared with the first document that has it, word by word (edit
+distance zero), and the match is extended to both sides as far as the words agree.  Two later
+documents can have more in common with each other only if they part from the first one at the
+same distance from the key and go on with the same word; who does so meets in another round,
+until nobody is left.  The first document keeps its words, the others lose them.  Documents that
+are joined by removals, directly or in a chain, form a component.
+
+One pass over the texts makes keys, bands and digests; texts are read again only where a
+document takes part in a comparison.  Members are joined to one keeper, so a passage held by a
+third of all documents costs as much per document as any other.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventide.core.lineage import cut
 from eventide.llm.columns import Rows, fresh, map_rows, only
 from eventide.llm.components import components
-from eventide.llm.ngram_join import ngram_join
+from eventide.llm.minhash import Bands
+from eventide.llm.ngram_join import link_tile, tiles
 from eventide.llm.words import runs, utf8, word_hashes, words
 
 PARAGRAPH, SHINGLE, KEY = 50, 5, 25
 #: Jaccard similarity of paragraphs that count as repeated.
 NUM, DEN = 80, 100
+#: Chance to miss a pair of paragraphs at the threshold, and the most bands to spend on it.
+MISS, MOST_BANDS = 0.01, 10
+#: Digests that a task remembers, to give the keys of equal texts and paragraphs once.
+HELD = 1_000_000
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _SPACE = " \t\n\r\x0b\x0c"
 
@@ -59,154 +69,250 @@ def anchors(shingles: np.ndarray, width: int) -> np.ndarray:
     return np.unique(new + windows[new].argmin(axis=1))
 
 
-def keys(text: str | None, paragraph: int = PARAGRAPH, shingle: int = SHINGLE, key: int = KEY):
-    """(key, word position of its first word) of a text, and the digest of its words."""
-    tokens = words(text)
-    digest = hashlib.blake2b(b" ".join(tokens), digest_size=16).digest()
-    if len(tokens) < paragraph:
-        return [], digest, len(tokens)
-    h = word_hashes(tokens)
+def tuned(similarity: float, miss: float = MISS, most: int = MOST_BANDS) -> tuple[int, int]:
+    """Bands and rows: as many rows as ``most`` bands allow, so that few unlike pairs meet."""
+    best = (most, 1)
+    for rows in range(1, 20):
+        bands = math.ceil(math.log(miss) / math.log(1 - similarity ** rows))
+        if bands > most:
+            break
+        best = (bands, rows)
+    return best
+
+
+def keys(h: np.ndarray, paragraph: int, shingle: int, key: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the passages of a text with word hashes ``h``, and the position of their first word."""
+    if len(h) < paragraph:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
     at = anchors(runs(h, shingle), paragraph - shingle + 1)
     long = runs(h, key)
     start = np.unique(np.concatenate([at, at + shingle - key]))
     start = start[(start >= 0) & (start < len(long))]
-    return list(zip(long[start].view(np.int64).tolist(), start.tolist())), digest, len(tokens)
+    return long[start].view(np.int64), start
 
 
-def common_runs(a: list, b: list, hits: list[tuple[int, int]], least: int) -> list[tuple[int, int]]:
-    """Maximal runs [start, end) of ``a`` around hits (position in a, in b) where both agree."""
+def common_runs(a: list, b: list, hits: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Per hit (position in a, in b) the maximal run [start, end) of ``a`` around it where both agree."""
     number: dict = {}
     x = np.fromiter((number.setdefault(w, len(number)) for w in a), np.int64, len(a))
     y = np.fromiter((number.setdefault(w, len(number)) for w in b), np.int64, len(b))
-    out, done = [], {}
+    out, last = {}, {}
     for i, j in sorted(hits):
-        if i < done.get(i - j, 0):
-            continue
-        back = min(i, j)
-        differ = np.flatnonzero(x[i - back:i] != y[j - back:j])
-        start = i - back + (differ[-1] + 1 if len(differ) else 0)
-        ahead = min(len(x) - i, len(y) - j)
-        differ = np.flatnonzero(x[i:i + ahead] != y[j:j + ahead])
-        end = i + (differ[0] if len(differ) else ahead)
-        done[i - j] = end
-        if end - start >= least:
-            out.append((int(start), int(end)))
-    return out
-
-
-def paragraphs(text: str | None, least: int = KEY) -> list[tuple[int, int, int, int]]:
-    """Words [start, end) and characters [start, end) of paragraphs of at least ``least`` words.
-
-    Lines, and blocks of several lines where blank lines part the text.  A paragraph ends
-    in front of the next word.
+        start, end = last.get(i - j, (0, 0))
+        if i >= end:
+            back = min(i, j)
+            differ = np.flatnonzero(x[i - back:i] != y[j - back:j])
+            start = i - back + (int(differ[-1]) + 1 if len(differ) else 0)
+            ahead = min(len(x) - i, len(y) - j)
+            differ = np.flatnonzero(x[i:i + ahead] != y[j:j + ahead])
+            end = i + (int(differ[0]) if len(differ) else ahead)
+            last[i - j] = start, end
+        out[i, j] = start, end
+    return [out[h] for h in hits]
+
+
+def paragraphs(text: str | None, least: int = SHINGLE) -> list[tuple[int, int]]:
+    """Words [start, end) of paragraphs of at least ``least`` words.
+
+    Lines, and blocks of several lines where blank lines part the text.
     """
-    text = text or ""
-    lines, word, at = [], 0, 0
+    lines, word = [], 0
     blocks: list[list[int]] = []
     open_ = False
-    for line in text.split("\n"):
-        n = len(utf8(line).split())
+    for line in utf8(text).split(b"\n"):
+        n = len(line.split())
         if n:
             if not open_:
                 blocks.append([len(lines), 0])
-            lines.append((word, word + n, at + len(line) - len(line.lstrip(_SPACE))))
+            lines.append((word, word + n))
             blocks[-1][1] = len(lines)
         open_ = n > 0
         word += n
-        at += len(line) + 1
-    found = [(i, i + 1) for i in range(len(lines))]
+    found = set(lines)
     if len(blocks) > 1:
-        found += [(i, j) for i, j in blocks if j - i > 1]
-    return [(lines[i][0], lines[j - 1][1], lines[i][2], lines[j][2] if j < len(lines) else len(text))
-            for i, j in found if lines[j - 1][1] - lines[i][0] >= least]
+        found |= {(lines[i][0], lines[j - 1][1]) for i, j in blocks}
+    return sorted(p for p in found if p[1] - p[0] >= least)
 
 
-def similar_paragraphs(docs: DataFrame, paragraph: int = PARAGRAPH, shingle: int = SHINGLE, key: int = KEY,
-                       num: int = NUM, den: int = DEN) -> DataFrame:
-    """Spans of paragraphs that are similar to those of an earlier document.
+def distinct_counts(shingles: np.ndarray, spans: list[tuple[int, int]]) -> list[int]:
+    """Number of distinct values of each slice."""
+    order = np.argsort(shingles, kind="stable")
+    same = shingles[order[1:]] == shingles[order[:-1]]
+    before = np.full(len(shingles), -1)
+    before[order[1:][same]] = order[:-1][same]
+    repeated = np.concatenate([[0], np.cumsum(before >= 0)])
+    return [b - a if repeated[b] == repeated[a] else int((before[a:b] < a).sum()) for a, b in spans]
 
-    Columns as those of ``repeated_spans``; texts below ``paragraph`` words and
-    paragraphs below ``key`` words are not compared.
-    """
 
-    def run(rows: Rows) -> Rows:
-        for doc_id, text, text_hash in rows:
-            found = paragraphs(text, key)
-            if found and len(words(text)) >= paragraph:
-                for start, end, first, stop in found:
-                    yield doc_id, text_hash, start, end, first, stop, text[first:stop]
-
-    parts = map_rows(docs.select("doc_id", "text", F.xxhash64("text")), run, 1024, doc_id="bigint", text_hash="bigint",
-                     start_word="bigint", end_word="bigint", start_char="bigint", end_char="bigint", text="string")
-    parts = cut(parts.withColumn("part", F.monotonically_increasing_id()))
-    joined = ngram_join(parts.select(F.col("part").alias("doc_id"), "text"), shingle, num, den).where(
-        "n_links > 0").select(F.col("doc_id").alias("part"), F.col("component_id").alias("class"))
-    linked = cut(parts.drop("text").join(joined.hint("merge"), "part").drop("part"))
-    # Written, so that the join has a shuffle of its own, whose hot class can be split.
-    keeper = cut(linked.groupBy("class").agg(F.min("doc_id").alias("keep_id"), F.max("doc_id").alias("high"))
+_SIGNED = {"doc_id": "bigint", "text_hash": "bigint", "digest": "binary", "n_words": "bigint", "key": "array<bigint>",
+           "pos": "array<bigint>", "start": "array<bigint>", "end": "array<bigint>",
+           "n": "array<bigint>", "same": "array<bigint>", "bands": "array<bigint>"}
+
+
+def signatures(docs: DataFrame, paragraph: int, shingle: int, key: int, num: int, den: int) -> DataFrame:
+    """Per row its digest and number of words, the keys of its passages, and its paragraphs.
+
+    Paragraphs: words [start, end), n (distinct shingles), same (hash
+    of the words) and, in one row of bands each, its keys; those of equal paragraphs are given once a
+    task.  Of texts with the same words only those of the smallest ids of a task have keys.
+    """
+    bands, rows = tuned(num / den)
+
+    def run(taken: Rows) -> Rows:
+        family, texts, parts = Bands(bands, rows), {}, set()
+        for doc_id, text, text_hash in taken:
+            tokens = words(text)
+            digest = hashlib.blake2b(b" ".join(tokens), digest_size=16).digest()
+            if texts.get(digest, doc_id + 1) <= doc_id:  # equal texts are found by their digest
+                yield doc_id, text_hash, digest, len(tokens), *[[]] * 7
+                continue
+            texts[digest] = doc_id
+            h = word_hashes(tokens)
+            found, at = keys(h, paragraph, shingle, key)
+            spans = paragraphs(text, shingle)
+            same = [xxhash.xxh3_64_intdigest(h[a:b].tobytes()) - (1 << 63) for a, b in spans]
+            n, banded = [], np.empty(0, np.int64)
+            if spans:
+                s = runs(h, shingle)
+                cut_ = [(a, b - shingle + 1) for a, b in spans]
+                n = distinct_counts(s, cut_)
+                banded = family.keys_of(s, cut_)
+                for i, x in enumerate(same):
+                    if x in parts:
+                        banded[i] = 0
+                    else:
+                        parts.add(x)
+                if len(parts) > HELD:
+                    parts.clear()
+            if len(texts) > HELD:
+                texts.clear()
+            yield (doc_id, text_hash, digest, len(tokens), found, at, [a for a, _ in spans], [b for _, b in spans], n,
+                   same, banded.ravel())
+
+    return map_rows(docs.select("doc_id", "text", F.xxhash64("text")), run, 256, **_SIGNED)
+
+
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id, text_hash and text of the given documents; a shuffle join, as both sides grow."""
+    return docs.join(ids.distinct().hint("merge"), "doc_id").select("doc_id", F.xxhash64("text").alias("text_hash"), "text").distinct()
+
+
+def meeting_paragraphs(signed: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """All paragraphs (without bands), and those that share a band with one of other words, with their tiles."""
+    bands, _ = tuned(num / den)
+    cut_up = signed.select("doc_id", "text_hash", F.explode(F.arrays_zip("start", "end", "n", "same")).alias("p")).select(
+        "doc_id", "text_hash", "p.*")
+    banded = signed.select(F.explode(F.expr(
+        f"transform(same, (x, i) -> struct(x AS same, slice(bands, i * {bands} + 1, {bands}) AS keys))")).alias("p")).select(
+        "p.same", F.explode("p.keys").alias("band")).where("band <> 0")
+    shared = cut(banded.groupBy("band").agg(F.min("same").alias("low"), F.max("same").alias("high")).where("low < high").select("band", "low"))
+    met = banded.join(shared.hint("merge"), "band").where("same <> low").select("low", "same").distinct()
+    cells = components(met).select(F.col("node").alias("same"), F.col("component").alias("cell"))
+    held = cut_up.join(cells.hint("merge"), "same").groupBy("same", "cell").agg(
+        F.min(F.struct("doc_id", "text_hash", "start", "end")).alias("at"), F.first("n").alias("n"))
+    members = cut(held.select(F.col("same").alias("rep"), "cell", "n", F.lit(1).cast("bigint").alias("copies"),
+                              F.lit(None).cast("binary").alias("digest"), "at.*"))
+    placed = tiles(members.select("rep", "cell", "n", "copies", "digest"), num, den).groupBy("rep").agg(
+        F.collect_list(F.struct("tile", "side")).alias("tiles"))
+    return cut_up, members.join(placed, "rep").select("rep", "doc_id", "text_hash", "start", "end", "tiles")
+
+
+def similar_paragraphs(cut_up: DataFrame, wanted: DataFrame, texts: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
+    """doc_id, text_hash, start_word, end_word and keep_id of paragraphs like those of an earlier document."""
+    asked = texts.join(wanted.groupBy("doc_id", "text_hash").agg(
+        F.collect_list(F.struct("rep", "start", "end", "tiles")).alias("parts")), ["doc_id", "text_hash"]).select("text", "parts")
+
+    def arrays(rows: Rows) -> Rows:
+        for text, parts in rows:
+            s = runs(word_hashes(words(text)), shingle)
+            for p in parts:
+                packed = np.unique(s[p["start"]:p["end"] - shingle + 1]).tobytes()
+                for t in p["tiles"]:
+                    yield t["tile"], t["side"], p["rep"], 1, packed
+
+    valued = map_rows(asked, arrays, 64, tile="bigint", side="int", rep="bigint", copies="bigint", values="binary")
+    linked = cut(valued.groupBy("tile").applyInArrow(
+        lambda t: link_tile(t, num, den), "rep bigint, links bigint, least bigint"))
+    joined = components(linked.select("rep", "least").where("rep <> least")).select(
+        F.col("node").alias("same"), F.col("component").alias("other"))
+    # Equal paragraphs are one class as they are; similar ones take the smallest hash of theirs.
+    held = cut_up.join(joined.hint("merge"), "same", "left").select(
+        "doc_id", "text_hash", "start", "end", F.coalesce("other", "same").alias("class"))
+    keeper = cut(held.groupBy("class").agg(F.min("doc_id").alias("keep_id"), F.max("doc_id").alias("high"))
                  .where("keep_id < high").select("class", "keep_id"))
-    return linked.join(keeper.hint("merge"), "class").where("keep_id < doc_id").select(
-        "doc_id", "text_hash", "start_word", "end_word", "start_char", "end_char", "keep_id")
+    return held.join(keeper.hint("merge"), "class").where("keep_id < doc_id").select(
+        "doc_id", "text_hash", F.col("start").alias("start_word"), F.col("end").alias("end_word"), "keep_id")
+
+
+def _round(hits: DataFrame, texts: DataFrame, key: int) -> DataFrame:
+    """spans and next (keys of the next round) per document and its keeper; ``hits`` has doc_id, key and pos."""
+    keeper = cut(hits.groupBy("key").agg(F.min(F.struct("doc_id", "pos")).alias("k")).select(
+        "key", F.col("k.doc_id").alias("keep_id"), F.col("k.pos").alias("keep_pos")))
+    pairs = hits.join(keeper.hint("merge"), "key").where("doc_id <> keep_id").groupBy("doc_id", "keep_id").agg(
+        F.sort_array(F.collect_set(F.struct("pos", "keep_pos", "key"))).alias("hits"))
+    both = (pairs.join(texts.hint("merge"), "doc_id").join(texts.select(
+        F.col("doc_id").alias("keep_id"), F.col("text").alias("keep_text")).hint("merge"), "keep_id")
+        .select("doc_id", "text_hash", "text", "keep_id", "keep_text", "hits"))
+
+    def verify(rows: Rows) -> Rows:
+        for doc_id, text_hash, text, keep_id, keep_text, found in rows:
+            a, b = words(text), words(keep_text)
+            inside = [h for h in found if h["pos"] < len(a) and h["keep_pos"] < len(b)]
+            agreed = common_runs(a, b, [(h["pos"], h["keep_pos"]) for h in inside])
+            spans = sorted({r for r in agreed if r[1] - r[0] >= key})
+            again, at = [], []
+            for h, (start, end) in zip(inside, agreed):
+                # Where the match ends, seen from the key, and the word that goes on there.
+                for side, far, beyond in ((0, h["pos"] - start, start - 1), (1, end - h["pos"], end)):
+                    if end > start and 0 <= beyond < len(a):
+                        word = xxhash.xxh3_64_intdigest(a[beyond], seed=(h["key"] * 2 + side) & ((1 << 64) - 1))
+                        again.append(xxhash.xxh3_64_intdigest(b"%d %d" % (word, far)) - (1 << 63))
+                        at.append(h["pos"])
+            yield doc_id, text_hash, keep_id, [s for s, _ in spans], [e for _, e in spans], again, at
+
+    return cut(map_rows(both, verify, 256, doc_id="bigint", text_hash="bigint", keep_id="bigint", start="array<bigint>",
+                        end="array<bigint>", key="array<bigint>", pos="array<bigint>"))
+
+
+def _shared(keyed: DataFrame) -> DataFrame:
+    """Rows of ``keyed`` whose key several documents have."""
+    shared = cut(keyed.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+                 .where("low < high").select("key"))
+    return keyed.join(shared.hint("merge"), "key").select("doc_id", "key", "pos")
 
 
-def repeated_spans(docs: DataFrame, paragraph: int = PARAGRAPH, shingle: int = SHINGLE,
-                   key: int = KEY) -> tuple[DataFrame, DataFrame]:
+def repeated_spans(docs: DataFrame, paragraph: int = PARAGRAPH, shingle: int = SHINGLE, key: int = KEY,
+                   num: int = NUM, den: int = DEN) -> tuple[DataFrame, DataFrame]:
     """Spans to remove, and per row of ``docs`` its digest class.
 
-    Spans: doc_id, text_hash, start_word, end_word, start_char, end_char, keep_id.
+    Spans: doc_id, text_hash, start_word, end_word, keep_id.
     Classes: doc_id, n_words, first_id (smallest doc_id with the same words).
     """
     if 2 * key > paragraph:
         raise ValueError("a key is at most half a paragraph")
     docs = docs.where("doc_id is not null")
-
-    def run(rows: Rows) -> Rows:
-        seen = set()
-        for doc_id, text in rows:
-            found, digest, n = keys(text, paragraph, shingle, key)
-            if digest in seen:  # equal texts are found by their digest
-                found = []
-            seen.add(digest)
-            yield doc_id, digest, n, [k for k, _ in found], [p for _, p in found]
-
-    signed = cut(map_rows(docs.select("doc_id", "text"), run, 256, doc_id="bigint", digest="binary",
-                          n_words="bigint", key="array<bigint>", pos="array<bigint>"))
+    signed = cut(signatures(docs, paragraph, shingle, key, num, den))
     first = signed.groupBy("digest").agg(F.min("doc_id").alias("first_id"))
-    classes = cut(signed.select("doc_id", "digest", "n_words").join(first, "digest").drop("digest"))
+    classes = cut(signed.select("doc_id", "digest", "n_words").join(first.hint("merge"), "digest").drop("digest"))
+    moved = classes.where("doc_id <> first_id").select("doc_id", "first_id").distinct()
     keyed = signed.select("doc_id", F.explode(F.arrays_zip("key", "pos")).alias("k")).select(
         "doc_id", "k.key", F.col("k.pos").cast("int").alias("pos"))
-    shared = cut(keyed.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-                 .where("low < high").select("key"))
-    hits = (keyed.join(shared.hint("merge"), "key")
-            .join(classes.where("doc_id <> first_id").select("doc_id", "first_id").distinct(), "doc_id", "left")
-            .select(F.coalesce("first_id", "doc_id").alias("doc_id"), "key", "pos"))
-    hits = cut(hits.distinct())
-    keeper = cut(hits.groupBy("key").agg(F.min(F.struct("doc_id", "pos")).alias("k")).select(
-        "key", F.col("k.doc_id").alias("keep_id"), F.col("k.pos").alias("keep_pos")))
-    pairs = cut(hits.join(keeper, "key").where("doc_id <> keep_id").groupBy("doc_id", "keep_id").agg(
-        F.sort_array(F.collect_set(F.struct("pos", "keep_pos"))).alias("hits")))
-    involved = pairs.select("doc_id").unionByName(pairs.select(F.col("keep_id").alias("doc_id"))).distinct()
-    # Shuffle joins at every size: these tables grow with the input.
-    texts = cut(docs.join(involved.hint("merge"), "doc_id").select("doc_id", "text").distinct())
-    both = (pairs.join(texts, "doc_id")
-            .join(texts.select(F.col("doc_id").alias("keep_id"), F.col("text").alias("keep_text")), "keep_id")
-            .select("doc_id", "text", F.xxhash64("text").alias("text_hash"), "keep_id", "keep_text", "hits"))
-
-    def verify(rows: Rows) -> Rows:
-        for doc_id, text, text_hash, keep_id, keep_text, found in rows:
-            at = [m.span() for m in _WORD.finditer(text or "")]
-            a, b = words(text), words(keep_text)
-            inside = [(h["pos"], h["keep_pos"]) for h in found if h["pos"] < len(a) and h["keep_pos"] < len(b)]
-            for start, end in common_runs(a, b, inside, key):
-                stop = at[end][0] if end < len(at) else len(text)
-                yield doc_id, text_hash, start, end, at[start][0], stop, keep_id
-
-    exact = map_rows(both, verify, 1024, doc_id="bigint", text_hash="bigint", start_word="bigint",
-                         end_word="bigint", start_char="bigint", end_char="bigint", keep_id="bigint")
+    hits = cut(_shared(keyed).join(moved.hint("merge"), "doc_id", "left").select(
+        F.coalesce("first_id", "doc_id").alias("doc_id"), "key", "pos").distinct())
+    cut_up, wanted = meeting_paragraphs(signed, num, den)
+    wanted = cut(wanted)
+    texts = cut(texts_of(docs, hits.select("doc_id").unionByName(wanted.select("doc_id"))))
+    spans = similar_paragraphs(cut_up, wanted, texts, shingle, num, den)
+    while not hits.isEmpty():
+        found = _round(hits, texts, key)
+        spans = spans.unionByName(found.select("doc_id", "text_hash", "keep_id", F.explode(F.arrays_zip("start", "end")).alias("s"))
+                                  .select("doc_id", "text_hash", F.col("s.start").alias("start_word"),
+                                          F.col("s.end").alias("end_word"), "keep_id"))
+        hits = cut(_shared(found.select("doc_id", F.explode(F.arrays_zip("key", "pos")).alias("k")).select(
+            "doc_id", "k.key", F.col("k.pos").cast("int").alias("pos")).distinct()))
     # Copies go whole, by their class.
-    copies = classes.where("doc_id <> first_id and n_words >= %d" % paragraph).select("doc_id").distinct()
-    similar = similar_paragraphs(docs, paragraph, shingle, key).join(copies, "doc_id", "left_anti")
-    return cut(exact.unionByName(similar).distinct()), classes
+    copies = moved.join(classes.where(f"n_words >= {shingle}").select("doc_id").distinct(), "doc_id").select("doc_id")
+    return cut(spans.join(copies.hint("merge"), "doc_id", "left_anti").distinct()), classes
 
 
 def substring_dedup(docs: DataFrame, paragraph: int = PARAGRAPH, shingle: int = SHINGLE,
@@ -215,14 +321,15 @@ def substring_dedup(docs: DataFrame, paragraph: int = PARAGRAPH, shingle: int =
     keep_ids (documents that keep what it loses) and kept.
 
     ``docs`` has doc_id and text; other columns are ignored.  A null text is empty;
-    texts below ``paragraph`` words lose nothing.  Of texts with the same words only
-    the first stays, the others lose all.  kept is false where nothing is left.  Rows
+    paragraphs below ``shingle`` words are not compared, passages inside paragraphs from
+    ``paragraph`` words on.  Of texts with the same words, ``shingle`` at least, only the first
+    stays, the others lose all.  kept is false where nothing is left.  Rows
     that repeat a doc_id are one document and don't repeat each other; rows without
     doc_id are not compared and don't appear.  No rows give no rows.
     """
     spans, classes = repeated_spans(only(docs, doc_id="bigint", text="string"), paragraph, shingle, key)
     lost = _words_lost(spans)
-    copy = (F.col("doc_id") != F.col("first_id")) & (F.col("n_words") >= paragraph)
+    copy = (F.col("doc_id") != F.col("first_id")) & (F.col("n_words") >= shingle)
     rows = (classes.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.min("first_id").alias("first_id"))
             .withColumn("copy", copy).join(lost, "doc_id", "left"))
     edges = spans.select("doc_id", "keep_id").unionByName(
@@ -257,13 +364,14 @@ def without_repeats(docs: DataFrame, paragraph: int = PARAGRAPH, shingle: int =
                     key: int = KEY) -> DataFrame:
     """``docs`` without repeated passages: same columns, n_chars set anew.
 
-    Rows of which nothing is left go; rows that lose nothing stay as they are.
+    Rows of which nothing is left go; rows that lose nothing stay as they are, those without
+    doc_id or text among them.
     """
     spans, classes = repeated_spans(only(docs, doc_id="bigint", text="string"), paragraph, shingle, key)
     id_, hash_, cuts_ = fresh(docs, "id", "hash", "cuts")
     cuts = spans.groupBy(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_)).agg(
-        F.sort_array(F.collect_set(F.struct("start_char", "end_char"))).alias(cuts_))
-    copies = classes.where((F.col("doc_id") != F.col("first_id")) & (F.col("n_words") >= paragraph)) \
+        F.sort_array(F.collect_set(F.struct("start_word", "end_word"))).alias(cuts_))
+    copies = classes.where((F.col("doc_id") != F.col("first_id")) & (F.col("n_words") >= shingle)) \
         .select(F.col("doc_id").alias(id_)).distinct()
     kept = docs.join(copies, docs["doc_id"] == copies[id_], "left_anti")
     joined = kept.join(cuts, (kept["doc_id"] == cuts[id_]) & (F.xxhash64(kept["text"]) == cuts[hash_]), "left")
@@ -272,17 +380,42 @@ def without_repeats(docs: DataFrame, paragraph: int = PARAGRAPH, shingle: int =
     def remaining(text: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
         out = []
         for t, a, b in zip(text, starts, ends):
-            parts, at = [], 0
+            at = [m.start() for m in _WORD.finditer(t)] + [len(t)]
+            parts, last = [], 0
             for s, e in zip(a, b):
-                parts.append(t[at:max(at, s)])
-                at = max(at, e)
-            out.append("".join([*parts, t[at:]]).rstrip(" \t\n\r\x0b\x0c"))
+                parts.append(t[last:max(last, at[s])])
+                last = max(last, at[e])
+            out.append("".join([*parts, t[last:]]).rstrip(_SPACE))
         return pd.Series(out, dtype=object)
 
     has = F.col(cuts_).isNotNull()
     left = joined.where(has).withColumn("text", remaining(
-        F.col("text"), F.transform(cuts_, lambda c: c["start_char"]), F.transform(cuts_, lambda c: c["end_char"])))
+        F.col("text"), F.transform(cuts_, lambda c: c["start_word"]), F.transform(cuts_, lambda c: c["end_word"])))
     left = left.where("text <> ''")
     if "n_chars" in docs.columns:
         left = left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return joined.where(~has).select(docs.columns).unionByName(left.select(docs.columns))
+
+
+def paragraph_recall(docs: DataFrame, spans: DataFrame, every: int = 100, num: int = NUM, den: int = DEN,
+                     shingle: int = SHINGLE) -> float:
+    """Share of the paragraphs of documents whose id is divisible by ``every`` that ``spans`` covers, of those that
+    are similar to a paragraph of an earlier document.  Counted over all shingles, without bands."""
+
+    def shingles(rows: Rows) -> Rows:
+        for doc_id, text in rows:
+            s = runs(word_hashes(words(text)), shingle)
+            for a, b in paragraphs(text, shingle):
+                own = np.unique(s[a:b - shingle + 1]).view(np.int64)
+                yield from ((doc_id, a, b, len(own), x) for x in own.tolist())
+
+    all_ = cut(map_rows(only(docs, doc_id="bigint", text="string").where("doc_id is not null"), shingles,
+                        doc_id="bigint", a="bigint", b="bigint", n="bigint", x="bigint"))
+    other = all_.select(F.col("doc_id").alias("keep_id"), F.col("a").alias("c"), F.col("n").alias("m"), "x")
+    pairs = (all_.where(F.col("doc_id") % every == 0).join(other, "x").where("keep_id < doc_id")
+             .groupBy("doc_id", "a", "b", "n", "keep_id", "c", "m").count())
+    true = pairs.where(F.col("count") * (den + num) >= num * (F.col("n") + F.col("m"))).select("doc_id", "a", "b").distinct()
+    covered = true.join(spans.select("doc_id", "start_word", "end_word").distinct(), "doc_id").where(
+        "start_word <= a and b <= end_word").select("doc_id", "a", "b").distinct()
+    total = true.count()
+    return covered.count() / total if total else float("nan")
