@@ -12,9 +12,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField
 
 from eventide.core.lineage import cut
 from eventide.core.series import Series
+from eventide.operators import nested
 from eventide.operators.basis import lag_columns
 from eventide.operators.folds import assign_forward, forward_folds
 from eventide.operators.glm import add_up, gram
@@ -211,114 +213,42 @@ def forward_ridge(
     )
 
 
-_STATS = ("xtx", "xty", "sx", "yty", "sy", "n")
-
-
-def _nest_sessions(
-    stats: DataFrame, session: str, columns: dict[str, list[str]], alphas: Sequence[float]
-) -> DataFrame:
-    features = columns["combined"]
-    where = {m: [features.index(c) for c in cs] for m, cs in columns.items()}
-    grid = sorted({float(a) for a in alphas}, reverse=True)
-    kind = stats.schema[session].dataType.simpleString()
-
-    def nest(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [{k: np.asarray(r[k]) for k in _STATS} for _, r in pdf.iterrows()]
-        total = {k: sum(r[k] for r in rows) for k in _STATS}
-
-        def without(a, b):
-            return {k: a[k] - b[k] for k in _STATS}
-
-        out = []
-        for i, held in enumerate(rows):
-            rest = without(total, held)
-            base = Moments(held, []).r2(np.zeros(0), rest["sy"] / rest["n"])
-            out.append([pdf[session].iloc[i], "constant", None, *base])
-            pairs = [(without(rest, r), r) for j, r in enumerate(rows) if j != i]
-            for model, cols in where.items():
-                a = _choose(pairs, grid, cols)
-                fit = Moments(rest, cols).ridge(a)
-                out.append([pdf[session].iloc[i], model, a, *Moments(held, cols).r2(*fit)])
-        return pd.DataFrame(out, columns=[session, "model", "alpha", "r2", "mse"])
-
-    return stats.groupBy(F.lit(1).alias("_all")).applyInPandas(
-        nest, f"`{session}` {kind}, model string, alpha double, r2 double, mse double"
-    )
-
-
 def session_ridge(
     table: DataFrame,
     session: str,
     columns: dict[str, list[str]],
     *,
     alphas: Sequence[float] = (1e-3, 1e-2, 1e-1, 1.0, 10.0),
-    together: int = 64,
 ) -> DataFrame:
-    """Leave-one-session-out ridge; inner sessions weigh the same.
+    """Leave-one-session-out ridge for any number of sessions; inner sessions weigh the same.
 
-    Up to ``together`` sessions are p * p statistics that one task can nest.
-    Beyond that every outer session starts one distributed job that scores all
-    other sessions.  Output: session, model, alpha, r2, mse.
+    Ties between penalties take the larger one.  Output: session, model, alpha, r2, mse.
     """
     features = columns["combined"]
     stats = cut(gram(table, [session], features, "y"))
-    if stats.count() <= together:
-        return _nest_sessions(stats, session, columns, alphas)
-    total = add_up(stats, []).select(*[F.col(c).alias(f"_t_{c}") for c in ("xtx", "xty", "sx", "yty", "sy", "n")])
-    total = cut(total)
+    total = cut(add_up(stats, []))
     where = {m: [features.index(c) for c in cs] for m, cs in columns.items()}
     grid = sorted({float(a) for a in alphas}, reverse=True)
-    names = ("xtx", "xty", "sx", "yty", "sy", "n")
-
-    def minus(a, b):
-        return {k: np.asarray(a[k]) - np.asarray(b[k]) for k in names}
 
-    out = None
-    for held in stats.select(session).orderBy(session).toLocalIterator():
-        key = held[session]
-        test = stats.filter(F.col(session) == key)
-        # Both frames are one row of p * p numbers.
-        rest = total.join(F.broadcast(test.select(*[F.col(c).alias(f"_h_{c}") for c in names])))
-        others = stats.filter(F.col(session) != key).join(F.broadcast(rest))
+    def inner(whole, a, b):
+        train = nested.less(nested.less(whole, a), b)
+        paths = [(cols, Moments(train, cols).path(grid)) for cols in where.values()]
+        return [np.concatenate([[held.r2(*fit)[0] for fit in path] for held, path in ((Moments(h, cols), path) for cols, path in paths)])
+                for h in (b, a)]
+
+    def outer(whole, held, means):
+        train = nested.less(whole, held)
+        out = [("constant", None, *Moments(held, []).r2(np.zeros(0), train["sy"] / train["n"]))]
+        for k, (model, cols) in enumerate(where.items()):
+            own = None if means is None else means[k * len(grid):(k + 1) * len(grid)]
+            best = 0 if own is None or not np.isfinite(own).any() else int(np.nanargmax(own))
+            fit = Moments(train, cols).ridge(grid[best])
+            out.append((model, grid[best], *Moments(held, cols).r2(*fit)))
+        return out
 
-        def inner(batches):
-            for pdf in batches:
-                rows = []
-                for _, r in pdf.iterrows():
-                    tot = {k: r[f"_t_{k}"] for k in names}
-                    train = minus(minus(tot, {k: r[f"_h_{k}"] for k in names}), r)
-                    for m, cols in where.items():
-                        test = Moments(r, cols)
-                        for k, fit in enumerate(Moments(train, cols).path(grid)):
-                            score = test.r2(*fit)[0]
-                            rows.append((m, k, score if np.isfinite(score) else None))
-                yield pd.DataFrame(rows, columns=["model", "k", "score"])
-
-        scored = others.mapInPandas(inner, "model string, k int, score double")
-        means = scored.groupBy("model", "k").agg(F.avg("score").alias("score")).collect()
-        picked = {}
-        for m in where:
-            ranked = [(r["score"] if r["score"] is not None else -np.inf, -r["k"]) for r in means if r["model"] == m]
-            picked[m] = grid[-max(ranked)[1]] if ranked else grid[0]
-
-        def outer(batches, picked=picked):
-            for pdf in batches:
-                rows = []
-                for _, r in pdf.iterrows():
-                    train = minus({k: r[f"_t_{k}"] for k in names}, r)
-                    base = Moments(r, []).r2(np.zeros(0), train["sy"] / train["n"])
-                    rows.append((r[session], "constant", None, *base))
-                    for m, cols in where.items():
-                        fit = Moments(train, cols).ridge(picked[m])
-                        rows.append((r[session], m, picked[m], *Moments(r, cols).r2(*fit)))
-                yield pd.DataFrame(rows, columns=[session, "model", "alpha", "r2", "mse"])
-
-        kind = table.schema[session].dataType.simpleString()
-        part = test.join(F.broadcast(total)).mapInPandas(
-            outer, f"`{session}` {kind}, model string, alpha double, r2 double, mse double"
-        )
-        out = part if out is None else out.unionByName(part)
-    return out
+    means = nested.inner_scores(stats, total, [], session, inner)
+    fields = [StructField("model", StringType())] + [StructField(c, DoubleType()) for c in ("alpha", "r2", "mse")]
+    return nested.outer_scores(stats, total, means, [], session, outer, fields)
 
 
 def fit_penalised(

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from eventide.core.lineage import cut
+from eventide.operators import nested
 
 _SUMS = ("xtx", "xty", "sx")
 _SCALARS = ("yty", "sy", "n")
@@ -26,6 +27,8 @@ _SCALARS = ("yty", "sy", "n")
 
 #: Groups whose sums a task holds before it sends them on.
 _HELD_GROUPS = 4096
+#: Designs of up to this many columns are sums of products in SQL; their plan grows with the square.
+_NARROW = 8
 
 
 def gram(df: DataFrame, keys: list[str], features: Sequence[str], response: str) -> DataFrame:
@@ -37,6 +40,8 @@ def gram(df: DataFrame, keys: list[str], features: Sequence[str], response: str)
     used = [*features, response]
     present = [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in used]
     rows = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in used]).where(reduce(and_, present))
+    if len(features) <= _NARROW:
+        return _narrow_gram(rows, keys, list(features), response)
     schema = StructType(
         [rows.schema[k] for k in keys]
         + [StructField(c, ArrayType(DoubleType())) for c in _SUMS]
@@ -70,6 +75,22 @@ def gram(df: DataFrame, keys: list[str], features: Sequence[str], response: str)
     return add_up(rows.mapInPandas(partial, schema), keys)
 
 
+def _narrow_gram(rows: DataFrame, keys: list[str], features: list[str], response: str) -> DataFrame:
+    p = len(features)
+    columns = [f"_z{i}" for i in range(p)]
+    z = rows.select(*keys, *[F.col(c).alias(n) for c, n in zip(features, columns)], F.col(response).alias("_y"))
+    sums = {f"_xx{i}_{j}": F.sum(F.col(columns[i]) * F.col(columns[j])) for i in range(p) for j in range(i, p)}
+    sums |= {f"_xy{i}": F.sum(F.col(c) * F.col("_y")) for i, c in enumerate(columns)}
+    sums |= {f"_x{i}": F.sum(c) for i, c in enumerate(columns)}
+    sums |= {"yty": F.sum(F.col("_y") * F.col("_y")), "sy": F.sum("_y"), "n": F.count(F.lit(1)).cast("double")}
+    summed = z.groupBy(*keys).agg(*[v.alias(c) for c, v in sums.items()]).where("n > 0")
+    return summed.select(
+        *keys,
+        F.array(*[f"_xx{min(i, j)}_{max(i, j)}" for i in range(p) for j in range(p)]).alias("xtx"),
+        F.array(*[f"_xy{i}" for i in range(p)]).alias("xty"), F.array(*[f"_x{i}" for i in range(p)]).alias("sx"),
+        "yty", "sy", "n")
+
+
 def add_up(stats: DataFrame, keys: list[str]) -> DataFrame:
     """Element-wise sum of statistics over rows with equal ``keys``."""
     def entries(c: str) -> Column:
@@ -239,103 +260,82 @@ def nested_ridge_cv(
     alphas: Sequence[float],
     *,
     penalize: Sequence[float] | None = None,
-    max_blocks: int = 64,
     scale_inner: bool = False,
 ) -> DataFrame:
-    """Nested block cross-validation per model (``keys``).
+    """Nested block cross-validation per model (``keys``), for any number of blocks.
 
     The outer loop holds out a block, the inner one chooses the penalty on the
-    remaining blocks.  Columns are scaled over the outer training rows, or with
-    ``scale_inner`` anew over the training rows of every inner fold.  Blocks are parameters of the analysis (a handful per
-    mouse), so the statistics of one model are a bounded group; more than
-    ``max_blocks`` is refused, use ``grouped_ridge_cv`` for open-ended groups.
+    remaining blocks; the first best penalty wins.  Columns are scaled over the outer
+    training rows, or with ``scale_inner`` anew over the training rows of every inner fold.
     Output: keys, block, alpha, r2 (per fold), pooled_r2.
     """
-    from eventide.core.checks import require_none
-
-    require_none(
-        stats.groupBy(*keys).agg(F.countDistinct(block).alias("k")).filter(F.col("k") > max_blocks),
-        "too many blocks in one model",
-    )
-    pen = None if penalize is None else list(map(float, penalize))
+    pen = None if penalize is None else np.array(penalize, float)
     grid = [float(a) for a in alphas]
-    fields = [stats.schema[k] for k in keys] + [stats.schema[block]]
-    schema = StructType(
-        fields + [StructField(c, DoubleType()) for c in ("alpha", "r2", "pooled_r2")]
-    )
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(block).reset_index(drop=True)
-        p = len(pdf["xty"][0])
-        G = np.stack([np.reshape(v, (p, p)) for v in pdf["xtx"]])
-        C = np.stack([np.array(v) for v in pdf["xty"]])
-        yy, sy, n = (pdf[c].to_numpy(float) for c in ("yty", "sy", "n"))
-        w = np.ones(p) if pen is None else np.array(pen)
-        rows, sse_total = [], 0.0
-        for o in range(len(pdf)):
-            inner = [i for i in range(len(pdf)) if i != o]
-            GT, CT, nT = G[inner].sum(0), C[inner].sum(0), n[inner].sum()
-            scale = _rms(GT, nT)
-            d = np.outer(scale, scale)
-            folds = {h: _rms(GT - G[h], nT - n[h]) if scale_inner else scale for h in inner}
-            best, best_alpha = -np.inf, grid[0]
-            for a in grid:
-                got = []
-                for h, q in folds.items():
-                    e = np.outer(q, q)
-                    b = _solve((GT - G[h]) / e, (CT - C[h]) / q, a, w)
-                    got.append(_score(b, G[h] / e, C[h] / q, yy[h], sy[h], n[h]))
-                mean = np.nanmean(got) if np.any(np.isfinite(got)) else -np.inf
-                if mean > best:
-                    best, best_alpha = mean, a
-            b = _solve(GT / d, CT / scale, best_alpha, w) / scale
-            sse_total += yy[o] - 2 * b @ C[o] + b @ G[o] @ b
-            rows.append([pdf[block][o], best_alpha, _score(b, G[o], C[o], yy[o], sy[o], n[o])])
-        sst = yy.sum() - sy.sum() ** 2 / n.sum()
-        pooled = 1 - sse_total / sst if sst > 0 else np.nan
-        head = pdf[keys].iloc[0].tolist() if keys else []
-        return pd.DataFrame(
-            [[*head, r[0], r[1], r[2], pooled] for r in rows],
-            columns=[*keys, block, "alpha", "r2", "pooled_r2"],
-        )
-
-    grouped = stats.groupBy(*keys) if keys else stats.groupBy(F.lit(1).alias("_all"))
-    return grouped.applyInPandas(fit, schema)
+    stats = cut(stats)
+    total = cut(add_up(stats, keys))
+
+    def path(train: nested.Moments, scale: np.ndarray) -> np.ndarray:
+        """Coefficients of all penalties, of columns divided by ``scale``."""
+        w = np.ones(len(scale)) if pen is None else pen
+        g, c = train["xtx"] / np.outer(scale, scale), train["xty"] / scale
+        systems = g + np.array(grid)[:, None, None] * np.diag(w)
+        try:
+            return np.linalg.solve(systems, np.broadcast_to(c, (len(grid), len(c)))[..., None])[..., 0]
+        except np.linalg.LinAlgError:
+            return np.stack([_solve(g, c, a, w) for a in grid])
+
+    def held_scores(b: np.ndarray, scale: np.ndarray, held: nested.Moments) -> np.ndarray:
+        b = b / scale
+        sse = held["yty"] - 2 * b @ held["xty"] + np.einsum("ai,ij,aj->a", b, held["xtx"], b)
+        sst = held["yty"] - held["sy"] ** 2 / held["n"]
+        return 1 - sse / sst if sst > 0 else np.full(len(b), np.nan)
+
+    def inner(whole, a, b):
+        train = nested.less(nested.less(whole, a), b)
+        out, both = [], None
+        for outer, held in ((a, b), (b, a)):
+            if scale_inner:
+                scale = _rms(train["xtx"], train["n"])
+                both = path(train, scale) if both is None else both
+                out.append(held_scores(both, scale, held))
+            else:
+                rest = nested.less(whole, outer)
+                scale = _rms(rest["xtx"], rest["n"])
+                out.append(held_scores(path(train, scale), scale, held))
+        return out
+
+    def outer(whole, held, means):
+        best = 0 if means is None or not np.isfinite(means).any() else int(np.nanargmax(means))
+        train = nested.less(whole, held)
+        scale = _rms(train["xtx"], train["n"])
+        b = path(train, scale)[best] / scale
+        sse = held["yty"] - 2 * b @ held["xty"] + b @ held["xtx"] @ b
+        r2 = _score(b, held["xtx"], held["xty"], held["yty"], held["sy"], held["n"])
+        return [(grid[best], None if np.isnan(r2) else r2, float(sse))]
+
+    means = nested.inner_scores(stats, total, keys, block, inner)
+    fields = [StructField(c, DoubleType()) for c in ("alpha", "r2", "_sse")]
+    scored = cut(nested.outer_scores(stats, total, means, keys, block, outer, fields))
+    names = [f"_k{i}" for i in range(len(keys))]
+
+    def renamed(df: DataFrame, *columns: Column) -> DataFrame:
+        return df.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], *columns)
+
+    def same() -> Column:
+        return reduce(and_, [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names)], F.lit(True))
+
+    sse = renamed(scored.groupBy(*keys).agg(F.sum("_sse").alias("_sse")), F.col("_sse"))
+    sst = F.col("yty") - F.col("sy") * F.col("sy") / F.col("n")
+    pooled = renamed(total.join(sse, same()).select(*keys, "yty", "sy", "n", "_sse"), F.when(sst > 0, 1 - F.col("_sse") / sst).alias("pooled_r2"))
+    return scored.drop("_sse").join(pooled, same()).select(*keys, block, "alpha", "r2", "pooled_r2")
 
 
 def held_out_sessions(
-    stats: DataFrame,
-    group: str,
-    alphas: Sequence[float],
-    *,
-    penalize: Sequence[float] | None = None,
-    together: int = 64,
+    stats: DataFrame, group: str, alphas: Sequence[float], *, penalize: Sequence[float] | None = None,
 ) -> DataFrame:
-    """Leave-one-session-out scores with the penalty chosen inside.
-
-    Up to ``together`` sessions are p * p statistics that one task can nest.
-    Beyond that every outer session starts one distributed inner
-    cross-validation, so no open-ended list of sessions enters a task.
-    Output: group, alpha, r2.
-    """
-    stats = cut(stats)
-    if stats.count() <= together:
-        nested = nested_ridge_cv(
-            stats, [], group, alphas, penalize=penalize, max_blocks=together, scale_inner=True
-        )
-        return nested.select(group, "alpha", "r2")
-    out = None
-    for row in stats.select(group).orderBy(group).toLocalIterator():
-        rest = stats.filter(F.col(group) != row[group])
-        _, final = grouped_ridge_cv(rest, group, alphas, penalize=penalize, scale_on="train")
-        held = stats.filter(F.col(group) == row[group]).join(
-            F.broadcast(final.select("alpha", "b"))  # one row
-        )
-        scored = held.select(
-            group, "alpha", held_out_r2("b", "xtx", "xty", "yty", "sy", "n").alias("r2")
-        )
-        out = scored if out is None else out.unionByName(scored)
-    return out
+    """Leave-one-session-out scores with the penalty chosen inside: group, alpha, r2."""
+    found = nested_ridge_cv(stats, [], group, alphas, penalize=penalize, scale_inner=True)
+    return found.select(group, "alpha", "r2")
 
 
 @F.pandas_udf(DoubleType())

@@ -212,25 +212,87 @@ def test_nested_and_held_out(regression):
     st = glm.gram(df, ["g"], COLS, "y")
     x = glm.nested_ridge_cv(st, [], "g", [0.1, 10.0]).collect()
     assert len(x) == 6 and all(r.r2 > 0.8 for r in x) and len({r.pooled_r2 for r in x}) == 1
-    few, many = (
-        {r.g: (r.alpha, r.r2) for r in glm.held_out_sessions(st, "g", [0.1, 10.0], together=n).collect()}
-        for n in (64, 2)
-    )
-    for r in x:
-        assert few[r.g][0] == many[r.g][0] and few[r.g][1] == pytest.approx(many[r.g][1])
-        assert few[r.g][1] == pytest.approx(r.r2, abs=1e-3)
+    few = {r.g: (r.alpha, r.r2) for r in glm.held_out_sessions(st, "g", [0.1, 10.0]).collect()}
+    assert all(few[r.g][1] == pytest.approx(r.r2, abs=1e-3) for r in x)
 
 
-def test_session_ridge_paths_agree(regression):
+def plain_nested(X, y, g, alphas, pen, scale_inner):
+    """Every model fitted on rows: per group the chosen penalty, its held-out R2 and SSE."""
+    def rms(rows):
+        return np.sqrt((X[rows] ** 2).mean(0))
+
+    def fit(rows, scale, a):
+        Z = X[rows] / scale
+        return np.linalg.solve(Z.T @ Z + a * np.diag(pen), Z.T @ y[rows]) / scale
+
+    def r2(b, rows):
+        sse = ((y[rows] - X[rows] @ b) ** 2).sum()
+        return 1 - sse / ((y[rows] - y[rows].mean()) ** 2).sum(), sse
+
+    out = {}
+    for o in np.unique(g):
+        rest = g != o
+        means = []
+        for a in alphas:
+            inner = [rest & (g != h) for h in np.unique(g) if h != o]
+            means.append(np.mean([r2(fit(t, rms(t if scale_inner else rest), a), rest & ~t)[0] for t in inner]))
+        a = alphas[int(np.argmax(means))]
+        out[int(o)] = (a, *r2(fit(rest, rms(rest), a), ~rest))
+    return out
+
+
+@pytest.fixture(scope="module")
+def many_units(spark):
+    rng = np.random.default_rng(12)
+    n, units = 1400, 70
+    X = np.column_stack([np.ones(n), rng.normal(size=(n, 2)) * [1, 20]])
+    g, model = rng.integers(units, size=n), rng.integers(2, size=n)
+    y = X @ [1.0, 0.5, 0.02] + rng.normal(size=n) + 0.3 * g / units
+    rows = [(*map(float, X[i]), float(y[i]), int(g[i]), None if model[i] else "m") for i in range(n)]
+    return X, y, g, model, spark.createDataFrame(rows, "a double, b double, c double, y double, g int, model string")
+
+
+@pytest.mark.parametrize("scale_inner", [False, True])
+def test_nested_cv_of_many_blocks_equals_rows(many_units, scale_inner):
+    X, y, g, model, df = many_units
+    alphas, pen = [0.1, 30.0, 300.0], [0.0, 1.0, 1.0]
+    st = glm.gram(df, ["model", "g"], ["a", "b", "c"], "y")
+    got = glm.nested_ridge_cv(st, ["model"], "g", alphas, penalize=pen, scale_inner=scale_inner).collect()
+    for m, name in ((0, "m"), (1, None)):
+        own = model == m
+        want = plain_nested(X[own], y[own], g[own], alphas, pen, scale_inner)
+        rows = {r.g: r for r in got if r.model == name}
+        assert rows.keys() == want.keys()
+        pooled = 1 - sum(w[2] for w in want.values()) / ((y[own] - y[own].mean()) ** 2).sum()
+        for k, (a, r2, _) in want.items():
+            assert rows[k].alpha == a and rows[k].r2 == pytest.approx(r2) and rows[k].pooled_r2 == pytest.approx(pooled)
+
+
+def test_one_unit_has_no_inner_folds(spark):
+    df = spark.createDataFrame([(1.0, float(i), 1) for i in range(5)], "a double, y double, g int")
+    assert len(glm.nested_ridge_cv(glm.gram(df, ["g"], ["a"], "y"), [], "g", [0.1, 1.0]).collect()) == 1
+
+
+def test_wide_and_narrow_statistics_agree(spark):
+    rng = np.random.default_rng(3)
+    X = rng.normal(size=(300, 11))
+    names = [f"x{i}" for i in range(10)]
+    df = spark.createDataFrame([(i % 3, *map(float, r)) for i, r in enumerate(X)], "g int, " + ", ".join(f"{c} double" for c in [*names, "y"]))
+    wide = {r.g: r for r in glm.gram(df, ["g"], names, "y").collect()}
+    narrow = {r.g: r for r in glm.gram(df, ["g"], names[:4], "y").collect()}
+    for k in range(3):
+        z = X[np.arange(300) % 3 == k]
+        np.testing.assert_allclose(np.reshape(wide[k].xtx, (10, 10)), z[:, :10].T @ z[:, :10])
+        np.testing.assert_allclose(np.reshape(narrow[k].xtx, (4, 4)), z[:, :4].T @ z[:, :4])
+        np.testing.assert_allclose(narrow[k].xty, z[:, :4].T @ z[:, 10])
+        assert narrow[k].n == wide[k].n == 100 and narrow[k].sy == pytest.approx(wide[k].sy)
+
+
+def test_session_ridge_equals_rows(regression):
     X, y, g, df = regression
     cols = {"history_only": ["a"], "cross_modal": ["b", "c"], "combined": ["a", "b", "c"]}
-    got = [
-        {(r.g, r.model): (r.alpha, r.r2) for r in fc.session_ridge(df, "g", cols, alphas=(0.1, 10.0), together=n).collect()}
-        for n in (64, 2)
-    ]
-    assert len(got[0]) == 24 and got[0].keys() == got[1].keys()
-    for k, (a, r2) in got[0].items():
-        assert got[1][k][0] == a and got[1][k][1] == pytest.approx(r2)
+    got = [{(r.g, r.model): (r.alpha, r.r2) for r in fc.session_ridge(df, "g", cols, alphas=(0.1, 10.0)).collect()}]
+    assert len(got[0]) == 24
     tr, te, pick = g != 3, g == 3, [1, 2, 3]
     a = got[0][(3, "combined")][0]
     m, sd = X[tr][:, pick].mean(0), X[tr][:, pick].std(0)
