@@ -15,8 +15,8 @@ the anchor is the same in both and at least one of the keys lies inside.
 Documents that share a key are compared with the first document that has it, word by word (edit
 distance zero), and the match is extended to both sides as far as the words agree.  Two later
 documents can have more in common with each other only if they part from the first one at the
-same distance from the key and go on with the same word; who does so meets in another round,
-until nobody is left.  The first document keeps its words, the others lose them.  Documents that
+same distance from the key and go on with the same word; who does so, with a word that no match
+has taken yet, meets in another round, until nobody is left.  The first document keeps its words, the others lose them.  Documents that
 are joined by removals, directly or in a chain, form a component.
 
 One pass over the texts makes keys, bands and digests; texts are read again only where a
@@ -260,7 +260,7 @@ def _round(hits: DataFrame, texts: DataFrame, key: int) -> DataFrame:
             inside = [h for h in found if h["pos"] < len(a) and h["keep_pos"] < len(b)]
             agreed = common_runs(a, b, [(h["pos"], h["keep_pos"]) for h in inside])
             spans = sorted({r for r in agreed if r[1] - r[0] >= key})
-            again, at = [], []
+            again, at, ends = [], [], []
             for h, (start, end) in zip(inside, agreed):
                 # Where the match ends, seen from the key, and the word that goes on there.
                 for side, far, beyond in ((0, h["pos"] - start, start - 1), (1, end - h["pos"], end)):
@@ -268,10 +268,11 @@ def _round(hits: DataFrame, texts: DataFrame, key: int) -> DataFrame:
                         word = xxhash.xxh3_64_intdigest(a[beyond], seed=(h["key"] * 2 + side) & ((1 << 64) - 1))
                         again.append(xxhash.xxh3_64_intdigest(b"%d %d" % (word, far)) - (1 << 63))
                         at.append(h["pos"])
-            yield doc_id, text_hash, keep_id, [s for s, _ in spans], [e for _, e in spans], again, at
+                        ends.append(beyond)
+            yield doc_id, text_hash, keep_id, [s for s, _ in spans], [e for _, e in spans], again, at, ends
 
     return cut(map_rows(both, verify, 256, doc_id="bigint", text_hash="bigint", keep_id="bigint", start="array<bigint>",
-                        end="array<bigint>", key="array<bigint>", pos="array<bigint>"))
+                        end="array<bigint>", key="array<bigint>", pos="array<bigint>", beyond="array<bigint>"))
 
 
 def _shared(keyed: DataFrame) -> DataFrame:
@@ -303,13 +304,19 @@ def repeated_spans(docs: DataFrame, paragraph: int = PARAGRAPH, shingle: int = S
     wanted = cut(wanted)
     texts = cut(texts_of(docs, hits.select("doc_id").unionByName(wanted.select("doc_id"))))
     spans = similar_paragraphs(cut_up, wanted, texts, shingle, num, den)
+    spans = cut(spans)
     while not hits.isEmpty():
         found = _round(hits, texts, key)
         spans = spans.unionByName(found.select("doc_id", "text_hash", "keep_id", F.explode(F.arrays_zip("start", "end")).alias("s"))
                                   .select("doc_id", "text_hash", F.col("s.start").alias("start_word"),
                                           F.col("s.end").alias("end_word"), "keep_id"))
-        hits = cut(_shared(found.select("doc_id", F.explode(F.arrays_zip("key", "pos")).alias("k")).select(
-            "doc_id", "k.key", F.col("k.pos").cast("int").alias("pos")).distinct()))
+        # Only who would go on with a word that nobody has taken yet.
+        taken = spans.groupBy("doc_id").agg(F.collect_set(F.struct("start_word", "end_word")).alias("taken"))
+        going = found.select("doc_id", F.explode(F.arrays_zip("key", "pos", "beyond")).alias("k")).select(
+            "doc_id", "k.key", F.col("k.pos").cast("int").alias("pos"), "k.beyond").distinct()
+        left = going.join(taken.hint("merge"), "doc_id", "left").where(F.coalesce(~F.exists("taken", lambda s: (
+            (s["start_word"] <= F.col("beyond")) & (F.col("beyond") < s["end_word"]))), F.lit(True)))
+        hits = cut(_shared(cut(left.select("doc_id", "key", "pos").distinct())))
     # Copies go whole, by their class.
     copies = moved.join(classes.where(f"n_words >= {shingle}").select("doc_id").distinct(), "doc_id").select("doc_id")
     return cut(spans.join(copies.hint("merge"), "doc_id", "left_anti").distinct()), classes

@@ -274,6 +274,60 @@ def test_similar_paragraphs(spark):
     assert left == {0: texts[0], 1: own[1], 2: long, 3: own[2], 4: texts[4], 5: texts[5], 6: texts[6], 7: own[5]}
 
 
+def test_later_holders_and_short_lines(spark):
+    rng = random.Random(12)
+    texts = []
+    for _ in range(40):
+        middle, around = prose(rng, 25, 10**6), (prose(rng, 13, 10**6), prose(rng, 13, 10**6))
+        whole = f"{around[0]} {middle} {around[1]}"
+        own = [prose(rng, 30, 10**6) for _ in range(6)]
+        texts += [f"{own[0]} {middle} {own[1]}", f"{own[2]} {whole} {own[3]}", f"{own[4]} {whole} {own[5]}"]
+    line = prose(rng, 9, 10**6)
+    texts += [line, f"{line}\n{prose(rng, 30, 10**6)}", f"{line}\n", line.split(" ")[0]]
+    got = {r.doc_id: r for r in substring_dedup.substring_dedup(documents(spark, texts)).collect()}
+    # The first holder has the middle only; the third loses what it shares with the second as well.
+    assert all(got[i].removed_words == 0 and got[i + 2].removed_words == 51 for i in range(0, 120, 3))
+    assert any(got[i + 1].removed_words == 25 and got[i + 2].keep_ids == [i, i + 1] for i in range(0, 120, 3))
+    assert [got[120 + i].removed_words for i in range(4)] == [0, 9, 9, 0] and not got[122].kept
+
+
+def test_many_near_copies_need_few_rounds(spark):
+    rng = random.Random(13)
+    base = prose(rng, 200, 10**6).split(" ")
+    texts = []
+    for i in range(60):
+        w = list(base)
+        for at in rng.sample(range(200), 3):
+            w[at] = f"edit{i}x{at}"
+        texts.append(" ".join(w))
+    df = documents(spark, texts)
+    got = {r.doc_id: r.removed_words for r in substring_dedup.substring_dedup(df).collect()}
+    left = [r.text for r in substring_dedup.without_repeats(df).collect()]
+    assert got[0] == 0 and min(got[i] for i in range(2, 60)) >= 100 and not repeated(left, 50)
+
+
+def test_bands_are_tuned_and_recall_is_measured(spark):
+    bands, rows = substring_dedup.tuned(0.8)
+    assert bands <= substring_dedup.MOST_BANDS and Bands(bands, rows).missed(0.8) <= 0.01
+    rng = random.Random(14)
+    texts = []
+    for i in range(80):
+        w = prose(rng, 40, 10**6).split(" ")
+        texts += [" ".join(w), " ".join([*w[:39], f"new{i}"])]
+    df = documents(spark, texts)
+    spans, _ = substring_dedup.repeated_spans(df.select("doc_id", "text"))
+    assert substring_dedup.paragraph_recall(df, spans, every=1) >= 0.97
+
+
+def test_slices_have_the_keys_of_their_values():
+    rng = np.random.default_rng(15)
+    v = rng.integers(0, 2**63, 60).astype(np.uint64)
+    family, spans = Bands(5, 3), [(0, 10), (3, 60), (59, 60), (0, 60)]
+    assert (family.keys_of(v, spans) == np.stack([family.keys(v[a:b]) for a, b in spans])).all()
+    v[20:30] = v[:10]
+    assert substring_dedup.distinct_counts(v, [(0, 60), (15, 35), (5, 25)]) == [50, 20, 15]
+
+
 def test_no_passages(nothing, docs):
     assert substring_dedup.substring_dedup(nothing).count() == 0
     assert substring_dedup.without_repeats(nothing).count() == 0
