@@ -269,20 +269,24 @@ def scored(df: DataFrame, keys: list[str], family: str) -> DataFrame:
     return measure(df, keys, "y", "prediction").withColumn("score", F.col(PRIMARY[family]))
 
 
+def _features(columns: dict[str, list[str]]) -> list[str]:
+    return list(dict.fromkeys(c for cs in columns.values() for c in cs))
+
+
 def _grid(columns: dict[str, list[str]], target: str, alphas: Sequence[float]) -> tuple[Fits, list[str], list[float]]:
     grid = sorted({float(a) for a in alphas})
     if not grid or grid[0] < 0:
         raise ValueError("penalties must not be negative")
-    features = columns["combined"]
+    features = _features(columns)
     where = {m: tuple(features.index(c) for c in cs) for m, cs in columns.items()}
     return Fits(tuple(features), FAMILY[target], tuple(w for w in where.values() for _ in grid)), list(where), grid
 
 
 def _chosen(scores_: DataFrame, keys: list[str], models: list[str], grid: list[float]) -> DataFrame:
-    """keys, model, choice and alpha: the best score, of equal ones the larger penalty."""
+    """keys, model, choice and alpha: the best score, of equal ones (to twelve digits) the larger penalty."""
     k = F.col("choice")
     named = scores_.where(F.col("score").isNotNull() & ~F.isnan("score")).select(
-        *keys, F.floor(k / len(grid)).cast("int").alias("_m"), "score", "choice")
+        *keys, F.floor(k / len(grid)).cast("int").alias("_m"), F.round("score", 12).alias("score"), "choice")
     best = named.groupBy(*keys, "_m").agg(F.max(F.struct("score", "choice")).alias("b"))
     labels, values = F.array(*map(F.lit, models)), F.array(*map(F.lit, grid))
     choice = F.col("b.choice")
@@ -302,7 +306,7 @@ class Forecast:
 def _final(rows, keys, cells, selected, columns, target, alphas) -> DataFrame:
     """Fits of every model to all ``cells`` (keys, cell, problem) at the median penalty of ``selected`` (per keys)."""
     _, models, _ = _grid(columns, target, alphas)
-    features = columns["combined"]
+    features = _features(columns)
     one = Fits(tuple(features), FAMILY[target], tuple(tuple(features.index(c) for c in columns[m]) for m in models))
     middle = selected.groupBy(*keys, "model").agg(F.percentile("alpha", F.lit(0.5)).alias("alpha"))
     wide = middle.groupBy(*keys).pivot("model", models).agg(F.first("alpha")) if keys else middle.groupBy().pivot("model", models).agg(F.first("alpha"))

@@ -13,6 +13,7 @@ from eventide.operators import folds as fo
 from eventide.operators import forecast as fc
 from eventide.operators import glm
 from eventide.operators import lifetime as lt
+from eventide.operators import penalised as pn
 from eventide.operators import perievent as pe
 from eventide.operators import scores as sc
 from eventide.operators import transfer as tr
@@ -120,11 +121,11 @@ def kernel_prediction(spark, path):
 FEATURES = ["one", "l_quantity", "l_discount", "l_tax"]
 
 
-def price_rows(spark, path):
+def price_rows(spark, path, *more):
     return tb.read(spark, path, "lineitem").select(
         F.col("l_returnflag").alias("flag"), F.pmod("l_suppkey", F.lit(5)).cast("int").alias("block"),
         F.lit(1.0).alias("one"), "l_quantity", "l_discount", "l_tax",
-        (F.col("l_extendedprice") / 1000.0).alias("y"),
+        (F.col("l_extendedprice") / 1000.0).alias("y"), *more,
     )
 
 
@@ -224,6 +225,45 @@ def held_out_sessions(spark, path):
     return x.select("flag", "alpha", r6("r2"))
 
 
+LINE_ALPHAS = tuple(10.0 ** k for k in range(-2, 6))
+
+
+def _line(a: str) -> str:
+    """Intercept (not penalised) and slope of a ridge line on statistics, the column divided by its root mean square."""
+    s, r = "sqrt(sxx / n)", "alpha"
+    det = f"(n * (n + {r}) - pow(sx / {s}, 2))"
+    return (f"((n + {r}) * sy - sx / {s} * (sxy / {s})) / {det} AS {a}0, "
+            f"(n * (sxy / {s}) - sx / {s} * sy) / {det} / {s} AS {a}1")
+
+
+_LINE_R2 = "1 - (syy - 2 * (b0 * sy + b1 * sxy) + b0 * b0 * n + 2 * b0 * b1 * sx + b1 * b1 * sxx) / (syy - sy * sy / n)"
+_LINE_SUMS = ("n", "sx", "sxx", "sy", "sxy", "syy")
+
+
+def _less(*units: str) -> str:
+    return ", ".join(f"t.{c} - {' - '.join(f'{u}.{c}' for u in units)} AS {c}" for c in _LINE_SUMS)
+
+
+@query(
+    "nested_line_cv",
+    f"""WITH s AS (SELECT l_suppkey AS session, count(*)::DOUBLE AS n, sum(x) AS sx, sum(x * x) AS sxx, sum(y) AS sy, sum(x * y) AS sxy,
+        sum(y * y) AS syy FROM (SELECT l_suppkey % 200 AS l_suppkey, l_quantity::DOUBLE AS x, l_extendedprice / 1000 AS y FROM lineitem) GROUP BY 1),
+    t AS (SELECT {', '.join(f'sum({c}) AS {c}' for c in _LINE_SUMS)} FROM s),
+    g AS (SELECT unnest([{', '.join(f'{a}::DOUBLE' for a in LINE_ALPHAS)}]) AS alpha),
+    p AS (SELECT o.session AS o, h.session AS h, {_less('o', 'h')} FROM s o JOIN s h ON o.session <> h.session, t),
+    f AS (SELECT o, h, alpha, {_line('b')} FROM p, g),
+    i AS (SELECT o, alpha, avg({_LINE_R2}) AS score FROM f JOIN s ON s.session = f.h GROUP BY ALL),
+    a AS (SELECT o, arg_max(alpha, (score, -alpha)) AS alpha FROM i GROUP BY o),
+    w AS (SELECT session, alpha, {_line('b')} FROM (SELECT o.session, alpha, {_less('o')} FROM s o JOIN a ON a.o = o.session, t))
+    SELECT CAST(session AS BIGINT) AS session, alpha, round({_LINE_R2}, 6) AS r2 FROM w JOIN s USING (session)""",
+)
+def nested_line_cv(spark, path):
+    """Leave-one-session-out over every supplier group: one tiled job whatever their number is."""
+    rows = price_rows(spark, path, F.pmod("l_suppkey", F.lit(200)).cast("bigint").alias("session"))
+    g = glm.gram(rows, ["session"], ["one", "l_quantity"], "y")
+    return glm.held_out_sessions(g, "session", LINE_ALPHAS, penalize=[0, 1]).select("session", "alpha", r6("r2"))
+
+
 @query(
     "r2_by_group",
     """WITH p AS (SELECT l_returnflag AS flag, l_extendedprice / 1000 AS y, 1.5 * l_quantity AS p FROM lineitem)
@@ -388,6 +428,89 @@ def forecast_sessions(spark, path):
     return out.select("session", "model", "alpha", r6("r2"), r6("mse"))
 
 
+LICK_MODELS = {"history_only": ["licking_lag0"], "cross_modal": ["photometry_lag0"]}
+LICK_ALPHAS = (0.001, 0.1, 10.0)
+NEWTON_STEPS = 12
+
+
+def lick_models(spark, path, target):
+    """Nested leave-one-session-out models of the next bin's licks from licks or signal of this one."""
+    x, _ = fc.feature_table(
+        forecast_signals(spark, path), INDEX, target=target, horizon=DT, history=0.0, lag_step=DT,
+        target_window=DT, dt=DT, predictors=("licking", "photometry"),
+    )
+    x = x.withColumn("session", F.pmod("mouse", F.lit(4)).cast("int"))
+    return pn.session_models(x, "session", LICK_MODELS, target, alphas=LICK_ALPHAS)
+
+
+def _lick_sql(target, penalty, mean, mu, weight, y, score, metrics):
+    """Newton steps of every training set, model and penalty; the best inner score; metrics of the outer session."""
+    alphas = ", ".join(f"{a}::DOUBLE" for a in LICK_ALPHAS)
+    return f"""WITH RECURSIVE {SIGNALS_SQL}, x AS (
+      SELECT session, unnest(['history_only', 'cross_modal']) AS model, unnest([licking, photometry]) AS x, {y} AS y
+      FROM (SELECT mouse % 4 AS session, licking, photometry, lead(licking) OVER (PARTITION BY mouse ORDER BY i) AS nxt FROM sig)
+      WHERE nxt IS NOT NULL
+    ), ss AS (SELECT DISTINCT session FROM x), sets AS (SELECT a.session AS o, b.session AS h FROM ss a JOIN ss b ON a.session <= b.session
+    ), st AS (
+      SELECT o, h, model, count(*)::DOUBLE AS n, avg(x) AS m, stddev_pop(x) AS sd, avg(y) AS my
+      FROM sets JOIN x ON session <> o AND session <> h GROUP BY ALL
+    ), f AS (
+      SELECT 0 AS it, o, h, model, unnest([{alphas}]) AS alpha, n, m, sd, {mean}::DOUBLE AS b0, 0.0::DOUBLE AS b1 FROM st
+      UNION ALL
+      SELECT it + 1, o, h, model, alpha, n, m, sd, b0 - (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01),
+        b1 - (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01)
+      FROM (SELECT it, o, h, model, alpha, n, m, sd, b0, b1, sum(mu - y) AS g0, sum((mu - y) * z) + {penalty} * b1 AS g1, sum(w) AS h00,
+              sum(w * z) AS h01, sum(w * z * z) + {penalty} AS h11
+            FROM (SELECT f.*, x.y, (x.x - m) / sd AS z, {mu.format('b0 + b1 * ((x.x - m) / sd)')} AS mu, {weight} AS w
+                  FROM f JOIN x ON x.model = f.model AND x.session <> o AND x.session <> h WHERE it < {NEWTON_STEPS})
+            GROUP BY it, o, h, model, alpha, n, m, sd, b0, b1)
+    ), q AS (
+      SELECT f.o, f.h, x.session, f.model, alpha, y, {mu.format('b0 + b1 * ((x.x - m) / sd)')} AS p
+      FROM f JOIN x ON x.model = f.model AND x.session IN (o, h) WHERE it = {NEWTON_STEPS}
+    ), sc AS (
+      SELECT CASE WHEN session = o THEN h ELSE o END AS outer_, session, model, alpha, {score} AS score
+      FROM (SELECT *, sum(y) OVER w AS tp, count(*) OVER w AS above FROM q WHERE o <> h
+            WINDOW w AS (PARTITION BY o, h, session, model, alpha ORDER BY p DESC)) GROUP BY ALL
+    ), best AS (
+      SELECT outer_, model, max(struct_pack(s := s, a := alpha)).a AS alpha
+      FROM (SELECT outer_, model, alpha, round(avg(score), 12) AS s FROM sc GROUP BY ALL) GROUP BY ALL
+    ), held AS (
+      SELECT q.session, q.model, q.y, q.p FROM q JOIN best b ON q.o = b.outer_ AND q.model = b.model AND q.alpha = b.alpha WHERE q.o = q.h
+      UNION ALL
+      SELECT x.session, 'constant', x.y, t.my FROM x JOIN st t ON t.o = x.session AND t.h = x.session AND t.model = x.model
+      WHERE x.model = 'history_only'
+    )
+    SELECT session::INTEGER AS session, model, {metrics}, count(*) AS n
+    FROM (SELECT *, sum(y) OVER w AS tp, count(*) OVER w AS above FROM held WINDOW w AS (PARTITION BY session, model ORDER BY p DESC))
+    GROUP BY session, model"""
+
+
+@query("forecast_lick_binary", _lick_sql(
+    "lick_binary", "alpha", "ln(my / (1 - my))", "(1 / (1 + exp(-({})))::DOUBLE)", "mu * (1 - mu)",
+    "CASE WHEN nxt > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END", "sum(y * tp / above) / sum(y)",
+    """round(sum(y * tp / above) / sum(y), 6) AS average_precision, round(avg(y), 6) AS positive_prevalence,
+      round(avg(-(y * ln(p) + (1 - y) * ln(1 - p))), 6) AS log_loss"""))
+def forecast_lick_binary(spark, path):
+    x = lick_models(spark, path, "lick_binary").metrics
+    return x.select("session", "model", r6("average_precision"), r6("positive_prevalence"), r6("log_loss"), "n")
+
+
+@query("forecast_lick_count", _lick_sql(
+    "lick_count", "(alpha * n)", "ln(my)", "exp({})", "mu", "nxt::DOUBLE",
+    "-2 * avg(CASE WHEN y > 0 THEN y * ln(y / p) ELSE 0 END - y + p)",
+    """round(2 * avg(CASE WHEN y > 0 THEN y * ln(y / p) ELSE 0 END - y + p), 6) AS poisson_deviance,
+      round(avg(abs(y - p)), 6) AS mae"""))
+def forecast_lick_count(spark, path):
+    x = lick_models(spark, path, "lick_count").metrics
+    return x.select("session", "model", r6("poisson_deviance"), r6("mae"), "n")
+
+
+@query("forecast_lick_kernels")
+def forecast_lick_kernels(spark, path):
+    x = lick_models(spark, path, "lick_count").coefficients
+    return x.select("session", "model", "alpha", "feature", r6("coefficient"))
+
+
 @query("forecast_logistic")
 def forecast_logistic(spark, path):
     rows = tb.read(spark, path, "lineitem").select(
