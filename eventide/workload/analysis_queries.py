@@ -8,6 +8,7 @@ from eventide.core.lineage import cut
 from eventide.core.ranks import percentiles
 from eventide.core.series import index_rows
 from eventide.functions.hashed import session_seed
+from eventide.operators import halo
 from eventide.operators import metrics as me
 from eventide.operators import nulls as nl
 from eventide.operators import ordering as od
@@ -464,7 +465,9 @@ def mouse_order(spark, path):
 
 # ---------------------------------------------------------------- null models
 
-SHUFFLES = 10
+SHUFFLES = 500
+#: Onsets to the millisecond, in arithmetic that rounds alike everywhere.
+MILLIS = "floor(t * 1000 + 0.5D) / 1000 AS t"
 MD5U = "(('0x' || substr(md5({label}), 1, 12))::BIGINT / 281474976710656.0::DOUBLE)"
 
 
@@ -487,11 +490,11 @@ NULL_SQL = f"""{EV}, bnd AS (SELECT mouse, min(t) AS rec_lo, max(t) AS rec_hi,
 
 @query(
     "null_random_onsets",
-    f"WITH {NULL_SQL} SELECT mouse, event_i, shuffle, round(t, 3) AS t FROM d",
+    f"WITH {NULL_SQL} SELECT mouse, event_i, shuffle, floor(t * 1000 + 0.5) / 1000 AS t FROM d",
 )
 def null_random_onsets(spark, path):
     x, _ = _null_events(spark, path, "random_onsets")
-    return x.select("mouse", "event_i", "shuffle", F.round("t", 3).alias("t"))
+    return x.select("mouse", "event_i", "shuffle", F.expr(MILLIS))
 
 
 @query(
@@ -503,11 +506,11 @@ def null_random_onsets(spark, path):
         + (e.t - lo - (hi - lo) * floor((e.t - lo) / (hi - lo))) AS off
       FROM ev e JOIN bnd USING (mouse), (SELECT unnest(range(0, {SHUFFLES}))::INTEGER AS shuffle)
       WHERE kind = 'purchase' AND hi > lo)
-    SELECT mouse, event_i, shuffle, round(lo + off - span * floor(off / span), 3) AS t FROM d""",
+    SELECT mouse, event_i, shuffle, floor((lo + off - span * floor(off / span)) * 1000 + 0.5) / 1000 AS t FROM d""",
 )
 def circular_shift(spark, path):
     x, _ = _null_events(spark, path, "circular_shift")
-    return x.select("mouse", "event_i", "shuffle", F.round("t", 3).alias("t"))
+    return x.select("mouse", "event_i", "shuffle", F.expr(MILLIS))
 
 
 NULL_TRIALS_SQL = f"""{NULL_SQL},
@@ -528,9 +531,8 @@ NULL_TRIALS_SQL = f"""{NULL_SQL},
 
 def null_group_means(spark, path):
     events, s = _null_events(spark, path, "random_onsets")
-    x = pe.extract(tb.samples(spark, path), events, tb.series(spark, path, 17 * SHUFFLES), WINDOW, DT)
-    x = pe.normalise(x, ["mouse", "event_i", "shuffle"], mode="subtract", baseline=BASELINE)
-    m = x.groupBy("mouse", "shuffle", "lag_i").agg(F.avg("v").alias("v"))
+    m = halo.by_lag(halo.shuffle_means(
+        tb.samples(spark, path), events, s, WINDOW, DT, mode="subtract", baseline=BASELINE))
     return (
         m.withColumn("grp", tb.group()).groupBy("grp", "shuffle", "lag_i").agg(F.avg("v").alias("v"))
     )
