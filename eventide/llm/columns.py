@@ -35,6 +35,9 @@ ARROW = {
 
 Rows = Iterator[tuple]
 
+#: Rows of a batch that are Python objects at a time.
+TAKEN = 256
+
 
 def map_rows(df: DataFrame, fn: Callable[[Rows], Rows], size: int = 4096, **kinds: str) -> DataFrame:
     """Run ``fn`` over the rows of each partition, as tuples, in Arrow batches.
@@ -50,7 +53,8 @@ def map_rows(df: DataFrame, fn: Callable[[Rows], Rows], size: int = 4096, **kind
             [pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        taken = (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns)))
+        taken = (row for b in batches for at in range(0, b.num_rows, TAKEN)
+                 for row in zip(*(c.to_pylist() for c in b.slice(at, TAKEN).columns)))
         held = []
         for row in fn(taken):
             held.append(row)

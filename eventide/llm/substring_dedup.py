@@ -41,7 +41,7 @@ from eventide.llm.columns import Rows, fresh, map_rows, only
 from eventide.llm.components import components
 from eventide.llm.minhash import Bands
 from eventide.llm.ngram_join import link_tile, tiles
-from eventide.llm.words import runs, utf8, word_hashes, words
+from eventide.llm.words import mixed, runs, utf8, word_hashes, words
 
 PARAGRAPH, SHINGLE, KEY = 50, 5, 25
 #: Jaccard similarity of paragraphs that count as repeated.
@@ -80,15 +80,26 @@ def tuned(similarity: float, miss: float = MISS, most: int = MOST_BANDS) -> tupl
     return best
 
 
-def keys(h: np.ndarray, paragraph: int, shingle: int, key: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the passages of a text with word hashes ``h``, and the position of their first word."""
+#: An odd number and its inverse modulo 2**64.
+_BASE, _BACK = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+
+
+def windows(h: np.ndarray, start: np.ndarray, width: int) -> np.ndarray:
+    """Hash of the ``width`` values from each start on: differences of one running polynomial sum."""
+    base, back = np.full(len(h), _BASE, np.uint64), np.full(len(h), _BACK, np.uint64)
+    base[:1] = back[:1] = 1
+    total = np.concatenate([[np.uint64(0)], np.cumsum(h * np.multiply.accumulate(base))])
+    return mixed((total[start + width] - total[start]) * np.multiply.accumulate(back)[start])
+
+
+def keys(h: np.ndarray, s: np.ndarray, paragraph: int, shingle: int, key: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the passages of a text and the position of their first word; ``h`` hashes words, ``s`` shingles."""
     if len(h) < paragraph:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    at = anchors(runs(h, shingle), paragraph - shingle + 1)
-    long = runs(h, key)
+    at = anchors(s, paragraph - shingle + 1)
     start = np.unique(np.concatenate([at, at + shingle - key]))
-    start = start[(start >= 0) & (start < len(long))]
-    return long[start].view(np.int64), start
+    start = start[(start >= 0) & (start <= len(h) - key)]
+    return windows(h, start, key).view(np.int64), start
 
 
 def common_runs(a: list, b: list, hits: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -168,12 +179,12 @@ def signatures(docs: DataFrame, paragraph: int, shingle: int, key: int, num: int
                 continue
             texts[digest] = doc_id
             h = word_hashes(tokens)
-            found, at = keys(h, paragraph, shingle, key)
+            s = runs(h, shingle)
+            found, at = keys(h, s, paragraph, shingle, key)
             spans = paragraphs(text, shingle)
             same = [xxhash.xxh3_64_intdigest(h[a:b].tobytes()) - (1 << 63) for a, b in spans]
             n, banded = [], np.empty(0, np.int64)
             if spans:
-                s = runs(h, shingle)
                 cut_ = [(a, b - shingle + 1) for a, b in spans]
                 n = distinct_counts(s, cut_)
                 banded = family.keys_of(s, cut_)
@@ -311,7 +322,7 @@ def repeated_spans(docs: DataFrame, paragraph: int = PARAGRAPH, shingle: int = S
                                   .select("doc_id", "text_hash", F.col("s.start").alias("start_word"),
                                           F.col("s.end").alias("end_word"), "keep_id"))
         # Only who would go on with a word that nobody has taken yet.
-        taken = spans.groupBy("doc_id").agg(F.collect_set(F.struct("start_word", "end_word")).alias("taken"))
+        taken = spans.join(found.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.collect_set(F.struct("start_word", "end_word")).alias("taken"))
         going = found.select("doc_id", F.explode(F.arrays_zip("key", "pos", "beyond")).alias("k")).select(
             "doc_id", "k.key", F.col("k.pos").cast("int").alias("pos"), "k.beyond").distinct()
         left = going.join(taken.hint("merge"), "doc_id", "left").where(F.coalesce(~F.exists("taken", lambda s: (

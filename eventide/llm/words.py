@@ -21,11 +21,17 @@ def words(text: str | None) -> list[bytes]:
     return utf8(text).lower().split()
 
 
+#: Word hashes remembered by one worker, of words up to so many bytes: some 40 MB.
+HASHES, LONGEST = 200_000, 64
+
+
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMORY:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        value = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= LONGEST:
+            if len(self) >= HASHES:
+                self.clear()
+            self[word] = value
         return value
 
 
