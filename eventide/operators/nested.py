@@ -45,7 +45,7 @@ def inner_scores(
     stats: DataFrame, total: DataFrame, keys: list[str], unit: str,
     score: Callable[[Moments, Moments, Moments], tuple[np.ndarray, np.ndarray]], *, per_block: int = PER_BLOCK,
 ) -> DataFrame:
-    """keys, unit and means: per choice the mean inner score of every outer unit, NaN where none is finite.
+    """keys, unit, means and counts: per choice the mean of the finite inner scores of every outer unit and their number.
 
     ``stats`` has one row per keys and unit, ``total`` their sums per keys.  ``score(total, a, b)``
     gives the scores of all choices on b with a held out by the outer loop, and on a with b held out.
@@ -102,9 +102,9 @@ def inner_scores(
     cells = parts.select(*names, "_unit", F.posexplode(F.arrays_zip("_sum", "_seen")).alias("_c", "_v"))
     summed = cells.groupBy(*names, "_unit", "_c").agg(F.sum("_v._sum").alias("_s"), F.sum("_v._seen").alias("_n"))
     mean = F.when(F.col("_n") > 0, F.col("_s") / F.col("_n")).otherwise(F.lit(float("nan")))
-    packed = summed.groupBy(*names, "_unit").agg(F.sort_array(F.collect_list(F.struct("_c", mean.alias("m")))).alias("_m"))
+    packed = summed.groupBy(*names, "_unit").agg(F.sort_array(F.collect_list(F.struct("_c", mean.alias("m"), "_n"))).alias("_m"))
     return packed.select(*[F.col(n).alias(k) for n, k in zip(names, keys)], F.col("_unit").alias(unit),
-                         F.transform("_m", lambda x: x["m"]).alias("means"))
+                         F.transform("_m", lambda x: x["m"]).alias("means"), F.transform("_m", lambda x: x["_n"]).alias("counts"))
 
 
 def outer_scores(

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from eventide.core.lineage import cut
 from eventide.core.series import asof
 from eventide.operators import events as ev
 from eventide.operators import glm
@@ -14,6 +15,7 @@ from eventide.operators import perievent as pe
 from eventide.operators import transfer as tr
 from eventide.plans import designs
 from eventide.plans import lifetime as pl
+from eventide.plans import sweeps
 from eventide.plans import trials as pt
 from eventide.workload import tables as tb
 from eventide.workload.analysis_queries import NULL_TRIALS_SQL, SHUFFLES, _null_events
@@ -21,7 +23,8 @@ from eventide.workload.event_queries import (
     BASELINE, BOUTS, CLICK_GAP, DT, GROUPED, TRIALS_SQL, WINDOW, purchases, r6, trials,
 )
 from eventide.workload.model_queries import (
-    BIN, CORR_SQL, SHAPE, TIMES, click_counts, corrected, curves, forecast_signals,
+    _LINE_R2, _LINE_SUMS, _less, _line, BIN, CORR_SQL, SHAPE, SIGNALS_SQL, TIMES, click_counts, corrected, curves,
+    forecast_signals,
 )
 from eventide.workload.registry import EV, query
 
@@ -162,8 +165,6 @@ def _spread(spark, path):
     FROM n, th GROUP BY is_null""",
 )
 def null_diagnostics(spark, path):
-    from eventide.core.lineage import cut
-
     x = nl.null_diagnostics(cut(_spread(spark, path)))
     return x.select(
         "is_null", "n_trials", r6("near_zero_threshold"), r6("near_zero_fraction"), r6("extreme_fraction"),
@@ -175,6 +176,85 @@ def _delivery_counts(spark, path):
     return forecast_signals(spark, path).filter("solenoid > 0").select("mouse", "i", F.col("solenoid").alias("v"))
 
 
+DURATIONS = tuple(range(2, 22, 2))  # grid samples
+SWEEP_ALPHAS = (0.01, 1.0, 100.0, 10000.0)
+
+
+def _sums(prefix: str = "") -> str:
+    return ", ".join(f"sum({prefix}{c}) AS {c}" for c in _LINE_SUMS)
+
+
+SWEEP_SQL = f"""{SIGNALS_SQL}, w AS (SELECT d, k, 0.5 * (1 + cos(pi() * k / d::DOUBLE)) AS w
+      FROM (SELECT unnest([{", ".join(map(str, DURATIONS))}]) AS d), (SELECT unnest(range(0, {DURATIONS[-1] + 1})) AS k) WHERE k <= d),
+    cv AS (SELECT mouse, i + k AS i, d, sum(licking * w) AS x FROM sig, w WHERE licking <> 0 GROUP BY ALL),
+    ds AS (SELECT DISTINCT d FROM w),
+    st AS (SELECT mouse % 8 AS unit, d, count(*)::DOUBLE AS n, sum(x) AS sx, sum(x * x) AS sxx, sum(y) AS sy, sum(x * y) AS sxy, sum(y * y) AS syy
+           FROM (SELECT g.mouse, ds.d, coalesce(cv.x, 0) AS x, g.photometry AS y FROM sig g CROSS JOIN ds
+                 LEFT JOIN cv ON cv.mouse = g.mouse AND cv.i = g.i AND cv.d = ds.d) GROUP BY ALL),
+    tt AS (SELECT d, {_sums()} FROM st GROUP BY d),
+    al AS (SELECT unnest([{", ".join(f"{a}::DOUBLE" for a in SWEEP_ALPHAS)}]) AS alpha),
+    pr AS (SELECT t.d, o.unit AS o, h.unit AS h, {_less("o", "h")} FROM tt t JOIN st o ON o.d = t.d JOIN st h ON h.d = t.d AND h.unit <> o.unit),
+    ft AS (SELECT d, o, h, alpha, {_line("b")} FROM pr, al),
+    ic AS (SELECT ft.d, o, alpha, avg({_LINE_R2}) AS inner_mean, stddev_samp({_LINE_R2}) / sqrt(count(*)) AS inner_se
+           FROM ft JOIN st ON st.d = ft.d AND st.unit = ft.h GROUP BY ALL),
+    pk AS (SELECT d, o, unnest(max(struct_pack(m := inner_mean, na := -alpha, se := inner_se))) FROM ic GROUP BY d, o),
+    fo AS (SELECT d, o, m, se, alpha, {_line("b")} FROM (SELECT t.d, o.unit AS o, m, se, -na AS alpha, {_less("o")}
+           FROM tt t JOIN st o ON o.d = t.d JOIN pk ON pk.d = t.d AND pk.o = o.unit)),
+    sc AS (SELECT fo.d, o, alpha, m, se, {_LINE_R2} AS r2 FROM fo JOIN st ON st.d = fo.d AND st.unit = fo.o)"""
+
+
+def _sweep(spark, path):
+    x = forecast_signals(spark, path)
+    rows = x.select("mouse", "i", F.col("photometry").alias("y"), F.pmod("mouse", F.lit(8)).cast("bigint").alias("unit"))
+    table, columns = sweeps.duration_design(
+        spark, rows, x.select("mouse", "i", F.col("licking").alias("v")), [d * DT for d in DURATIONS], 1, ["mouse"], DT)
+    features = ["one", *[c for cs in columns.values() for c in cs]]
+    return sweeps.compare(
+        glm.gram(table, ["unit"], features, "y"), features, [["one", *cs] for cs in columns.values()], "unit", SWEEP_ALPHAS)
+
+
+@query(
+    "duration_sweep",
+    f"""WITH {SWEEP_SQL}, mn AS (SELECT d, avg(r2) AS mean_r2, stddev_samp(r2) / sqrt(count(*)) AS se_r2 FROM sc GROUP BY d),
+    bs AS (SELECT d FROM mn ORDER BY mean_r2 DESC, d LIMIT 1),
+    ls AS (SELECT a.d, avg(b.r2 - a.r2) AS loss, stddev_samp(b.r2 - a.r2) / sqrt(count(*)) AS loss_se
+           FROM sc a JOIN sc b USING (o) WHERE b.d = (SELECT d FROM bs) GROUP BY a.d)
+    SELECT d::INTEGER AS duration, round(mean_r2, 6) AS mean_r2, round(se_r2, 6) AS se_r2, round(loss, 6) + 0.0 AS loss,
+      d = (SELECT min(d) FROM ls WHERE loss <= loss_se) AS recommended FROM mn JOIN ls USING (d)""",
+)
+def duration_sweep(spark, path):
+    """Ten kernel durations from one scan, each with its penalty chosen inside, and the one-standard-error choice."""
+    x = sweeps.summary(cut(_sweep(spark, path)), "unit")
+    return x.select(F.array(*map(F.lit, DURATIONS))[F.col("candidate")].alias("duration"), r6("mean_r2"), r6("se_r2"), r6("loss"), "recommended")
+
+
+@query(
+    "duration_choice",
+    f"""WITH {SWEEP_SQL}, bs AS (SELECT o, unnest(max(struct_pack(m := m, nd := -d, se := se))) FROM sc GROUP BY o),
+    ok AS (SELECT sc.o, min(struct_pack(d := sc.d, alpha := sc.alpha, r2 := sc.r2)) AS p FROM sc JOIN bs USING (o) WHERE sc.m >= bs.m - bs.se GROUP BY sc.o)
+    SELECT o AS unit, p.d::INTEGER AS duration, p.alpha AS alpha, round(p.r2, 6) AS r2 FROM ok""",
+)
+def duration_choice(spark, path):
+    """Fully nested choice of the duration: per held-out unit the shortest within a standard error of the best."""
+    x = sweeps.one_standard_error(cut(_sweep(spark, path)), "unit")
+    return x.select("unit", F.array(*map(F.lit, DURATIONS))[F.col("candidate")].alias("duration"), "alpha", r6("r2"))
+
+
+@query("drift_ladder")
+def drift_ladder(spark, path):
+    x = forecast_signals(spark, path)
+    span = x.groupBy("mouse").agg(F.greatest(F.max("i"), F.lit(1)).alias("span"))
+    z = F.col("i") / F.col("span")
+    rows = x.join(span, "mouse").select("mouse", "i", F.col("photometry").alias("y"), z.alias("drift1"), (z * z).alias("drift2"),
+                                        F.pmod("mouse", F.lit(8)).cast("bigint").alias("unit"))
+    table, columns = sweeps.duration_design(
+        spark, rows, x.select("mouse", "i", F.col("licking").alias("v")), [8 * DT], 3, ["mouse"], DT)
+    (kernel,) = columns.values()
+    features = ["one", "drift1", "drift2", *kernel]
+    y = sweeps.drift_ladder(glm.gram(table, ["unit"], features, "y"), features, kernel, "unit", SWEEP_ALPHAS)
+    return y.select("step", "unit", "alpha", r6("r2"), r6("gain"))
+
+
 @query("term_ladder")
 def term_ladder(spark, path):
     rows = forecast_signals(spark, path).select("mouse", "i", F.col("photometry").alias("y"))
