@@ -79,7 +79,11 @@ def exact_dedup(docs: DataFrame, salts: int = SALTS, digest=sha256_digest) -> Da
 
 
 def keep_first_of_equal_texts(docs: DataFrame) -> DataFrame:
-    """One row of ``docs`` for every different text, with all its columns."""
+    """One row of ``docs`` for every different text, with all its columns: that of the smallest doc_id.
+
+    A null text equals an empty one.  Rows that repeat doc_id and text become one, a row without
+    doc_id stays where no equal text has one; columns may have any names.  No rows give none.
+    """
     id_, sha, own = fresh(docs, "id", "sha", "own")
     kept = exact_dedup(docs).where("kept").select(
         F.col("doc_id").alias(id_), F.col("text_sha256").alias(sha)).distinct()

@@ -255,7 +255,11 @@ def ngram_join(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100) -
 
 
 def one_of_each_class(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is the smallest of its component, with all their columns."""
+    """Rows of ``docs`` whose doc_id is the smallest of its component, with all their columns.
+
+    Null and empty texts link with nothing and stay, as do rows without doc_id; rows that repeat
+    a doc_id stay or go together.  No rows give none.
+    """
     (id_,) = fresh(docs, "id")
     gone = ngram_join(docs, words, num, den).where("component_id <> doc_id").select(
         F.col("doc_id").alias(id_)).distinct()

@@ -63,6 +63,23 @@ def test_stages(spark, folder):
     assert sorted((r.doc_id, r.start) for r in whole if r.start == 0) == sorted((i, 0) for i in last)
 
 
+def test_stages_take_odd_rows(spark, folder):
+    root, texts, _ = folder
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, rep string, digest string, _id string"
+    rows = [(1, None, None, None, None, "x", "y", "z"), (2, "", "en", "s", 0, None, None, None), (3, texts[301], None, "s", 1, "a", None, "b"),
+            (3, texts[301], None, "s", 1, "a", None, "b"), (None, texts[302], "en", None, 1, None, None, None),
+            (4, "w1 " * 20000, "en", "s", 60000, None, None, None), (5, texts[303], "en", "s", None, None, None, None)]
+    for some in (rows, []):
+        docs = spark.createDataFrame(some, schema)
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, root).cache()
+            assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "rep", "digest", "_id"], name
+        left = sorted((r.doc_id is None, r.doc_id or 0) for r in docs.collect())
+        assert left == ([(False, 1), (False, 3), (False, 4), (False, 5), (True, 0)] if some else [])
+        packed = corpus_pipeline.STAGES[-1][1](spark, docs, root).collect()
+        assert {r.doc_id for r in packed} == {i or None for _, i in left}
+
+
 @pytest.mark.skipif(not os.path.isdir(PATH), reason="no test tables")
 def test_queries_equal_their_sql(spark):
     duckdb = pytest.importorskip("duckdb")
@@ -87,4 +104,4 @@ def test_every_operator_is_registered():
 
     names = entry.queries()
     assert "pipeline" in names
-    assert {n.split("_")[0] for n in names if n.startswith("op")} >= {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in names if n.startswith("op")} >= {f"op{i}" for i in range(1, 14)}
