@@ -6,20 +6,40 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-#: Columns below ``session_id`` that queries filter on.
-_PARTS = {"signals": ["signal"], "events": ["event"], "intervals": ["name"]}
+#: Columns that queries filter on; rows lie in their order, so file statistics skip the others.
+_SORTED = {"signals": ["signal"], "events": ["event"], "intervals": ["name"]}
 
 
 def write_sessions(tables: dict[str, DataFrame], root: str) -> None:
-    """Canonical tables as Parquet, one partition per session.
+    """Canonical tables as Parquet, one partition per session; a session is replaced as a whole.
 
-    ``overwrite`` with dynamic partitions replaces the sessions that are written
-    and no others; Spark's commit protocol makes each table appear whole.  Within
-    a session only the named signals (events, intervals) are replaced.
+    ``overwrite`` with dynamic partitions replaces the sessions that are written and no others;
+    Spark's commit protocol makes each table appear whole.  A session that is in one of the
+    tables and has no rows (signals, events, intervals) in another loses its old ones there.
     """
+    written = None
     for name, df in tables.items():
-        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-            "session_id", *_PARTS.get(name, [])).parquet(f"{root}/{name}")
+        order = ["session_id", *[c for c in _SORTED.get(name, []) if c in df.columns]]
+        # Rebalanced, so a session of very many rows is written by several tasks.
+        (df.hint("rebalance", "session_id").sortWithinPartitions(*order).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("session_id").parquet(f"{root}/{name}"))
+        ids = df.select("session_id").distinct()
+        written = ids if written is None else written.unionByName(ids)
+    if len(tables) > 1:
+        written = written.distinct()
+        for name, df in tables.items():
+            _remove(df.sparkSession, f"{root}/{name}", written.join(df.select("session_id").distinct(), "session_id", "left_anti"))
+
+
+def _remove(spark, folder: str, sessions: DataFrame) -> None:
+    """Delete the partitions of sessions without rows; one number or name at a time reaches the driver."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    quoted = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+    files = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    for row in sessions.toLocalIterator():
+        part = path(folder, "session_id=" + quoted.escapePathName(str(row["session_id"])))
+        if files.exists(part):
+            files.delete(part, True)
 
 
 def pending(manifest: DataFrame, done: DataFrame, keys: list[str], *, overwrite: bool = False) -> DataFrame:

@@ -218,6 +218,13 @@ def test_session_store_and_export(spark, tmp_path):
     assert {r[0] for r in spark.read.schema(se.SCHEMAS["signals"]).parquet(f"{root}/signals").select("session_id").collect()} == {"s1", "s2"}
     tbl.write_sessions({"signals": other.withColumn("v", F.lit(9.0))}, root)
     assert sorted(r.v for r in spark.read.schema(se.SCHEMAS["signals"]).parquet(f"{root}/signals").collect()) == [1.0, 2.0, 9.0, 9.0]
+    # A signal or an event table that the session no longer has disappears with it.
+    events = spark.createDataFrame([("s1", "lick", 1.0), ("s2", "lick", 2.0), ("s:3", "lick", 3.0)], "session_id string, event string, t double")
+    tbl.write_sessions({"signals": sig.unionByName(other), "events": events}, root)
+    tbl.write_sessions({"signals": sig.filter("signal = 'dff'").unionByName(sig.withColumn("session_id", F.lit("s:3"))), "events": events.limit(0)}, root)
+    left = {(r.session_id, r.signal) for r in spark.read.schema(se.SCHEMAS["signals"]).parquet(f"{root}/signals").collect()}
+    assert left == {("s1", "dff"), ("s2", "dff"), ("s2", "tau"), ("s:3", "dff"), ("s:3", "tau")}
+    assert {r.session_id for r in spark.read.schema(events.schema).parquet(f"{root}/events").collect()} == {"s2"}
     todo = tbl.pending(spark.createDataFrame([("s1",), ("s2",)], "session_id string"), sig, ["session_id"])
     assert [r[0] for r in todo.collect()] == ["s2"]
     rows = spark.createDataFrame([(0.0, 1.0, "a"), (1.0, float("nan"), "a")], "time_s double, value double, mouse string")
