@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventide.core.lineage import cut
-from eventide.llm.columns import Rows, fresh, map_rows, only
+from eventide.llm.columns import Rows, fresh, map_rows, only, small_batches
 from eventide.llm.components import components
 from eventide.llm.minhash import Bands
 from eventide.llm.ngram_join import link_tile, tiles
@@ -203,6 +203,11 @@ def signatures(docs: DataFrame, paragraph: int, shingle: int, key: int, num: int
     return map_rows(docs.select("doc_id", "text", F.xxhash64("text")), run, 256, **_SIGNED)
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    with small_batches(df.sparkSession):
+        return cut(df)
+
+
 def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """doc_id, text_hash and text of the given documents; a shuffle join, as both sides grow."""
     return docs.join(ids.distinct().hint("merge"), "doc_id").select("doc_id", F.xxhash64("text").alias("text_hash"), "text").distinct()
@@ -242,7 +247,7 @@ def similar_paragraphs(cut_up: DataFrame, wanted: DataFrame, texts: DataFrame, s
                     yield t["tile"], t["side"], p["rep"], 1, packed
 
     valued = map_rows(asked, arrays, 64, tile="bigint", side="int", rep="bigint", copies="bigint", values="binary")
-    linked = cut(valued.groupBy("tile").applyInArrow(
+    linked = _cut(valued.groupBy("tile").applyInArrow(
         lambda t: link_tile(t, num, den), "rep bigint, links bigint, least bigint"))
     joined = components(linked.select("rep", "least").where("rep <> least")).select(
         F.col("node").alias("same"), F.col("component").alias("other"))
@@ -282,8 +287,8 @@ def _round(hits: DataFrame, texts: DataFrame, key: int) -> DataFrame:
                         ends.append(beyond)
             yield doc_id, text_hash, keep_id, [s for s, _ in spans], [e for _, e in spans], again, at, ends
 
-    return cut(map_rows(both, verify, 256, doc_id="bigint", text_hash="bigint", keep_id="bigint", start="array<bigint>",
-                        end="array<bigint>", key="array<bigint>", pos="array<bigint>", beyond="array<bigint>"))
+    return _cut(map_rows(both, verify, 256, doc_id="bigint", text_hash="bigint", keep_id="bigint", start="array<bigint>",
+                         end="array<bigint>", key="array<bigint>", pos="array<bigint>", beyond="array<bigint>"))
 
 
 def _shared(keyed: DataFrame) -> DataFrame:
@@ -303,7 +308,7 @@ def repeated_spans(docs: DataFrame, paragraph: int = PARAGRAPH, shingle: int = S
     if 2 * key > paragraph:
         raise ValueError("a key is at most half a paragraph")
     docs = docs.where("doc_id is not null")
-    signed = cut(signatures(docs, paragraph, shingle, key, num, den))
+    signed = _cut(signatures(docs, paragraph, shingle, key, num, den))
     first = signed.groupBy("digest").agg(F.min("doc_id").alias("first_id"))
     classes = cut(signed.select("doc_id", "digest", "n_words").join(first.hint("merge"), "digest").drop("digest"))
     moved = classes.where("doc_id <> first_id").select("doc_id", "first_id").distinct()
