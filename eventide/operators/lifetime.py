@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, StructField, StructType
 
 from eventide.core.lineage import cut
+from eventide.core.ranks import percentiles
+from eventide.core.series import Series, index_rows
 from eventide.functions import decay
 from eventide.functions.hashed import label
 from eventide.functions.solvers import nnls_small
@@ -440,6 +442,20 @@ def fit_global(
                    "converged": converged}
 
 
+def typical_counts(trace: DataFrame, s: Series, bin_sizes: Sequence[int] = (1, 2, 5, 10)) -> DataFrame:
+    """k, short and long: medians of the component counts in full groups of ``k`` consecutive samples.
+
+    ``trace``: keys, ``s.t``, short, long.  Groups with a missing value or without photons don't count.
+    """
+    rows = index_rows(trace.select(*s.keys, s.t, "short", "long"), s)
+    whole = rows.withColumn("k", F.explode(F.array(*[F.lit(int(k)) for k in bin_sizes])))
+    sums = whole.groupBy(*s.keys, "k", F.floor(F.col("i") / F.col("k")).alias("_bin")).agg(
+        F.count("short").alias("_a"), F.count("long").alias("_b"), F.sum("short").alias("short"), F.sum("long").alias("long"))
+    full = sums.where("_a = k and _b = k and short + long > 0 and short + long < double('inf')")
+    medians = [percentiles(full, ["k"], c, {c: 0.5}).select("k", F.greatest(c, F.lit(0.0)).alias(c)) for c in ("short", "long")]
+    return medians[0].join(medians[1], "k")
+
+
 def binning_sensitivity(
     components: DataFrame,
     *,
@@ -448,37 +464,34 @@ def binning_sensitivity(
     t0: float,
     sigma: float,
     period: float = 12.5,
-    bin_sizes: Sequence[int] = (1, 2, 5, 10),
     n_bootstrap: int = 200,
     seed: int = 0,
 ) -> DataFrame:
     """Photon-noise precision per bin size from a Poisson bootstrap.
 
-    ``components``: one row ``short, long`` of median counts per sample.  Draws
+    ``components``: k, short and long counts of a typical group (``typical_counts``).  Draws
     are seeded by their label, so retries repeat them.
     """
     taus = sorted(map(float, lifetimes))
     B = decay.component_basis(times, taus, t0, sigma, period)
     t = np.asarray(times, dtype=float)
-    draws = components.select(
-        "short", "long", F.explode(F.array(*[F.lit(int(k)) for k in bin_sizes])).alias("k")
-    ).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_bootstrap - 1))))
+    draws = components.select("k", "short", "long").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_bootstrap - 1))))
     draws = draws.withColumn(
         "_seed", F.conv(F.substring(F.md5(label(seed, F.col("k"), F.col("b")).cast("binary")), 1, 12), 16, 10).cast("bigint")
     )
     schema = StructType([StructField("mpet", DoubleType()), StructField("fraction", DoubleType())])
 
     @F.pandas_udf(schema)
-    def resample(s: pd.Series, l: pd.Series, k: pd.Series, sd: pd.Series) -> pd.DataFrame:
+    def resample(s: pd.Series, l: pd.Series, sd: pd.Series) -> pd.DataFrame:
         out = []
-        for a, b, m, seed_ in zip(s, l, k, sd):
-            y = np.random.default_rng(int(seed_)).poisson(np.maximum(B @ np.array([a, b]) * m, 0.0))
+        for a, b, seed_ in zip(s, l, sd):
+            y = np.random.default_rng(int(seed_)).poisson(np.maximum(B @ np.array([a, b]), 0.0))
             x = nnls_small(B, y[:, None].astype(float))[0]
             n = y.sum()
             out.append(((t * y).sum() / n - t0 if n else np.nan, x[1] / x.sum() if x.sum() else np.nan))
         return pd.DataFrame(out, columns=["mpet", "fraction"])
 
-    x = draws.select("k", resample("short", "long", "k", "_seed").alias("r")).select("k", "r.*")
+    x = draws.select("k", resample("short", "long", "_seed").alias("r")).select("k", "r.*")
     q = F.array(F.lit(0.025), F.lit(0.975))
     g = x.groupBy("k").agg(F.percentile("mpet", q).alias("m"), F.percentile("fraction", q).alias("f"))
     return g.select(

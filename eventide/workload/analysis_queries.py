@@ -67,12 +67,12 @@ def hier_rollup(spark, path):
 @query(
     "trial_rollup",
     f"""WITH {EV}, s AS (SELECT mouse, {WEEK} AS session, avg(v) AS value, count(v) AS n
-      FROM ev WHERE kind = 'purchase' GROUP BY ALL)
+      FROM ev GROUP BY ALL)
     SELECT mouse, round(avg(value), 6) AS value, count(*) AS n_sessions,
       CAST(sum(n) AS BIGINT) AS n_trials FROM s GROUP BY mouse""",
 )
 def trial_rollup(spark, path):
-    e = tb.raw_events(spark, path).filter("kind = 'purchase'")
+    e = tb.raw_events(spark, path)
     rows = e.select("mouse", tb.week().alias("session"), F.col("v").alias("value"))
     _, per_mouse = ru.trial_metrics(rows, ["mouse", "session"], ["mouse"])
     return per_mouse.withColumn("value", F.round("value", 6))
@@ -81,11 +81,10 @@ def trial_rollup(spark, path):
 @query(
     "session_spread",
     f"""WITH {EV} SELECT mouse, {WEEK} AS session, round(avg(v), 6) AS value,
-      round(stddev_samp(v), 6) AS sd, count(v) AS n_trials FROM ev WHERE kind = 'purchase'
-      GROUP BY ALL""",
+      round(stddev_samp(v), 6) AS sd, count(v) AS n_trials FROM ev GROUP BY ALL""",
 )
 def session_spread(spark, path):
-    e = tb.raw_events(spark, path).filter("kind = 'purchase'")
+    e = tb.raw_events(spark, path)
     rows = e.select("mouse", tb.week().alias("session"), F.col("v").alias("value"))
     per_session, _ = ru.trial_metrics(rows, ["mouse", "session"], ["mouse"])
     return per_session.withColumns({"value": F.round("value", 6), "sd": F.round("sd", 6)})
@@ -696,19 +695,18 @@ def pairwise_rank_tests(spark, path):
 
 @query(
     "bootstrap_interval",
-    f"""WITH {METRICS_SQL}, p AS (SELECT grp, cond, mouse, value, row_number() OVER (PARTITION BY grp, cond
-      ORDER BY mouse) - 1 AS i, count(*) OVER (PARTITION BY grp, cond) AS n FROM mice WHERE metric = 'purchase'),
-    s AS (SELECT grp, cond, b, least(CAST(floor({MD5U.format(
-        label="'3|' || grp || '|' || cond || '|' || b || '|' || i")} * n) AS BIGINT), n - 1) AS i
-      FROM p, (SELECT unnest(range(0, 100)) AS b)),
-    m AS (SELECT grp, cond, b, avg(p.value) AS m FROM s JOIN p USING (grp, cond, i) GROUP BY ALL)
-    SELECT grp, cond, round(quantile_cont(m, 0.025), 6) AS lower, round(quantile_cont(m, 0.975), 6) AS upper,
+    f"""WITH {METRICS_SQL}, p AS (SELECT grp, cond, metric, mouse, value, row_number() OVER (PARTITION BY grp, cond, metric
+      ORDER BY mouse) - 1 AS i, count(*) OVER (PARTITION BY grp, cond, metric) AS n FROM mice),
+    s AS (SELECT grp, cond, metric, b, least(CAST(floor({MD5U.format(
+        label="'3|' || grp || '|' || cond || '|' || metric || '|' || b || '|' || i")} * n) AS BIGINT), n - 1) AS i
+      FROM p, (SELECT unnest(range(0, 5000)) AS b)),
+    m AS (SELECT grp, cond, metric, b, avg(p.value) AS m FROM s JOIN p USING (grp, cond, metric, i) GROUP BY ALL)
+    SELECT grp, cond, metric, round(quantile_cont(m, 0.025), 6) AS lower, round(quantile_cont(m, 0.975), 6) AS upper,
       count(m) AS n_resamples FROM m GROUP BY ALL""",
 )
 def bootstrap_interval(spark, path):
-    m = mice(spark, path).filter("metric = 'purchase'")
-    x = st.bootstrap_mean_interval(m, ["grp", "cond"], n_resamples=100, seed=3)
-    return x.select("grp", "cond", r6("lower"), r6("upper"), "n_resamples")
+    x = st.bootstrap_mean_interval(mice(spark, path), ["grp", "cond", "metric"], n_resamples=5000, seed=3)
+    return x.select("grp", "cond", "metric", r6("lower"), r6("upper"), "n_resamples")
 
 
 @query("mean_t_interval")

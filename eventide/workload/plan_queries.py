@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from eventide.core.lineage import cut
-from eventide.core.series import asof
+from eventide.core.series import Series, asof
 from eventide.operators import events as ev
 from eventide.operators import glm
 from eventide.operators import lifetime as lt
@@ -339,10 +339,9 @@ def irf_fit(spark, path):
 @query("binning_sensitivity")
 def binning_sensitivity(spark, path):
     fitted = lt.fit_target(curves(spark, path), fit_background=True, **SHAPE)
-    c = fitted.agg(
-        F.avg(F.col("components")[0]).alias("short"), (F.avg(F.col("components")[1]) + 1.0).alias("long")
-    )
-    x = lt.binning_sensitivity(c, bin_sizes=(1, 4), n_bootstrap=40, **SHAPE)
+    trace = fitted.select("label", "vec_id", F.col("components")[0].alias("short"), F.col("components")[1].alias("long"))
+    c = lt.typical_counts(trace, Series(("label",), "vec_id", 100_000.0))
+    x = lt.binning_sensitivity(cut(c), **SHAPE)
     return x.select("k", F.round("mpet_half_width_ps", 3).alias("mpet_half_width_ps"), r6("fraction_half_width"))
 
 

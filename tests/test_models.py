@@ -442,11 +442,28 @@ def test_global_fit(spark):
 
 
 def test_binning_sensitivity(spark):
-    c = spark.createDataFrame([(2000.0, 6000.0)], "short double, long double")
-    x = lt.binning_sensitivity(c, times=TIMES, bin_sizes=(1, 16), n_bootstrap=60, **SHAPE).toPandas().set_index("k")
+    c = spark.createDataFrame([(1, 2000.0, 6000.0), (16, 32000.0, 96000.0)], "k int, short double, long double")
+    x = lt.binning_sensitivity(c, times=TIMES, n_bootstrap=60, **SHAPE).toPandas().set_index("k")
     assert x.mpet_half_width_ps[1] / x.mpet_half_width_ps[16] == pytest.approx(4, rel=0.4)
 
 
+def test_typical_counts_are_medians_of_full_groups(spark):
+    from eventide.core.series import Series
+
+    rng = np.random.default_rng(17)
+    short, long = rng.integers(0, 50, 103).astype(float), rng.integers(0, 9, 103).astype(float)
+    short[40], long[7:9] = np.nan, 0.0
+    short[7:9] = 0.0
+    rows = [("r", i, None if np.isnan(a) else float(a), float(b)) for i, (a, b) in enumerate(zip(short, long))]
+    df = spark.createDataFrame(rows, "k_ string, t int, short double, long double")
+    got = {r.k: r for r in lt.typical_counts(df, Series(("k_",), "t", 13.0), (1, 2, 10, 200)).collect()}
+    for k in (1, 2, 10):
+        a, b = (v[:103 // k * k].reshape(-1, k).sum(1) for v in (short, long))
+        fine = np.isfinite(a) & (a + b > 0)
+        assert (got[k].short, got[k].long) == (np.median(a[fine]), np.median(b[fine]))
+    assert set(got) == {1, 2, 10}
+
+
 def test_markers(spark):
     df = spark.createDataFrame([(0,), (4,), (8,), (2**31 + 4,)], "mark bigint")
     assert [r[0] for r in df.select(lt.markers(df)).collect()] == [False, True, False, True]
