@@ -6,11 +6,11 @@ dropped, where the batch operators refuse unordered input.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor
-from pyspark.sql.types import BooleanType, StructField, StructType, TimestampType
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 
 def tumbling_counts(
@@ -62,10 +62,11 @@ def first_after_reference(
     references: DataFrame, events: DataFrame, key: str, *, window: tuple[str, str] = ("0 seconds", "20 seconds"),
     lateness: str = "10 seconds",
 ) -> DataFrame:
-    """Events inside the window after a reference (an interval join).
+    """The first event inside the window after each reference: ``key, ref_ts, event_ts``.
 
-    Emits ``key, ref_ts, event_ts``; the earliest event per reference is the
-    match, taken by the sink because append mode emits pairs as they arrive.
+    An interval join, then the earliest event per reference.  A reference is closed, and its row
+    leaves, when the watermark says that no event of its window can come any more: exactly one row
+    per matched reference, whatever the order of arrival within the lateness.
     """
     r = references.select(F.col(key).alias("_k"), F.col("ts").alias("ref_ts")).withWatermark("ref_ts", lateness)
     e = events.select(key, F.col("ts").alias("event_ts")).withWatermark("event_ts", lateness)
@@ -74,46 +75,54 @@ def first_after_reference(
         & (F.col("event_ts") >= F.col("ref_ts") + F.expr(f"INTERVAL {window[0]}"))
         & (F.col("event_ts") < F.col("ref_ts") + F.expr(f"INTERVAL {window[1]}"))
     )
-    return r.join(e, on).select(key, "ref_ts", "event_ts")
+    return r.join(e, on).groupBy(key, "ref_ts").agg(F.min("event_ts").alias("event_ts"))
 
 
-class PulseProcessor(StatefulProcessor):
-    """Keeps the last level and the open onset of a channel.
+_PULSES = "channel string, onset bigint, offset bigint"
+#: Rows held back (time in microseconds, value), the last level and the open onset.
+_HELD = "at array<bigint>, v array<double>, high boolean, onset bigint"
 
-    Samples of a batch are sorted by time; a channel sends them in order.
+
+def _edges(at: np.ndarray, v: np.ndarray, threshold: float, high: bool | None, onset: int | None):
+    """Ended pulses (onset, offset) of samples in time order, the level after them and an open onset."""
+    level = v > threshold
+    before = np.concatenate([[level[0] if high is None else high], level[:-1]])
+    up, down = at[level & ~before], at[~level & before]
+    if onset is not None:
+        up = np.concatenate([[onset], up])
+    if len(down) and (not len(up) or down[0] < up[0]):
+        down = down[1:]  # high from the start: no onset is known
+    left = int(up[-1]) if len(up) > len(down) else None
+    return up[:len(down)], down, bool(level[-1]), left
+
+
+def pulses(stream: DataFrame, *, threshold: float = 1.5, lateness: str = "10 seconds") -> DataFrame:
+    """Internal high pulses per channel (``channel, ts, v``), emitted when they end.
+
+    Samples wait until the watermark has passed them and are then taken in time order, so late and
+    unordered ones inside the lateness change nothing.  State is what arrived within the lateness.
     """
 
-    def __init__(self, threshold: float):
-        self.threshold = threshold
-
-    def init(self, handle):
-        state = StructType([StructField("high", BooleanType()), StructField("onset", TimestampType())])
-        self.level = handle.getValueState("level", state)
-
-    def handleInputRows(self, key, rows, timerValues):
-        pdf = pd.concat(list(rows)).sort_values("ts")
-        high, onset = self.level.get() if self.level.exists() else (None, None)
-        out = []
-        for ts, v in zip(pdf["ts"], pdf["v"]):
-            now = v > self.threshold
-            if now and high is False:
-                onset = ts
-            elif not now and high and onset is not None:
-                out.append((*key, onset, ts))
-                onset = None
-            high = bool(now)
-        self.level.update((high, onset))
-        yield pd.DataFrame(out, columns=["channel", "onset", "offset"])
-
-    def close(self):
-        pass
-
-
-def pulses(stream: DataFrame, *, threshold: float = 1.5) -> DataFrame:
-    """Internal high pulses per channel (``channel, ts, v``), emitted when they end."""
-    return stream.groupBy("channel").transformWithStateInPandas(
-        statefulProcessor=PulseProcessor(threshold),
-        outputStructType="channel string, onset timestamp, offset timestamp",
-        outputMode="Append",
-        timeMode="None",
-    )
+    def run(key, frames, state):
+        at, v, high, onset = ([], [], None, None)
+        if state.exists:
+            at, v, high, onset = state.get
+        frames = list(frames) if not state.hasTimedOut else []
+        at = np.concatenate([np.array(at, np.int64), *[f["_at"].to_numpy(np.int64) for f in frames]])
+        v = np.concatenate([np.array(v, float), *[f["v"].to_numpy(float) for f in frames]])
+        order = np.argsort(at, kind="stable")
+        at, v = at[order], v[order]
+        passed = int(np.searchsorted(at, state.getCurrentWatermarkMs() * 1000, side="right"))
+        up = down = np.empty(0, np.int64)
+        if passed:
+            up, down, high, onset = _edges(at[:passed], v[:passed], threshold, high, onset)
+            onset = None if not high else onset
+        state.update((at[passed:].tolist(), v[passed:].tolist(), high, onset))
+        if len(at) > passed:
+            state.setTimeoutTimestamp(max(int(at[passed]) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"channel": [key[0]] * len(down), "onset": up, "offset": down})
+
+    rows = stream.withWatermark("ts", lateness).select("channel", "ts", F.unix_micros("ts").alias("_at"), F.col("v").cast("double").alias("v"))
+    found = rows.groupBy("channel").applyInPandasWithState(
+        run, _PULSES, _HELD, "append", GroupStateTimeout.EventTimeTimeout)
+    return found.select("channel", F.timestamp_micros("onset").alias("onset"), F.timestamp_micros("offset").alias("offset"))
