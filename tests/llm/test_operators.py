@@ -325,7 +325,8 @@ def test_slices_have_the_keys_of_their_values():
     family, spans = Bands(5, 3), [(0, 10), (3, 60), (59, 60), (0, 60)]
     assert (family.keys_of(v, spans) == np.stack([family.keys(v[a:b]) for a, b in spans])).all()
     v[20:30] = v[:10]
-    assert substring_dedup.distinct_counts(v, [(0, 60), (15, 35), (5, 25)]) == [50, 20, 15]
+    slices = [(0, 60), (15, 35), (5, 28)]
+    assert substring_dedup.distinct_counts(v, slices) == [len(np.unique(v[a:b])) for a, b in slices] == [50, 20, 20]
 
 
 def test_no_passages(nothing, docs):
