@@ -391,13 +391,17 @@ def without_repeats(docs: DataFrame, paragraph: int = PARAGRAPH, shingle: int =
     doc_id or text among them.
     """
     spans, classes = repeated_spans(only(docs, doc_id="bigint", text="string"), paragraph, shingle, key)
-    id_, hash_, cuts_ = fresh(docs, "id", "hash", "cuts")
-    cuts = spans.groupBy(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_)).agg(
-        F.sort_array(F.collect_set(F.struct("start_word", "end_word"))).alias(cuts_))
+    id_, gone_, cuts_ = fresh(docs, "id", "gone", "cuts")
+    cuts = spans.groupBy("doc_id", "text_hash").agg(
+        F.sort_array(F.collect_set(F.struct("start_word", "end_word"))).alias("cuts"))
+    cuts = cuts.groupBy(F.col("doc_id").alias(id_)).agg(F.collect_list(F.struct("text_hash", "cuts")).alias(cuts_))
     copies = classes.where((F.col("doc_id") != F.col("first_id")) & (F.col("n_words") >= shingle)) \
-        .select(F.col("doc_id").alias(id_)).distinct()
-    kept = docs.join(copies, docs["doc_id"] == copies[id_], "left_anti")
-    joined = kept.join(cuts, (kept["doc_id"] == cuts[id_]) & (F.xxhash64(kept["text"]) == cuts[hash_]), "left")
+        .select(F.col("doc_id").alias(id_), F.lit(True).alias(gone_)).distinct()
+    # One table of what happens to a document, so that texts are shuffled once.
+    marks = cuts.join(copies, id_, "full_outer")
+    joined = docs.join(marks, docs["doc_id"] == marks[id_], "left").where(F.col(gone_).isNull())
+    own = F.filter(F.col(cuts_), lambda c: c["text_hash"] == F.xxhash64(docs["text"]))
+    joined = joined.withColumn(cuts_, F.when(F.size(own) > 0, own[0]["cuts"]))
 
     @F.pandas_udf("string")
     def remaining(text: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
