@@ -6,6 +6,10 @@ retries and partitioning cannot change it, and any SQL engine can repeat it.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,3 +37,107 @@ def session_seed(seed: int, *identity: Column) -> Column:
     digest = F.substring(F.sha2(label(seed, *identity), 256), 1, 16)
     pairs = [F.substring(digest, 2 * k + 1, 2) for k in reversed(range(8))]
     return F.conv(F.concat(*pairs), 16, 10)
+
+
+# ------------------------------------------------------------ the same draws for whole grids of labels
+
+_SHIFTS = ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21))
+_SINES = [int(abs(np.sin(i + 1)) * 2**32) for i in range(64)]
+#: Labels that are hashed side by side.
+_SIDE_BY_SIDE = 16384
+#: Indices that are handed over at a time, unless one b has more.
+_HELD = 1 << 17
+
+
+def _first_48_bits(words: list[int | np.ndarray], size: int) -> np.ndarray:
+    """First 48 bits of the MD5 of one-block messages, given by their 16 words (numbers where all agree)."""
+    start = [0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476]
+    a, b, c, d = (np.full(size, x, np.uint32) for x in start)
+    f, t = np.empty(size, np.uint32), np.empty(size, np.uint32)
+    for i in range(64):
+        kind = i // 16
+        if kind == 0:
+            np.bitwise_xor(c, d, out=f)
+            np.bitwise_and(f, b, out=f)
+            np.bitwise_xor(f, d, out=f)
+        elif kind == 1:
+            np.bitwise_xor(b, c, out=f)
+            np.bitwise_and(f, d, out=f)
+            np.bitwise_xor(f, c, out=f)
+        elif kind == 2:
+            np.bitwise_xor(b, c, out=f)
+            np.bitwise_xor(f, d, out=f)
+        else:
+            np.invert(d, out=f)
+            np.bitwise_or(f, b, out=f)
+            np.bitwise_xor(f, c, out=f)
+        word = words[(i, 5 * i + 1, 3 * i + 5, 7 * i)[kind] % 16]
+        np.add(f, a, out=f)
+        if isinstance(word, np.ndarray):
+            np.add(f, np.uint32(_SINES[i]), out=f)
+            np.add(f, word, out=f)
+        else:
+            np.add(f, np.uint32((_SINES[i] + word) & 0xFFFFFFFF), out=f)
+        s = _SHIFTS[kind][i % 4]
+        np.left_shift(f, np.uint32(s), out=t)
+        np.right_shift(f, np.uint32(32 - s), out=f)
+        np.bitwise_or(f, t, out=f)
+        np.add(f, b, out=f)
+        a, b, c, d, f = d, f, b, c, a
+    high = (a + np.uint32(start[0])).byteswap().astype(np.uint64)
+    low = (b + np.uint32(start[1])).byteswap().astype(np.uint64)
+    return (high << np.uint64(16)) | (low >> np.uint64(16))
+
+
+def _by_digits(first: int, last: int) -> Iterator[tuple[int, int, int]]:
+    """Ranges of ``first .. last - 1`` whose numbers have equally many digits."""
+    while first < last:
+        digits = len(str(first))
+        stop = min(last, 10**digits)
+        yield first, stop, digits
+        first = stop
+
+
+def _grid_bits(prefix: bytes, b: np.ndarray, b_digits: int, slot: np.ndarray, slot_digits: int) -> np.ndarray:
+    """First 48 bits for ``prefix|b|slot``, one row per b; each side has numbers of equally many digits."""
+    shape = (len(b), len(slot))
+    size = len(prefix) + b_digits + slot_digits + 2
+    if size > 55:  # more than one block
+        found = [hashlib.md5(prefix + b"|%d|%d" % (x, y), usedforsecurity=False).digest()[:6]
+                 for x in b.tolist() for y in slot.tolist()]
+        whole = np.zeros((len(found), 8), np.uint8)
+        whole[:, 2:] = np.frombuffer(b"".join(found), np.uint8).reshape(-1, 6)
+        return whole.view(">u8").astype(np.uint64).reshape(shape)
+    message = bytearray(prefix + b"|" + bytes(b_digits) + b"|" + bytes(slot_digits) + b"\x80")
+    message += bytes(56 - len(message)) + (8 * size).to_bytes(8, "little")
+    words: list[int | np.ndarray] = np.frombuffer(bytes(message), "<u4").tolist()
+    for values, digits, place in ((b[:, None], b_digits, len(prefix) + 1), (slot[None], slot_digits, size - slot_digits)):
+        for k in range(digits):
+            at = place + k
+            digit = (values // 10 ** (digits - 1 - k) % 10 + 48).astype(np.uint32) << np.uint32(8 * (at % 4))
+            # The right side has more numbers: only it is widened here.
+            words[at // 4] = np.bitwise_or(words[at // 4] if isinstance(words[at // 4], np.ndarray)
+                                           else np.uint32(words[at // 4]), digit)
+    words = [np.ascontiguousarray(np.broadcast_to(w, shape)).ravel() if isinstance(w, np.ndarray) else w for w in words]
+    return _first_48_bits(words, shape[0] * shape[1]).reshape(shape)
+
+
+def indices(prefix: str, n: int, first: int, last: int) -> Iterator[tuple[int, np.ndarray]]:
+    """``index_below(n, prefix, b, slot)`` for b in ``first .. last - 1`` and all n slots, some b at a time.
+
+    Gives the first b and a matrix with a row per b.
+    """
+    text = prefix.encode()
+    step = max(1, min(128, _HELD // max(1, n)))
+    for start, stop, b_digits in _by_digits(first, last):
+        for b0 in range(start, stop, step):
+            b = np.arange(b0, min(stop, b0 + step), dtype=np.uint32)
+            out = np.empty((len(b), n), np.int64)
+            for s0, s1, digits in _by_digits(0, n):
+                for at in range(s0, s1, _SIDE_BY_SIDE):
+                    slot = np.arange(at, min(s1, at + _SIDE_BY_SIDE), dtype=np.uint32)
+                    rows = max(1, _SIDE_BY_SIDE // len(slot))
+                    for r in range(0, len(b), rows):
+                        u = _grid_bits(text, b[r:r + rows], b_digits, slot, digits).astype(np.float64) / float(2**_BITS)
+                        out[r:r + rows, at:at + len(slot)] = np.minimum(np.floor(u * n), n - 1)
+            yield b0, out

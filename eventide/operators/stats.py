@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from eventide.core.lineage import cut
+from eventide.core.lineage import cut, small_batches
 from eventide.core.ranks import average_rank, distribution
 from eventide.core.series import Series, running
-from eventide.functions.hashed import index_below
+from eventide.functions.hashed import index_below, indices, label
 from eventide.functions.special import mann_whitney_p, t_p_value, t_ppf_975, wilcoxon_p
 
 
@@ -274,13 +279,126 @@ def holm_family(tests: DataFrame, family: str, p: str = "p_value") -> DataFrame:
 _IDENTITY = ["comparison", "stratum", "metric", "level_a", "level_b", "test"]
 
 
+#: Members of a side that one task may hold, and tasks that share the resamples of one group.
+GATHERED, SHARES = 1 << 20, 64
+
+
+def _shared_out(groups: DataFrame, n_resamples: int) -> DataFrame:
+    """``groups`` once per share of the resamples ``_first .. _last - 1``, spread over the cores."""
+    shares = min(SHARES, n_resamples)
+    ends = [n_resamples * k // shares for k in range(shares + 1)]
+    ranges = F.array(*[F.struct(F.lit(a).alias("_first"), F.lit(b).alias("_last")) for a, b in zip(ends, ends[1:])])
+    tasks = 4 * groups.sparkSession.sparkContext.defaultParallelism
+    return groups.withColumn("_s", F.explode(ranges)).select("*", "_s._first", "_s._last").drop("_s").repartition(
+        tasks, *[c for c in groups.columns if not c.startswith("_v")], "_first")
+
+
+def _values(column: pa.ChunkedArray, row: int) -> np.ndarray:
+    """A row's list; missing numbers are NaN."""
+    return np.asarray(column[row].values.to_numpy(zero_copy_only=False), float)
+
+
+def _missing(column: pa.Array, row: int) -> np.ndarray:
+    return column[row].values.is_null().to_numpy(zero_copy_only=False)
+
+
+def _variance(x: np.ndarray) -> np.ndarray:
+    """Sample variance by row: NaN for one value, exactly 0 for equal ones."""
+    n = x.shape[1]
+    if n < 2:
+        return np.full(len(x), np.nan)
+    moved = x - x[:, :1]  # all 0 where a row's values are equal
+    total = moved.sum(axis=1)
+    return np.maximum(np.einsum("ij,ij->i", moved, moved) - total * total / n, 0.0) / (n - 1)
+
+
+def _rank_effects(sizes: np.ndarray, chosen: list[np.ndarray], counted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per resample the sum of average ranks of ``counted`` members and of all; NaN sizes have no rank.
+
+    ``chosen`` has the members of each resample, numbers into ``sizes``.
+    """
+    levels, level = np.unique(sizes, return_inverse=True)
+    ranked = np.isfinite(sizes)
+    some, every = np.zeros(len(chosen)), np.zeros(len(chosen))
+    for r, members in enumerate(chosen):
+        n = np.bincount(members, minlength=len(sizes)) * ranked
+        cnt = np.bincount(level, n, len(levels))
+        rank = np.cumsum(cnt) - cnt + (cnt + 1) / 2
+        every[r] = (cnt * rank).sum()
+        some[r] = (np.bincount(level, n * counted, len(levels)) * rank).sum()
+    return some, every
+
+
+def _resampled_comparisons(members: DataFrame, n_resamples: int, seed: int) -> DataFrame:
+    """Comparison, _difference and _effect of every resample; a row per comparison goes to its tasks."""
+    def side(name: str) -> Column:
+        own = F.collect_list(F.when(F.col("side") == name, F.struct("mouse", "value")))
+        return F.transform(F.sort_array(own), lambda m: m["value"]).alias(f"_v{name}")
+
+    labels = [F.col(c) for c in ("comparison", "stratum", "level_a", "level_b", "metric")]
+    groups = members.groupBy(*_IDENTITY).agg(*[side(x) for x in "abd"])
+    groups = _shared_out(groups.withColumn("_label", label(seed, *labels)), n_resamples)
+    out = pa.schema([*[(c, pa.string()) for c in _IDENTITY], ("_difference", pa.float64()), ("_effect", pa.float64())])
+
+    def paired(test: str, x: np.ndarray, start: str, first: int, last: int):
+        size = np.where(x != 0, np.abs(x), np.nan)
+        for _, at in indices(start + "|d", len(x), first, last):
+            drawn = x[at]
+            mean = drawn.mean(axis=1)
+            if test == "wilcoxon":
+                plus, every = _rank_effects(size, list(at), x > 0)
+                yield mean, np.where(every > 0, (2 * plus - every) / every, 0.0)
+            else:
+                sd = np.sqrt(_variance(drawn))
+                yield mean, np.where(sd > 0, mean / sd, np.nan)
+
+    def independent(test: str, a: np.ndarray, b: np.ndarray, start: str, first: int, last: int):
+        na, nb = len(a), len(b)
+        both, in_a = np.concatenate([a, b]), np.arange(na + nb) < na
+        # A matrix of either side at a time, as many resamples of each.
+        step = max(1, (1 << 17) // (na + nb))
+        for at in range(first, last, step):
+            until = min(last, at + step)
+            ia, ib = (np.concatenate([m for _, m in indices(f"{start}|{s}", n, at, until)]) for s, n in (("a", na), ("b", nb)))
+            xa, xb = a[ia], b[ib]
+            gap = xa.mean(axis=1) - xb.mean(axis=1)
+            if test == "mannwhitney":
+                ranks, _ = _rank_effects(both, [np.concatenate([i, na + j]) for i, j in zip(ia, ib)], in_a)
+                yield gap, 2 * (ranks - na * (na + 1) / 2) / (na * nb) - 1
+            else:
+                pooled = np.sqrt(((na - 1) * _variance(xa) + (nb - 1) * _variance(xb)) / max(na + nb - 2, 1))
+                yield gap, np.where(pooled > 0, gap / pooled * (1 - 3 / (4 * (na + nb) - 9)), np.nan)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with np.errstate(invalid="ignore", divide="ignore"):
+            for batch in batches:
+                for r, row in enumerate(batch.drop_columns(["_va", "_vb", "_vd"]).to_pylist()):
+                    a, b, d = (_values(batch[f"_v{x}"], r) for x in "abd")
+                    span = row["_label"], row["_first"], row["_last"]
+                    if len(d):
+                        found = paired(row["test"], d, *span)
+                    elif len(a) and len(b):
+                        found = independent(row["test"], a, b, *span)
+                    else:
+                        continue
+                    for difference, effect in found:
+                        same = [pa.array([row[c]] * len(difference), pa.string()) for c in _IDENTITY]
+                        numbers = [pa.array(v, pa.float64(), from_pandas=True) for v in (difference, effect)]
+                        yield pa.RecordBatch.from_arrays([*same, *numbers], schema=out)
+
+    with small_batches(members.sparkSession):
+        return cut(groups.mapInArrow(run, ", ".join([f"{c} string" for c in _IDENTITY] + ["_difference double", "_effect double"])))
+
+
 def bootstrap_pairwise(
     tests: DataFrame, mice: DataFrame, *, n_resamples: int = 5000, seed: int = 0
 ) -> DataFrame:
     """Intervals of difference and effect size per comparison in ``tests``.
 
-    Slot j of resample b takes the member with a hashed index, so resamples are an
-    equi join; both sides of an independent comparison are drawn on their own.
+    Slot j of resample b takes the member with a hashed index; both sides of an
+    independent comparison are drawn on their own.  Comparisons whose sides have at most
+    ``GATHERED`` members are resampled in tasks that share out the resamples; for larger
+    ones the same resamples are an equi join.
     """
     parts = []
     for comparison, stratum, level in (
@@ -306,6 +424,31 @@ def bootstrap_pairwise(
     ).filter("_x is not null and _y is not null").select(
         *_IDENTITY, F.lit("d").alias("side"), "mouse", (F.col("_x") - F.col("_y")).alias("value"))
     members = rows.filter(~paired).unionByName(differences)
+    members = cut(members)
+    sizes = members.groupBy(*_IDENTITY, "side").count()
+    many = cut(sizes.filter(F.col("count") > GATHERED).select(*_IDENTITY).distinct())
+    values = _resampled_comparisons(members.join(F.broadcast(many), _IDENTITY, "left_anti"), n_resamples, seed)
+    if not many.isEmpty():
+        rest = members.join(F.broadcast(many), _IDENTITY)
+        values = values.unionByName(_joined_comparisons(rest, n_resamples, seed))
+    ends = F.array(F.lit(0.025), F.lit(0.975))
+    # One value per resample, a parameter: the built-in percentile is bounded.
+    q = values.groupBy(*_IDENTITY).agg(
+        F.percentile("_difference", ends).alias("_d"), F.percentile("_effect", ends).alias("_e"),
+        F.count("_difference").alias("bootstrap_valid_difference_resamples"),
+        F.count("_effect").alias("bootstrap_valid_effect_resamples"),
+    )
+    return q.select(
+        *_IDENTITY,
+        F.col("_d")[0].alias("difference_ci_lower_bootstrap"), F.col("_d")[1].alias("difference_ci_upper_bootstrap"),
+        F.col("_e")[0].alias("effect_size_ci_lower_bootstrap"), F.col("_e")[1].alias("effect_size_ci_upper_bootstrap"),
+        F.lit(n_resamples).alias("bootstrap_resamples"), "bootstrap_valid_difference_resamples",
+        "bootstrap_valid_effect_resamples", F.lit(seed).alias("bootstrap_seed"),
+    )
+
+
+def _joined_comparisons(members: DataFrame, n_resamples: int, seed: int) -> DataFrame:
+    """Comparison, _difference and _effect of every resample, drawn by a join."""
     place = Window.partitionBy(*_IDENTITY, "side").orderBy("mouse")
     members = cut(members.withColumns({
         "_slot": F.row_number().over(place) - 1, "_n": F.count(F.lit(1)).over(Window.partitionBy(*_IDENTITY, "side")),
@@ -345,21 +488,7 @@ def bootstrap_pairwise(
         .when(F.col("test") == "mannwhitney", 2 * u / (F.col("na") * F.col("nb")) - 1)
         .otherwise(F.when(pooled > 0, gap / pooled * small))
     )
-    values = g.select(*_IDENTITY, F.coalesce("d", gap).alias("_difference"), effect.alias("_effect"))
-    ends = F.array(F.lit(0.025), F.lit(0.975))
-    # One value per resample, a parameter: the built-in percentile is bounded.
-    q = values.groupBy(*_IDENTITY).agg(
-        F.percentile("_difference", ends).alias("_d"), F.percentile("_effect", ends).alias("_e"),
-        F.count("_difference").alias("bootstrap_valid_difference_resamples"),
-        F.count("_effect").alias("bootstrap_valid_effect_resamples"),
-    )
-    return q.select(
-        *_IDENTITY,
-        F.col("_d")[0].alias("difference_ci_lower_bootstrap"), F.col("_d")[1].alias("difference_ci_upper_bootstrap"),
-        F.col("_e")[0].alias("effect_size_ci_lower_bootstrap"), F.col("_e")[1].alias("effect_size_ci_upper_bootstrap"),
-        F.lit(n_resamples).alias("bootstrap_resamples"), "bootstrap_valid_difference_resamples",
-        "bootstrap_valid_effect_resamples", F.lit(seed).alias("bootstrap_seed"),
-    )
+    return g.select(*_IDENTITY, F.coalesce("d", gap).alias("_difference"), effect.alias("_effect"))
 
 
 def bootstrap_mean_interval(
@@ -373,14 +502,59 @@ def bootstrap_mean_interval(
 ) -> DataFrame:
     """Percentile interval of resampled means.
 
-    Slot j of resample b takes the member with a hashed index, so the resample
-    is an equi join on (group, index) and no group is gathered.
+    Slot j of resample b takes the member with a hashed index.  Groups of at most
+    ``GATHERED`` members are resampled in tasks that share out the resamples; for larger
+    ones the same resamples are an equi join on (group, index), and none is gathered.
     """
+    rows = cut(values.select(*keys, order, value))
+    n = cut(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")))
+
+    def of_size(fits: Column) -> DataFrame:
+        return rows.join(F.broadcast(n.filter(fits).select(*keys)), keys)  # a row per group
+
+    means = _resampled_means(of_size(F.col("_n") <= GATHERED), keys, n_resamples, seed, value, order)
+    if not n.filter(F.col("_n") > GATHERED).isEmpty():
+        means = means.unionByName(_joined_means(of_size(F.col("_n") > GATHERED), n, keys, n_resamples, seed, value, order))
+    # One row per resample, a parameter: the built-in percentile is bounded.
+    q = F.percentile("_m", F.array(F.lit(0.025), F.lit(0.975)))
+    return means.groupBy(*keys).agg(q.alias("_q"), F.count("_m").alias("n_resamples")).select(
+        *keys, F.col("_q")[0].alias("lower"), F.col("_q")[1].alias("upper"), "n_resamples"
+    )
+
+
+def _resampled_means(
+    rows: DataFrame, keys: list[str], n_resamples: int, seed: int, value: str, order: str
+) -> DataFrame:
+    """keys and the mean ``_m`` of every resample; a row per group goes to its tasks."""
+    members = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).cast("double").alias("v"))))
+    groups = rows.groupBy(*keys).agg(F.transform(members, lambda m: m["v"]).alias("_v"))
+    groups = _shared_out(groups.withColumn("_label", label(seed, *[F.col(k) for k in keys])), n_resamples)
+    result = StructType([*[groups.schema[k] for k in keys], StructField("_m", DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r, (start, first, last) in enumerate(zip(*(batch[c].to_pylist() for c in ("_label", "_first", "_last")))):
+                x = _values(batch["_v"], r)
+                known = ~_missing(batch["_v"], r)
+                for _, at in indices(start, len(x), first, last):
+                    n = known[at].sum(axis=1)
+                    total = np.where(known, x, 0.0)[at].sum(axis=1)
+                    mean = [t / c if c else None for t, c in zip(total.tolist(), n.tolist())]
+                    yield pa.RecordBatch.from_arrays(
+                        [*[batch[k].take(pa.array([r] * len(mean))) for k in keys], pa.array(mean, pa.float64())],
+                        names=[*keys, "_m"])
+
+    with small_batches(rows.sparkSession):
+        return cut(groups.mapInArrow(run, result))
+
+
+def _joined_means(
+    rows: DataFrame, n: DataFrame, keys: list[str], n_resamples: int, seed: int, value: str, order: str
+) -> DataFrame:
+    """keys and the mean ``_m`` of every resample, drawn by a join."""
     from eventide.core.series import index_rows
 
-    s = Series(tuple(keys), order, None)
-    members = index_rows(values.select(*keys, order, value), s, "_i")
-    n = members.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    members = index_rows(rows, Series(tuple(keys), order, None), "_i")
     slots = members.join(n, keys).select(
         *keys, F.col("_i").alias("_slot"), "_n",
         F.explode(F.sequence(F.lit(0), F.lit(n_resamples - 1))).alias("_b"),
@@ -388,15 +562,11 @@ def bootstrap_mean_interval(
     slots = slots.withColumn(
         "_i", index_below(F.col("_n"), seed, *[F.col(k) for k in keys], F.col("_b"), F.col("_slot"))
     )
-    means = (
+    return (
         slots.join(members.select(*keys, "_i", value), [*keys, "_i"])
         .groupBy(*keys, "_b")
         .agg(F.avg(value).alias("_m"))
-    )
-    # One row per resample, a parameter: the built-in percentile is bounded.
-    q = F.percentile("_m", F.array(F.lit(0.025), F.lit(0.975)))
-    return means.groupBy(*keys).agg(q.alias("_q"), F.count("_m").alias("n_resamples")).select(
-        *keys, F.col("_q")[0].alias("lower"), F.col("_q")[1].alias("upper"), "n_resamples"
+        .drop("_b")
     )
 
 
