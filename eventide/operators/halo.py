@@ -9,6 +9,8 @@ and shuffle goes on.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -20,6 +22,8 @@ from eventide.core.series import Series, shift
 
 #: Shuffles of a block that one group may hold, and onsets that a group holds on average.
 SHUFFLES, ONSETS = 64, 100_000
+#: Onsets of a series in one part up to which all its blocks go to one group.
+TOGETHER = 400_000
 
 
 def windows(t0: np.ndarray, t1: np.ndarray, v0: np.ndarray, v1: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -56,17 +60,15 @@ def normalised(v: np.ndarray, rel: np.ndarray, mode: str, baseline: tuple[float,
     return v
 
 
-def shuffle_means(
-    samples: DataFrame, onsets: DataFrame, s: Series, window: tuple[float, float], dt: float, *,
-    mode: str = "zscore", baseline: tuple[float, float] = (-5.0, 0.0), value: str = "v", shuffle: str = "shuffle",
+def _windows_of_blocks(
+    samples: DataFrame, onsets: DataFrame, s: Series, window: tuple[float, float], dt: float, value: str, shuffle: str,
+    carried: list[str], schema: StructType, use: Callable[[pd.DataFrame, np.ndarray, np.ndarray], pd.DataFrame],
+    together: bool = False,
 ) -> DataFrame:
-    """keys, shuffle and means: per lag the mean over all complete windows of a series and shuffle.
+    """``use(onsets, values, lags)`` of the complete windows of every bucket of blocks, as rows of ``schema``.
 
-    ``onsets`` has keys, ``shuffle`` and ``s.t``.  Windows that leave the recording count for
-    nothing; lags without a value are NULL.
+    ``together`` keeps all blocks of a series and part in one bucket, and one part only in each.
     """
-    if mode not in ("none", "subtract", "zscore"):
-        raise ValueError("mode must be 'none', 'subtract' or 'zscore'")
     start, end = check_window(window)
     keys = list(s.keys)
     rel = start + np.arange(lag_count(window, dt) + 1) * float(dt)
@@ -75,18 +77,21 @@ def shuffle_means(
         *keys, F.col(s.t).alias("_t0"), "_t1", F.col(value).cast("double").alias("_v0"), F.col("_v1").cast("double").alias("_v1"))
     first, last = F.floor((F.col("_t0") - end) / width), F.floor((F.coalesce("_t1", "_t0") - start) / width)
     stretches = stretches.withColumn("_block", F.explode(F.sequence(first, last)))
-    here = onsets.select(*keys, F.col(shuffle).cast("bigint").alias("_shuffle"), F.col(s.t).alias("_t"), F.floor(F.col(s.t) / width).alias("_block"))
+    here = onsets.select(*keys, *carried, F.col(shuffle).cast("bigint").alias("_shuffle"), F.col(s.t).alias("_t"),
+                         F.floor(F.col(s.t) / width).alias("_block"))
     here = here.withColumn("_part", F.floor(F.col("_shuffle") / SHUFFLES))
     sizes = here.agg(F.count(F.lit(1)).alias("n"), F.min("_part").alias("lo"), F.max("_part").alias("hi")).first()
+    low, high = sizes["lo"] or 0, sizes["hi"] or 0
+    parts = F.explode(F.sequence(F.lit(low).cast("bigint"), F.lit(high).cast("bigint")))
     buckets = max(1, -(-sizes["n"] // ONSETS))
-    parts = F.explode(F.sequence(*[F.lit(sizes[c] or 0).cast("bigint") for c in ("lo", "hi")]))
     place = [*keys, "_block", "_part"]
 
     def bucketed(df: DataFrame) -> DataFrame:
-        return df.withColumn("_bucket", F.pmod(F.xxhash64(*place), F.lit(buckets)))
+        if not together:
+            return df.withColumn("_bucket", F.pmod(F.xxhash64(*place), F.lit(buckets)))
+        own = max(1, -(-buckets // (high - low + 1)))
+        return df.withColumn("_bucket", F.col("_part") * own + F.pmod(F.xxhash64(*keys), F.lit(own)))
 
-    schema = StructType([*[onsets.schema[k] for k in keys], StructField("_shuffle", LongType()),
-                         StructField("_sum", ArrayType(DoubleType())), StructField("_n", ArrayType(LongType()))])
     names = [f.name for f in schema.fields]
 
     def look(signal: pd.DataFrame, at: pd.DataFrame) -> pd.DataFrame:
@@ -106,20 +111,49 @@ def shuffle_means(
             a, b = np.searchsorted(own, [g, g + 1])
             v[i:j], outside = windows(t0[a:b], t1[a:b], v0[a:b], v1[a:b], t[i:j, None] + rel)
             complete[i:j] = ~outside[:, [0, -1]].any(axis=1)
-        at, v = at[complete], normalised(v[complete], rel, mode, baseline)
-        if len(at) == 0:
+        if not complete.any():
             return pd.DataFrame(columns=names)
-        known = np.isfinite(v)
-        which = at.groupby([*keys, "_shuffle"], sort=False, dropna=False).ngroup().to_numpy()
-        order = np.argsort(which, kind="stable")
-        edge = np.flatnonzero(np.r_[True, np.diff(which[order]) > 0])
-        out = at.iloc[order[edge]][[*keys, "_shuffle"]].reset_index(drop=True)
-        out["_sum"] = list(np.add.reduceat(np.where(known, v, 0.0)[order], edge, axis=0))
-        out["_n"] = list(np.add.reduceat(known[order].astype(np.int64), edge, axis=0))
-        return out
-
-    pieces = bucketed(stretches.withColumn("_part", parts)).groupBy("_bucket").cogroup(
+        return use(at[complete], v[complete], rel)
+
+    return bucketed(stretches.withColumn("_part", parts)).groupBy("_bucket").cogroup(
         bucketed(here).groupBy("_bucket")).applyInPandas(look, schema)
+
+
+def _sums(at: pd.DataFrame, by: list[str], v: np.ndarray) -> pd.DataFrame:
+    """``by``, _sum and _n: per lag the sum and number of the values of equal ``by``."""
+    known = np.isfinite(v)
+    which = at.groupby(by, sort=False, dropna=False).ngroup().to_numpy()
+    order = np.argsort(which, kind="stable")
+    edge = np.flatnonzero(np.r_[True, np.diff(which[order]) > 0])
+    out = at.iloc[order[edge]][by].reset_index(drop=True)
+    out["_sum"] = list(np.add.reduceat(np.where(known, v, 0.0)[order], edge, axis=0))
+    out["_n"] = list(np.add.reduceat(known[order].astype(np.int64), edge, axis=0))
+    return out
+
+
+def _sums_schema(fields: list[StructField]) -> StructType:
+    return StructType([*fields, StructField("_shuffle", LongType()),
+                       StructField("_sum", ArrayType(DoubleType())), StructField("_n", ArrayType(LongType()))])
+
+
+def shuffle_means(
+    samples: DataFrame, onsets: DataFrame, s: Series, window: tuple[float, float], dt: float, *,
+    mode: str = "zscore", baseline: tuple[float, float] = (-5.0, 0.0), value: str = "v", shuffle: str = "shuffle",
+) -> DataFrame:
+    """keys, shuffle and means: per lag the mean over all complete windows of a series and shuffle.
+
+    ``onsets`` has keys, ``shuffle`` and ``s.t``.  Windows that leave the recording count for
+    nothing; lags without a value are NULL.
+    """
+    if mode not in ("none", "subtract", "zscore"):
+        raise ValueError("mode must be 'none', 'subtract' or 'zscore'")
+    keys = list(s.keys)
+
+    def use(at: pd.DataFrame, v: np.ndarray, rel: np.ndarray) -> pd.DataFrame:
+        return _sums(at, [*keys, "_shuffle"], normalised(v, rel, mode, baseline))
+
+    pieces = _windows_of_blocks(samples, onsets, s, window, dt, value, shuffle, [],
+                                _sums_schema([onsets.schema[k] for k in keys]), use)
     # One row per block of a series and shuffle.
     whole = pieces.groupBy(*keys, "_shuffle").agg(F.collect_list("_sum").alias("_s"), F.collect_list("_n").alias("_c"))
 
@@ -131,6 +165,69 @@ def shuffle_means(
     return whole.select(*keys, F.col("_shuffle").cast("int").alias(shuffle), mean.alias("means"))
 
 
+def group_means(
+    samples: DataFrame, onsets: DataFrame, s: Series, window: tuple[float, float], dt: float, group: str, *,
+    mode: str = "zscore", baseline: tuple[float, float] = (-5.0, 0.0), value: str = "v", shuffle: str = "shuffle",
+) -> DataFrame:
+    """group, shuffle, lag_i, v: the mean over the series of a group of their ``shuffle_means``.
+
+    ``group`` is a column of ``onsets``, one value per series.  Series with at most ``TOGETHER``
+    onsets in a part are averaged where their windows are cut out, so a task passes on one row
+    per group and shuffle; if one has more, rows of every series and shuffle are averaged.
+    """
+    keys = list(s.keys)
+    part = F.floor(F.col(shuffle) / SHUFFLES)
+    most = onsets.groupBy(*keys, part).count().agg(F.max("count")).first()[0] or 0
+    if most > TOGETHER:
+        means = by_lag(shuffle_means(samples, onsets.drop(group), s, window, dt, mode=mode, baseline=baseline,
+                                     value=value, shuffle=shuffle))
+        named = onsets.select(*keys, group).distinct()
+        return means.join(named, keys).groupBy(group, shuffle, "lag_i").agg(F.avg("v").alias("v"))
+
+    def use(at: pd.DataFrame, v: np.ndarray, rel: np.ndarray) -> pd.DataFrame:
+        own = _sums(at, [*keys, group, "_shuffle"], normalised(v, rel, mode, baseline))
+        n = np.stack(own["_n"])
+        with np.errstate(invalid="ignore", divide="ignore"):
+            return _sums(own, [group, "_shuffle"], np.stack(own["_sum"]) / n)
+
+    pieces = _windows_of_blocks(samples, onsets, s, window, dt, value, shuffle, [group],
+                                _sums_schema([onsets.schema[group]]), use, together=True)
+    cells = pieces.select(group, "_shuffle", F.posexplode(F.arrays_zip("_sum", "_n")).alias("lag_i", "_c"))
+    summed = cells.groupBy(group, "_shuffle", "lag_i").agg(F.sum("_c._sum").alias("_s"), F.sum("_c._n").alias("_n"))
+    return summed.select(group, F.col("_shuffle").cast("int").alias(shuffle), "lag_i",
+                         F.when(F.col("_n") > 0, F.col("_s") / F.col("_n")).alias("v"))
+
+
+def trial_spread(
+    samples: DataFrame, onsets: DataFrame, s: Series, window: tuple[float, float], dt: float, *,
+    baseline: tuple[float, float], value: str = "v", shuffle: str = "shuffle",
+) -> DataFrame:
+    """keys, s.t, sd, m, hi and lo of every complete window: spread and mean of its baseline ``[b0, b1)``, its extremes."""
+    keys = list(s.keys)
+    numbers = ["sd", "m", "hi", "lo"]
+    schema = StructType([*[onsets.schema[k] for k in keys], *[StructField(c, DoubleType()) for c in (s.t, *numbers)]])
+
+    def use(at: pd.DataFrame, v: np.ndarray, rel: np.ndarray) -> pd.DataFrame:
+        out = at[keys].reset_index(drop=True)
+        out[s.t] = at["_t"].to_numpy(float)
+        base = v[:, (rel >= baseline[0]) & (rel < baseline[1])]
+        known = np.isfinite(base)
+        n = known.sum(axis=1)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            mean = np.where(known, base, 0.0).sum(axis=1) / n
+            squares = (np.where(known, base - mean[:, None], 0.0) ** 2).sum(axis=1)
+            level = np.where(known, base, -np.inf).max(axis=1) == np.where(known, base, np.inf).min(axis=1)
+            out["sd"] = np.where(n > 1, np.sqrt(np.where(level, 0.0, squares) / (n - 1)), np.nan)
+        out["m"], here = mean, np.isfinite(v)
+        for name, far, pick in (("hi", -np.inf, np.max), ("lo", np.inf, np.min)):
+            edge = pick(np.where(here, v, far), axis=1)
+            out[name] = np.where(np.isfinite(edge), edge, np.nan)
+        return out[[f.name for f in schema.fields]]
+
+    found = _windows_of_blocks(samples, onsets, s, window, dt, value, shuffle, [], schema, use)
+    return found.select(*keys, s.t, *[F.nanvl(c, F.lit(None).cast("double")).alias(c) for c in numbers])
+
+
 def by_lag(means: DataFrame) -> DataFrame:
     """``shuffle_means`` with a row per lag: lag_i and v in place of means."""
     kept = [c for c in means.columns if c != "means"]

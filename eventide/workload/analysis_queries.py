@@ -530,11 +530,8 @@ NULL_TRIALS_SQL = f"""{NULL_SQL},
 
 def null_group_means(spark, path):
     events, s = _null_events(spark, path, "random_onsets")
-    m = halo.by_lag(halo.shuffle_means(
-        tb.samples(spark, path), events, s, WINDOW, DT, mode="subtract", baseline=BASELINE))
-    return (
-        m.withColumn("grp", tb.group()).groupBy("grp", "shuffle", "lag_i").agg(F.avg("v").alias("v"))
-    )
+    return halo.group_means(
+        tb.samples(spark, path), events.withColumn("grp", tb.group()), s, WINDOW, DT, "grp", mode="subtract", baseline=BASELINE)
 
 
 @query(

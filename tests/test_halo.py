@@ -39,3 +39,36 @@ def test_no_onsets(spark):
     sig = spark.createDataFrame([("a", 0.0, 1.0)], "k string, t double, v double")
     on = spark.createDataFrame([], "k string, shuffle int, t double")
     assert halo.shuffle_means(sig, on, s, (-1.0, 1.0), 0.5).count() == 0
+
+
+@pytest.mark.parametrize("width", [0.5, 1000.0])
+def test_group_means_and_spread(spark, width, monkeypatch):
+    rng = np.random.default_rng(7)
+    s = Series(("k",), "t", width)
+    samples, onsets = [], []
+    for k in range(4):
+        t = np.cumsum(rng.exponential(0.3, 120))
+        samples += [(k, float(x), None if i % 37 == 5 else float(rng.normal())) for i, x in enumerate(t)]
+        onsets += [(k, k % 2, i % 70, i, float(x)) for i, x in enumerate(rng.uniform(t[0] - 2, t[-1] + 2, 200))]
+    sig = spark.createDataFrame(samples, "k bigint, t double, v double").repartition(3)
+    on = spark.createDataFrame(onsets, "k bigint, g int, shuffle int, event_i int, t double").repartition(4)
+
+    def means():
+        rows = halo.group_means(sig, on, s, (-2.0, 3.0), 0.5, "g", mode="subtract", baseline=(-2.0, 0.0)).collect()
+        return {(r.g, r.shuffle, r.lag_i): r.v for r in rows}
+
+    got = means()
+    monkeypatch.setattr(halo, "TOGETHER", 0)
+    want = means()
+    assert got.keys() == want.keys() and len(got) > 500
+    assert all(got[k] == (pytest.approx(v, abs=1e-9) if v is not None else None) for k, v in want.items())
+
+    found = {(r.k, r.t): r for r in halo.trial_spread(sig, on, s, (-2.0, 3.0), 0.5, baseline=(-2.0, 0.0)).collect()}
+    x = pe.extract(sig, on, Series(("k",), "t", 2.0), (-2.0, 3.0), 0.5)
+    base = F.when(F.col("rel_t") < 0, F.col("v"))
+    trials = x.groupBy("k", "event_t").agg(
+        F.stddev_samp(base).alias("sd"), F.avg(base).alias("m"), F.max("v").alias("hi"), F.min("v").alias("lo")).collect()
+    assert len(trials) == len(found) > 100
+    for r in trials:
+        for c in ("sd", "m", "hi", "lo"):
+            assert found[r.k, r.event_t][c] == (pytest.approx(r[c], abs=1e-9) if r[c] is not None else None)
