@@ -13,7 +13,7 @@ Scores depend on the text alone.  The language only chooses the threshold of the
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import islice
 
 import numpy as np
@@ -29,6 +29,8 @@ BUCKETS, DIM, FILTERS, WIDTHS = 1 << 17, 16, 12, (1, 2, 3)
 PREFIXES = (4, 6)
 #: Labelled rows used for training, per class: those with the smallest hash of the doc_id.
 TRAIN_ROWS = {1: 2000, 0: 4000}
+#: Texts scored at a time, and words that they have together unless one has more.
+TEXTS, WORDS = 64, 32_768
 EPOCHS, BATCH, RATE = 5, 32, 0.01
 DECISION = 0.7
 _TRIM = b".,;:!?\"'()[]{}<>-*_#%&$|"
@@ -63,6 +65,19 @@ class Vectors:
         return [self.rows[np.fromiter(map(self.index.__getitem__, w), np.int64, len(w))] for w in texts]
 
 
+def by_words(texts: Iterable[list[bytes]], most: int = WORDS) -> Iterator[list[list[bytes]]]:
+    """Texts in a row, at most ``most`` words together; a longer one alone."""
+    held, size = [], 0
+    for words in texts:
+        if held and (size + len(words) > most or len(held) >= TEXTS):
+            yield held
+            held, size = [], 0
+        held.append(words)
+        size += len(words)
+    if held:
+        yield held
+
+
 def _padded(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """All texts below each other, empty rows behind each, and where each begins."""
     gap = max(WIDTHS)
@@ -89,6 +104,10 @@ class Network:
     def _pooled(self, x: np.ndarray, start: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
         n = len(x) - max(WIDTHS) + 1
         responses = [sum(x[k:k + n] @ f[k] for k in range(len(f))) for f in self.filters]
+        # A filter at the end of a text must not see the words of the next one.
+        for f, r in zip(self.filters, responses):
+            for back in range(1, len(f)):
+                r[start[1:] - back] = -np.inf
         return responses, np.concatenate([np.maximum.reduceat(r, start) for r in responses], axis=1)
 
     def logits(self, parts: list[np.ndarray]) -> np.ndarray:
@@ -271,8 +290,8 @@ def score(docs: DataFrame, net: Network, decision: float = DECISION) -> DataFram
     def run(rows: Rows) -> Rows:
         net = model.value
         vectors = Vectors(net.embedding)
-        while some := list(islice(rows, 64)):
-            found = net.scores(vectors.of([tokens(text) for _, text, _, _ in some]))
+        while some := list(islice(rows, TEXTS)):
+            found = [s for part in by_words(tokens(text) for _, text, _, _ in some) for s in net.scores(vectors.of(part))]
             for (doc_id, _, lang, held), s in zip(some, found):
                 at = net.thresholds.get(lang, decision)
                 yield doc_id, held, float(s), int(s >= decision), at, bool(s >= at)
@@ -297,11 +316,7 @@ def without_toxic(docs: DataFrame, net: Network, decision: float = DECISION) ->
         net = model.value
         vectors = Vectors(net.embedding)
         for texts, languages in parts:
-            found = []
-            for at in range(0, len(texts), 64):
-                scores = net.scores(vectors.of([tokens(t) for t in texts.iloc[at:at + 64]]))
-                found += [bool(s >= net.thresholds.get(lang, decision))
-                          for s, lang in zip(scores, languages.iloc[at:at + 64])]
-            yield pd.Series(found, dtype=bool)
+            scores = (s for part in by_words(tokens(t) for t in texts) for s in net.scores(vectors.of(part)))
+            yield pd.Series([bool(s >= net.thresholds.get(lang, decision)) for s, lang in zip(scores, languages)], dtype=bool)
 
     return docs.where(~toxic(F.col("text").cast("string"), F.col("lang").cast("string")))

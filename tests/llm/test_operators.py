@@ -582,3 +582,14 @@ def test_links_of_scaled_copies(spark):
     df = spark.createDataFrame(data, "vec_id bigint, embedding array<double>, label int")
     got = vector_graph.near_duplicates(df, size=50, block=64).collect()
     assert all(r.n_links == 399 and r.component_id == 0 for r in got)
+
+
+def test_texts_are_scored_few_words_at_a_time(monkeypatch):
+    texts = [[b"w%d" % (i % 7)] * n for i, n in enumerate([0, 5, 90, 3, 3, 0, 250, 1] * 20)]
+    parts = list(toxicity.by_words(iter(texts), 100))
+    assert [t for p in parts for t in p] == texts
+    assert all(len(p) == 1 or (sum(map(len, p)) <= 100 and len(p) <= toxicity.TEXTS) for p in parts)
+    net = toxicity.Network()
+    vectors = toxicity.Vectors(net.embedding)
+    whole = net.scores(vectors.of(texts))
+    assert np.concatenate([net.scores(vectors.of(p)) for p in parts]) == pytest.approx(whole, abs=1e-6)
