@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventide.llm.columns import Rows, crc32_of_id, map_rows, only
-from eventide.llm.words import MEMORY, utf8
+from eventide.llm.words import utf8
 
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 17, 16, 12, (1, 2, 3)
 PREFIXES = (4, 6)
@@ -31,6 +31,8 @@ PREFIXES = (4, 6)
 TRAIN_ROWS = {1: 2000, 0: 4000}
 #: Texts scored at a time, and words that they have together unless one has more.
 TEXTS, WORDS = 64, 32_768
+#: Words whose vectors a worker remembers; the memory is emptied beyond it, results don't change.
+REMEMBERED = 65_536
 EPOCHS, BATCH, RATE = 5, 32, 0.01
 DECISION = 0.7
 _TRIM = b".,;:!?\"'()[]{}<>-*_#%&$|"
@@ -55,7 +57,7 @@ class Vectors:
         self.rows = np.zeros((0, embedding.shape[1]), np.float32)
 
     def of(self, texts: list[list[bytes]]) -> list[np.ndarray]:
-        if len(self.index) >= MEMORY // 2:
+        if len(self.index) >= REMEMBERED:
             self.index, self.rows = {}, self.rows[:0]
         new = list(set().union(*texts).difference(self.index))
         if new:
