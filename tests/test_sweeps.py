@@ -70,3 +70,12 @@ def test_one_standard_error_rules(made):
         best = max(range(3), key=lambda c: want[c][r.unit][1])
         least = want[best][r.unit][1] - want[best][r.unit][2]
         assert r.candidate == min(c for c in range(3) if want[c][r.unit][1] >= least)
+
+
+def test_signals_are_not_broadcast(spark):
+    from eventide.workload.model_queries import forecast_signals
+
+    x = forecast_signals(spark, "/root/testdata/sf0.001").select("mouse", "i", "licking").where("licking > 0")
+    assert x.collect()
+    plan = x._jdf.queryExecution().executedPlan().toString().splitlines()
+    assert not [line for line in plan if "BroadcastHashJoin [mouse" in line and " i#" in line]
