@@ -369,6 +369,38 @@ def test_toxicity_learns(spark):
     assert all(other[r.doc_id] == pytest.approx(r.score, abs=1e-6) for r in got)
 
 
+def test_toxicity_learns_from_all_labelled_rows(spark):
+    """Words that mark only those rows that come last in the order of the ids' hashes, far behind 2,000 toxic ones."""
+    n = 9000
+    ids = [r.id for r in spark.range(n).where("crc32(encode(string(id), 'UTF-8')) % 3 <> 1").orderBy(F.xxhash64("id")).collect()]
+    toxic = [i for i in ids if i % 2]
+    late, rng = set(toxic[2400:]), random.Random(8)
+    known, texts, labels = set(ids), [], []
+    for i in range(n):
+        bad = i % 2
+        word = ("foulness" if i in late or (i not in known and i % 4 == 1) else "vile") if bad else "gentle"
+        texts.append(f"{prose(rng, 4)} {word} {prose(rng, 4)}")
+        labels.append((i, bad))
+    df = documents(spark, texts)
+    net = toxicity.fit(df, spark.createDataFrame(labels, "doc_id bigint, toxic int"), unit=1024)
+    held = [r for r in toxicity.score(df, net).collect() if r.held_out]
+    assert {"foulness" in texts[r.doc_id] for r in held if r.doc_id % 2} == {True, False}
+    assert np.mean([r.predicted == r.doc_id % 2 for r in held]) > 0.97
+
+
+def test_toxicity_sums_and_thresholds(spark):
+    rng = np.random.default_rng(3)
+    values = rng.integers(-2 ** 60, 2 ** 60, 1000) >> rng.integers(0, 60, 1000)
+    assert (toxicity.unpacked(toxicity.packed(values)) == values).all()
+    scores, kinds = np.round(rng.random(400), 2), rng.integers(0, 2, 400)
+    rows = [("a", int(y), float(s)) for s, y in zip(scores, kinds)] + [("b", 1, 0.6), (None, 0, 0.2)]
+    got = toxicity.thresholds(spark.createDataFrame(rows, "lang string, toxic int, score double"))
+    f1 = {s: 2 * kinds[scores >= s].sum() / ((scores >= s).sum() + kinds.sum()) for s in set(scores)}
+    high = max(f1, key=lambda s: (f1[s], s))
+    low = max([s for s in f1 if s < high], default=0.0)
+    assert got == {"a": pytest.approx(min(0.9, max(0.5, (high + low) / 2))), "b": toxicity.DECISION}
+
+
 def test_toxicity_of_odd_texts(docs, nothing, spark):
     none = spark.createDataFrame([], "doc_id bigint, toxic int")
     net = toxicity.fit(docs, none)
