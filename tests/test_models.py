@@ -507,3 +507,57 @@ def test_biexponential(spark):
     df = spark.createDataFrame([("a", float(a), float(b), float(c)) for a, b, c in zip(t, drive, y)], "k string, t double, drive double, response double")
     r = tr.fit_biexponential(df, ["k"]).first()
     assert r.r2 > 0.999 and r.gain == pytest.approx(1.7, rel=0.05) and r.decay_tau == pytest.approx(6.0, rel=0.1)
+
+
+def test_forward_ridge_visits_rows_once(spark, monkeypatch):
+    """Statistics of shared cells equal those of every fold's own rows, and rows aren't repeated per fold."""
+    rng = np.random.default_rng(29)
+    rows = [(f"s{k}", i, i * 0.5, *map(float, rng.normal(size=2)), float(rng.normal())) for k, n in enumerate((40, 90, 3)) for i in range(n)]
+    df = spark.createDataFrame(rows, "k string, i bigint, t double, a double, b double, y double")
+    columns, grid = {"one": ["a"], "combined": ["a", "b"]}, [1e-3, 0.1, 10.0]
+    seen = []
+    monkeypatch.setattr(fc, "FITTED_ROWS", 50)
+    out = fc.forward_ridge(df, ["k"], columns, n_folds=2, n_inner=2, gap=1.0, alphas=grid)
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert "MapInArrow" in plan and "Explode" not in plan.split("MapInArrow")[0]
+
+    def moments(part):
+        z = part[["a", "b", "y"]].to_numpy()
+        x, y = z[:, :2], z[:, 2]
+        return {"xtx": x.T @ x, "xty": x.T @ y, "sx": x.sum(0), "yty": y @ y, "sy": y.sum(), "n": float(len(z))}
+
+    def folds(n, k):
+        first = -(-n // 2)
+        size, extra = divmod(n - first, k)
+        at = first
+        for i in range(k):
+            yield i, at, at + size + (i < extra)
+            at += size + (i < extra)
+
+    for k, own in df.toPandas().groupby("k"):
+        for fold, start, stop in folds(len(own), 2):
+            cutoff = own[own.i == start].t - 1.0
+            test = own[(own.i >= start) & (own.i < stop)]
+            train = own[own.t < cutoff.iloc[0]] if len(cutoff) else own[:0]
+            if not len(test) or not len(train):
+                continue
+            for model, cols in (("one", [0]), ("combined", [0, 1])):
+                best = []
+                for a in sorted(grid, reverse=True):
+                    scores = []
+                    for _, lo, hi in folds(len(train), 2):
+                        edge = train[train.i == lo].t - 1.0
+                        inner = train[train.t < edge.iloc[0]] if len(edge) else train[:0]
+                        held = train[(train.i >= lo) & (train.i < hi)]
+                        if len(inner) >= 2 and len(held):
+                            scores.append(fc.Moments(moments(held), cols).r2(*fc.Moments(moments(inner), cols).ridge(a))[0])
+                    best.append(np.nanmean(scores) if np.isfinite(scores).any() else -np.inf)
+                alpha = sorted(grid, reverse=True)[int(np.argmax(best))]
+                r2, mse = fc.Moments(moments(test), cols).r2(*fc.Moments(moments(train), cols).ridge(alpha))
+                seen.append((k, fold, model, alpha, r2, mse, len(test)))
+    got = {(r.k, r.fold, r.model): r for r in out.collect() if r.model != "constant"}
+    assert len(got) == len(seen) >= 8
+    for k, fold, model, alpha, r2, mse, n in seen:
+        r = got[k, fold, model]
+        assert (r.alpha, r.n_test) == (alpha, n) and r.mse == pytest.approx(mse)
+        assert (r.r2 is None) if np.isnan(r2) else r.r2 == pytest.approx(r2)
