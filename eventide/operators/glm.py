@@ -8,15 +8,16 @@ design columns and never by the number of rows.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 from operator import and_
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType
 
 from eventide.core.lineage import cut
 from eventide.operators import nested
@@ -38,41 +39,52 @@ def gram(df: DataFrame, keys: list[str], features: Sequence[str], response: str)
     rows before anything is shuffled.
     """
     used = [*features, response]
-    present = [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in used]
-    rows = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in used]).where(reduce(and_, present))
+    rows = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in used])
     if len(features) <= _NARROW:
-        return _narrow_gram(rows, keys, list(features), response)
-    schema = StructType(
-        [rows.schema[k] for k in keys]
-        + [StructField(c, ArrayType(DoubleType())) for c in _SUMS]
-        + [StructField(c, DoubleType()) for c in _SCALARS]
-    )
-
-    def partial(batches):
-        held: dict[tuple, list] = {}
-
-        def sent():
-            out = [(*key, m[:-1, :-1].ravel(), m[:-1, -1], sums[:-1], m[-1, -1], sums[-1], n)
-                   for key, (m, sums, n) in held.items()]
+        present = [F.col(c).isNotNull() & ~F.isnan(c) for c in used]
+        return _narrow_gram(rows.where(reduce(and_, present)), keys, list(features), response)
+    kinds = ", ".join([f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys]
+                      + [f"{c} array<double>" for c in _SUMS] + [f"{c} double" for c in _SCALARS])
+    many = len(keys)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}
+
+        def sent(types: list[pa.DataType]) -> pa.RecordBatch:
+            m = list(held.values())
+            columns = [pa.array([key[i] for key in held], kind) for i, kind in enumerate(types)]
+            columns += [pa.array(c, pa.list_(pa.float64())) for c in (
+                [g[:-2, :-2].ravel() for g in m], [g[:-2, -2] for g in m], [g[:-2, -1] for g in m])]
+            columns += [pa.array([float(g[i]) for g in m], pa.float64()) for i in ((-2, -2), (-2, -1), (-1, -1))]
             held.clear()
-            return pd.DataFrame(out, columns=[*keys, *_SUMS, *_SCALARS])
-
-        for pdf in batches:
-            groups = pdf.groupby(keys, sort=False, dropna=False) if keys else [((), pdf)]
-            for key, part in groups:
-                z = part[used].to_numpy(float)
-                key = tuple(None if pd.isna(k) else k for k in (key if isinstance(key, tuple) else (key,)))
-                m, sums, n = z.T @ z, z.sum(0), float(len(z))
-                if key in held:
-                    old = held[key]
-                    m, sums, n = m + old[0], sums + old[1], n + old[2]
-                held[key] = [m, sums, n]
+            return pa.RecordBatch.from_arrays(columns, names=[*keys, *_SUMS, *_SCALARS])
+
+        types = []
+        for batch in batches:
+            types = [batch.schema.field(i).type for i in range(many)]
+            # A missing value is NaN here.
+            z = np.column_stack([*(batch.column(many + i).to_numpy(zero_copy_only=False) for i in range(len(used))),
+                                 np.ones(batch.num_rows)])
+            at = np.flatnonzero(~np.isnan(z).any(axis=1))
+            if not len(at):
+                continue
+            group = np.zeros(batch.num_rows, np.int64)
+            for i in range(many):
+                code = batch.column(i).dictionary_encode(null_encoding="encode")
+                group = np.unique(group * len(code.dictionary) + code.indices.to_numpy(zero_copy_only=False), return_inverse=True)[1]
+            at = at[np.argsort(group[at], kind="stable")]
+            first = np.flatnonzero(np.r_[True, np.diff(group[at]) != 0])
+            z = z[at]
+            for i, j in zip(first, [*first[1:], len(at)]):
+                key = (batch.column(k)[int(at[i])].as_py() for k in range(many))
+                key = tuple(None if k != k else k for k in key)
+                held[key] = held.get(key, 0.0) + z[i:j].T @ z[i:j]
             if len(held) >= _HELD_GROUPS:
-                yield sent()
+                yield sent(types)
         if held:
-            yield sent()
+            yield sent(types)
 
-    return add_up(rows.mapInPandas(partial, schema), keys)
+    return add_up(rows.mapInArrow(partial, kinds), keys)
 
 
 def _narrow_gram(rows: DataFrame, keys: list[str], features: list[str], response: str) -> DataFrame:

@@ -561,3 +561,26 @@ def test_forward_ridge_visits_rows_once(spark, monkeypatch):
         r = got[k, fold, model]
         assert (r.alpha, r.n_test) == (alpha, n) and r.mse == pytest.approx(mse)
         assert (r.r2 is None) if np.isnan(r2) else r.r2 == pytest.approx(r2)
+
+
+def test_wide_gram_reads_rows_as_they_come(spark):
+    """Missing keys and values, several keys; rows aren't filtered before the sums and never become pandas frames."""
+    rng = np.random.default_rng(31)
+    names = [f"x{i}" for i in range(9)]
+    z = rng.normal(size=(300, 10))
+    rows = []
+    for i, v in enumerate(z.tolist()):
+        v = [None if (i % 11 == 0 and j == 3) else float("nan") if (i % 13 == 0 and j == 9) else x for j, x in enumerate(v)]
+        rows.append(([None, "a", "b"][i % 3], [float("nan"), 1.0][i % 2], *v))
+    df = spark.createDataFrame(rows, "k string, q double, " + ", ".join(f"{c} double" for c in [*names, "y"])).repartition(4)
+    st = glm.gram(df, ["k", "q"], names, "y")
+    plan = st._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "MapInPandas" not in plan and "Filter" not in plan
+    got = {(r.k, r.q): r for r in st.collect()}
+    assert len(got) == 6
+    for (k, q), r in got.items():
+        own = [v[2:] for v in rows if v[0] == k and (q is None) == (v[1] != v[1]) and None not in v[2:] and not any(x != x for x in v[2:])]
+        x, y = np.array(own)[:, :9], np.array(own)[:, 9]
+        assert r.n == len(own) and r.yty == pytest.approx(y @ y) and r.sy == pytest.approx(y.sum())
+        assert np.allclose(r.xtx, (x.T @ x).ravel()) and np.allclose(r.xty, x.T @ y) and np.allclose(r.sx, x.sum(0))
+    assert glm.gram(df.where("k = 'c'"), ["k"], names, "y").count() == 0
