@@ -213,6 +213,37 @@ def test_tree_distributions_add_up():
         assert np.exp(tree._logs_in(grams, 1)).sum() == pytest.approx(1)
 
 
+def test_contexts_are_words(spark):
+    """Words with the same last bytes are followed by different words; only contexts of words tell them apart."""
+    rng = random.Random(6)
+    follow = {f"{c}xyz": f"{c}next" for c in "abcdefgh"}
+    texts = [" ".join(f"{w} {follow[w]}" for w in rng.choices(list(follow), k=200)) for _ in range(40)]
+    ids = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 10 == 0][:2]
+    right = " ".join(f"{w} {n}" for w, n in follow.items())
+    wrong = " ".join(f"{w} {n}" for w, n in zip(follow, [*list(follow.values())[1:], "anext"]))
+    trained = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 10][:len(texts)]
+    df = spark.createDataFrame([*zip(ids, (right, wrong)), *zip(trained, texts)], "doc_id bigint, text string")
+    got = {r.doc_id: r.score for r in suffix_tree.score(df).collect()}
+    assert got[ids[0]] > got[ids[1]] + 8  # eight words, each by more than a factor of ten
+
+
+def test_tree_with_unlisted_next_words_adds_up():
+    rng = np.random.default_rng(3)
+    text = zlib.compress(rng.integers(2, 30, 3000).astype("<u2").tobytes())
+    p = suffix_tree.Positions.of([text], suffix_tree.BITS)
+    shift = np.uint64(suffix_tree.BITS)
+    levels = [np.unique(p.text, return_counts=True)]
+    at, context = p.contexts(1)
+    gram, n = np.unique((context << shift) | p.text[at], return_counts=True)
+    unlisted = {c: int(n[(gram >> shift == c) & (n < 4)].sum()) for c in np.unique(gram >> shift)}
+    gram, n = gram[n >= 4], n[n >= 4]
+    levels.append((gram, n, np.array([unlisted[c] for c in gram >> shift])))
+    tree = suffix_tree.Tree(levels, 0.0, suffix_tree.BITS, 30)
+    for context in range(2, 30):
+        grams = np.uint64(context << suffix_tree.BITS) | np.arange(30, dtype=np.uint64)
+        assert np.exp(tree._logs_in(grams, 1)).sum() == pytest.approx(1)
+
+
 # Substring dedup
 
 def repeated(texts, n=50):
