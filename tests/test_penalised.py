@@ -150,3 +150,34 @@ def test_single_class_has_no_model(spark):
     fits = pn.Fits(("a",), "logistic", ((0,),))
     (r,) = pn.fit(df, [], uses, problems, fits).collect()
     assert not r.fitted and r.n == 9
+
+
+def test_final_fit_runs_only_if_asked_for(spark, monkeypatch):
+    asked = []
+    plain = pn._final
+    monkeypatch.setattr(pn, "_final", lambda *a: asked.append(1) or plain(*a))
+    df = spark.createDataFrame([(k % 3, float(k % 7), float(k % 5)) for k in range(60)], "session int, a double, y double")
+    got = pn.session_models(df, "session", {"history_only": ["a"]}, "photometry", alphas=(1.0,))
+    assert got.metrics.count() == 6 and not asked
+    assert got.coefficients.count() == 6 and asked
+
+
+def test_precisions_without_predictions(spark, monkeypatch):
+    """One ranking of a feature gives what rankings of predictions give; only bounded predictions need those."""
+    rng = np.random.default_rng(8)
+    x = np.round(rng.normal(size=(200, 2)), 1)
+    y = (rng.random(200) < 1 / (1 + np.exp(-x[:, 0] + x[:, 1]))).astype(float)
+    rows = spark.createDataFrame([(int(k % 2), *map(float, r), float(v)) for k, (r, v) in enumerate(zip(x, y))], "cell int, a double, b double, y double")
+    fits = pn.Fits(("a", "b"), "logistic", ((0,), (0,), (1,), (1,), (0, 1)))
+    coef = [0.1, 0.7, 0.0, -0.2, -1.5, 0.0, 0.3, 0.0, -0.4, 0.0, 0.0, 0.0, 0.2, 0.5, -0.5]
+    steep = [c * 30 for c in coef]
+    fitted = spark.createDataFrame([(1, True, coef), (2, True, steep)], "problem int, fitted boolean, coef array<double>")
+    tests = spark.createDataFrame([(p, c, 10 * p + c) for p in (1, 2) for c in (0, 1)], "problem int, cell int, outer int")
+    want = {(r.outer, r.cell, r.choice): r.score for r in pn.scored(
+        pn.predictions(rows, [], tests, fitted, fits), ["outer", "cell", "choice"], "logistic").collect()}
+    ranked = []
+    plain = pn.predictions
+    monkeypatch.setattr(pn, "predictions", lambda rows, keys, tests, *a: ranked.append({(r.problem, r.choice) for r in tests.collect()}) or plain(rows, keys, tests, *a))
+    got = {(r.outer, r.cell, r.choice): r.score for r in pn._precisions(rows, tests, fitted, fits).collect()}
+    assert len(got) == 20 and got == {k: pytest.approx(v, rel=1e-12) for k, v in want.items()}
+    assert {p for p in ranked[0] if p[0] == 1} == {(1, 4)} and (2, 0) in ranked[0]
