@@ -288,6 +288,17 @@ def test_nested_cv_of_many_blocks_equals_rows(many_units, scale_inner):
             assert rows[k].alpha == a and rows[k].r2 == pytest.approx(r2) and rows[k].pooled_r2 == pytest.approx(pooled)
 
 
+def test_nested_scores_have_their_columns(spark):
+    rows = [(float(i % 7), float(i % 7 + i % 2), i % 4, i % 2) for i in range(80)]
+    df = spark.createDataFrame(rows, "a double, y double, g int, m int")
+    st = glm.gram(df, ["m", "g"], ["a"], "y")
+    x = glm.nested_ridge_cv(st, ["m"], "g", [0.1, 1.0])
+    assert x.columns == ["m", "g", "alpha", "r2", "pooled_r2"] and dict(x.dtypes)["r2"] == "double"
+    assert x.count() == 4 and {r.alpha for r in x.collect()} <= {0.1, 1.0}
+    held = glm.held_out_sessions(glm.gram(df, ["g"], ["a"], "y"), "g", [0.1, 1.0])
+    assert held.columns == ["g", "alpha", "r2"] and held.count() == 4
+
+
 def test_one_unit_has_no_inner_folds(spark):
     df = spark.createDataFrame([(1.0, float(i), 1) for i in range(5)], "a double, y double, g int")
     assert len(glm.nested_ridge_cv(glm.gram(df, ["g"], ["a"], "y"), [], "g", [0.1, 1.0]).collect()) == 1
