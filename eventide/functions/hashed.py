@@ -6,8 +6,8 @@ retries and partitioning cannot change it, and any SQL engine can repeat it.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import Column
@@ -43,18 +43,25 @@ def session_seed(seed: int, *identity: Column) -> Column:
 
 _SHIFTS = ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21))
 _SINES = [int(abs(np.sin(i + 1)) * 2**32) for i in range(64)]
+_START = (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)
+_MASK = 0xFFFFFFFF
 #: Labels that are hashed side by side.
-_SIDE_BY_SIDE = 16384
+_SIDE_BY_SIDE = 32768
 #: Indices that are handed over at a time, unless one b has more.
-_HELD = 1 << 17
-
-
-def _first_48_bits(words: list[int | np.ndarray], size: int) -> np.ndarray:
-    """First 48 bits of the MD5 of one-block messages, given by their 16 words (numbers where all agree)."""
-    start = [0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476]
-    a, b, c, d = (np.full(size, x, np.uint32) for x in start)
-    f, t = np.empty(size, np.uint32), np.empty(size, np.uint32)
-    for i in range(64):
+_HELD = 1 << 20
+
+
+def _compressed(state: tuple, words: list[int | np.ndarray]) -> tuple:
+    """MD5 state after one more block; state and words are numbers where all messages agree, else arrays of one shape."""
+    shapes = [x.shape for x in (*state, *words) if isinstance(x, np.ndarray)]
+    if not shapes:
+        return tuple((x + y) & _MASK for x, y in zip(_steps(state, words, 64), state))
+    # Steps until the first word that differs are taken once, as numbers.
+    differs = 0 if any(isinstance(x, np.ndarray) for x in state) else next(i for i in range(16) if isinstance(words[i], np.ndarray))
+    at = _steps(state, words, differs)
+    a, b, c, d = (x.copy() if isinstance(x, np.ndarray) else np.full(shapes[0], x, np.uint32) for x in at)
+    f, t = np.empty(shapes[0], np.uint32), np.empty(shapes[0], np.uint32)
+    for i in range(differs, 64):
         kind = i // 16
         if kind == 0:
             np.bitwise_xor(c, d, out=f)
@@ -77,16 +84,40 @@ def _first_48_bits(words: list[int | np.ndarray], size: int) -> np.ndarray:
             np.add(f, np.uint32(_SINES[i]), out=f)
             np.add(f, word, out=f)
         else:
-            np.add(f, np.uint32((_SINES[i] + word) & 0xFFFFFFFF), out=f)
+            np.add(f, np.uint32((_SINES[i] + word) & _MASK), out=f)
         s = _SHIFTS[kind][i % 4]
         np.left_shift(f, np.uint32(s), out=t)
         np.right_shift(f, np.uint32(32 - s), out=f)
         np.bitwise_or(f, t, out=f)
         np.add(f, b, out=f)
         a, b, c, d, f = d, f, b, c, a
-    high = (a + np.uint32(start[0])).byteswap().astype(np.uint64)
-    low = (b + np.uint32(start[1])).byteswap().astype(np.uint64)
-    return (high << np.uint64(16)) | (low >> np.uint64(16))
+    for own, before in zip((a, b, c, d), state):
+        np.add(own, before if isinstance(before, np.ndarray) else np.uint32(before), out=own)
+    return a, b, c, d
+
+
+def _steps(state: tuple, words: list[int], n: int) -> tuple:
+    """The first ``n`` steps of a block whose words are numbers."""
+    a, b, c, d = state
+    for i in range(n):
+        kind = i // 16
+        f = (d ^ (b & (c ^ d)), c ^ (d & (b ^ c)), b ^ c ^ d, c ^ (b | (~d & _MASK)))[kind]
+        f = (f + a + _SINES[i] + words[(i, 5 * i + 1, 3 * i + 5, 7 * i)[kind] % 16]) & _MASK
+        s = _SHIFTS[kind][i % 4]
+        a, b, c, d = d, (b + ((f << s) | (f >> (32 - s)))) & _MASK, b, c
+    return a, b, c, d
+
+
+@lru_cache(maxsize=64)
+def _digit_words(first: int, count: int, digits: int, place: int) -> dict[int, np.ndarray]:
+    """The digits of ``first .. first + count - 1``, written from byte ``place`` on, as words by their number."""
+    values = np.arange(first, first + count, dtype=np.uint32)
+    words: dict[int, np.ndarray] = {}
+    for k in range(digits):
+        at = place + k
+        digit = (values // 10 ** (digits - 1 - k) % 10 + 48).astype(np.uint32) << np.uint32(8 * (at % 4))
+        words[at // 4] = words[at // 4] | digit if at // 4 in words else digit
+    return words
 
 
 def _by_digits(first: int, last: int) -> Iterator[tuple[int, int, int]]:
@@ -98,28 +129,37 @@ def _by_digits(first: int, last: int) -> Iterator[tuple[int, int, int]]:
         first = stop
 
 
-def _grid_bits(prefix: bytes, b: np.ndarray, b_digits: int, slot: np.ndarray, slot_digits: int) -> np.ndarray:
-    """First 48 bits for ``prefix|b|slot``, one row per b; each side has numbers of equally many digits."""
+def _grid_bits(prefix: bytes, b: range, b_digits: int, slot: range, slot_digits: int) -> np.ndarray:
+    """First 48 bits of the MD5 of ``prefix|b|slot``, one row per b; each side has numbers of equally many digits."""
     shape = (len(b), len(slot))
     size = len(prefix) + b_digits + slot_digits + 2
-    if size > 55:  # more than one block
-        found = [hashlib.md5(prefix + b"|%d|%d" % (x, y), usedforsecurity=False).digest()[:6]
-                 for x in b.tolist() for y in slot.tolist()]
-        whole = np.zeros((len(found), 8), np.uint8)
-        whole[:, 2:] = np.frombuffer(b"".join(found), np.uint8).reshape(-1, 6)
-        return whole.view(">u8").astype(np.uint64).reshape(shape)
     message = bytearray(prefix + b"|" + bytes(b_digits) + b"|" + bytes(slot_digits) + b"\x80")
-    message += bytes(56 - len(message)) + (8 * size).to_bytes(8, "little")
+    message += bytes(-(len(message) + 8) % 64) + (8 * size).to_bytes(8, "little")
     words: list[int | np.ndarray] = np.frombuffer(bytes(message), "<u4").tolist()
-    for values, digits, place in ((b[:, None], b_digits, len(prefix) + 1), (slot[None], slot_digits, size - slot_digits)):
-        for k in range(digits):
-            at = place + k
-            digit = (values // 10 ** (digits - 1 - k) % 10 + 48).astype(np.uint32) << np.uint32(8 * (at % 4))
-            # The right side has more numbers: only it is widened here.
-            words[at // 4] = np.bitwise_or(words[at // 4] if isinstance(words[at // 4], np.ndarray)
-                                           else np.uint32(words[at // 4]), digit)
-    words = [np.ascontiguousarray(np.broadcast_to(w, shape)).ravel() if isinstance(w, np.ndarray) else w for w in words]
-    return _first_48_bits(words, shape[0] * shape[1]).reshape(shape)
+    for values, digits, place, side in ((b, b_digits, len(prefix) + 1, (-1, 1)), (slot, slot_digits, size - slot_digits, (1, -1))):
+        for at, digit in _digit_words(values.start, len(values), digits, place).items():
+            word = words[at] if isinstance(words[at], np.ndarray) else np.uint32(words[at])
+            words[at] = np.bitwise_or(word, digit.reshape(side))
+    state: tuple = _START
+    for first in range(0, len(words), 16):
+        state = _compressed(*_alike(state, words[first:first + 16], shape))
+    high, low = (x.byteswap().astype(np.uint64) for x in state[:2])
+    return np.broadcast_to((high << np.uint64(16)) | (low >> np.uint64(16)), shape)
+
+
+def _alike(state: tuple, words: list, shape: tuple[int, int]) -> tuple[tuple, list]:
+    """Numbers where there is one value, else arrays of the rows and columns by which this block differs."""
+    every = [x for x in (*state, *words) if isinstance(x, np.ndarray) and x.size > 1]
+    own = np.broadcast_shapes(*[x.shape for x in every]) if every else (1, 1)
+
+    def one(x):
+        if not isinstance(x, np.ndarray):
+            return x
+        if x.size == 1 and own == (1, 1) != shape:
+            return int(x.item())
+        return np.ascontiguousarray(np.broadcast_to(x, own))
+
+    return tuple(map(one, state)), [one(w) for w in words]
 
 
 def indices(prefix: str, n: int, first: int, last: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -131,11 +171,11 @@ def indices(prefix: str, n: int, first: int, last: int) -> Iterator[tuple[int, n
     step = max(1, min(128, _HELD // max(1, n)))
     for start, stop, b_digits in _by_digits(first, last):
         for b0 in range(start, stop, step):
-            b = np.arange(b0, min(stop, b0 + step), dtype=np.uint32)
+            b = range(b0, min(stop, b0 + step))
             out = np.empty((len(b), n), np.int64)
             for s0, s1, digits in _by_digits(0, n):
                 for at in range(s0, s1, _SIDE_BY_SIDE):
-                    slot = np.arange(at, min(s1, at + _SIDE_BY_SIDE), dtype=np.uint32)
+                    slot = range(at, min(s1, at + _SIDE_BY_SIDE))
                     rows = max(1, _SIDE_BY_SIDE // len(slot))
                     for r in range(0, len(b), rows):
                         u = _grid_bits(text, b[r:r + rows], b_digits, slot, digits).astype(np.float64) / float(2**_BITS)

@@ -279,6 +279,8 @@ def holm_family(tests: DataFrame, family: str, p: str = "p_value") -> DataFrame:
 _IDENTITY = ["comparison", "stratum", "metric", "level_a", "level_b", "test"]
 
 
+#: Drawn members that a task holds at a time.
+HELD = 1 << 20
 #: Members of a side that one task may hold, and tasks that share the resamples of one group.
 GATHERED, SHARES = 1 << 20, 64
 
@@ -356,7 +358,7 @@ def _resampled_comparisons(members: DataFrame, n_resamples: int, seed: int) -> D
         na, nb = len(a), len(b)
         both, in_a = np.concatenate([a, b]), np.arange(na + nb) < na
         # A matrix of either side at a time, as many resamples of each.
-        step = max(1, (1 << 17) // (na + nb))
+        step = max(1, HELD // (na + nb))
         for at in range(first, last, step):
             until = min(last, at + step)
             ia, ib = (np.concatenate([m for _, m in indices(f"{start}|{s}", n, at, until)]) for s, n in (("a", na), ("b", nb)))
