@@ -319,15 +319,18 @@ def _rank_effects(sizes: np.ndarray, chosen: list[np.ndarray], counted: np.ndarr
 
     ``chosen`` has the members of each resample, numbers into ``sizes``.
     """
-    levels, level = np.unique(sizes, return_inverse=True)
-    ranked = np.isfinite(sizes)
+    order = np.argsort(sizes, kind="stable")
+    order = order[np.isfinite(sizes[order])]
+    own, counted = sizes[order], counted[order]
+    first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]][:len(own)])
     some, every = np.zeros(len(chosen)), np.zeros(len(chosen))
     for r, members in enumerate(chosen):
-        n = np.bincount(members, minlength=len(sizes)) * ranked
-        cnt = np.bincount(level, n, len(levels))
-        rank = np.cumsum(cnt) - cnt + (cnt + 1) / 2
-        every[r] = (cnt * rank).sum()
-        some[r] = (np.bincount(level, n * counted, len(levels)) * rank).sum()
+        n = np.bincount(members, minlength=len(sizes))[order]
+        cnt, part = n, n * counted
+        if len(first) < len(own):
+            cnt, part = np.add.reduceat(n, first), np.add.reduceat(part, first)
+        twice = 2 * np.cumsum(cnt) - cnt + 1  # twice the average rank, a whole number
+        every[r], some[r] = (cnt * twice).sum() / 2, (part * twice).sum() / 2
     return some, every
 
 
