@@ -108,16 +108,20 @@ def _steps(state: tuple, words: list[int], n: int) -> tuple:
     return a, b, c, d
 
 
+def _placed(chars: np.ndarray, place: int) -> dict[int, np.ndarray]:
+    """Rows of characters, written from byte ``place`` on, as words by their number."""
+    words: dict[int, np.ndarray] = {}
+    for at, char in enumerate(chars.T, place):
+        part = char.astype(np.uint32) << np.uint32(8 * (at % 4))
+        words[at // 4] = words[at // 4] | part if at // 4 in words else part
+    return words
+
+
 @lru_cache(maxsize=64)
 def _digit_words(first: int, count: int, digits: int, place: int) -> dict[int, np.ndarray]:
-    """The digits of ``first .. first + count - 1``, written from byte ``place`` on, as words by their number."""
+    """The digits of ``first .. first + count - 1`` from byte ``place`` on."""
     values = np.arange(first, first + count, dtype=np.uint32)
-    words: dict[int, np.ndarray] = {}
-    for k in range(digits):
-        at = place + k
-        digit = (values // 10 ** (digits - 1 - k) % 10 + 48).astype(np.uint32) << np.uint32(8 * (at % 4))
-        words[at // 4] = words[at // 4] | digit if at // 4 in words else digit
-    return words
+    return _placed(np.stack([values // 10 ** (digits - 1 - k) % 10 + 48 for k in range(digits)], axis=1), place)
 
 
 def _by_digits(first: int, last: int) -> Iterator[tuple[int, int, int]]:
@@ -129,17 +133,15 @@ def _by_digits(first: int, last: int) -> Iterator[tuple[int, int, int]]:
         first = stop
 
 
-def _grid_bits(prefix: bytes, b: range, b_digits: int, slot: range, slot_digits: int) -> np.ndarray:
-    """First 48 bits of the MD5 of ``prefix|b|slot``, one row per b; each side has numbers of equally many digits."""
-    shape = (len(b), len(slot))
-    size = len(prefix) + b_digits + slot_digits + 2
-    message = bytearray(prefix + b"|" + bytes(b_digits) + b"|" + bytes(slot_digits) + b"\x80")
-    message += bytes(-(len(message) + 8) % 64) + (8 * size).to_bytes(8, "little")
-    words: list[int | np.ndarray] = np.frombuffer(bytes(message), "<u4").tolist()
-    for values, digits, place, side in ((b, b_digits, len(prefix) + 1, (-1, 1)), (slot, slot_digits, size - slot_digits, (1, -1))):
-        for at, digit in _digit_words(values.start, len(values), digits, place).items():
+def _grid_bits(message: bytes, rows: dict[int, np.ndarray], columns: list[dict[int, np.ndarray]], shape: tuple[int, int]) -> np.ndarray:
+    """First 48 bits of the MD5 of messages: ``message`` with what its rows and columns write on zero bytes."""
+    size = len(message)
+    padded = message + b"\x80" + bytes(-(size + 9) % 64) + (8 * size).to_bytes(8, "little")
+    words: list[int | np.ndarray] = np.frombuffer(padded, "<u4").tolist()
+    for written, side in ((rows, (-1, 1)), *((c, (1, -1)) for c in columns)):
+        for at, part in written.items():
             word = words[at] if isinstance(words[at], np.ndarray) else np.uint32(words[at])
-            words[at] = np.bitwise_or(word, digit.reshape(side))
+            words[at] = np.bitwise_or(word, part.reshape(side))
     state: tuple = _START
     for first in range(0, len(words), 16):
         state = _compressed(*_alike(state, words[first:first + 16], shape))
@@ -178,6 +180,28 @@ def indices(prefix: str, n: int, first: int, last: int) -> Iterator[tuple[int, n
                     slot = range(at, min(s1, at + _SIDE_BY_SIDE))
                     rows = max(1, _SIDE_BY_SIDE // len(slot))
                     for r in range(0, len(b), rows):
-                        u = _grid_bits(text, b[r:r + rows], b_digits, slot, digits).astype(np.float64) / float(2**_BITS)
+                        some, place = b[r:r + rows], len(text) + 1
+                        bits = _grid_bits(text + b"|" + bytes(b_digits) + b"|" + bytes(digits),
+                                          _digit_words(some.start, len(some), b_digits, place),
+                                          [_digit_words(slot.start, len(slot), digits, place + b_digits + 1)], (len(some), len(slot)))
+                        u = bits.astype(np.float64) / float(2**_BITS)
                         out[r:r + rows, at:at + len(slot)] = np.minimum(np.floor(u * n), n - 1)
             yield b0, out
+
+
+def uniforms(heads: list[bytes], first: int, last: int, tails: list[bytes]) -> np.ndarray:
+    """``uniform`` of the labels ``head|b`` + tail: a row per head and its tail, a column per b in ``first .. last - 1``."""
+    out = np.empty((last - first, len(heads)))
+    sizes = np.array([(len(h), len(t)) for h, t in zip(heads, tails)]).reshape(-1, 2)
+    for before, after in np.unique(sizes, axis=0).tolist():
+        own = np.flatnonzero((sizes == (before, after)).all(axis=1))
+        chars = [np.frombuffer(b"".join(part[i] for i in own), np.uint8).reshape(len(own), -1) for part in (heads, tails)]
+        for start, stop, digits in _by_digits(first, last):
+            step = max(1, _SIDE_BY_SIDE // (stop - start))
+            for at in range(0, len(own), step):
+                columns = [_placed(c[at:at + step], place) for c, place in zip(chars, (0, before + 1 + digits))]
+                some = own[at:at + step]
+                bits = _grid_bits(bytes(before) + b"|" + bytes(digits + after), _digit_words(start, stop - start, digits, before + 1),
+                                  columns, (stop - start, len(some)))
+                out[start - first:stop - first, some] = bits / float(2**_BITS)
+    return out.T

@@ -19,11 +19,14 @@ from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, Stru
 
 from eventide.core.numeric import check_window, lag_count
 from eventide.core.series import Series, shift
+from eventide.functions.hashed import label, uniforms
 
 #: Shuffles of a block that one group may hold, and onsets that a group holds on average.
 SHUFFLES, ONSETS = 64, 100_000
 #: Onsets of a series in one part up to which all its blocks go to one group.
 TOGETHER = 400_000
+#: Events and samples of a series up to which its random onsets are drawn in one task; onsets that it looks up at a time.
+EVENTS, SAMPLES, HELD = 2_000, 1_000_000, 8192
 
 
 def windows(t0: np.ndarray, t1: np.ndarray, v0: np.ndarray, v1: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -36,10 +39,13 @@ def windows(t0: np.ndarray, t1: np.ndarray, v0: np.ndarray, v1: np.ndarray, at:
     k = np.searchsorted(t0, at, side="right") - 1
     outside = k < 0
     k = np.maximum(k, 0)
-    on = at == t0[k]
+    since = at - t0[k]
+    on = since == 0
     outside |= ~on & ~(at <= t1[k])
     with np.errstate(invalid="ignore", divide="ignore"):
-        value = np.where(on, v0[k], v0[k] + (at - t0[k]) * ((v1[k] - v0[k]) / (t1[k] - t0[k])))
+        slope = (v1 - v0) / (t1 - t0)
+        first = v0[k]
+        value = np.where(on, first, first + since * slope[k])
     return np.where(outside, np.nan, value), outside
 
 
@@ -198,6 +204,24 @@ def group_means(
                          F.when(F.col("_n") > 0, F.col("_s") / F.col("_n")).alias("v"))
 
 
+def _spread(v: np.ndarray, rel: np.ndarray, baseline: tuple[float, float]) -> dict[str, np.ndarray]:
+    """Deviation and mean of the baseline of each row, and its extremes; NaN where there is none."""
+    out = {}
+    base = v[:, (rel >= baseline[0]) & (rel < baseline[1])]
+    known = np.isfinite(base)
+    n = known.sum(axis=1)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        mean = np.where(known, base, 0.0).sum(axis=1) / n
+        squares = (np.where(known, base - mean[:, None], 0.0) ** 2).sum(axis=1)
+        level = np.where(known, base, -np.inf).max(axis=1) == np.where(known, base, np.inf).min(axis=1)
+        out["sd"] = np.where(n > 1, np.sqrt(np.where(level, 0.0, squares) / (n - 1)), np.nan)
+    out["m"], here = mean, np.isfinite(v)
+    for name, far, pick in (("hi", -np.inf, np.max), ("lo", np.inf, np.min)):
+        edge = pick(np.where(here, v, far), axis=1)
+        out[name] = np.where(np.isfinite(edge), edge, np.nan)
+    return out
+
+
 def trial_spread(
     samples: DataFrame, onsets: DataFrame, s: Series, window: tuple[float, float], dt: float, *,
     baseline: tuple[float, float], value: str = "v", shuffle: str = "shuffle",
@@ -210,24 +234,88 @@ def trial_spread(
     def use(at: pd.DataFrame, v: np.ndarray, rel: np.ndarray) -> pd.DataFrame:
         out = at[keys].reset_index(drop=True)
         out[s.t] = at["_t"].to_numpy(float)
-        base = v[:, (rel >= baseline[0]) & (rel < baseline[1])]
-        known = np.isfinite(base)
-        n = known.sum(axis=1)
-        with np.errstate(invalid="ignore", divide="ignore"):
-            mean = np.where(known, base, 0.0).sum(axis=1) / n
-            squares = (np.where(known, base - mean[:, None], 0.0) ** 2).sum(axis=1)
-            level = np.where(known, base, -np.inf).max(axis=1) == np.where(known, base, np.inf).min(axis=1)
-            out["sd"] = np.where(n > 1, np.sqrt(np.where(level, 0.0, squares) / (n - 1)), np.nan)
-        out["m"], here = mean, np.isfinite(v)
-        for name, far, pick in (("hi", -np.inf, np.max), ("lo", np.inf, np.min)):
-            edge = pick(np.where(here, v, far), axis=1)
-            out[name] = np.where(np.isfinite(edge), edge, np.nan)
+        for name, x in _spread(v, rel, baseline).items():
+            out[name] = x
         return out[[f.name for f in schema.fields]]
 
     found = _windows_of_blocks(samples, onsets, s, window, dt, value, shuffle, [], schema, use)
     return found.select(*keys, s.t, *[F.nanvl(c, F.lit(None).cast("double")).alias(c) for c in numbers])
 
 
+def oversized(samples: DataFrame, events: DataFrame, s: Series) -> DataFrame:
+    """Keys of the series that have too many events or samples for ``random_spread``."""
+    keys = list(s.keys)
+    each = samples.select(*keys, F.lit(0).alias("_own")).unionByName(events.select(*keys, F.lit(1).alias("_own")))
+    counted = each.groupBy(*keys).agg(F.count_if(F.col("_own") == 1).alias("_e"), F.count_if(F.col("_own") == 0).alias("_s"))
+    return counted.filter((F.col("_e") > EVENTS) | (F.col("_s") > SAMPLES)).select(*keys)
+
+
+def random_spread(
+    samples: DataFrame, events: DataFrame, bounds: DataFrame, marks: DataFrame, s: Series, window: tuple[float, float], dt: float, *,
+    baseline: tuple[float, float], n_shuffles: int = 500, seed: int = 0, value: str = "v", event_id: str = "event_i",
+) -> DataFrame:
+    """sd, m, hi, lo (``trial_spread``) and near of the complete windows of random onsets.
+
+    The onsets are those of ``null_onsets`` with no exclusion; they are drawn, looked up and left where the
+    signal of their series is, so only events and samples are shuffled.  ``near`` is the distance to the
+    nearest time of ``marks``, NULL where a series has none.  A series is held by one task: see ``oversized``.
+    """
+    start, end = check_window(window)
+    keys, names = list(s.keys), ["sd", "m", "hi", "lo", "near"]
+    rel = start + np.arange(lag_count(window, dt) + 1) * float(dt)
+    stretches = shift(samples.select(*keys, s.t, value), s, ahead={"_t1": s.t, "_v1": value}).select(
+        *keys, F.col(s.t).alias("_t0"), "_t1", F.col(value).cast("double").alias("_v0"), F.col("_v1").cast("double").alias("_v1"))
+    signal = stretches.withColumn("_mark", F.lit(False)).unionByName(
+        marks.select(*keys, F.col(s.t).alias("_t0"), F.lit(True).alias("_mark")), allowMissingColumns=True)
+    drawn = events.join(bounds.filter("hi > lo"), keys).select(
+        *keys, label(seed, *[F.col(k) for k in keys]).alias("_head"), label("", F.col(event_id), "0").alias("_tail"), "lo", "hi")
+    tasks = 4 * samples.sparkSession.sparkContext.defaultParallelism
+    buckets = max(tasks, -(-drawn.count() * n_shuffles // ONSETS))
+
+    def look(signal: pd.DataFrame, at: pd.DataFrame) -> pd.DataFrame:
+        if len(at) == 0 or len(signal) == 0:
+            return pd.DataFrame(columns=names)
+        both = pd.concat([signal[keys], at[keys]], ignore_index=True).groupby(keys, sort=False, dropna=False).ngroup().to_numpy()
+        own, code = both[:len(signal)], both[len(signal):]
+        lo, hi = at["lo"].to_numpy(float), at["hi"].to_numpy(float)
+        t = uniforms([h.encode() for h in at["_head"]], 0, n_shuffles, [x.encode() for x in at["_tail"]])
+        t = lo[:, None] + t * (hi - lo)[:, None]
+        t0, t1, v0, v1 = (signal[c].to_numpy(float) for c in ("_t0", "_t1", "_v0", "_v1"))
+        order = np.lexsort((t1, t0, signal["_mark"].to_numpy(bool), own))
+        order = order[~np.isnan(t0[order])]
+        own, mark = own[order], signal["_mark"].to_numpy(bool)[order]
+        t0, t1, v0, v1 = t0[order], t1[order], v0[order], v1[order]
+        found = []
+        for g in np.unique(code):
+            a, b = np.searchsorted(own, [g, g + 1])
+            m = a + np.searchsorted(mark[a:b], True)  # the marks of a series come after its samples
+            times = t[code == g].ravel()
+            for i in range(0, len(times), HELD):
+                some = times[i:i + HELD]
+                v, outside = windows(t0[a:m], t1[a:m], v0[a:m], v1[a:m], some[:, None] + rel)
+                complete = ~outside[:, [0, -1]].any(axis=1)
+                if complete.any():
+                    found.append(np.stack([*_spread(v[complete], rel, baseline).values(), nearest(some[complete], t0[m:b])], axis=1))
+        return pd.DataFrame(np.concatenate(found) if found else np.empty((0, len(names))), columns=names)
+
+    def bucketed(df: DataFrame) -> DataFrame:
+        return df.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets))).repartition(tasks, "_bucket")
+
+    out = bucketed(signal).groupBy("_bucket").cogroup(bucketed(drawn).groupBy("_bucket")).applyInPandas(
+        look, ", ".join(f"{c} double" for c in names))
+    return out.select(*[F.nanvl(c, F.lit(None).cast("double")).alias(c) for c in names])
+
+
+def nearest(t: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """Distance of each time to the nearest of the sorted marks; NaN if there are none."""
+    if not len(marks):
+        return np.full(len(t), np.nan)
+    edged = np.r_[-np.inf, marks, np.inf]
+    after = np.searchsorted(marks, t, side="left") + 1
+    before = np.searchsorted(marks, t, side="right")
+    return np.minimum(t - edged[before], edged[after] - t)
+
+
 def by_lag(means: DataFrame) -> DataFrame:
     """``shuffle_means`` with a row per lag: lag_i and v in place of means."""
     kept = [c for c in means.columns if c != "means"]

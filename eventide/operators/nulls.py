@@ -173,24 +173,24 @@ def null_diagnostics(
 
     ``trial_sd``: ``is_null, sd, max_abs_z, distance``.  A trial is near zero
     when its baseline sd is at most ``near_zero_ratio`` times the median
-    positive real sd; more than one percent of such trials raises a flag.
+    positive real sd; more than one percent of such trials raises a flag.  The table is
+    read twice, its real trials once more; it need not be written.
     """
-    from eventide.core.ranks import percentiles
+    from eventide.core.ranks import percentile_of_few_groups, percentiles
 
     positive = trial_sd.filter(~F.col("is_null") & (F.col("sd") > 0)).withColumn("_all", F.lit(1))
-    level = percentiles(positive, ["_all"], "sd", {"median_sd": 0.5}).select("median_sd")
-    x = trial_sd.join(F.broadcast(level))  # one row
+    level = cut(percentiles(positive, ["_all"], "sd", {"median_sd": 0.5}).select("median_sd"))
     eps = F.lit(2.220446049250313e-16)
     threshold = F.greatest(eps, F.lit(near_zero_ratio) * F.col("median_sd"))
-    out = x.groupBy("is_null").agg(
+    x = trial_sd.join(F.broadcast(level)).withColumn("_threshold", threshold)  # one row
+    out = percentile_of_few_groups(x, ["is_null"], "distance", "median_distance", 0.5, also=[
         F.count(F.lit(1)).alias("n_trials"),
-        F.max(threshold).alias("near_zero_threshold"),
-        F.avg((F.col("sd") <= threshold).cast("double")).alias("near_zero_fraction"),
+        F.max("_threshold").alias("near_zero_threshold"),
+        F.avg((F.col("sd") <= F.col("_threshold")).cast("double")).alias("near_zero_fraction"),
         F.avg((F.col("max_abs_z") >= extreme_z).cast("double")).alias("extreme_fraction"),
         F.min("distance").alias("min_distance"),
-    )
-    medians = percentiles(x, ["is_null"], "distance", {"median_distance": 0.5}).drop("n")
-    return out.join(medians, "is_null", "left").withColumn(
+    ])
+    return out.withColumn(
         "warning", (F.col("near_zero_fraction") > 0.01) | (F.col("extreme_fraction") > 0.01)
     )
 

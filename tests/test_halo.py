@@ -4,8 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from eventide.core.series import Series
-from eventide.operators import halo
+from eventide.core import ranks
+from eventide.core.series import Series, asof
+from eventide.operators import halo, nulls
 from eventide.operators import perievent as pe
 
 
@@ -72,3 +73,51 @@ def test_group_means_and_spread(spark, width, monkeypatch):
     for r in trials:
         for c in ("sd", "m", "hi", "lo"):
             assert found[r.k, r.event_t][c] == (pytest.approx(r[c], abs=1e-9) if r[c] is not None else None)
+
+
+def test_random_onsets_drawn_where_their_signal_is(spark):
+    """The same trials as onsets that are drawn, looked up and matched one by one."""
+    rng = np.random.default_rng(8)
+    signal, events, marks = [], [], []
+    for key in ("a", "b", "", None, "long label of a series"):
+        times = np.sort(rng.uniform(0, 60, 50))
+        signal += [(key, float(t), None if rng.random() < 0.1 else float(rng.normal())) for t in times]
+        events += [(key, int(i) if i % 4 else None) for i in rng.integers(-20, 10**9, 6)]
+        marks += [] if key == "b" else [(key, float(t)) for t in rng.uniform(0, 60, 4)]
+    events += events[:2]  # rows that come twice
+    s = Series(("k",), "t", 4.0)
+    samples = spark.createDataFrame(signal, "k string, t double, v double")
+    own = spark.createDataFrame([(k, i, 1.0) for k, i in events], "k string, event_i bigint, t double")
+    at = spark.createDataFrame(marks, "k string, t double")
+    bounds = spark.createDataFrame([("a", 2.0, 57.0), ("b", 1.0, 59.0), ("", 5.0, 5.0), ("long label of a series", 3.0, 50.0)], "k string, lo double, hi double")
+    window, dt, baseline = (-3.0, 3.0), 0.5, (-3.0, 0.0)
+    got = halo.random_spread(samples, own, bounds, at, s, window, dt, baseline=baseline, n_shuffles=120, seed=7)
+    onsets = nulls.null_onsets(own, s, bounds, n_shuffles=120, seed=7)
+    spread = halo.trial_spread(samples, onsets, s, window, dt, baseline=baseline)
+    x = asof(spread, at, s, back={"_b": "t"}, ahead={"_a": "t"})
+    want = x.select("sd", "m", "hi", "lo", F.least(F.col("t") - F.col("_b"), F.col("_a") - F.col("t")).alias("near"))
+    a, b = (df.toPandas().astype(float).sort_values(["m", "hi", "lo", "near"]).to_numpy() for df in (got, want))
+    assert len(a) == len(b) > 1000 and np.isnan(a[:, 4]).any()
+    np.testing.assert_allclose(a, b, rtol=1e-12)
+
+
+def test_large_series_are_named(spark, monkeypatch):
+    monkeypatch.setattr(halo, "EVENTS", 3)
+    monkeypatch.setattr(halo, "SAMPLES", 5)
+    rows = [("few", 1.0)] * 3 + [("events", 1.0)] * 4
+    samples = [("few", 1.0)] * 5 + [("samples", 1.0)] * 6
+    found = halo.oversized(*(spark.createDataFrame(x, "k string, t double") for x in (samples, rows)), Series(("k",), "t", 1.0))
+    assert {r.k for r in found.collect()} == {"events", "samples"}
+
+
+def test_percentile_between_narrow_ends(spark):
+    rng = np.random.default_rng(1)
+    for values in (rng.normal(size=30_001), rng.integers(0, 3, 500).astype(float), np.array([4.0]), np.array([])):
+        rows = [(i % 2 == 0, float(v)) for i, v in enumerate(values)] + [(True, None), (False, None)]
+        df = spark.createDataFrame(rows, "g boolean, v double")
+        found = ranks.percentile_of_few_groups(df, ["g"], "v", "m", 0.5, also=[F.count(F.lit(1)).alias("n"), F.min("v").alias("least")])
+        got = {r.g: (r.n, r.least, r.m) for r in found.collect()}
+        assert got.keys() == {True, False}
+        for i, g in ((0, True), (1, False)):
+            own = values[i::2]
+            assert got[g] == ((len(own) + 1, own.min(), pytest.approx(np.quantile(own, 0.5), abs=1e-15)) if len(own) else (1, None, None))
